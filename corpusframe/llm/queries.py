@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from corpusframe.llm import matroska
+from corpusframe.llm import matroska, mixing
 
-QUERIES = {"op3_matroska": matroska.op3_matroska}
+QUERIES = {
+    "op3_matroska": matroska.op3_matroska,
+    "op7_mix": mixing.op7_mix,
+}
 ORACLE_SQL: dict[str, str] = {}
