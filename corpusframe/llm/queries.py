@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from corpusframe.llm import matroska, mixing
+from corpusframe.llm import matroska, mixing, quality
 
 QUERIES = {
     "op3_matroska": matroska.op3_matroska,
     "op7_mix": mixing.op7_mix,
+    "op8_quality": quality.op8_quality,
 }
 ORACLE_SQL: dict[str, str] = {}
