@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from corpusframe.llm import matroska, mixing, quality
+from corpusframe.llm import matroska, mixing, quality, urls
 
 QUERIES = {
     "op3_matroska": matroska.op3_matroska,
     "op7_mix": mixing.op7_mix,
     "op8_quality": quality.op8_quality,
+    "op10_urls": urls.op10_urls,
 }
 ORACLE_SQL: dict[str, str] = {}
