@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from corpusframe.llm import matroska, mixing, quality, urls
+from corpusframe.llm import jaccard, matroska, mixing, quality, urls
 
 QUERIES = {
     "op3_matroska": matroska.op3_matroska,
     "op7_mix": mixing.op7_mix,
     "op8_quality": quality.op8_quality,
+    "op9_jaccard": jaccard.op9_jaccard,
     "op10_urls": urls.op10_urls,
 }
 ORACLE_SQL: dict[str, str] = {}
