@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from corpusframe.llm import jaccard, matroska, mixing, quality, urls
+from corpusframe.llm import jaccard, matroska, mixing, quality, substrings, urls
 
 QUERIES = {
+    "op2_substrings": substrings.op2_substrings,
     "op3_matroska": matroska.op3_matroska,
     "op7_mix": mixing.op7_mix,
     "op8_quality": quality.op8_quality,
     "op9_jaccard": jaccard.op9_jaccard,
     "op10_urls": urls.op10_urls,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op2_substrings": substrings.ORACLE_SQL}
