@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from corpusframe.llm import jaccard, matroska, mixing, quality, substrings, urls
+from corpusframe.llm import decontaminate, jaccard, matroska, mixing, quality, substrings, urls
 
 QUERIES = {
+    "op1_decontaminate": decontaminate.op1_decontaminate,
     "op2_substrings": substrings.op2_substrings,
     "op3_matroska": matroska.op3_matroska,
     "op7_mix": mixing.op7_mix,
