@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from corpusframe.llm import decontaminate, jaccard, matroska, mixing, quality, substrings, urls
+from corpusframe.llm import decontaminate, jaccard, matroska, mixing, quality, repair, substrings, urls
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
     "op2_substrings": substrings.op2_substrings,
     "op3_matroska": matroska.op3_matroska,
+    "op4_repair": repair.op4_repair,
     "op7_mix": mixing.op7_mix,
     "op8_quality": quality.op8_quality,
     "op9_jaccard": jaccard.op9_jaccard,
