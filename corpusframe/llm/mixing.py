@@ -95,12 +95,16 @@ def permute(k: np.ndarray, n: int, seed: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
+def with_size(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("size", word_count(F.col("text"))).withColumn("order_hash", F.xxhash64("source", "text", *[c for c in ("lang", "n_chars") if c in docs.columns]))
+
+
 def place(docs: DataFrame, block: int = BLOCK) -> tuple[DataFrame, list[dict]]:
     """Documents with ``size, source_no, offset`` (words before theirs in their source), and the table of sources.
 
-    The order within a source is by salt, then doc_id, then a hash of the text, so equal rows may change places freely.
+    The order within a source is by salt, then doc_id, then a hash of the row, so equal rows may change places freely.
     """
-    sized = docs.withColumn("size", word_count(F.col("text")))
+    sized = docs if "size" in docs.columns else with_size(docs)
     salts = F.greatest(F.lit(1), F.ceil(F.col("n") / F.lit(SALTED_ROWS)))
     sources = sized.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words")).withColumn("salts", salts.cast("int")).limit(MAX_SOURCES + 1).collect()
     if len(sources) > MAX_SOURCES:
@@ -113,9 +117,9 @@ def place(docs: DataFrame, block: int = BLOCK) -> tuple[DataFrame, list[dict]]:
     spark = docs.sparkSession
     small = spark.createDataFrame([(t["source"], t["source_no"], t["source_size"], t["target"], t["salts"]) for t in table], "source_key string, source_no int, source_size long, target double, salts int")
     known = sized.join(F.broadcast(small), sized["source"].eqNullSafe(small["source_key"])).drop("source_key")
-    known = known.withColumn("order_hash", F.xxhash64("text")).withColumn("salt", F.pmod(F.xxhash64("doc_id", "order_hash"), F.col("salts")).cast("int"))
+    known = known.withColumn("salt", F.pmod(F.xxhash64("doc_id", "order_hash"), F.col("salts")).cast("int"))
     part = Window.partitionBy("source_no", "salt").orderBy(F.col("doc_id").asc_nulls_last(), "order_hash")
-    known = known.withColumn("within", F.sum("size").over(part.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size")).drop("order_hash")
+    known = known.withColumn("within", F.sum("size").over(part.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size"))
     return known, table
 
 
@@ -124,7 +128,7 @@ def place_offsets(known: DataFrame) -> DataFrame:
     totals = known.groupBy("source_no", "salt").agg(F.sum("size").alias("part_words"))
     run = Window.partitionBy("source_no").orderBy("salt").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     totals = totals.withColumn("part_offset", F.sum("part_words").over(run) - F.col("part_words")).drop("part_words")
-    return known.join(totals, ["source_no", "salt"]).withColumn("offset", F.col("part_offset") + F.col("within")).drop("part_offset", "within", "salt", "salts")
+    return known.join(totals.hint("merge"), ["source_no", "salt"]).withColumn("offset", F.col("part_offset") + F.col("within")).drop("part_offset", "within", "salt", "salts")
 
 
 def slot_uses(spark, table: list[dict], block: int = BLOCK, seed: int = SEED) -> DataFrame:
@@ -167,11 +171,12 @@ def mix(docs: DataFrame, block: int = BLOCK, seed: int = SEED) -> DataFrame:
     start = F.greatest(F.col("offset"), F.col("block_no") * block)
     end = F.least(F.col("offset") + F.col("size"), (F.col("block_no") + 1) * block)
     uses = slot_uses(docs.sparkSession, table, block, seed)
-    taken = spans.join(uses, ["source_no", "block_no"]).select("source_no", "offset", F.struct((start - F.col("offset")).alias("first"), (end - start).alias("words"), F.col("uses").alias("uses")).alias("piece"))
+    # both sides grow with the corpus: never broadcast, however well they compress
+    taken = spans.join(uses.hint("merge"), ["source_no", "block_no"]).select("source_no", "offset", F.struct((start - F.col("offset")).alias("first"), (end - start).alias("words"), F.col("uses").alias("uses")).alias("piece"))
     # (source_no, offset) names a document of at least one word
     taken = taken.groupBy("source_no", "offset").agg(F.array_sort(F.collect_list("piece")).alias("pieces"))
     empty = F.array().cast("array<struct<first:long,words:long,uses:long>>")
-    out = known.join(taken, ["source_no", "offset"], "left")
+    out = known.join(taken.hint("merge"), ["source_no", "offset"], "left")
     return out.withColumn("pieces", F.when((F.col("size") > 0) & F.col("pieces").isNotNull(), F.col("pieces")).otherwise(empty))
 
 
@@ -181,8 +186,9 @@ def taken_words():
 
 def mix_table(docs: DataFrame, block: int = BLOCK, seed: int = SEED) -> DataFrame:
     """``doc_id, size, source_size, target, taken`` for every row of ``documents``."""
-    source = docs.select("doc_id", "text", F.col("source").cast("string").alias("source"))
-    return mix(source, block, seed).select("doc_id", "size", "source_size", "target", taken_words().alias("taken"))
+    # texts are read once; what is kept of them is a size and a hash
+    sized = cut(with_size(docs.select("doc_id", "text", F.col("source").cast("string").alias("source"))).drop("text"))
+    return mix(sized, block, seed).select("doc_id", "size", "source_size", "target", taken_words().alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, block: int = BLOCK, seed: int = SEED) -> DataFrame:
@@ -190,14 +196,22 @@ def mixed_documents(docs: DataFrame, block: int = BLOCK, seed: int = SEED) -> Da
 
     A document that no slot takes goes; one whose pieces are all taken twice comes twice. Words are joined by one space.
     """
-    kept = [c for c in ("doc_id", "text", "lang", "source", "n_chars")]
-    mixed = mix(docs.select(*kept), block, seed)
-    words = F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))
+    kept = ["doc_id", "text", "lang", "source", "n_chars"]
+    sized = with_size(docs.select(*kept))
+    mixed = mix(cut(sized.select("doc_id", "source", "size", "order_hash")), block, seed)
     most = F.aggregate("pieces", F.lit(0).cast("long"), lambda a, p: F.greatest(a, p["uses"]))
-    copies = mixed.withColumn("most", most).filter("most > 0").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("most"))))
-    chosen = F.flatten(F.transform(F.filter("pieces", lambda p: p["uses"] >= F.col("copy")), lambda p: F.slice("all_words", (p["first"] + 1).cast("int"), p["words"].cast("int"))))
-    text = F.array_join(chosen, " ")
-    return copies.withColumn("all_words", words).withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*kept)
+    mixed = mixed.select(F.col("doc_id").alias("id"), F.col("order_hash").alias("hash"), "pieces", most.alias("most")).filter("most > 0")
+    # texts move once, to the pieces of their document; rows that are equal in all columns share one text
+    texts = sized.groupBy("doc_id", "order_hash").agg(F.any_value(F.struct("text", "lang", "source")).alias("d"))
+    joined = texts.join(mixed.hint("merge"), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("order_hash") == F.col("hash")))
+    joined = joined.withColumn("all_words", F.regexp_extract_all("d.text", F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1)))
+
+    def copy(number):
+        chosen = F.transform(F.filter("pieces", lambda p: p["uses"] >= number), lambda p: F.slice("all_words", (p["first"] + 1).cast("int"), p["words"].cast("int")))
+        return F.array_join(F.flatten(chosen), " ")
+
+    text = F.explode(F.transform(F.sequence(F.lit(1).cast("long"), F.col("most")), copy)).alias("text")
+    return joined.select("doc_id", text, "d.lang", "d.source").withColumn("n_chars", F.length("text").cast("long")).select(*kept)
 
 
 def op7_mix(spark, sf_dir: str) -> DataFrame:
