@@ -131,8 +131,8 @@ def resolve_markers(answers: DataFrame, cites: DataFrame, visuals: DataFrame, ma
     rows = found.join(known_c, "query_id", "left").join(known_v, "query_id", "left")
     none = F.array().cast("array<string>")
     rows = rows.withColumn("kc", F.coalesce("kc", none)).withColumn("kv", F.coalesce("kv", none))
-    valid_v = F.slice(F.array_distinct(F.filter(F.transform("vs", F.trim), lambda x: F.array_contains("kv", x))), 1, max_visuals)
-    valid_c = F.array_sort(F.transform(F.array_distinct(F.filter(F.transform("cs", F.trim), lambda x: F.array_contains("kc", x))), lambda x: x.cast("int")))
+    valid_v = F.slice(F.array_distinct(F.filter(F.transform("vs", lambda x: F.trim(x)), lambda x: F.array_contains("kv", x))), 1, max_visuals)
+    valid_c = F.array_sort(F.transform(F.array_distinct(F.filter(F.transform("cs", lambda x: F.trim(x)), lambda x: F.array_contains("kc", x))), lambda x: x.cast("int")))
     rows = rows.withColumn("ok_v", valid_v).withColumn("ok_c", valid_c)
     wrong_v = F.filter("vs", lambda x: ~F.array_contains("ok_v", F.trim(x)))
     wrong_c = F.filter("cs", lambda x: ~F.array_contains("kc", F.trim(x)))
