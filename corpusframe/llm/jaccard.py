@@ -2,12 +2,13 @@
 
 The overlap of two sets is an entry of the product of the document-by-shingle incidence matrix with its transpose. The
 product is taken shingle by shingle over the rarest shingles of each set only (two sets that reach the similarity must
-share one of those), in blocks of a posting list; counts are summed per pair, and pairs whose count cannot reach the
-bound given by their sizes are discarded. What is left is decided on the whole sets.
+share one of those) to find which sets meet at all, then over whole sets in blocks of the sets that meet: overlap
+counts are accumulated row by row and pairs below the bound given by their sizes are discarded.
 
-Equal sets are one node. Posting lists of large groups are not multiplied out: first every member meets only a pivot of
-about its size; members that prove linked are one group from then on, and only pairs of different groups meet in the
-product. So a group of n near copies costs about n pairs, yet no link between different groups is lost.
+Equal sets are one node. Posting lists of large groups are not multiplied out: first every member meets only the most
+popular sets of about its size in its lists; members that prove linked are one group from then on, and only pairs of
+different groups meet in the product. So a group of n near copies costs about n pairs, yet no link between different
+groups is lost.
 
 "Rarest" goes by an order of all shingles: hashed buckets that are frequent in some task come last, then by hash. Any
 order gives the same result; this one keeps shared passages out of the posting lists. The table of frequent buckets has
@@ -22,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusframe.llm.common import LOWER, cut, gram_hashes, hash_spans, mix, signed, slices, word_spans
@@ -31,7 +32,7 @@ from corpusframe.llm.graph_components import components
 HEAT_BUCKETS = 1 << 22
 #: Ids that are broadcast to find their texts without a shuffle; with more, the join shuffles.
 BROADCAST_IDS = 1_000_000
-PAIR_BLOCK = 1024
+TILE_ROWS = 2_000  # sets of a block whose products one task takes
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> Iterator[np.ndarray]:
@@ -141,84 +142,143 @@ def _groups(batches) -> Iterator[tuple[np.ndarray, ...]]:
         yield tuple(held)
 
 
-def _shared(rows: DataFrame, percent: int) -> DataFrame:
-    """Postings of the grams that several sets share, each with its pivot: the smallest set that may still link."""
+def _shared(rows: DataFrame) -> DataFrame:
+    """Postings of the grams that several sets share: ``gram, node, n, size``, the last that of the list."""
 
     def run(batches):
         for gram, node, n in _groups(batches):
             new = np.ones(len(gram), bool)
             new[1:] = (gram[1:] != gram[:-1]) | (node[1:] != node[:-1])
             gram, node, n = gram[new], node[new], n[new]
-            edge = np.flatnonzero(np.concatenate(([True], gram[1:] != gram[:-1], [True])))
-            size = np.diff(edge)
-            keep = np.repeat(size > 1, size)
-            pivot = np.repeat(edge[:-1], size)
-            for lo, hi in zip(edge[:-1][size > 1], edge[1:][size > 1]):
-                p = lo
-                while 100 * n[p] < percent * n[hi - 1]:  # later sets are too large for this pivot
-                    p += int(np.searchsorted(percent * n[p:hi].astype(np.int64), 100 * int(n[p]), "right"))
-                    pivot[p:hi] = p
+            size = np.diff(np.flatnonzero(np.concatenate(([True], gram[1:] != gram[:-1], [True]))))
+            size = np.repeat(size, size)
+            keep = size > 1
             if keep.any():
-                yield pa.RecordBatch.from_arrays([pa.array(gram[keep]), pa.array(node[keep]), pa.array(n[keep]), pa.array(node[pivot][keep])], ["gram", "node", "n", "pivot"])
+                yield pa.RecordBatch.from_arrays([pa.array(gram[keep]), pa.array(node[keep]), pa.array(n[keep]), pa.array(size[keep].astype(np.int64))], ["gram", "node", "n", "size"])
 
-    sorted_rows = rows.repartition("gram").sortWithinPartitions("gram", "n", "node")
-    return sorted_rows.mapInArrow(run, "gram long, node long, n int, pivot long")
+    sorted_rows = rows.repartition("gram").sortWithinPartitions("gram", "node")
+    return sorted_rows.mapInArrow(run, "gram long, node long, n int, size long")
 
 
-def _product(rows: DataFrame, percent: int) -> DataFrame:
-    """``a, b, na, nb, overlap`` of pairs from different groups, counted over the postings and held to the size bound."""
+def _star(shared: DataFrame, percent: int) -> DataFrame:
+    """``a, b``: every set with the most popular one of its lists, of its own class of sizes and the two next to it.
+
+    Popular is a set whose shingles are in long lists: the text from which near copies were made, as a rule. Which pairs
+    are tried here is no matter of correctness.
+    """
+    level = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))).cast("int")
+    known = shared.join(shared.groupBy("node").agg(F.sum("size").alias("popular")).hint("merge"), "node").withColumn("level", level)
+    pivots = known.groupBy("gram", "level").agg(F.max(F.struct("popular", "node", "n")).alias("p")).select("gram", "level", F.col("p.node").alias("pivot"), F.col("p.n").alias("pn"))
+    tries = known.select("gram", "node", "n", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1))).alias("step"), "level").withColumn("level", F.col("level") + F.col("step"))
+    fits = (F.col("node") != F.col("pivot")) & (100 * F.least("n", "pn") >= percent * F.greatest("n", "pn"))
+    met = tries.join(pivots.hint("merge"), ["gram", "level"]).filter(fits).groupBy("node", "step", "pivot").agg(F.count(F.lit(1)).alias("times"))
+    best = met.groupBy("node", "step").agg(F.max(F.struct("times", "pivot")).alias("m"))
+    return best.select(F.least("node", "m.pivot").alias("a"), F.greatest("node", "m.pivot").alias("b")).distinct()
+
+
+def _block_links(shared: DataFrame, groups: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links between sets of different groups that share a posting list.
+
+    Lists are dealt out by their most popular set, so that lists with the same members meet: a block is all sets of
+    such lists, with their whole texts. In a block, the product of incidence matrices gives overlaps row by row; pairs
+    below the bound given by their sizes are discarded and links that join groups already joined are left out. Blocks of
+    more than ``TILE_ROWS`` sets are split into pairs of tiles.
+    """
+    known = shared.join(groups, "node", "left").withColumn("group", F.coalesce("component", "node")).drop("component")
+    popular = shared.groupBy("node").agg(F.sum("size").alias("popular"))
+    pivots = known.join(popular.hint("merge"), "node").groupBy("gram").agg(F.max(F.struct("popular", "node")).alias("p"), F.min("group").alias("g0"), F.max("group").alias("g1")).filter("g0 <> g1").select("gram", F.col("p.node").alias("pivot"))
+    members = cut(known.join(pivots.hint("merge"), "gram").select("pivot", "node", "group").distinct())
+    sizes = members.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / TILE_ROWS).cast("int").alias("tiles"))
+    tile = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda j: F.least(j, tile) * F.col("tiles") + F.greatest(j, tile))
+    placed = members.join(sizes.hint("merge"), "pivot").select("pivot", "node", "group", F.explode(pairs).alias("tile"))
+    rows = placed.join(_texts(members.select("node").distinct(), docs, classes).hint("merge"), "node")
+
+    def links(block: list[tuple[int, int, np.ndarray]]) -> list[tuple[int, int]]:
+        nodes, marks = [x[0] for x in block], [x[1] for x in block]
+        n = np.array([len(x[2]) for x in block])
+        values = np.concatenate([x[2] for x in block])
+        order = np.argsort(values, kind="stable")
+        sorted_values, owner = values[order], np.repeat(np.arange(len(block)), n)[order]
+        name = np.unique(np.array(marks), return_inverse=True)[1]
+        parent = list(range(int(name.max()) + 1))
+
+        def root(g: int) -> int:
+            while parent[g] != g:
+                parent[g] = parent[parent[g]]
+                g = parent[g]
+            return g
+
+        largest = int(np.bincount(name).argmax())
+        found, done = [], np.zeros(len(block), bool)
+        for i in np.flatnonzero(name != largest):
+            lo, hi = np.searchsorted(sorted_values, block[i][2], "left"), np.searchsorted(sorted_values, block[i][2], "right")
+            size = hi - lo
+            at = np.repeat(lo - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(int(size.sum()))
+            both = np.bincount(owner[at], minlength=len(block))
+            done[i] = True
+            for j in np.flatnonzero((both * 100 >= (n[i] + n - both) * percent) & ~done & (name != name[i])):
+                a, b = root(int(name[i])), root(int(name[j]))
+                if a != b:
+                    parent[a] = b
+                    found.append((nodes[i], nodes[j]))
+        return found
 
     def run(batches):
-        for gram, node, n, group in _groups(batches):
-            n = n.astype(np.int64)
-            edge = np.flatnonzero(np.concatenate(([True], gram[1:] != gram[:-1], [True])))
-            for lo, hi in zip(edge[:-1], edge[1:]):
-                if (group[lo:hi] == group[lo]).all():
-                    continue
-                for i in range(lo, hi, PAIR_BLOCK):
-                    x = slice(i, min(i + PAIR_BLOCK, hi))
-                    end = lo + int(np.searchsorted(percent * n[lo:hi], 100 * n[x][-1], "right"))
-                    for j in range(i, end, PAIR_BLOCK):
-                        y = slice(j, min(j + PAIR_BLOCK, end))
-                        ok = (group[x, None] != group[None, y]) & (percent * n[None, y] <= 100 * n[x, None])
-                        if i == j:
-                            ok = np.triu(ok, 1)
-                        p, q = np.nonzero(ok)
-                        if len(p):
-                            a, b, na, nb = node[x][p], node[y][q], n[x][p], n[y][q]
-                            swap = a > b
-                            a, b, na, nb = np.where(swap, b, a), np.where(swap, a, b), np.where(swap, nb, na), np.where(swap, na, nb)
-                            yield pa.RecordBatch.from_arrays([pa.array(v) for v in (a, b, na, nb)], ["a", "b", "na", "nb"])
-
-    sorted_rows = rows.repartition("gram").sortWithinPartitions("gram", "n", "node")
-    pairs = sorted_rows.mapInArrow(run, "a long, b long, na long, nb long")
-    need = F.ceil(F.lit(percent) * (F.col("na") + F.col("nb")) / F.lit(100 + percent))
-    rest = lambda c: F.ceil(F.lit(percent) * F.col(c) / 100) - 1  # noqa: E731 - shingles behind the first ones
-    return pairs.groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("overlap")).filter(F.col("overlap") + F.greatest(rest("na"), rest("nb")) >= need)
+        at, block = None, []
+        for batch in batches:
+            pivot, tiles, nodes, marks = (batch.column(c).to_pylist() for c in range(4))
+            out = []
+            for lo, hi, data, offsets in slices(batch.column(4)):
+                for i, shingles in zip(range(lo, hi), shingle_sets(data, offsets, k)):
+                    if (pivot[i], tiles[i]) != at:
+                        out += links(block) if len(block) > 1 else []
+                        at, block = (pivot[i], tiles[i]), []
+                    if set_hash(shingles) == nodes[i] and (not block or block[-1][0] != nodes[i]):
+                        block.append((nodes[i], marks[i], shingles))
+            yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], pa.int64()) for c in (0, 1)], ["a", "b"])
+        if len(block) > 1:
+            out = links(block)
+            yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], pa.int64()) for c in (0, 1)], ["a", "b"])
+
+    dealt = rows.select("pivot", "tile", "node", "group", "text").repartition("pivot", "tile").sortWithinPartitions("pivot", "tile", "node")
+    return cut(dealt.mapInArrow(run, "a long, b long").distinct())
+
+
+def _texts(nodes: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """``node, text``. A doc_id may have several texts: those whose set isn't the node are left out by the caller."""
+    wanted = cut(nodes.join(classes, "node").select("node", "doc_id"))
+    small = wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(wanted) if small else wanted, "doc_id").select("node", "text")
 
 
 def _linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
     """Those of ``a, b`` whose whole sets reach the similarity."""
     pairs = cut(pairs.select("a", "b").distinct())
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    wanted = cut(nodes.join(classes, "node").select("node", "doc_id"))
-    small = wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    texts = docs.join(F.broadcast(wanted) if small else wanted, "doc_id").select("node", "text")
+    texts = _texts(nodes, docs, classes)
 
     def run(batches):
         for batch in batches:
-            for lo, hi, data, offsets in slices(batch.column(1)):
-                nodes = batch.column(0).slice(lo, hi - lo).to_numpy()
-                sets = list(shingle_sets(data, offsets, k))
-                same = [i for i, s in enumerate(sets) if set_hash(s) == nodes[i]]  # a doc_id may have several texts
-                ends = np.concatenate(([0], np.cumsum([len(sets[i]) for i in same]))).astype(np.int32)
-                values = signed(np.concatenate([sets[i] for i in same])) if same else np.empty(0, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(nodes[same]), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], ["node", "shingles"])
+            a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for lo, hi, sets in _pair_sets(batch, k):
+                for i, (x, y) in zip(range(lo, hi), sets):
+                    if set_hash(x) != a[i] or set_hash(y) != b[i]:  # a doc_id may have several texts
+                        continue
+                    both = len(x) + len(y) - len(np.unique(np.concatenate((x, y))))
+                    if both * 100 >= (len(x) + len(y) - both) * percent:
+                        yield pa.RecordBatch.from_arrays([pa.array(a[i : i + 1]), pa.array(b[i : i + 1])], ["a", "b"])
+
+    # texts move rather than sets of hashes: they are smaller, and compress
+    joined = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")).hint("merge"), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")).hint("merge"), "b")
+    return cut(joined.select("a", "b", "x", "y").mapInArrow(run, "a long, b long").distinct())
+
 
-    sets = cut(texts.mapInArrow(run, "node long, shingles array<long>"))
-    joined = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")).hint("merge"), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")).hint("merge"), "b")
-    both = F.size(F.array_intersect("x", "y"))
-    return cut(joined.filter(both * 100 >= (F.size("x") + F.size("y") - both) * percent).select("a", "b").distinct())
+def _pair_sets(batch: pa.RecordBatch, k: int):
+    """Shingle sets of both texts of each row, in pieces of rows."""
+    for lo, hi, data, offsets in slices(batch.column(2)):
+        right = (s for _, _, r_data, r_offsets in slices(batch.column(3).slice(lo, hi - lo)) for s in shingle_sets(r_data, r_offsets, k))
+        yield lo, hi, zip(shingle_sets(data, offsets, k), right)
 
 
 def jaccard_groups(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
@@ -232,12 +292,10 @@ def jaccard_groups(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     heat = {r[0]: r[1] for r in profile.filter("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("heat")).collect()}
     rows = profile.filter("bucket IS NULL").select("doc_id", "node", "n")
     classes = cut(rows.filter("n > 0 AND doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id")))
-    shared = cut(_shared(_postings(docs, heat, k, percent), percent))
-    star = shared.filter("node <> pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
-    links = _linked(star, docs, classes, k, percent)
+    shared = cut(_shared(_postings(docs, heat, k, percent)))
+    links = _linked(_star(shared, percent), docs, classes, k, percent)
     groups = components(links)
-    left = shared.join(groups, "node", "left").select("gram", "node", "n", F.coalesce("component", "node").alias("group"))
-    rest = _linked(_product(left, percent), docs, classes, k, percent)
+    rest = _block_links(shared, groups, docs, classes, k, percent)
     # documents with one id and different texts are one node as well
     twice = rows.filter("n > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a <> b")
     several = rows.filter("n > 0").join(twice, "doc_id").select("a", F.col("node").alias("b"))
@@ -249,5 +307,19 @@ def jaccard_groups(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce(F.when(F.col("n") > 0, F.col("component_id")), F.col("doc_id"))).alias("component_id"))
 
 
+def one_of_each_group(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is the smallest of its group; of rows that share a doc_id one stays.
+
+    Documents without words, and those with a null doc_id, stay.
+    """
+    groups = jaccard_groups(docs, k, percent)
+    gone = groups.filter("doc_id IS NOT NULL AND component_id <> doc_id").select("doc_id").distinct()
+    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    twice = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 AND doc_id IS NOT NULL").select("doc_id")
+    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
+    single = kept.join(twice, "doc_id", "left_semi").withColumn("_turn", F.row_number().over(first)).filter("_turn = 1").drop("_turn")
+    return kept.join(twice, "doc_id", "left_anti").select(*docs.columns).unionByName(single.select(*docs.columns))
+
+
 def op9_jaccard(spark, sf_dir: str) -> DataFrame:
     return jaccard_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
