@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from corpusframe.llm import decontaminate, jaccard, matroska, mixing, quality, repair, substrings, urls
+from corpusframe.llm import decontaminate, jaccard, lines, matroska, mixing, quality, repair, separators, substrings, urls
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
     "op2_substrings": substrings.op2_substrings,
     "op3_matroska": matroska.op3_matroska,
     "op4_repair": repair.op4_repair,
+    "op5_lines": lines.op5_lines,
+    "op6_token_counts": separators.op6_token_counts,
     "op7_mix": mixing.op7_mix,
     "op8_quality": quality.op8_quality,
     "op9_jaccard": jaccard.op9_jaccard,

@@ -27,11 +27,12 @@ from corpusframe.llm.common import shared_dir
 
 END_ID = 2
 SHARD_TOKENS = 1 << 21
-ROUNDS, PAIRS, LEAST = 6, 16384, 24  # rounds of replacement, new symbols of a round, occurrences that a pair must have
-CACHE = 300_000  # pieces of text whose ids a task remembers
+ROUNDS, PAIRS, LEAST = 4, 16384, 24  # rounds of replacement, new symbols of a round, occurrences that a pair must have
+CACHE = 800_000  # pieces of text whose ids a task remembers
 MAGIC = b"RPG1"
 # A byte-level tokenizer starts a new piece at a single space or newline between two other characters.
-LINE, SPACE = re.compile(r"(?<=\S)\n(?=\S)"), re.compile(r"(?<=\S) (?=\S)")
+NEWLINE, SPACE = re.compile(r"(?<=\S)\n(?=\S)"), re.compile(r"(?<=\S) (?=\S)")
+FIRST, LINE = "\ue000", "\ue001"  # marks; texts that hold them are encoded whole
 
 
 def default_tokenizer() -> str:
@@ -51,8 +52,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.first: dict[str, bytes] = {}
-        self.rest: dict[str, bytes] = {}
+        self.cache: dict[str, bytes] = {}
         self.newline = self._ids(["\n"])[0]
         # a token of a byte-level vocabulary is spelt with one character for each byte
         self.bytes = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), np.int64)
@@ -70,25 +70,40 @@ class Encoder:
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _pieces(self, text: str) -> list[str]:
+        """Pieces of a text; ``FIRST`` and ``LINE`` in front mark those that no space precedes."""
+        if " ".join(text.split()) == text.replace("\n", " "):  # single spaces and newlines only
+            return (FIRST + text).replace("\n", " " + LINE).split(" ")
+        return SPACE.split(FIRST + NEWLINE.sub(" " + LINE, text))
+
+    def _learn(self, pieces: set[str]) -> None:
+        if len(self.cache) > CACHE:
+            self.cache.clear()
+        plain = [p for p in pieces if p[:1] not in (FIRST, LINE)]
+        marked = [p for p in pieces if p[:1] in (FIRST, LINE)]
+        for lo in range(0, len(plain), 1000):
+            part = plain[lo : lo + 1000]
+            self.cache.update(zip(part, self._joined([" " + p for p in part])))
+        for p, ids in zip(marked, self._ids([p[1:] for p in marked])):
+            self.cache[p] = self.newline + ids if p[0] == LINE else ids
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text, the end id not among them."""
-        split = [[SPACE.split(line) for line in LINE.split(t)] for t in texts]
-        for cache, wanted, before in ((self.first, {line[0] for t in split for line in t}, ""), (self.rest, {s for t in split for line in t for s in line[1:]}, " ")):
-            if len(cache) > CACHE:
-                cache.clear()
-            new = [s for s in wanted if s not in cache]
-            for lo in range(0, len(new), 1000):
-                part = new[lo : lo + 1000]
-                cache.update(zip(part, self._joined([before + s for s in part]) if before else self._ids(part)))
-        first, rest, out = self.first, self.rest, []
-        for lines in split:
-            ids = []
-            for line in lines:
-                ids.append(self.newline)
-                ids.append(first[line[0]])
-                ids += [rest[s] for s in line[1:]]
-            out.append(b"".join(ids[1:]))
-        return out
+        get = self.cache.get
+        plain = [None if FIRST in t or LINE in t else self._pieces(t) for t in texts]
+        found = [None if p is None else list(map(get, p)) for p in plain]
+        new = set()
+        for p, f in zip(plain, found):
+            if p is not None and None in f:
+                new.update(s for s, v in zip(p, f) if v is None)
+        if new:
+            self._learn(new)
+        return [self._ids([t])[0] if p is None else b"".join(self._again(p, f) if None in f else f) for t, p, f in zip(texts, plain, found)]
+
+    def _again(self, pieces: list[str], found: list) -> list[bytes]:
+        """What was unknown, looked up anew."""
+        cache = self.cache
+        return [cache[p] if v is None else v for p, v in zip(pieces, found)]
 
 
 @lru_cache(2)
@@ -111,15 +126,19 @@ def compress(ids: np.ndarray, vocabulary: int, rounds: int = ROUNDS) -> tuple[np
         inner = (seq[:-1] != END_ID) & (seq[1:] != END_ID)
         counts = np.bincount(bucket, inner, 1 << 20)
         likely = np.flatnonzero((counts >= LEAST)[bucket] & inner)  # a pair can't be more frequent than its bucket
-        pairs, where, n = np.unique(key[likely], return_inverse=True, return_counts=True)
+        ordered = np.sort(key[likely])
+        edge = np.flatnonzero(np.concatenate((np.ones(min(1, len(ordered)), bool), ordered[1:] != ordered[:-1])))
+        pairs, n = ordered[edge], np.diff(np.concatenate((edge, [len(ordered)])))
         chosen = np.flatnonzero(n >= LEAST)
         if not len(chosen):
             break
-        chosen = np.sort(chosen[np.lexsort((pairs[chosen], -n[chosen]))[:PAIRS]])
-        number = np.full(len(pairs), -1, np.int64)
-        number[chosen] = size + np.arange(len(chosen))
-        symbol = number[where]
-        at, symbol = likely[symbol >= 0], symbol[symbol >= 0]
+        pairs = np.sort(pairs[chosen[np.lexsort((pairs[chosen], -n[chosen]))[:PAIRS]]])
+        mine = np.zeros(1 << 20, bool)
+        mine[(pairs.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(44)).astype(np.int64)] = True
+        at = likely[mine[bucket[likely]]]
+        number = np.minimum(np.searchsorted(pairs, key[at]), len(pairs) - 1)
+        same = pairs[number] == key[at]
+        at, symbol = at[same], size + number[same]
         # of places that overlap, every second one is replaced
         edge = np.concatenate(([True], np.diff(at) > 1))
         begin = at[np.maximum.accumulate(np.where(edge, np.arange(len(at)), 0))]
@@ -129,9 +148,9 @@ def compress(ids: np.ndarray, vocabulary: int, rounds: int = ROUNDS) -> tuple[np
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
         before, seq = len(seq), seq[keep]
-        rules.append(np.stack((pairs[chosen] >> 32, pairs[chosen] & 0xFFFFFFFF), 1))
-        size += len(chosen)
-        if before - len(seq) < before // 100:
+        rules.append(np.stack((pairs >> 32, pairs & 0xFFFFFFFF), 1))
+        size += len(pairs)
+        if before - len(seq) < before // 50:
             break
     return seq, np.concatenate(rules) if rules else np.empty((0, 2), np.int64)
 
