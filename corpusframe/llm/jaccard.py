@@ -2,8 +2,8 @@
 
 The overlap of two sets is an entry of the product of the document-by-shingle incidence matrix with its transpose. The
 product is taken shingle by shingle over the rarest shingles of each set only (two sets that reach the similarity must
-share one of those) to find which sets meet at all, then over whole sets in blocks of the sets that meet: overlap
-counts are accumulated row by row and pairs below the bound given by their sizes are discarded.
+share one of those), in blocks of the sets that meet: overlap counts are accumulated row by row, and pairs whose count
+cannot reach the bound given by their sizes are discarded. What is left is decided on the whole sets.
 
 Equal sets are one node. Posting lists of large groups are not multiplied out: first every member meets only the most
 popular sets of about its size in its lists; members that prove linked are one group from then on, and only pairs of
@@ -176,73 +176,68 @@ def _star(shared: DataFrame, percent: int) -> DataFrame:
     return best.select(F.least("node", "m.pivot").alias("a"), F.greatest("node", "m.pivot").alias("b")).distinct()
 
 
-def _block_links(shared: DataFrame, groups: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links between sets of different groups that share a posting list.
+def _block_pairs(shared: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """``a, b``: pairs of sets of different groups that may still link, from products over the postings.
 
     Lists are dealt out by their most popular set, so that lists with the same members meet: a block is all sets of
-    such lists, with their whole texts. In a block, the product of incidence matrices gives overlaps row by row; pairs
-    below the bound given by their sizes are discarded and links that join groups already joined are left out. Blocks of
-    more than ``TILE_ROWS`` sets are split into pairs of tiles.
+    such lists, each with its grams of all lists. In a block, the product of incidence matrices gives overlaps row by
+    row; pairs below the bound given by their sizes are discarded. Blocks of more than ``TILE_ROWS`` sets are split into
+    pairs of tiles.
     """
     known = shared.join(groups, "node", "left").withColumn("group", F.coalesce("component", "node")).drop("component")
-    popular = shared.groupBy("node").agg(F.sum("size").alias("popular"))
-    pivots = known.join(popular.hint("merge"), "node").groupBy("gram").agg(F.max(F.struct("popular", "node")).alias("p"), F.min("group").alias("g0"), F.max("group").alias("g1")).filter("g0 <> g1").select("gram", F.col("p.node").alias("pivot"))
-    members = cut(known.join(pivots.hint("merge"), "gram").select("pivot", "node", "group").distinct())
+    nodes = known.groupBy("node").agg(F.sum("size").alias("popular"), F.first("n").alias("n"), F.first("group").alias("group"), F.array_sort(F.collect_list("gram")).alias("grams"))
+    pivots = known.join(nodes.select("node", "popular").hint("merge"), "node").groupBy("gram").agg(F.max(F.struct("popular", "node")).alias("p"), F.min("group").alias("g0"), F.max("group").alias("g1")).filter("g0 <> g1").select("gram", F.col("p.node").alias("pivot"))
+    members = cut(known.join(pivots.hint("merge"), "gram").select("pivot", "node").distinct())
     sizes = members.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / TILE_ROWS).cast("int").alias("tiles"))
     tile = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda j: F.least(j, tile) * F.col("tiles") + F.greatest(j, tile))
-    placed = members.join(sizes.hint("merge"), "pivot").select("pivot", "node", "group", F.explode(pairs).alias("tile"))
-    rows = placed.join(_texts(members.select("node").distinct(), docs, classes).hint("merge"), "node")
-
-    def links(block: list[tuple[int, int, np.ndarray]]) -> list[tuple[int, int]]:
-        nodes, marks = [x[0] for x in block], [x[1] for x in block]
-        n = np.array([len(x[2]) for x in block])
-        values = np.concatenate([x[2] for x in block])
+    tiles = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda j: F.least(j, tile) * F.col("tiles") + F.greatest(j, tile))
+    placed = members.join(sizes.hint("merge"), "pivot").select("pivot", "node", F.explode(tiles).alias("tile"))
+
+    def product(nodes: list, n: list, marks: list, grams: list) -> tuple[np.ndarray, np.ndarray]:
+        nodes, n, name = np.array(nodes, np.int64), np.array(n, np.int64), np.array(marks, np.int64)
+        if len(nodes) < 2 or (name == name[0]).all():
+            return nodes[:0], nodes[:0]
+        rest = -(-percent * n // 100) - 1  # shingles behind the first ones
+        each = np.array([len(g) for g in grams])
+        values = np.concatenate(grams)
         order = np.argsort(values, kind="stable")
-        sorted_values, owner = values[order], np.repeat(np.arange(len(block)), n)[order]
-        name = np.unique(np.array(marks), return_inverse=True)[1]
-        parent = list(range(int(name.max()) + 1))
-
-        def root(g: int) -> int:
-            while parent[g] != g:
-                parent[g] = parent[parent[g]]
-                g = parent[g]
-            return g
-
-        largest = int(np.bincount(name).argmax())
-        found, done = [], np.zeros(len(block), bool)
-        for i in np.flatnonzero(name != largest):
-            lo, hi = np.searchsorted(sorted_values, block[i][2], "left"), np.searchsorted(sorted_values, block[i][2], "right")
+        values, owner = values[order], np.repeat(np.arange(len(nodes)), each)[order]
+        names, number = np.unique(name, return_inverse=True)
+        largest = int(np.bincount(number).argmax())
+        done, a, b = np.zeros(len(nodes), bool), [], []
+        for i in np.flatnonzero(number != largest):
+            lo, hi = np.searchsorted(values, grams[i], "left"), np.searchsorted(values, grams[i], "right")
             size = hi - lo
             at = np.repeat(lo - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(int(size.sum()))
-            both = np.bincount(owner[at], minlength=len(block))
+            both = np.bincount(owner[at], minlength=len(nodes))
             done[i] = True
-            for j in np.flatnonzero((both * 100 >= (n[i] + n - both) * percent) & ~done & (name != name[i])):
-                a, b = root(int(name[i])), root(int(name[j]))
-                if a != b:
-                    parent[a] = b
-                    found.append((nodes[i], nodes[j]))
-        return found
+            need = -(-percent * (n + n[i]) // (100 + percent))
+            ok = (both > 0) & ~done & (name != name[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i])) & (both + np.maximum(rest, rest[i]) >= need)
+            j = np.flatnonzero(ok)
+            a.append(np.full(len(j), nodes[i]))
+            b.append(nodes[j])
+        a, b = np.concatenate(a), np.concatenate(b)
+        return np.minimum(a, b), np.maximum(a, b)
 
     def run(batches):
-        at, block = None, []
+        at, held = None, ([], [], [], [])
         for batch in batches:
-            pivot, tiles, nodes, marks = (batch.column(c).to_pylist() for c in range(4))
-            out = []
-            for lo, hi, data, offsets in slices(batch.column(4)):
-                for i, shingles in zip(range(lo, hi), shingle_sets(data, offsets, k)):
-                    if (pivot[i], tiles[i]) != at:
-                        out += links(block) if len(block) > 1 else []
-                        at, block = (pivot[i], tiles[i]), []
-                    if set_hash(shingles) == nodes[i] and (not block or block[-1][0] != nodes[i]):
-                        block.append((nodes[i], marks[i], shingles))
-            yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], pa.int64()) for c in (0, 1)], ["a", "b"])
-        if len(block) > 1:
-            out = links(block)
-            yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], pa.int64()) for c in (0, 1)], ["a", "b"])
-
-    dealt = rows.select("pivot", "tile", "node", "group", "text").repartition("pivot", "tile").sortWithinPartitions("pivot", "tile", "node")
-    return cut(dealt.mapInArrow(run, "a long, b long").distinct())
+            pivot, tiles, nodes, n, marks = (batch.column(c).to_pylist() for c in range(5))
+            for i in range(batch.num_rows):
+                if (pivot[i], tiles[i]) != at:
+                    a, b = product(*held)
+                    if len(a):
+                        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+                    at, held = (pivot[i], tiles[i]), ([], [], [], [])
+                for column, value in zip(held, (nodes[i], n[i], marks[i], batch.column(5)[i].values.to_numpy())):
+                    column.append(value)
+        a, b = product(*held)
+        if len(a):
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    rows = placed.join(nodes.select("node", "n", "group", "grams").hint("merge"), "node")
+    dealt = rows.select("pivot", "tile", "node", "n", "group", "grams").repartition("pivot", "tile").sortWithinPartitions("pivot", "tile", "node")
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 def _texts(nodes: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -295,7 +290,7 @@ def jaccard_groups(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     shared = cut(_shared(_postings(docs, heat, k, percent)))
     links = _linked(_star(shared, percent), docs, classes, k, percent)
     groups = components(links)
-    rest = _block_links(shared, groups, docs, classes, k, percent)
+    rest = _linked(_block_pairs(shared, groups, percent), docs, classes, k, percent)
     # documents with one id and different texts are one node as well
     twice = rows.filter("n > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a <> b")
     several = rows.filter("n > 0").join(twice, "doc_id").select("a", F.col("node").alias("b"))

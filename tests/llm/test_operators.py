@@ -1,0 +1,342 @@
+"""Small cases held against brute force: nulls, empty and long texts, ties, repeated rows, empty tables, extra columns."""
+
+import hashlib
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from corpusframe.llm import decontaminate, jaccard, lines, matroska, mixing, quality, repair, separators, substrings, urls
+from corpusframe.llm.common import hash_spans, slices, word_spans
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, node long"
+WORDS = [f"w{i}" for i in range(400)]
+
+
+def passage(seed, n):
+    rng = np.random.default_rng(seed)
+    return " ".join(rng.choice(WORDS, n))
+
+
+@pytest.fixture(scope="module")
+def rows():
+    shared = passage(1, 60)
+    out = [(i, f"{passage(100 + i, 40)}\n{shared}\n{passage(200 + i, 30)}", "en", f"s{i % 3}") for i in range(8)]
+    near = passage(3, 300)
+    out += [(20, near, "en", "s0"), (21, near.replace("w7 ", "w9 "), "en", None), (22, near, "fr", "s9")]
+    out += [(30, None, None, None), (31, "", "en", ""), (32, "one", "en", "s1"), (33, " \t\n ", "en", "s1"), (34, "a b c", "de", "s2"), (35, "A b\tc", "de", "s2")]
+    out += [(40, passage(5, 3000), "en", "s4"), (41, "x" * 500 + " " + "é" * 70, "en", "s4"), (3, out[3][1], "en", "s0")]
+    return out
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    return spark.createDataFrame([(*r, len(r[1] or ""), 0.5, 1) for r in rows], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def words(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", text or "")
+
+
+def test_words_and_hashes():
+    import pyarrow as pa
+
+    texts = ["a b", None, "", " é\tx" + "y" * 90, "b"]
+    for limit in (1, 4, 1000):
+        found = []
+        for _, _, data, offsets in slices(pa.array(texts), limit):
+            s, e, first = word_spans(data, offsets)
+            h = hash_spans(data, s, e)
+            found += [[(data[a:b].tobytes().decode(), int(x)) for a, b, x in zip(s[lo:hi], e[lo:hi], h[lo:hi])] for lo, hi in zip(first[:-1], first[1:])]
+        assert [[w for w, _ in f] for f in found] == [words(t) for t in texts]
+        assert found[0][1] == found[4][0]
+
+
+def test_media(docs, rows, empty):
+    got = {(r.doc_id, r.payload_sha256): r for r in matroska.media_digest(matroska.encode_media(docs)).collect()}
+    for doc_id, text, *_ in rows:
+        n, payload = matroska.pad(text)
+        r = got[doc_id, hashlib.sha256(payload).hexdigest()]
+        assert (r.n_bytes, r.payload_bytes, r.tail_crc32) == (n, len(payload), zlib.crc32(payload[-16:]))
+        assert len(payload) % 192 == 0 and payload
+    table = matroska.packets(matroska.encode_media(docs.filter("doc_id = 40")))
+    assert table.agg(F.sum("byte_length")).first()[0] == len(matroska.pad(passage(5, 3000))[1])
+    assert matroska.media_digest(matroska.encode_media(empty)).count() == 0
+
+
+@pytest.mark.parametrize("lacing", list(matroska.LACINGS))
+@pytest.mark.parametrize("n", [1, 192, 192 * 9, 192 * 2500, 1000])
+def test_lacing_round_trip(lacing, n):
+    payload = bytes(np.random.default_rng(n).integers(0, 256, n, dtype=np.uint8))
+    media = matroska.write_media(payload, lacing=lacing)
+    assert matroska.features(media)["payload"] == payload
+    found, cues = matroska.read_media(media)
+    assert cues[0][0] == 0 and media[cues[0][1] : cues[0][1] + 4] == matroska.CLUSTER.to_bytes(4, "big")
+    assert [p[1] for p in found] == [24 * k for k in range(len(found))]
+
+
+def removed(rows, window):
+    seen, out = {}, {}
+    order = sorted({(r[0], r[1]) for r in rows}, key=lambda r: (r[0], r[1] or ""))
+    for doc_id, text in order:
+        w = words(text)
+        for k in range(len(w) - window + 1):
+            seen.setdefault(tuple(w[k : k + window]), (doc_id, k))
+    for doc_id, text in order:
+        w = words(text)
+        gone = [False] * len(w)
+        for k in range(len(w) - window + 1):
+            if seen[tuple(w[k : k + window])] < (doc_id, k):
+                gone[k : k + window] = [True] * window
+        left = " ".join(x for x, g in zip(w, gone) if not g)
+        out[doc_id] = (len(w), sum(gone), hashlib.sha256(left.encode()).hexdigest())
+    return out
+
+
+@pytest.mark.parametrize("group_rows", [1, 20_000])
+@pytest.mark.parametrize("window", [5, 20])
+def test_substrings(docs, rows, empty, window, group_rows, monkeypatch):
+    monkeypatch.setattr(substrings, "GROUP_ROWS", group_rows)
+    want = removed(rows, window)
+    got = substrings.without_repeats(docs, window).collect()
+    assert len(got) == len(rows)
+    assert {r.doc_id: tuple(r)[1:] for r in got} == want
+    assert any(v[1] for v in want.values())
+    assert substrings.without_repeats(empty).count() == 0
+
+
+def test_lines(spark, empty):
+    block = "\n".join(f"line {i} of the shared part" for i in range(12))
+    rows = [(i, "\n".join(f"own {i} {j}" for j in range(7)) + "\n" + block + f"\nend {i}") for i in range(6)]
+    rows += [(10, None), (11, ""), (12, "\n\n"), (13, block), (0, rows[0][1])]
+    got = {r.doc_id: r for r in lines.without_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string"), True).collect()}
+    first = {}
+    for doc_id, text in sorted({r for r in rows}, key=lambda r: (r[0], r[1] or "")):
+        own = (text or "").encode().split(b"\n")
+        keep = [True] * len(own)
+        for a, n in lines.cut_lines(own):
+            body = b"\n".join(own[a : a + n])
+            if n > 1 and first.setdefault(body, (doc_id, a)) != (doc_id, a):
+                keep[a : a + n] = [False] * n
+        assert got[doc_id].kept_text.encode() == b"\n".join(x for x, k in zip(own, keep) if k)
+        assert got[doc_id].n_lines == len(own)
+    assert got[3].n_removed > 0
+    assert lines.without_repeated_lines(empty).count() == 0
+
+
+ODD = ["a  b", "a \nb", "a   b", " x ", "\n\n a\n", "x\n\ny", "it's don't 's", "a \n \n b", "é ñ\tz", "a b　c", "end. <|endoftext|> b", "", "x\r\ny z", "a\x1c b", "a\n b", " a b"]
+
+
+def test_encoder_and_grammar():
+    from tokenizers import Tokenizer
+
+    encoder, whole = repair.Encoder(repair.default_tokenizer()), Tokenizer.from_file(repair.default_tokenizer())
+    texts = [*ODD, passage(9, 500)]
+    for text, ids in zip(texts, encoder.encode(texts)):
+        assert np.frombuffer(ids, "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, repr(text)
+    rng = np.random.default_rng(0)
+    ids = np.where(rng.random(20_000) < 0.01, repair.END_ID, rng.integers(3, 20, 20_000)).astype(np.uint32)
+    ids[-1] = repair.END_ID
+    sizes = np.diff(np.concatenate(([0], np.flatnonzero(ids == repair.END_ID) + 1))).tolist()
+    shard = repair.Shard(repair.pack(ids, sizes, 50_257))
+    assert (shard.ids() == ids).all() and len(shard.rules) and len(shard.seq) < 0.6 * len(ids)
+    ends = np.cumsum(sizes)
+    for k in range(0, len(sizes), 7):
+        assert (shard.document(k) == ids[ends[k] - sizes[k] : ends[k]]).all()
+
+
+def test_token_files_and_counts(docs, rows, empty, spark, tmp_path):
+    encoder = repair.Encoder(repair.default_tokenizer())
+    ordered = sorted(rows, key=lambda r: (r[0], r[1] or ""))
+    start, want = 0, []
+    for (doc_id, *_), ids in zip(ordered, encoder.encode([r[1] or "" for r in ordered])):
+        full = ids + b"\x02\0\0\0"
+        want.append((doc_id, start, len(full) // 4, zlib.crc32(full)))
+        start += len(full) // 4
+    assert sorted(tuple(r) for r in repair.token_files(docs).collect()) == sorted(want)
+    assert repair.token_files(empty).count() == 0
+    for block in (5, 1 << 16):
+        got = sorted(tuple(r) for r in separators.token_counts(docs, block_ids=block).collect())
+        assert [r[3] for r in got] == [w[2] for w in want]
+    flat = np.array([5, 2, 2, 7, 7, 7, 2, 9], "<u4")
+    blocks = spark.createDataFrame([(0, k, bytearray(flat[2 * k : 2 * k + 2].tobytes())) for k in range(4)], "file_no int, block_no long, ids binary")
+    assert sorted(tuple(r)[1:] for r in separators.scan(blocks).collect()) == [(0, 0, 2), (1, 2, 1), (2, 3, 4), (3, 7, 1)]
+
+
+def test_mixing(docs, rows, empty):
+    got = mixing.mix_table(docs, block=16).collect()
+    again = mixing.mix_table(docs, block=16).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(map(tuple, again), key=str) and len(got) == len(rows)
+    size = {}
+    for _, text, _, source in rows:
+        size[source] = size.get(source, 0) + len(words(text))
+    names = sorted(size, key=lambda s: (s is None, s or ""))
+    want = dict(zip(names, mixing.targets([size[s] for s in names], [1 + i % 3 for i in range(len(names))], sum(size.values()))))
+    assert sum(want.values()) == pytest.approx(sum(size.values()))
+    by_id = {r.doc_id: r for r in got}
+    taken = dict.fromkeys(names, 0)
+    for doc_id, text, _, source in rows:
+        r = by_id[doc_id]
+        assert (r.size, r.source_size) == (len(words(text)), size[source]) and r.taken <= 3 * r.size
+        assert r.target == pytest.approx(want[source])
+    sources = {r[0]: r[3] for r in rows}
+    for r in got:
+        taken[sources[r.doc_id]] += r.taken
+    for s in names:
+        assert abs(taken[s] - want[s]) <= max(16, 0.1 * want[s])
+    mixed = mixing.mixed_documents(docs, block=16)
+    assert mixed.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+    assert sum(len(words(r.text)) for r in mixed.collect()) == sum(r.taken for r in got)
+    assert mixing.mix_table(empty).count() == 0
+
+
+def test_targets():
+    assert mixing.targets([10, 10, 1000], [1, 2, 3], 1020) == pytest.approx([30, 30, 960])
+    assert mixing.targets([], [], 0) == []
+    assert sorted(mixing.permute(np.arange(37), 37, 5).tolist()) == list(range(37))
+
+
+def test_quality(spark, empty):
+    rng = np.random.default_rng(1)
+    data = []
+    for i in range(240):
+        good = i % 3 > 0
+        body = " ".join("".join(rng.choice(list("aeiounrst"), 5)) + ("" if good else "***") for _ in range(int(rng.integers(4, 80))))
+        data.append((i, body, int(good)))
+    frame = spark.createDataFrame([(i, t) for i, t, _ in data] + [(900, ""), (901, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, g) for i, _, g in data] + [(2, None)], "doc_id long, quality int")
+    parameters = quality.train(frame, labels)
+    scored = {r.doc_id: r.score for r in quality.score(frame, parameters).collect()}
+    assert len(scored) == 242 and all(0 <= s <= 1 for s in scored.values()) and scored[900] == scored[901]
+    held = [(i, g) for i, _, g in data if zlib.crc32(str(i).encode()) % 4 == 2]
+    assert len(held) > 30 and np.mean([(scored[i] >= 0.5) == bool(g) for i, g in held]) > 0.9
+    assert quality.score(empty.select("doc_id", "text"), parameters).count() == 0
+    constant = quality.train(frame, labels.limit(0))
+    assert {r.score for r in quality.score(frame, constant).select("score").collect()} == {0.5}
+
+
+def test_gradient():
+    net = quality.Network()
+    net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    net.p["out"] += 0.3
+    net.p["bias"] += 0.05  # away from the kink that windows of padding have at 0
+    texts = [b"hello world " * 40, b"***%%%" * 3, b"zz"]
+    offsets = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+    data, y, w = np.frombuffer(b"".join(texts), np.uint8), np.array([1.0, 0, 1]), np.ones(3)
+
+    def loss():
+        p = net.score(data, offsets)
+        return -np.mean(y * np.log(p) + (1 - y) * np.log(1 - p)) + 0.5e-4 * (net.p["out"] ** 2).sum()
+
+    g = net.gradient(data, offsets, y, w)
+    for name, at in (("out", 3), ("out_bias", 0), ("bias", 2), ("conv", (1, 3, 2)), ("embed", (ord("l"), 1))):
+        old, step = net.p[name][at], 1e-5
+        net.p[name][at] = old + step
+        up = loss()
+        net.p[name][at] = old - step
+        down = loss()
+        net.p[name][at] = old
+        assert g[name][at] == pytest.approx((up - down) / (2 * step), rel=1e-2, abs=1e-5)
+
+
+def brute_groups(rows, k, percent):
+    sets = {}
+    for doc_id, text, *_ in rows:
+        w = words((text or "").translate({c: c + 32 for c in range(65, 91)}))
+        sets[doc_id] = {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set())
+    parent = {i: i for i in sets}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a in sets:
+        for b in sets:
+            both = len(sets[a] & sets[b])
+            if a < b and both and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
+                x, y = root(a), root(b)
+                parent[max(x, y)] = min(x, y)
+    return {i: (len(s), root(i)) for i, s in sets.items()}
+
+
+@pytest.mark.parametrize("tile_rows", [3, 2_000])
+def test_jaccard(spark, docs, rows, empty, tile_rows, monkeypatch):
+    monkeypatch.setattr(jaccard, "TILE_ROWS", tile_rows)
+    got = jaccard.jaccard_groups(docs).collect()
+    assert len(got) == len(rows) and {r.doc_id: tuple(r)[1:] for r in got} == brute_groups(rows, 4, 85)
+    rng = np.random.default_rng(4)
+    base = passage(77, 120).split()
+    chain = []
+    for i in range(40):  # each a few words from the one before: a chain of links
+        for j in rng.integers(0, 120, 1):
+            base[j] = f"z{i}"
+        chain.append((i, " ".join(base)))
+    frame = spark.createDataFrame(chain, "doc_id long, text string")
+    for k, percent in ((4, 85), (5, 80)):
+        assert {r.doc_id: tuple(r)[1:] for r in jaccard.jaccard_groups(frame, k, percent).collect()} == brute_groups(chain, k, percent)
+    assert jaccard.jaccard_groups(empty).count() == 0
+    kept = {r.doc_id for r in jaccard.one_of_each_group(docs).collect()}
+    assert {30, 31, 20, 34} <= kept and not {22, 35} & kept
+
+
+def test_decontamination(spark, empty):
+    items = [(1, "What color is the tallest tower of glass? It is deep purple with silver lines."), (2, passage(50, 40) + ". " + passage(51, 12)), (3, None), (4, "!!"), (5, "short one")]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    rows = [(1, passage(60, 90) + " " + items[0][1].upper() + " " + passage(61, 90)), (2, passage(62, 300) + "\n" + items[1][1]), (3, items[1][1][:60]), (4, passage(63, 500)), (5, None), (6, ""), (7, items[0][1].split("?")[0] + "? " + passage(64, 60))]
+    changed = items[1][1].split()
+    changed[5] = "other"
+    rows.append((8, passage(65, 1000) + " " + " ".join(changed)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(frame, benchmark).collect()}
+    assert got == {(1, 1), (2, 2), (8, 2)}
+    assert sorted(r.doc_id for r in decontaminate.clean_documents(frame, benchmark).collect()) == [3, 4, 5, 6, 7]
+    assert decontaminate.leaks(empty, benchmark).count() == 0
+    assert decontaminate.leaks(frame, benchmark.limit(0)).count() == 0
+
+
+def test_block_max_search_equals_scoring_all():
+    rng = np.random.default_rng(8)
+    items = [passage(300 + i, int(rng.integers(8, 50))) for i in range(30)]
+    rows = []
+    for i, text in enumerate(items):
+        term, tf = np.unique(decontaminate.tokens_of(text), return_counts=True)
+        weights = rng.random(len(term)) * tf
+        rows.append({"item_id": i, "text": text, "length": len(text.split()), "terms": [{"term": int(t), "weight": float(w), "common": bool(rng.random() < 0.3)} for t, w in zip(term.view(np.int64), weights)], "total": float(weights.sum())})
+    shard = decontaminate.Shard.build(rows)
+    texts = [f"{passage(i, 70)} {items[i % 30]} {passage(i + 1, 33 * (i % 4))}" for i in range(40)] + ["", items[3]]
+    raw = [t.encode() for t in texts]
+    offsets = np.concatenate(([0], np.cumsum([len(t) for t in raw])))
+    order = sorted(range(30), key=lambda i: (rows[i]["length"], str(i), rows[i]["text"]))
+    got = {(t, order[i]) for t, _, i, *_ in shard.search(np.frombuffer(b"".join(raw), np.uint8), offsets, 0.6)}
+    want = set()
+    for t, text in enumerate(texts):
+        w = decontaminate.tokens_of(text)
+        for lo in range(0, max(1, len(w) - shard.longest), shard.longest):
+            part = w[lo : lo + 2 * shard.longest]
+            for i, r in enumerate(rows):
+                score = sum(x["weight"] for x in r["terms"] if np.int64(x["term"]).view(np.uint64) in part) / r["total"]
+                shares = [max(np.isin(decontaminate.triples(decontaminate.tokens_of(p)), decontaminate.gram_hashes(part, k)).mean() for k in (1, 2, 3)) if len(part) > 2 else 0 for p in decontaminate.question_answer(r["text"])]
+                if score >= 0.6 and min(shares) >= 0.5:
+                    want.add((t, i))
+    assert got == want and len(want) > 30
+
+
+def test_urls(spark):
+    names = ["https://WWW.Example.com:80/en/7?q", "http://a.example.net/de/8x", "https://b.net/de/1", "ftp://x.org/es/", "no scheme", None, "https://notcom/en/", "http://spam-cheap.example.org/en/1", "https://com/en/#top", "://", "https://h?x/y"]
+    pages = spark.createDataFrame([(i, u, "<p>cheap spam words here</p><script>var cheap</script>", "x") for i, u in enumerate(names)], "page_id long, url string, html string, host string")
+    counts = urls.unigrams(pages)
+    assert counts["cheap"] == len(names) and "var" not in counts and urls.Segmenter(counts).split("cheapspam") == ("cheap", "spam")
+    model = urls.fit(urls.judged(pages).filter("rule IS NOT NULL"), counts)
+    got = {r.page_id: r for r in urls.filter_urls(pages.select("page_id", "url"), model, counts).collect()}
+    assert (got[0].host, got[0].path) == ("www.example.com:80", "/en/7")
+    assert [got[i].rule for i in range(len(names))] == [None, "example.net/de/8", "net/de/", "org/es/", None, None, None, None, "com/en/", None, None]
+    assert (got[4].host, got[4].path, got[5].host, got[10].host, got[10].path) == ("", "", "", "h", "")
+    assert all((r.rule is None) == (r.block_score is not None) and r.verdict in ("allow", "block") for r in got.values())
