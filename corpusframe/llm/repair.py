@@ -133,12 +133,12 @@ def compress(ids: np.ndarray, vocabulary: int, rounds: int = ROUNDS) -> tuple[np
         if not len(chosen):
             break
         pairs = np.sort(pairs[chosen[np.lexsort((pairs[chosen], -n[chosen]))[:PAIRS]]])
-        mine = np.zeros(1 << 20, bool)
-        mine[(pairs.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(44)).astype(np.int64)] = True
-        at = likely[mine[bucket[likely]]]
-        number = np.minimum(np.searchsorted(pairs, key[at]), len(pairs) - 1)
-        same = pairs[number] == key[at]
-        at, symbol = at[same], size + number[same]
+        slot = (pairs.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(44)).astype(np.int64)
+        pairs, slot = pairs[alone := np.bincount(slot, minlength=1 << 20)[slot] == 1], slot[alone]  # the rest waits a round
+        holds, number = np.full(1 << 20, -1, np.int64), np.zeros(1 << 20, np.int64)
+        holds[slot], number[slot] = pairs, size + np.arange(len(pairs))
+        at = likely[holds[bucket[likely]] == key[likely]]
+        symbol = number[bucket[at]]
         # of places that overlap, every second one is replaced
         edge = np.concatenate(([True], np.diff(at) > 1))
         begin = at[np.maximum.accumulate(np.where(edge, np.arange(len(at)), 0))]
