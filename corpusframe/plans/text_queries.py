@@ -50,7 +50,7 @@ def _(v):
 
 @query("a5_infer_schema", "SELECT 't' AS table_id, unnest(['amount','day','name']) AS \"column\", unnest(['number','date','string']) AS dtype, least(50000, max(o_orderkey))::BIGINT AS n_rows, max(o_orderkey) > 50000 AS truncated FROM orders")
 def _(v):
-    cells = v.orders.select(F.lit("t").alias("table_id"), (F.col("o_orderkey") - 1).alias("row_no"), F.explode(F.array(F.struct(F.lit("amount").alias("column"), F.concat(F.lit("$"), F.format_number("o_totalprice", 2)).alias("value")), F.struct(F.lit("day").alias("column"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("value")), F.struct(F.lit("name").alias("column"), F.col("o_orderpriority").alias("value")))).alias("c")).select("table_id", "row_no", "c.*")
+    cells = v.orders.select(F.lit("t").alias("table_id"), (F.col("o_orderkey") - 1).alias("row_no"), F.explode(F.array(F.struct(F.lit("amount").alias("column"), F.concat(F.lit("$"), F.format_number("o_totalprice", 2)).alias("value")), F.struct(F.lit("day").alias("column"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("value")), F.struct(F.lit("name").alias("column"), F.col("o_orderstatus").alias("value")))).alias("c")).select("table_id", "row_no", "c.*")
     return S.infer_table_schema(cells)
 
 
