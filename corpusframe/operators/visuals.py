@@ -166,36 +166,42 @@ def rank_visuals(visuals: DataFrame, width: Column, height: Column, profile: Col
 def spans_to_table(spans: DataFrame, y_tol: float = 3.5, x_gap: float = 10.0) -> DataFrame:
     """``doc_id, page, table_no, n_rows, csv``: rows of spans near the running mean of their centres, cells by gaps.
 
-    The mean depends on the order, so the spans of one table, a bounded group, meet in one call.
+    The mean depends on the order, so the spans of one table, a bounded group, meet in one row of a pandas UDF.
     """
 
-    def table(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(yc=(pdf.y0 + pdf.y1) / 2).sort_values(["yc", "x0"], kind="stable")
-        rows, total = [], 0.0
-        for span in pdf.itertuples():
-            if rows and abs(span.yc - total / len(rows[-1])) <= y_tol:
-                rows[-1].append(span)
-                total += span.yc
-            else:
-                rows.append([span])
-                total = span.yc
-        out = io.StringIO()
-        writer = csv.writer(out)
-        for row in rows:
-            row.sort(key=lambda s: s.x0)
-            cells, last = [row[0].text], row[0].x1
-            for s in row[1:]:
-                if s.x0 - last >= x_gap:
-                    cells.append(s.text)
-                else:
-                    cells[-1] = f"{cells[-1]} {s.text}".strip()
-                last = s.x1
-            writer.writerow(cells)
-        return pd.DataFrame({"doc_id": [pdf.doc_id.iloc[0]], "page": [pdf.page.iloc[0]], "table_no": [pdf.table_no.iloc[0]], "n_rows": [len(rows)], "csv": [out.getvalue()]})
-
-    kind = {f.name: f.dataType.simpleString() for f in spans.schema}
+    @F.pandas_udf("struct<n_rows:long,csv:string>")
+    def tables(column: pd.Series) -> pd.DataFrame:
+        done = [_table(list(spans), y_tol, x_gap) for spans in column]
+        return pd.DataFrame(done, columns=["n_rows", "csv"])
+
     clean = spans.withColumn("text", clean_text(F.col("text"))).filter("text <> ''")
-    return clean.groupBy("doc_id", "page", "table_no").applyInPandas(table, f"doc_id {kind['doc_id']}, page {kind['page']}, table_no {kind['table_no']}, n_rows long, csv string")
+    whole = clean.groupBy("doc_id", "page", "table_no").agg(F.collect_list(F.struct("text", "x0", "x1", "y0", "y1")).alias("spans"))
+    return whole.select("doc_id", "page", "table_no", tables("spans").alias("t")).select("doc_id", "page", "table_no", "t.*")
+
+
+def _table(spans: list[dict], y_tol: float, x_gap: float) -> tuple[int, str]:
+    centre = lambda s: (s["y0"] + s["y1"]) / 2
+    rows, total = [], 0.0
+    for s in sorted(spans, key=lambda s: (centre(s), s["x0"], s["text"])):
+        if rows and abs(centre(s) - total / len(rows[-1])) <= y_tol:
+            rows[-1].append(s)
+            total += centre(s)
+        else:
+            rows.append([s])
+            total = centre(s)
+    out = io.StringIO()
+    writer = csv.writer(out)
+    for row in rows:
+        row.sort(key=lambda s: s["x0"])
+        cells, last = [row[0]["text"]], row[0]["x1"]
+        for s in row[1:]:
+            if s["x0"] - last >= x_gap:
+                cells.append(s["text"])
+            else:
+                cells[-1] = f"{cells[-1]} {s['text']}".strip()
+            last = s["x1"]
+        writer.writerow(cells)
+    return len(rows), out.getvalue()
 
 
 def _len(name: str) -> Column:
