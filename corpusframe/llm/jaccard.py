@@ -171,7 +171,8 @@ def _star(shared: DataFrame, percent: int) -> DataFrame:
     pivots = known.groupBy("gram", "level").agg(F.max(F.struct("popular", "node", "n")).alias("p")).select("gram", "level", F.col("p.node").alias("pivot"), F.col("p.n").alias("pn"))
     tries = known.select("gram", "node", "n", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1))).alias("step"), "level").withColumn("level", F.col("level") + F.col("step"))
     fits = (F.col("node") != F.col("pivot")) & (100 * F.least("n", "pn") >= percent * F.greatest("n", "pn"))
-    met = tries.join(pivots.hint("merge"), ["gram", "level"]).filter(fits).groupBy("node", "step", "pivot").agg(F.count(F.lit(1)).alias("times"))
+    met = tries.join(pivots.hint("merge"), ["gram", "level"]).filter(fits).groupBy("node", "n", "step", "pivot").agg(F.count(F.lit(1)).alias("times"))
+    met = met.filter(F.col("times") * 300 >= F.col("n") * (100 - percent))  # else hardly alike: left to the product
     best = met.groupBy("node", "step").agg(F.max(F.struct("times", "pivot")).alias("m"))
     return best.select(F.least("node", "m.pivot").alias("a"), F.greatest("node", "m.pivot").alias("b")).distinct()
 
