@@ -168,8 +168,8 @@ def flagship(v: Views) -> DataFrame:
 
 @query(
     "f4_neighbours",
-    f"""WITH {BM25}, st2 AS (SELECT query_id, rank, left(chunk_id, length(chunk_id)-6) AS doc, right(chunk_id,4)::INT AS n, unnest([-1,1]) AS by FROM fts WHERE rank <= 5),
-ne AS (SELECT query_id, doc||'_c'||lpad((n+by)::VARCHAR,4,'0') AS chunk_id, min(rank*10+(by+1)) AS place FROM st2 WHERE n+by >= 0 GROUP BY 1,2),
+    f"""WITH {BM25}, st2 AS (SELECT query_id, rank, left(chunk_id, length(chunk_id)-6) AS doc, right(chunk_id,4)::INT AS n, unnest([-1,1]) AS dd FROM fts WHERE rank <= 5),
+ne AS (SELECT query_id, doc||'_c'||lpad((n+dd)::VARCHAR,4,'0') AS chunk_id, min(rank*10+(dd+1)) AS place FROM st2 WHERE n+dd >= 0 GROUP BY 1,2),
 nw AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY place, chunk_id) AS add_no FROM ne WHERE NOT EXISTS (SELECT 1 FROM fts WHERE rank <= 5 AND fts.query_id=ne.query_id AND fts.chunk_id=ne.chunk_id) QUALIFY add_no <= 8)
 SELECT query_id, chunk_id, add_no, c.text FROM nw JOIN v_chunks c USING (chunk_id)""",
 )
