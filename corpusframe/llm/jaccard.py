@@ -319,3 +319,16 @@ def one_of_each_group(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFra
 
 def op9_jaccard(spark, sf_dir: str) -> DataFrame:
     return jaccard_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+ORACLE_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 1) + 1)) AS k FROM w WHERE len(ws) > 0),
+g AS (SELECT DISTINCT doc_id, md5_number(array_to_string(ws[k:k+3], ' ')) AS g FROM s),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS same FROM g a JOIN g b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * same >= 85 * (x.n + y.n - same)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(d, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.d WHERE r.c < e.b)
+SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, min(r.c) AS component_id FROM w LEFT JOIN n ON n.doc_id = w.doc_id JOIN r ON r.d = w.doc_id GROUP BY 1, 2
+"""

@@ -16,4 +16,4 @@ QUERIES = {
     "op9_jaccard": jaccard.op9_jaccard,
     "op10_urls": urls.op10_urls,
 }
-ORACLE_SQL = {"op2_substrings": substrings.ORACLE_SQL}
+ORACLE_SQL = {"op2_substrings": substrings.ORACLE_SQL, "op9_jaccard": jaccard.ORACLE_SQL}
