@@ -175,9 +175,9 @@ def spend_ledger(calls: DataFrame, prices: DataFrame, cap: float) -> DataFrame:
     """Cost of each call, total before it in its run, and whether it may be made: the total before is below ``cap``."""
     priced = calls.join(if_small(prices), "model", "left")
     cost = F.col("in_tokens") / 1_000_000 * F.coalesce("input", F.lit(2.5)) + F.col("out_tokens") / 1_000_000 * F.coalesce("output", F.lit(10.0))
-    run = Window.partitionBy("run_id").orderBy("call_id").rowsBetween(Window.unboundedPreceding, -1)
+    run = Window.partitionBy("run_id").orderBy("call_id", "in_tokens", "out_tokens", "model").rowsBetween(Window.unboundedPreceding, -1)
     ledger = priced.withColumn("cost", cost).withColumn("before", F.coalesce(F.sum("cost").over(run), F.lit(0.0)))
-    return ledger.select("run_id", "call_id", "model", F.round("cost", 4).alias("cost"), F.round("before", 4).alias("before"), (F.round("before", 4) < cap).alias("allowed"))
+    return ledger.select("run_id", "call_id", "model", F.round("cost", 7).alias("cost"), F.round("before", 7).alias("before"), (F.round("before", 7) < cap).alias("allowed"))
 
 
 def ragas_records(rows: DataFrame) -> DataFrame:

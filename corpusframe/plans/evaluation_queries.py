@@ -157,7 +157,7 @@ def _(v):
 
 @query(
     "h18_spend_ledger",
-    "WITH c AS (SELECT *, in_tokens/1000000*CASE WHEN model='model-a' THEN 1::DOUBLE ELSE 2.5::DOUBLE END + out_tokens/1000000*CASE WHEN model='model-a' THEN 4::DOUBLE ELSE 10::DOUBLE END AS cost FROM v_calls), r AS (SELECT run_id, call_id, model, cost, coalesce(sum(cost::DOUBLE) OVER (PARTITION BY run_id ORDER BY call_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0) AS b FROM c) SELECT run_id, call_id, model, round(cost::DOUBLE,4) AS cost, round(b,4) AS before, round(b,4) < 20 AS allowed FROM r",
+    "WITH c AS (SELECT *, in_tokens/1000000*CASE WHEN model='model-a' THEN 1::DOUBLE ELSE 2.5::DOUBLE END + out_tokens/1000000*CASE WHEN model='model-a' THEN 4::DOUBLE ELSE 10::DOUBLE END AS cost FROM v_calls), r AS (SELECT run_id, call_id, model, cost, coalesce(sum(cost::DOUBLE) OVER (PARTITION BY run_id ORDER BY call_id, in_tokens, out_tokens, model ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0) AS b FROM c) SELECT run_id, call_id, model, round(cost::DOUBLE,7) AS cost, round(b,7) AS before, round(b,7) < 20 AS allowed FROM r",
 )
 def _(v):
     return V.spend_ledger(v.v_calls, v.spark.createDataFrame([("model-a", 1.0, 4.0)], "model string, input double, output double"), 20.0)
