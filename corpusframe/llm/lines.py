@@ -1,6 +1,11 @@
-"""Line dedup by content-defined chunks of lines.
+"""Line dedup by windows of two lines (the query), or by content-defined chunks of lines.
 
-A rolling hash over the hashes of ``SPAN`` lines decides where a chunk ends, so boundaries move with the text: lines put
+``without_repeated_passages`` keys every window of two lines, so a repeated passage of any length from two lines on goes
+whole, wherever it stands: no boundary has to fall on its ends. A line goes if it lies in a window whose two lines occur
+earlier, one after the other. Windows are told apart by both lines' 64-bit hashes; the bytes behind each hash that decides
+anything are compared, and lines whose hash stands for different bytes stay.
+
+``without_repeated_lines`` removes chunks only. A rolling hash over the hashes of ``SPAN`` lines decides where a chunk ends, so boundaries move with the text: lines put
 in front of a passage don't change the chunks inside it. Chunks of two lines or more that occur again anywhere are
 removed, all but the first, after their bytes were compared with the first one's.
 
@@ -15,10 +20,11 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401 - pa.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusframe.llm.common import gram_hashes, hash_spans
+from corpusframe.llm.common import gram_hashes, hash_spans, signed, slices, table
 
 SPAN = 2  # lines in the rolling hash
 DIVISOR = 4  # one line in so many ends a chunk
@@ -129,5 +135,104 @@ def without_repeated_lines(docs: DataFrame, keep_text: bool = False) -> DataFram
     return done if keep_text else done.drop("kept_text")
 
 
+def line_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of every line, and the index of each text's first line (one more at the end)."""
+    breaks = np.flatnonzero(data == 10)
+    first = np.searchsorted(breaks, offsets) + np.arange(len(offsets))
+    starts, ends = np.empty(first[-1], np.int64), np.empty(first[-1], np.int64)
+    inner = np.ones(first[-1], bool)
+    inner[first[:-1]] = False
+    starts[inner], starts[~inner] = breaks + 1, offsets[:-1]
+    inner[:] = True
+    inner[first[1:] - 1] = False
+    ends[inner], ends[~inner] = breaks, offsets[1:]
+    return starts, ends, first
+
+
+def _windows(base: DataFrame) -> DataFrame:
+    """``a, b, order, text_key, first``: hashes and place of every two lines that follow each other."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("order", pa.int64()), ("text_key", pa.int64()), ("first", pa.int32())])
+
+    def run(batches):
+        for batch in batches:
+            order, key = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            for lo, hi, data, offsets in slices(batch.column(2)):
+                starts, ends, first = line_spans(data, offsets)
+                hashes = signed(hash_spans(data, starts, ends))
+                row = np.repeat(np.arange(hi - lo), np.diff(first))
+                at = np.flatnonzero(row[1:] == row[:-1])
+                row = row[at]
+                yield table(schema, hashes[at], hashes[at + 1], order[lo + row], key[lo + row], (at - first[row]).astype(np.int32))
+
+    return base.mapInArrow(run, "a long, b long, order long, text_key long, first int")
+
+
+def _placed(batch: pa.RecordBatch, only_again: bool):
+    """``first row, data, offsets, line starts, line ends, first lines, places`` by slice of ``order, text_key, text, places``.
+
+    The last is the index of the first line of each window that ``places`` has for the row's text.
+    """
+    found = batch.column(3)
+    parent, flat = np.asarray(pa.compute.list_parent_indices(found)), found.flatten()
+    wanted = flat.field("text_key").to_numpy(zero_copy_only=False) == batch.column(1).to_numpy(zero_copy_only=False)[parent]
+    if only_again:
+        wanted &= flat.field("again").to_numpy(zero_copy_only=False).astype(bool)
+    parent, place = parent[wanted], flat.field("first").to_numpy(zero_copy_only=False)[wanted]
+    for lo, hi, data, offsets in slices(batch.column(2)):
+        starts, ends, first = line_spans(data, offsets)
+        a, b = np.searchsorted(parent, (lo, hi))
+        yield lo, data, offsets, starts, ends, first, first[parent[a:b] - lo] + place[a:b]
+
+
+def without_repeated_passages(docs: DataFrame, keep_text: bool = False) -> DataFrame:
+    """``doc_id, n_lines, n_removed, kept_sha256`` (and ``kept_text``) for every row of ``doc_id, text``.
+
+    A line goes if it and a neighbour occur, one after the other, at an earlier place: in a smaller doc_id, or further up.
+    So of each line that goes, a copy stays further up. Lines are what line feeds part; null text is one empty line, like
+    empty text. Rows that share a doc_id are one document. Kept lines are joined by line feeds.
+    """
+    base = _base(docs)
+    windows = _windows(base.select("order", "text_key", "text"))
+    again = windows.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("order", "first")).alias("head")).filter("n > 1").drop("n")
+    places = windows.join(again.hint("shuffle_hash"), ["a", "b"]).select("order", F.struct("text_key", "first", (F.struct("order", "first") != F.col("head")).alias("again")).alias("place"))
+    places = places.groupBy("order").agg(F.collect_list("place").alias("places"))
+    joined = base.join(places.hint("shuffle_hash"), "order", "left").select("order", "text_key", "text", "places")
+
+    def bodies(batches):
+        schema = pa.schema([("line", pa.int64()), ("body", pa.binary())])
+        for batch in batches:
+            for _, data, _, starts, ends, _, at in _placed(batch, False):
+                covered = np.unique(np.concatenate((at, at + 1)))
+                starts, ends = starts[covered], ends[covered]
+                yield table(schema, signed(hash_spans(data, starts, ends)), [data[s:e].tobytes() for s, e in zip(starts.tolist(), ends.tolist())])
+
+    # hashes that stand for different bytes: none, as good as always
+    clash = joined.mapInArrow(bodies, "line long, body binary").groupBy("line").agg(F.min("body").alias("least"), F.max("body").alias("most")).filter("least <> most").agg(F.collect_list("line").alias("clash"))
+
+    def run(batches):
+        schema = pa.schema([("doc_id", pa.int64()), ("n_lines", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept_text", pa.string())])
+        for batch in batches:
+            clashing = np.array(batch.column(4)[0].as_py() if batch.num_rows else [], np.int64)
+            for lo, data, offsets, starts, ends, first, at in _placed(batch, True):
+                if len(clashing):
+                    bad = np.isin(signed(hash_spans(data, starts, ends)), clashing)
+                    at = at[~(bad[at] | bad[at + 1])]
+                gone = np.zeros(len(starts) + 1, bool)
+                gone[at] = gone[at + 1] = True
+                before = np.concatenate(([0], np.cumsum(gone)))
+                removed = before[first[1:]] - before[first[:-1]]
+                raw, kept = data.tobytes(), []
+                for k, n in enumerate(removed.tolist()):
+                    left = raw[offsets[k] : offsets[k + 1]]
+                    if n:
+                        left = b"\n".join(x for x, g in zip(left.split(b"\n"), gone[first[k] : first[k + 1]].tolist()) if not g)
+                    kept.append(left)
+                ids = batch.column(0).slice(lo, len(kept))
+                yield table(schema, pa.compute.if_else(pa.compute.equal(ids, NO_ID), pa.scalar(None, pa.int64()), ids), np.diff(first), removed, [hashlib.sha256(x).hexdigest() for x in kept], [x.decode() if keep_text else None for x in kept])
+
+    done = joined.crossJoin(F.broadcast(clash)).mapInArrow(run, "doc_id long, n_lines long, n_removed long, kept_sha256 string, kept_text string")
+    return done if keep_text else done.drop("kept_text")
+
+
 def op5_lines(spark, sf_dir: str) -> DataFrame:
-    return without_repeated_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return without_repeated_passages(spark.read.parquet(f"{sf_dir}/documents.parquet"))

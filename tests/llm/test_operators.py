@@ -131,6 +131,47 @@ def test_lines(spark, empty):
     assert lines.without_repeated_lines(empty).count() == 0
 
 
+def test_passages_of_two_to_six_lines(spark, empty, tmp_path):
+    rng = np.random.default_rng(5)
+    rows, planted = [], 0
+    for n in range(2, 7):
+        for k in range(12):
+            block = [passage(1000 * n + k, int(rng.integers(1, 30))) + f" {n} {k}" for _ in range(1)] + [f"shared {n} {k} {j} é" for j in range(n - 1)]
+            for copy in range(3):
+                rows.append((len(rows), "\n".join([f"own {n} {k} {copy} {j}" for j in range(int(rng.integers(1, 9)))] + block + [f"end {n} {k} {copy} {j}" for j in range(int(rng.integers(1, 9)))])))
+                planted += n * (copy > 0)
+    rows += [(1000, None), (1001, ""), (1002, "\n\n"), (1003, "a\na\na\na"), (1004, "x\na\na"), (None, "p\nq"), (1005, "p\nq"), (0, rows[0][1]), (1006, "one line"), (1007, "one line"), (0, "own text\n" + rows[0][1])]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    frame.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.doc_id, r.kept_text): r for r in lines.without_repeated_passages(frame, True).collect()}
+    order = lambda doc_id: lines.NO_ID if doc_id is None else doc_id
+    first = {}
+    for doc_id, text in rows:
+        own = (text or "").split("\n")
+        for k in range(len(own) - 1):
+            first[own[k], own[k + 1]] = min(first.get((own[k], own[k + 1]), (lines.NO_ID, 99)), (order(doc_id), k))
+    want, removed = {}, 0
+    for doc_id, text in rows:
+        own = (text or "").split("\n")
+        gone = {j for k in range(len(own) - 1) if first[own[k], own[k + 1]] < (order(doc_id), k) for j in (k, k + 1)}
+        left = "\n".join(x for j, x in enumerate(own) if j not in gone)
+        want[doc_id, left] = (len(own), len(gone), hashlib.sha256(left.encode()).hexdigest())
+        removed += len(gone) if text and "shared" in text and text[:8] != "own text" else 0
+    assert {k: (r.n_lines, r.n_removed, r.kept_sha256) for k, r in got.items()} == want
+    assert removed == planted
+    counted = lines.op5_lines(spark, str(tmp_path)).filter("doc_id BETWEEN 1 AND 999").agg(F.sum("n_removed")).first()[0]
+    assert counted == planted
+    assert lines.without_repeated_passages(empty).count() == 0
+
+
+def test_lines_whose_hashes_clash_stay(spark, monkeypatch):
+    flat = lambda data, starts, ends: np.minimum(ends - starts, 3).astype(np.uint64)
+    monkeypatch.setattr(lines, "hash_spans", flat)
+    frame = spark.createDataFrame([(0, "a\nb\nwww"), (1, "a\nc\nwww"), (2, "\n\nxyz"), (3, "\n\nxyzz")], "doc_id long, text string")
+    run = {r.doc_id: r.n_removed for r in lines.without_repeated_passages(frame).collect()}
+    assert run == {0: 0, 1: 0, 2: 0, 3: 2}
+
+
 ODD = ["a  b", "a \nb", "a   b", " x ", "\n\n a\n", "x\n\ny", "it's don't 's", "a \n \n b", "é ñ\tz", "a b　c", "end. <|endoftext|> b", "", "x\r\ny z", "a\x1c b", "a\n b", " a b"]
 
 
