@@ -382,3 +382,26 @@ def test_urls(spark):
     assert [got[i].rule for i in range(len(names))] == [None, "example.net/de/8", "net/de/", "org/es/", None, None, None, None, "com/en/", None, None]
     assert (got[4].host, got[4].path, got[5].host, got[10].host, got[10].path) == ("", "", "", "h", "")
     assert all((r.rule is None) == (r.block_score is not None) and r.verdict in ("allow", "block") for r in got.values())
+
+
+def test_urls_with_every_word(spark, tmp_path):
+    long = "incomprehensibilitiesandmore"
+    fillers = ["f" + "".join(chr(97 + k // 26**j % 26) for j in range(4)) for k in range(50_000)]
+    html = [" ".join(fillers) + " spam cheap", " ".join(fillers) + f" zzrare zzwordy {long} spam", "<b>spam</b> é日本 cheap", None]
+    names = ["https://zzrarezzwordy.com/en/1", f"https://{long}spam.example.com/en/7", "https://cheapspam.net/de/1", "http://zzwordy.xx/zzrare", f"http://spam{long}.xx/{'q' * 300}spam12", None, "none", "http://zzwordy.xx/zzrare", "http://é日本cheap.xx/É"]
+    pages = spark.createDataFrame([(i, u, html[i % 4]) for i, u in enumerate(names)], "page_id long, url string, html string")
+    pages.write.parquet(f"{tmp_path}/pages.parquet")
+    counts = {r.word: r.n for r in urls.word_counts(pages).collect()}
+    segment = urls.Segmenter(counts)
+    assert len(counts) > urls.VOCABULARY and segment.words("zzrarezzwordy", long + "spam") == ["h:zzrare", "h:zzwordy", f"p:{long}", "p:spam"]
+    split = {r.piece: tuple(r.words) for r in urls.segmented(spark.createDataFrame([("zzrarezzwordy",), (long + "spam",), ("q" * 300 + "spam",), ("3 digits",), ("é日本",)], "piece string"), urls.word_counts(pages)).collect()}
+    assert split == {p: segment.split(p) if p[0] != "3" else (p,) for p in split} and len(split) == 5
+    model = urls.fit(urls.judged(pages).filter("rule IS NOT NULL"), counts)
+    want = {r.page_id: r for r in urls.filter_urls(pages.select("page_id", "url"), model, counts).collect()}
+    got = {r.page_id: r for r in urls.op10_urls(spark, str(tmp_path)).collect()}
+    assert len(got) == len(names)
+    for i, r in got.items():
+        assert r[:5] == want[i][:5] and (r.block_score is None) == (want[i].block_score is None) and abs((r.block_score or 0) - (want[i].block_score or 0)) < 2e-6
+    assert got[3].block_score != got[5].block_score
+    lone = urls.judge_urls(pages.filter("page_id > 2")).collect()
+    assert {(r.verdict, r.block_score) for r in lone} == {("allow", -1.0)}
