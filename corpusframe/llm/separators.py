@@ -3,6 +3,9 @@
 A flat file is one stream of token ids with an end id after each document and nothing else. It is stored as a table of
 fixed-size blocks of bytes; documents begin and end anywhere in them. Each block is searched for the end id by itself,
 vectorised; documents that span blocks are stitched by a prefix scan over two numbers of each block.
+
+Whose count it is stands beside the stream: a narrow column names the document that each end id belongs to, for a text may
+hold the end id as well. The scan doesn't read it; its rows are joined to it.
 """
 
 from __future__ import annotations
@@ -24,32 +27,42 @@ BLOCK_IDS = 1 << 16
 def write_flat(docs: DataFrame, path: str, tokenizer: str | None = None, block_ids: int = BLOCK_IDS) -> None:
     """``file_no, block_no, width, ids``: a file for each task, its documents in the order in which they are read.
 
-    Ids take two bytes where the vocabulary allows, else four. Nothing is shuffled.
+    ``owners`` has ``doc_no, doc_id`` for some of the file's end ids, the first of which is its end id ``first_end``. Ids take two bytes where the vocabulary allows, else four. Nothing is shuffled.
     """
     source = tokenizer or default_tokenizer()
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        encoder, file, block, held = encoder_of(source), TaskContext.get().partitionId(), 0, bytearray()
+        encoder, file, block, held, doc, ends, owners = encoder_of(source), TaskContext.get().partitionId(), 0, bytearray(), 0, 0, []
         width = 2 if encoder.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         end = np.array([END_ID], f"<u{width}").tobytes()
         size = width * block_ids
 
-        def row(data):
-            return pa.RecordBatch.from_arrays([pa.array([file], pa.int32()), pa.array([block], pa.int64()), pa.array([width], pa.int32()), pa.array([bytes(data)], pa.binary())], ["file_no", "block_no", "width", "ids"])
+        def row(data, id_type):
+            nonlocal ends, owners
+            named = pa.array([[{"doc_no": d, "doc_id": i} for d, i in owners]], pa.list_(pa.struct([("doc_no", pa.int64()), ("doc_id", id_type)])))
+            out = pa.RecordBatch.from_arrays([pa.array([file], pa.int32()), pa.array([block], pa.int64()), pa.array([width], pa.int32()), pa.array([bytes(data)], pa.binary()), pa.array([ends], pa.int64()), named], ["file_no", "block_no", "width", "ids", "first_end", "owners"])
+            ends, owners = ends + len(owners), []
+            return out
 
+        id_type = pa.null()
         for batch in batches:
+            id_type = batch.column(0).type
             for lo in range(0, batch.num_rows, 256):
-                for encoded in encoder.encode([t or "" for t in batch.column(1).slice(lo, 256).to_pylist()]):
-                    held += np.frombuffer(encoded, "<u4").astype(f"<u{width}").tobytes()
+                for doc_id, encoded in zip(batch.column(0).slice(lo, 256).to_pylist(), encoder.encode([t or "" for t in batch.column(1).slice(lo, 256).to_pylist()])):
+                    ids = np.frombuffer(encoded, "<u4")
+                    held += ids.astype(f"<u{width}").tobytes()
                     held += end
+                    owners += [(doc, doc_id)] * (int(np.count_nonzero(ids == END_ID)) + 1)
+                    doc += 1
                 while len(held) >= size:
-                    yield row(held[:size])
+                    yield row(held[:size], id_type)
                     block += 1
                     del held[:size]
         if held:
-            yield row(held)
+            yield row(held, id_type)
 
-    docs.select("doc_id", "text").mapInArrow(run, "file_no int, block_no long, width int, ids binary").write.parquet(path)
+    docs.select("doc_id", "text").mapInArrow(run, f"file_no int, block_no long, width int, ids binary, first_end long, owners array<struct<doc_no:bigint,doc_id:{kind}>>").write.parquet(path)
 
 
 def scan(blocks: DataFrame, end_id: int = END_ID) -> DataFrame:
@@ -88,10 +101,14 @@ def scan(blocks: DataFrame, end_id: int = END_ID) -> DataFrame:
 
 
 def token_counts(docs: DataFrame, tokenizer: str | None = None, block_ids: int = BLOCK_IDS) -> DataFrame:
+    """``file_no, doc_no, start, n_tokens, doc_id`` of every row of ``docs``, by a scan of the files written of them."""
     spark = docs.sparkSession
     path = f"{shared_dir(spark)}/flat-tokens-{uuid.uuid4().hex}"
     write_flat(docs, path, tokenizer, block_ids)
-    return scan(spark.read.parquet(path))
+    blocks = spark.read.parquet(path)
+    owners = blocks.select("file_no", "first_end", F.posexplode("owners").alias("i", "o")).select("file_no", (F.col("first_end") + F.col("i")).alias("end_no"), "o.doc_no", "o.doc_id")
+    parts = scan(blocks).withColumnRenamed("doc_no", "end_no").join(owners.hint("shuffle_hash"), ["file_no", "end_no"])
+    return parts.groupBy("file_no", "doc_no").agg(F.min("start").alias("start"), F.sum("n_tokens").alias("n_tokens"), F.first("doc_id").alias("doc_id"))
 
 
 def op6_token_counts(spark, sf_dir: str) -> DataFrame:

@@ -212,6 +212,26 @@ def test_token_files_and_counts(docs, rows, empty, spark, tmp_path):
     assert sorted(tuple(r)[1:] for r in separators.scan(blocks).collect()) == [(0, 0, 2), (1, 2, 1), (2, 3, 4), (3, 7, 1)]
 
 
+def test_token_counts_belong_to_documents(docs, rows, empty, spark, tmp_path):
+    encoder = repair.Encoder(repair.default_tokenizer())
+    more = [(100, "# a heading\n## another #"), (101, "#"), (102, "###"), (None, "no id"), (103, "# " * 40)]
+    assert b"\x02\0\0\0" in encoder.encode(["#"])  # a text may hold the end id
+    everything = [(r[0], r[1]) for r in rows] + more
+    frame = docs.select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id long, text string"))
+    want = sorted((-1 if i is None else i, len(x) // 4 + 1) for (i, _), x in zip(everything, encoder.encode([t or "" for _, t in everything])))
+    for parts, block in ((1, 5), (3, 64), (7, 1 << 16)):
+        got = separators.token_counts(frame.repartition(parts), block_ids=block).collect()
+        assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_tokens) for r in got) == want
+        for file in {r.file_no for r in got}:
+            own = sorted((r.doc_no, r.start, r.n_tokens) for r in got if r.file_no == file)
+            assert [r[0] for r in own] == list(range(len(own))) and all(a[1] + a[2] == b[1] for a, b in zip(own, own[1:]))
+    named = frame.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+    assert sorted((int(r.doc_id or -1), r.n_tokens) for r in separators.token_counts(named).collect()) == want
+    frame.write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_tokens) for r in separators.op6_token_counts(spark, str(tmp_path)).collect()) == want
+    assert separators.token_counts(empty).count() == 0
+
+
 def test_mixing(docs, rows, empty):
     got = mixing.mix_table(docs, block=16).collect()
     again = mixing.mix_table(docs, block=16).collect()
