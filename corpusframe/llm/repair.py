@@ -2,7 +2,7 @@
 
 Documents are dealt out by ranges of doc_id and encoded in that order. Each task cuts its ids into shards of about
 ``SHARD_TOKENS``; in a shard, frequent pairs of neighbouring symbols are replaced by new symbols, round after round,
-until none is frequent. A shard stores its rules, the expansion length of each and the last sequence, so that any
+until no pair occurs ``LEAST`` times. A shard stores its rules, the expansion length of each and the last sequence, so that any
 document is decoded alone: lengths lead to its symbols, rules to its ids.
 
 Shards are rows of a Parquet table in the shared folder, so they survive lost executors and can be read from anywhere.
@@ -27,7 +27,7 @@ from corpusframe.llm.common import shared_dir
 
 END_ID = 2
 SHARD_TOKENS = 1 << 21
-ROUNDS, PAIRS, LEAST = 4, 16384, 24  # rounds of replacement, new symbols of a round, occurrences that a pair must have
+PAIRS, LEAST = 16384, 24  # new symbols of a round, occurrences that a pair must have
 CACHE = 800_000  # pieces of text whose ids a task remembers
 MAGIC = b"RPG1"
 # A byte-level tokenizer starts a new piece at a single space or newline between two other characters.
@@ -112,15 +112,13 @@ def encoder_of(path: str) -> Encoder:
     return Encoder(path)
 
 
-def compress(ids: np.ndarray, vocabulary: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
+def compress(ids: np.ndarray, vocabulary: int) -> tuple[np.ndarray, np.ndarray]:
     """``(sequence, rules)``: rule k stands for symbol ``vocabulary + k`` and holds two earlier symbols.
 
     No rule spans the end id, so documents begin and end between symbols.
     """
     seq, rules, size = ids.astype(np.int64), [], vocabulary
-    for _ in range(rounds):
-        if len(seq) < 2:
-            break
+    while len(seq) > 1:
         key = seq[:-1] << 32 | seq[1:]
         bucket = (key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(44)).astype(np.int64)
         inner = (seq[:-1] != END_ID) & (seq[1:] != END_ID)
@@ -132,9 +130,10 @@ def compress(ids: np.ndarray, vocabulary: int, rounds: int = ROUNDS) -> tuple[np
         chosen = np.flatnonzero(n >= LEAST)
         if not len(chosen):
             break
-        pairs = np.sort(pairs[chosen[np.lexsort((pairs[chosen], -n[chosen]))[:PAIRS]]])
+        pairs = pairs[chosen[np.lexsort((pairs[chosen], -n[chosen]))[:PAIRS]]]
+        slot = (pairs.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(44)).astype(np.int64)
+        pairs = np.sort(pairs[np.unique(slot, return_index=True)[1]])  # the most frequent of each slot; the rest waits a round
         slot = (pairs.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(44)).astype(np.int64)
-        pairs, slot = pairs[alone := np.bincount(slot, minlength=1 << 20)[slot] == 1], slot[alone]  # the rest waits a round
         holds, number = np.full(1 << 20, -1, np.int64), np.zeros(1 << 20, np.int64)
         holds[slot], number[slot] = pairs, size + np.arange(len(pairs))
         at = likely[holds[bucket[likely]] == key[likely]]
@@ -147,11 +146,9 @@ def compress(ids: np.ndarray, vocabulary: int, rounds: int = ROUNDS) -> tuple[np
         seq[at] = symbol
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
-        before, seq = len(seq), seq[keep]
+        seq = seq[keep]
         rules.append(np.stack((pairs >> 32, pairs & 0xFFFFFFFF), 1))
         size += len(pairs)
-        if before - len(seq) < before // 50:
-            break
     return seq, np.concatenate(rules) if rules else np.empty((0, 2), np.int64)
 
 

@@ -193,6 +193,19 @@ def test_encoder_and_grammar():
         assert (shard.document(k) == ids[ends[k] - sizes[k] : ends[k]]).all()
 
 
+def test_grammar_leaves_no_frequent_pair():
+    rng = np.random.default_rng(4)
+    block = rng.integers(3, 50_000, 300)
+    parts = [np.concatenate((block, rng.integers(3, 50_000, 3), [repair.END_ID])) for _ in range(60)]
+    ids = np.concatenate(parts).astype(np.uint32)
+    shard = repair.Shard(repair.pack(ids, [len(p) for p in parts], 50_257))
+    assert (shard.ids() == ids).all() and (shard.document(17) == parts[17]).all()
+    seq = shard.seq.astype(np.int64)
+    inner = (seq[:-1] != repair.END_ID) & (seq[1:] != repair.END_ID)
+    assert np.unique((seq[:-1] << 32 | seq[1:])[inner], return_counts=True)[1].max() < repair.LEAST
+    assert len(seq) < 60 * 8  # the passage is one symbol or few
+
+
 def test_token_files_and_counts(docs, rows, empty, spark, tmp_path):
     encoder = repair.Encoder(repair.default_tokenizer())
     ordered = sorted(rows, key=lambda r: (r[0], r[1] or ""))
