@@ -1,17 +1,16 @@
-"""Substring dedup with suffix trees over prefix partitions.
+"""Substring dedup by windows of words, in groups that share a minimizer; no suffix tree is built.
 
 A suffix starts at every word with at least ``window`` words of its document left. Two suffixes repeat each other where
-their first ``window`` words agree: they are below one tree node of that depth. The forest of all suffixes is split by
-prefixes into groups that fit in memory, and only suffixes whose prefix occurs twice are moved at all:
+their first ``window`` words agree. Suffixes are split by a gram of that window into groups that fit
+in memory, and only suffixes whose gram occurs twice are moved at all:
 
 1. Each suffix is filed under the ``ANCHOR``-word gram with the smallest hash among its first ``window`` words. Equal
    windows have the same gram at the same place, so repeats stay together, and neighbouring suffixes share a gram:
    about one row for seven suffixes is shuffled. Grams that occur once end here.
-2. For grams that occur again, the words of their suffixes are moved. The prefix that a group shares has variable
-   length: the gram, or, where more than ``GROUP_ROWS`` rows share that, the whole window, whose group is one tree node
-   and needs no memory but its first suffix.
-3. In each group, suffixes in document order meet the tree's nodes of depth ``window``, compared word for word. All but
-   a node's first suffix repeat it; neighbours are joined into maximal ranges.
+2. For grams that occur again, the words of their suffixes are moved. What a group shares is the gram, or,
+   where more than ``GROUP_ROWS`` rows share that, the whole window, whose group needs no memory but its first suffix.
+3. In each group, suffixes in document order meet a table of whole windows, compared word for word. All but a window's
+   first suffix repeat it; neighbours are joined into maximal ranges.
 """
 
 from __future__ import annotations
