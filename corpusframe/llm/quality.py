@@ -22,6 +22,7 @@ from corpusframe.llm.common import slices
 STRIDE, TAPS, DIM, FILTERS = 2, 4, 8, 16
 WIDTH = STRIDE * TAPS
 CELL = 128  # filter places in half a chunk: chunks are two cells and overlap by one
+PIECE_CELLS = 256  # cells whose answers are held at once (64 KB of text); only their maxima stay
 SAMPLE_ROWS, SAMPLE_BYTES = 4000, 12 << 20
 EPOCHS, BATCH, RATE, SEED = 8, 32, 0.01, 8
 PIECES = 0.25  # share of good texts shown as a piece
@@ -53,22 +54,32 @@ class Network:
         }
 
     def pooled(self, padded: np.ndarray, cells: int, argmax: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
-        """Largest answer of each filter in each cell, not below zero, and where it stands."""
+        """Largest answer of each filter in each cell, not below zero, and where it stands.
+
+        Answers take some 200 bytes for each byte of text, so they are made for ``PIECE_CELLS`` cells at a time.
+        """
         table = self.p["embed"][:256].copy()
         table[0] = 0
-        x = table[padded].reshape(-1, STRIDE * DIM)
-        y = x @ self.p["conv"].transpose(1, 0, 2).reshape(STRIDE * DIM, TAPS * FILTERS)
-        n = cells * CELL
-        z = y[:n, :FILTERS] + self.p["bias"]
-        for j in range(1, TAPS):
-            z += y[j : j + n, j * FILTERS : (j + 1) * FILTERS]
-        z = z.reshape(cells, CELL, FILTERS)
-        where = z.argmax(1) if argmax else None
-        return np.maximum(z.max(1), 0), where
+        conv = self.p["conv"].transpose(1, 0, 2).reshape(STRIDE * DIM, TAPS * FILTERS)
+        most = np.empty((cells, FILTERS), conv.dtype)
+        where = np.empty((cells, FILTERS), np.uint8) if argmax else None
+        for lo in range(0, cells, PIECE_CELLS):
+            hi = min(lo + PIECE_CELLS, cells)
+            n = (hi - lo) * CELL
+            part = padded[lo * CELL * STRIDE : (hi * CELL + TAPS) * STRIDE]
+            y = table[part].reshape(-1, STRIDE * DIM) @ conv
+            z = y[:n, :FILTERS] + self.p["bias"]
+            for j in range(1, TAPS):
+                z += y[j : j + n, j * FILTERS : (j + 1) * FILTERS]
+            z = z.reshape(hi - lo, CELL, FILTERS)
+            most[lo:hi] = np.maximum(z.max(1), 0)
+            if argmax:
+                where[lo:hi] = z.argmax(1)
+        return most, where
 
     def combine(self, cell: np.ndarray, first: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Features of each text, and for each chunk the cell its answer comes from."""
-        index = np.arange(len(cell))
+        index = np.arange(len(cell), dtype=np.int32)
         last = np.zeros(len(cell), bool)
         last[first + counts - 1] = True
         follow = np.where(last, index, index + 1)
@@ -156,7 +167,10 @@ def fit(texts: list[bytes], labels: list[int], epochs: int = EPOCHS) -> Network:
 def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", rows: int = SAMPLE_ROWS, limit: int = SAMPLE_BYTES) -> dict:
     """Parameters fitted on labelled texts whose ``crc32(doc_id) % 4`` isn't 2.
 
-    The sample is the labelled ids in the order of a hash, ``rows`` at most: its broadcast is bounded by that.
+    The sample is the labelled ids in the order of a hash, ``rows`` at most: its broadcast is bounded by that. The task
+    that fits reads them in this order and keeps no more than ``limit`` bytes of text (but one text at least). Null text
+    is empty text; labels without a quality or an id, and texts without a label, teach nothing. Of labels that repeat an
+    id the least counts; rows that repeat a labelled id are all shown.
     """
     marked = labels.filter("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     chosen = marked.filter(F.crc32(F.col("doc_id").cast("string")) % 4 != 2).withColumn("turn", F.xxhash64("doc_id")).orderBy("turn", "doc_id").limit(rows)
@@ -164,22 +178,20 @@ def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", rows: int
     sample = texts.join(F.broadcast(chosen), "doc_id").select("turn", "doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col("quality").cast("int").alias("quality"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = []
+        size, use, full = 0, [], False
         for b in batches:
-            held += zip(b.column(0).to_pylist(), b.column(1).to_pylist(), (t.encode() for t in b.column(2).to_pylist()), b.column(3).to_pylist())
-        held.sort(key=lambda r: (r[0], r[1], r[2]))
-        size, use = 0, []
-        for r in held:
-            if use and size + len(r[2]) > limit:
-                break
-            size += len(r[2])
-            use.append(r)
-        net = fit([r[2] for r in use], [int(r[3] == 1) for r in use])
+            for text, quality in zip(b.column(2), b.column(3).to_pylist()):
+                raw = text.as_py().encode() if not full else b""
+                full = full or bool(use) and size + len(raw) > limit
+                if not full:
+                    size += len(raw)
+                    use.append((raw, int(quality == 1)))
+        net = fit([t for t, _ in use], [y for _, y in use])
         out = io.BytesIO()
         np.savez(out, **net.p)
         yield pa.RecordBatch.from_pydict({"parameters": pa.array([out.getvalue()], pa.binary())})
 
-    got = sample.repartition(1).mapInArrow(run, "parameters binary").collect()
+    got = sample.repartition(1).sortWithinPartitions("turn", "doc_id", "text", "quality").mapInArrow(run, "parameters binary").collect()
     if not got:
         return fit([], []).p
     with np.load(io.BytesIO(bytes(got[0][0]))) as z:
@@ -187,7 +199,12 @@ def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", rows: int
 
 
 def score(docs: DataFrame, parameters: dict, text_col: str = "text", name: str = "score") -> DataFrame:
-    """``docs`` with a score from 0 to 1 of the whole text; null is empty text, which has a score as well."""
+    """``docs`` with a score from 0 to 1 of the whole text; null is empty text, which has a score as well.
+
+    Every row has its own score, repeated ones too; a column of ``docs`` called ``name`` is replaced. Nothing is shuffled
+    and memory doesn't depend on a text's filters: some three times the longest text.
+    """
+    docs = docs.drop(name)
 
     def run(batches):
         net = Network(parameters)
@@ -198,7 +215,7 @@ def score(docs: DataFrame, parameters: dict, text_col: str = "text", name: str =
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(value, pa.float64())], [*part.schema.names, name])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{kinds}, {name} double")
+    return docs.mapInArrow(run, f"{kinds}, `{name}` double")
 
 
 def held_out(doc_id):
@@ -206,6 +223,7 @@ def held_out(doc_id):
 
 
 def op8_quality(spark, sf_dir: str) -> DataFrame:
+    """``doc_id, held_out, score, predicted`` of every row of ``documents``, null and empty texts and null ids too."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     parameters = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return score(docs, parameters).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted"))
