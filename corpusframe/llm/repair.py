@@ -10,6 +10,7 @@ Shards are rows of a Parquet table in the shared folder, so they survive lost ex
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -19,20 +20,45 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusframe.llm.common import shared_dir
+from corpusframe.llm.common import SLICE_BYTES, shared_dir, slices
 
 END_ID = 2
 SHARD_TOKENS = 1 << 21
 PAIRS, LEAST = 16384, 24  # new symbols of a round, occurrences that a pair must have
-CACHE = 800_000  # pieces of text whose ids a task remembers
 MAGIC = b"RPG1"
-# A byte-level tokenizer starts a new piece at a single space or newline between two other characters.
-NEWLINE, SPACE = re.compile(r"(?<=\S)\n(?=\S)"), re.compile(r"(?<=\S) (?=\S)")
-FIRST, LINE = "\ue000", "\ue001"  # marks; texts that hold them are encoded whole
+JOINED = 1000  # distinct pieces encoded as one text
+KNOWN = 300_000  # pieces that a task remembers (some 50 MB)
+#: bytes at which a byte-level tokenizer starts a new word, and bytes that are white space in no character that they belong to
+SEPARATOR, PLAIN = np.zeros(256, bool), np.zeros(256, bool)
+SEPARATOR[[10, 32]] = True
+PLAIN[33:127] = PLAIN[128:] = True
+
+
+def visible(lead: np.ndarray, second: np.ndarray, last: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """No for any character of two or three bytes that may be white space, by its bytes; ``two``: it may have two bytes.
+
+    White space beyond ASCII is C2 85, C2 A0 and some characters that begin E1 9A, E2 80, E2 81 or E3 80. Other characters
+    with these beginnings are taken for it as well, which costs a little time only.
+    """
+    three = (lead >= 0xE1) & (lead <= 0xE3) & ((second == 0x80) | (second == 0x81) | (second == 0x9A))
+    return ~(three | (two == 0xC2) & ((last == 0x85) | (last == 0xA0)))
+
+
+def visible_before(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether the character that ends before byte ``at`` is surely no white space."""
+    b = [data[np.maximum(at - k, 0)] for k in (1, 2, 3)]
+    return PLAIN[b[0]] & ((b[0] < 128) | visible(b[2], b[1], b[0], b[1]))
+
+
+def visible_at(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether the character that begins at byte ``at`` is surely no white space."""
+    b = [data[np.minimum(at + k, len(data) - 1)] for k in (0, 1)]
+    return PLAIN[b[0]] & ((b[0] < 128) | visible(b[0], b[1], b[1], b[0]))
 
 
 def default_tokenizer() -> str:
@@ -42,9 +68,13 @@ def default_tokenizer() -> str:
 
 
 class Encoder:
-    """Ids of whole texts; each distinct piece between single spaces and newlines is encoded once.
+    """Ids of whole texts; every distinct piece of them is encoded once, and remembered while there are ``KNOWN`` at most.
 
-    Holds for byte-level tokenizers that split text as this one does (no normalizer, no space put before the text).
+    A byte-level tokenizer starts a new word at a single space or line feed between two other characters, and merges
+    nothing across words. Texts are cut there into pieces (a separator and what follows), a slice's pieces are dictionary
+    encoded by Arrow, and ids are gathered by a vectorised take. This holds only for tokenizers without normalizer, put-in
+    prefix space, dropout, and added tokens that touch white space: ``by_pieces`` says whether the file is of this kind;
+    with any other, texts are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -52,63 +82,131 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache: dict[str, bytes] = {}
-        self.newline = self._ids(["\n"])[0]
+        made = json.loads(self.tokenizer.to_str())
+        split, model = made["pre_tokenizer"] or {}, made["model"]
+        added = made["added_tokens"]
+        self.by_pieces = (
+            made["normalizer"] is None
+            and made["truncation"] is None
+            and made["padding"] is None
+            and split.get("type") == "ByteLevel"
+            and split.get("add_prefix_space") is False
+            and split.get("use_regex") is True
+            and model["type"] == "BPE"
+            and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix"))
+            and not any(t["lstrip"] or t["rstrip"] or t["normalized"] or t["single_word"] or not t["content"] or re.search(r"\s|[^\x00-\x7f]", t["content"]) for t in added)
+        )
+        self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         # a token of a byte-level vocabulary is spelt with one character for each byte
-        self.bytes = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), np.int64)
+        self.bytes = np.zeros(self.size, np.int64)
         for token, i in self.tokenizer.get_vocab(with_added_tokens=True).items():
             self.bytes[i] = len(token)
-
-    def _joined(self, pieces: list[str]) -> list[bytes]:
-        """Ids of pieces that each begin with a space and a character, encoded in one go and cut by their bytes."""
-        ids = np.array(self.tokenizer.encode_batch_fast(["".join(pieces)], add_special_tokens=False)[0].ids, "<u4")
-        ends = np.cumsum(self.bytes[ids])
-        cuts = np.searchsorted(ends, np.cumsum([len(p.encode()) for p in pieces]), "right") * 4
-        raw = ids.tobytes()
-        return [raw[a:b] for a, b in zip([0, *cuts[:-1].tolist()], cuts.tolist())]
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _pieces(self, text: str) -> list[str]:
-        """Pieces of a text; ``FIRST`` and ``LINE`` in front mark those that no space precedes."""
-        if " ".join(text.split()) == text.replace("\n", " "):  # single spaces and newlines only
-            return (FIRST + text).replace("\n", " " + LINE).split(" ")
-        return SPACE.split(FIRST + NEWLINE.sub(" " + LINE, text))
-
-    def _learn(self, pieces: set[str]) -> None:
-        if len(self.cache) > CACHE:
-            self.cache.clear()
-        plain = [p for p in pieces if p[:1] not in (FIRST, LINE)]
-        marked = [p for p in pieces if p[:1] in (FIRST, LINE)]
-        for lo in range(0, len(plain), 1000):
-            part = plain[lo : lo + 1000]
-            self.cache.update(zip(part, self._joined([" " + p for p in part])))
-        for p, ids in zip(marked, self._ids([p[1:] for p in marked])):
-            self.cache[p] = self.newline + ids if p[0] == LINE else ids
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text, the end id not among them."""
-        get = self.cache.get
-        plain = [None if FIRST in t or LINE in t else self._pieces(t) for t in texts]
-        found = [None if p is None else list(map(get, p)) for p in plain]
-        new = set()
-        for p, f in zip(plain, found):
-            if p is not None and None in f:
-                new.update(s for s, v in zip(p, f) if v is None)
-        if new:
-            self._learn(new)
-        return [self._ids([t])[0] if p is None else b"".join(self._again(p, f) if None in f else f) for t, p, f in zip(texts, plain, found)]
-
-    def _again(self, pieces: list[str], found: list) -> list[bytes]:
-        """What was unknown, looked up anew."""
-        cache = self.cache
-        return [cache[p] if v is None else v for p, v in zip(pieces, found)]
+        self._forget()
+
+    def _forget(self) -> None:
+        """``known``: pieces whose ids are ``count`` ones from ``begin`` on among ``ids``."""
+        self.known = pa.array([], pa.large_binary())
+        self.ids, self.begin, self.count = (np.empty(0, k) for k in (np.uint32, np.int64, np.int64))
+
+    def _places(self, pieces: pa.Array) -> np.ndarray:
+        """Places of distinct pieces in ``known``; new ones are learnt."""
+        if len(self.known) > KNOWN:
+            self._forget()
+        found = pc.index_in(pieces, value_set=self.known)
+        new = np.flatnonzero(found.is_null().to_numpy(zero_copy_only=False))
+        places = found.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        if len(new):
+            learnt = pieces.take(pa.array(new))
+            ids, sizes = self._pieces(learnt)
+            places[new] = len(self.known) + np.arange(len(new))
+            self.known = pa.concat_arrays([self.known, learnt])
+            self.begin = np.concatenate((self.begin, len(self.ids) + np.cumsum(sizes) - sizes))
+            self.count = np.concatenate((self.count, sizes))
+            self.ids = np.concatenate((self.ids, ids))
+        return places
+
+    def _each(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts one after the other, and how many each has."""
+        found = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+        return np.concatenate(found) if found else np.empty(0, np.uint32), np.array([len(f) for f in found], np.int64)
+
+    def _pieces(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """``_each`` of distinct pieces. Those that begin and end as words do are encoded joined, and cut by their bytes."""
+        data, at = _bytes(pieces)
+        ends = at[1:]
+        if not len(ends):
+            return np.empty(0, np.uint32), np.empty(0, np.int64)
+        begins = at[:-1]
+        joins = SEPARATOR[data[begins]] & (at[1:] - begins >= 2)
+        joins &= visible_at(data, begins + 1) & visible_before(data, at[1:])
+        order = np.concatenate((np.flatnonzero(joins), np.flatnonzero(~joins)))
+        sizes, parts = np.zeros(len(ends), np.int64), []
+        for lo in range(0, int(joins.sum()), JOINED):
+            pick = order[lo : min(lo + JOINED, int(joins.sum()))]
+            raw, cut = _bytes(pieces.take(pa.array(pick)))
+            ids, _ = self._each([raw[cut[0] : cut[-1]].tobytes().decode()])
+            last = np.searchsorted(np.cumsum(self.bytes[ids]), cut[1:] - cut[0], "right")
+            sizes[pick] = np.diff(np.concatenate(([0], last)))
+            parts.append(ids)
+        alone = order[int(joins.sum()) :]
+        ids, sizes[alone] = self._each([x.decode() for x in pieces.take(pa.array(alone)).to_pylist()])
+        parts.append(ids)
+        begin = np.empty(len(order), np.int64)
+        begin[order] = np.concatenate(([0], np.cumsum(sizes[order])[:-1]))
+        return _gather(np.concatenate(parts), begin, sizes), sizes
+
+    def encode(self, texts: pa.Array, limit: int = SLICE_BYTES):
+        """``(first text, end text, ids, edges)`` by slices of ``texts``; ``ids[edges[k] : edges[k + 1]]`` are the ids of the
+        slice's k-th text, the end id not among them. Null is empty text."""
+        for lo, hi, data, offsets in slices(texts, limit):
+            if not self.by_pieces:
+                raw = data.tobytes()
+                ids, sizes = self._each([raw[a:b].decode() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())])
+                yield lo, hi, ids, np.concatenate(([0], np.cumsum(sizes)))
+                continue
+            starts, first = piece_starts(data, offsets)
+            bounds = np.concatenate((starts, [len(data)]))
+            pieces = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(data)])
+            coded = pieces.dictionary_encode()
+            at = self._places(coded.dictionary)[coded.indices.to_numpy(zero_copy_only=False)]
+            sizes = self.count[at]
+            ids = _gather(self.ids, self.begin[at], sizes)
+            yield lo, hi, ids, np.concatenate(([0], np.cumsum(sizes)))[first]
+
+
+def _bytes(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and offsets of a large binary array."""
+    _, offsets, data = values.buffers()
+    at = np.frombuffer(offsets, np.int64, len(values) + 1, values.offset * 8) if len(values) else np.zeros(1, np.int64)
+    return np.frombuffer(data, np.uint8) if data is not None and data.size else np.empty(0, np.uint8), at
+
+
+def _gather(values: np.ndarray, begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """``values[begin[k] : begin[k] + sizes[k]]`` of all k, one after the other."""
+    ends = np.cumsum(sizes)
+    total = int(ends[-1]) if len(ends) else 0
+    return values[np.repeat(begin - ends + sizes, sizes) + np.arange(total)]
+
+
+def piece_starts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where pieces begin, and each text's first piece (one more at the end); empty texts have none.
+
+    A piece begins with a text, and at a space or line feed between two bytes that are surely no white space.
+    """
+    inner = np.zeros(len(data) + 1, bool)
+    at = np.flatnonzero(SEPARATOR[data[1:-1]] & PLAIN[data[:-2]] & PLAIN[data[2:]]) + 1 if len(data) > 2 else np.empty(0, np.int64)
+    inner[at[visible_before(data, at) & visible_at(data, at + 1)]] = True
+    edge = offsets[1:-1]
+    inner[edge[edge > 0] - 1] = False  # a text's last byte has no text behind it; its next one is another text's
+    inner[offsets[:-1]] = True
+    inner[len(data)] = False
+    starts = np.flatnonzero(inner)
+    return starts, np.searchsorted(starts, offsets)
 
 
 @lru_cache(2)
 def encoder_of(path: str) -> Encoder:
-    """Kept by a Python worker from task to task, with the pieces that it knows."""
+    """Kept by a Python worker from task to task."""
     return Encoder(path)
 
 
@@ -159,7 +257,7 @@ def expansion_lengths(rules: np.ndarray, vocabulary: int) -> np.ndarray:
     return np.array(lengths[vocabulary:], np.int64)
 
 
-def pack(ids: np.ndarray, doc_tokens: list[int], vocabulary: int) -> bytes:
+def pack(ids: np.ndarray, doc_tokens, vocabulary: int) -> bytes:
     """A shard: magic, counts, rules, expansion lengths, tokens of each document, sequence; all little-endian."""
     seq, rules = compress(ids, vocabulary)
     wide = vocabulary + len(rules) > 1 << 16
@@ -225,26 +323,34 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str | None = None) -> No
 
     def run(batches):
         encoder = encoder_of(source)
-        vocabulary = max(encoder.tokenizer.get_vocab_size(with_added_tokens=True), END_ID + 1)
-        end, place, shard = np.array([END_ID], "<u4").tobytes(), TaskContext.get().partitionId(), 0
-        ids, parts, sizes, total = [], [], [], 0
+        vocabulary, place, shard = max(encoder.size, END_ID + 1), TaskContext.get().partitionId(), 0
+        owners, parts, sizes, total = [], [], [], 0
 
         def row():
-            blob = pack(np.frombuffer(b"".join(parts), "<u4"), sizes, vocabulary)
-            return pa.RecordBatch.from_arrays([pa.array([place], pa.int32()), pa.array([shard], pa.int32()), pa.array([total], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(sizes)], pa.int32()), pa.concat_arrays(ids)), pa.array([blob], pa.binary())], ["place", "shard", "n_tokens", "doc_ids", "blob"])
+            each = np.concatenate(sizes)
+            blob = pack(np.concatenate(parts), each, vocabulary)
+            return pa.RecordBatch.from_arrays([pa.array([place], pa.int32()), pa.array([shard], pa.int32()), pa.array([total], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(each)], pa.int32()), pa.concat_arrays(owners)), pa.array([blob], pa.binary())], ["place", "shard", "n_tokens", "doc_ids", "blob"])
 
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                for k, encoded in enumerate(encoder.encode([t or "" for t in part.column(1).to_pylist()])):
-                    parts.append(encoded + end)
-                    sizes.append(len(encoded) // 4 + 1)
-                    ids.append(part.column(0).slice(k, 1))
-                    total += sizes[-1]
+            for lo, hi, ids, edges in encoder.encode(batch.column(1)):
+                ends = edges[1:] + np.arange(1, hi - lo + 1)  # an end id behind each document
+                closed = np.full(int(ends[-1]), END_ID, np.uint32)
+                inner = np.ones(len(closed), bool)
+                inner[ends - 1] = False
+                closed[inner] = ids
+                at = 0
+                while at < hi - lo:  # a shard ends with the document that fills it
+                    begin = int(ends[at - 1]) if at else 0
+                    stop = min(hi - lo, int(np.searchsorted(ends, begin + SHARD_TOKENS - total, "left")) + 1)
+                    owners.append(batch.column(0).slice(lo + at, stop - at))
+                    parts.append(closed[begin : int(ends[stop - 1])])
+                    sizes.append(np.diff(np.concatenate(([begin], ends[at:stop]))))
+                    total += len(parts[-1])
+                    at = stop
                     if total >= SHARD_TOKENS:
                         yield row()
                         shard += 1
-                        ids, parts, sizes, total = [], [], [], 0
+                        owners, parts, sizes, total = [], [], [], 0
         if sizes:
             yield row()
 

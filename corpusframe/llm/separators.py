@@ -1,11 +1,12 @@
 """Token counts from flat, unindexed token files by a separator scan.
 
-A flat file is one stream of token ids with an end id after each document and nothing else. It is stored as a table of
+A flat file is one stream of token ids with an end id after each document and nothing else. The end id is the first one
+that the tokenizer's vocabulary doesn't use, so no text can hold it. The stream is stored as a table of
 fixed-size blocks of bytes; documents begin and end anywhere in them. Each block is searched for the end id by itself,
 vectorised; documents that span blocks are stitched by a prefix scan over two numbers of each block.
 
-Whose count it is stands beside the stream: a narrow column names the document that each end id belongs to, for a text may
-hold the end id as well. The scan doesn't read it; its rows are joined to it.
+Whose count it is stands beside the stream: a narrow column has the ids of the documents that end in the block. The scan
+doesn't read it; its rows are joined to it.
 """
 
 from __future__ import annotations
@@ -19,53 +20,56 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusframe.llm.common import shared_dir
-from corpusframe.llm.repair import END_ID, default_tokenizer, encoder_of
+from corpusframe.llm.repair import default_tokenizer, encoder_of
 
 BLOCK_IDS = 1 << 16
 
 
+def end_of(encoder) -> int:
+    """The end id: the first id outside the vocabulary."""
+    return encoder.size
+
+
 def write_flat(docs: DataFrame, path: str, tokenizer: str | None = None, block_ids: int = BLOCK_IDS) -> None:
     """``file_no, block_no, width, ids``: a file for each task, its documents in the order in which they are read.
 
-    ``owners`` has ``doc_no, doc_id`` for some of the file's end ids, the first of which is its end id ``first_end``. Ids take two bytes where the vocabulary allows, else four. Nothing is shuffled.
+    ``doc_ids`` are those of the documents that end in the block, ``first_doc`` the first one's place in the file. Ids take
+    two bytes where the vocabulary and the end id allow, else four. Null text is empty text. Nothing is shuffled.
     """
     source = tokenizer or default_tokenizer()
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        encoder, file, block, held, doc, ends, owners = encoder_of(source), TaskContext.get().partitionId(), 0, bytearray(), 0, 0, []
-        width = 2 if encoder.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
-        end = np.array([END_ID], f"<u{width}").tobytes()
-        size = width * block_ids
-
-        def row(data, id_type):
-            nonlocal ends, owners
-            named = pa.array([[{"doc_no": d, "doc_id": i} for d, i in owners]], pa.list_(pa.struct([("doc_no", pa.int64()), ("doc_id", id_type)])))
-            out = pa.RecordBatch.from_arrays([pa.array([file], pa.int32()), pa.array([block], pa.int64()), pa.array([width], pa.int32()), pa.array([bytes(data)], pa.binary()), pa.array([ends], pa.int64()), named], ["file_no", "block_no", "width", "ids", "first_end", "owners"])
-            ends, owners = ends + len(owners), []
-            return out
-
-        id_type = pa.null()
+        encoder, file, block, first = encoder_of(source), TaskContext.get().partitionId(), 0, 0
+        width, end = 2 if encoder.size < 1 << 16 else 4, end_of(encoder)
+        held, owners = np.empty(0, f"<u{width}"), None
+
+        def row(stream, names):
+            return pa.RecordBatch.from_arrays([pa.array([file], pa.int32()), pa.array([block], pa.int64()), pa.array([width], pa.int32()), pa.array([stream.tobytes()], pa.binary()), pa.array([first], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(names)], pa.int32()), names)], ["file_no", "block_no", "width", "ids", "first_doc", "doc_ids"])
+
         for batch in batches:
-            id_type = batch.column(0).type
-            for lo in range(0, batch.num_rows, 256):
-                for doc_id, encoded in zip(batch.column(0).slice(lo, 256).to_pylist(), encoder.encode([t or "" for t in batch.column(1).slice(lo, 256).to_pylist()])):
-                    ids = np.frombuffer(encoded, "<u4")
-                    held += ids.astype(f"<u{width}").tobytes()
-                    held += end
-                    owners += [(doc, doc_id)] * (int(np.count_nonzero(ids == END_ID)) + 1)
-                    doc += 1
-                while len(held) >= size:
-                    yield row(held[:size], id_type)
-                    block += 1
-                    del held[:size]
-        if held:
-            yield row(held, id_type)
-
-    docs.select("doc_id", "text").mapInArrow(run, f"file_no int, block_no long, width int, ids binary, first_end long, owners array<struct<doc_no:bigint,doc_id:{kind}>>").write.parquet(path)
-
-
-def scan(blocks: DataFrame, end_id: int = END_ID) -> DataFrame:
+            owners = batch.column(0).slice(0, 0) if owners is None else owners
+            for lo, hi, ids, edges in encoder.encode(batch.column(1)):
+                ends = edges[1:] + np.arange(1, hi - lo + 1)
+                closed = np.full(int(ends[-1]), end, held.dtype)
+                inner = np.ones(len(closed), bool)
+                inner[ends - 1] = False
+                closed[inner] = ids
+                held, owners = np.concatenate((held, closed)), pa.concat_arrays([owners, batch.column(0).slice(lo, hi - lo)])
+                whole = len(held) // block_ids
+                for k in range(whole):
+                    stream = held[k * block_ids : (k + 1) * block_ids]
+                    n = int(np.count_nonzero(stream == end))
+                    yield row(stream, owners.slice(0, n))
+                    block, first, owners = block + 1, first + n, owners.slice(n)
+                held = held[whole * block_ids :]
+        if len(held):
+            yield row(held, owners)
+
+    docs.select("doc_id", "text").mapInArrow(run, f"file_no int, block_no long, width int, ids binary, first_doc long, doc_ids array<{kind}>").write.parquet(path)
+
+
+def scan(blocks: DataFrame, end_id: int) -> DataFrame:
     """``file_no, doc_no, start, n_tokens`` of every document in the files; ``n_tokens`` counts the end id.
 
     ``start`` and ``doc_no`` count within the file. Ids behind a file's last end id are a document without one and come
@@ -101,15 +105,20 @@ def scan(blocks: DataFrame, end_id: int = END_ID) -> DataFrame:
 
 
 def token_counts(docs: DataFrame, tokenizer: str | None = None, block_ids: int = BLOCK_IDS) -> DataFrame:
-    """``file_no, doc_no, start, n_tokens, doc_id`` of every row of ``docs``, by a scan of the files written of them."""
+    """``file_no, doc_no, start, n_tokens, doc_id`` of every row of ``docs``, by a scan of the files written of them.
+
+    One row for each row of ``docs``: null and empty texts count 1 (the end id), repeated rows and null ids have rows of
+    their own, an empty table none.
+    """
     spark = docs.sparkSession
     path = f"{shared_dir(spark)}/flat-tokens-{uuid.uuid4().hex}"
-    write_flat(docs, path, tokenizer, block_ids)
+    source = tokenizer or default_tokenizer()
+    write_flat(docs, path, source, block_ids)
     blocks = spark.read.parquet(path)
-    owners = blocks.select("file_no", "first_end", F.posexplode("owners").alias("i", "o")).select("file_no", (F.col("first_end") + F.col("i")).alias("end_no"), "o.doc_no", "o.doc_id")
-    parts = scan(blocks).withColumnRenamed("doc_no", "end_no").join(owners.hint("shuffle_hash"), ["file_no", "end_no"])
-    return parts.groupBy("file_no", "doc_no").agg(F.min("start").alias("start"), F.sum("n_tokens").alias("n_tokens"), F.first("doc_id").alias("doc_id"))
+    owners = blocks.select("file_no", "first_doc", F.posexplode("doc_ids").alias("i", "doc_id")).select("file_no", (F.col("first_doc") + F.col("i")).alias("doc_no"), "doc_id")
+    return scan(blocks, end_of(encoder_of(source))).join(owners.hint("shuffle_hash"), ["file_no", "doc_no"]).select("file_no", "doc_no", "start", "n_tokens", "doc_id")
 
 
 def op6_token_counts(spark, sf_dir: str) -> DataFrame:
+    """``file_no, doc_no, start, n_tokens, doc_id`` of every row of ``documents``; see ``token_counts`` for odd rows."""
     return token_counts(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -175,13 +175,34 @@ def test_lines_whose_hashes_clash_stay(spark, monkeypatch):
 ODD = ["a  b", "a \nb", "a   b", " x ", "\n\n a\n", "x\n\ny", "it's don't 's", "a \n \n b", "é ñ\tz", "a b　c", "end. <|endoftext|> b", "", "x\r\ny z", "a\x1c b", "a\n b", " a b"]
 
 
-def test_encoder_and_grammar():
+def encoded(encoder, texts, limit=1 << 20):
+    """Little-endian ids of each text."""
+    import pyarrow as pa
+
+    return [ids[a:b].astype("<u4").tobytes() for _, _, ids, edges in encoder.encode(pa.array(texts, pa.string()), limit) for a, b in zip(edges[:-1], edges[1:])]
+
+
+def test_encoder_and_grammar(tmp_path, monkeypatch):
     from tokenizers import Tokenizer
 
     encoder, whole = repair.Encoder(repair.default_tokenizer()), Tokenizer.from_file(repair.default_tokenizer())
     texts = [*ODD, passage(9, 500)]
-    for text, ids in zip(texts, encoder.encode(texts)):
-        assert np.frombuffer(ids, "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, repr(text)
+    assert encoder.by_pieces
+    for limit in (1, 9, 1 << 20):
+        for text, ids in zip(texts, encoded(encoder, texts, limit)):
+            assert np.frombuffer(ids, "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, repr(text)
+    import json
+
+    made = json.loads(whole.to_str())
+    made["pre_tokenizer"]["add_prefix_space"] = True
+    (tmp_path / "other.json").write_text(json.dumps(made))
+    other = repair.Encoder(str(tmp_path / "other.json"))  # encodes whole texts
+    assert not other.by_pieces
+    for text, ids in zip(texts, encoded(other, texts)):
+        assert np.frombuffer(ids, "<u4").tolist() == other.tokenizer.encode(text, add_special_tokens=False).ids
+    encoder._forget()
+    monkeypatch.setattr(repair, "KNOWN", 2)
+    assert list(encoded(encoder, texts, 40)) == list(encoded(encoder, texts))
     rng = np.random.default_rng(0)
     ids = np.where(rng.random(20_000) < 0.01, repair.END_ID, rng.integers(3, 20, 20_000)).astype(np.uint32)
     ids[-1] = repair.END_ID
@@ -210,7 +231,7 @@ def test_token_files_and_counts(docs, rows, empty, spark, tmp_path):
     encoder = repair.Encoder(repair.default_tokenizer())
     ordered = sorted(rows, key=lambda r: (r[0], r[1] or ""))
     start, want = 0, []
-    for (doc_id, *_), ids in zip(ordered, encoder.encode([r[1] or "" for r in ordered])):
+    for (doc_id, *_), ids in zip(ordered, encoded(encoder, [r[1] or "" for r in ordered])):
         full = ids + b"\x02\0\0\0"
         want.append((doc_id, start, len(full) // 4, zlib.crc32(full)))
         start += len(full) // 4
@@ -218,20 +239,20 @@ def test_token_files_and_counts(docs, rows, empty, spark, tmp_path):
     assert repair.token_files(empty).count() == 0
     for block in (5, 1 << 16):
         got = sorted(tuple(r) for r in separators.token_counts(docs.coalesce(1), block_ids=block).collect())
-        as_read = encoder.encode([r[1] or "" for r in rows])
+        as_read = encoded(encoder, [r[1] or "" for r in rows])
         assert [r[3] for r in got] == [len(x) // 4 + 1 for x in as_read]
     flat = np.array([5, 2, 2, 7, 7, 7, 2, 9], "<u4")
     blocks = spark.createDataFrame([(0, k, 4, bytearray(flat[2 * k : 2 * k + 2].tobytes())) for k in range(4)], "file_no int, block_no long, width int, ids binary")
-    assert sorted(tuple(r)[1:] for r in separators.scan(blocks).collect()) == [(0, 0, 2), (1, 2, 1), (2, 3, 4), (3, 7, 1)]
+    assert sorted(tuple(r)[1:] for r in separators.scan(blocks, 2).collect()) == [(0, 0, 2), (1, 2, 1), (2, 3, 4), (3, 7, 1)]
 
 
 def test_token_counts_belong_to_documents(docs, rows, empty, spark, tmp_path):
     encoder = repair.Encoder(repair.default_tokenizer())
-    more = [(100, "# a heading\n## another #"), (101, "#"), (102, "###"), (None, "no id"), (103, "# " * 40)]
-    assert b"\x02\0\0\0" in encoder.encode(["#"])  # a text may hold the end id
+    more = [(100, "# a heading\n## another #"), (101, "#"), (102, "###"), (None, "no id"), (103, "# " * 40), (104, "ends <|endoftext|> or not<|endoftext|>"), (105, "# Title of a page\nC# code, issue#12"), (106, passage(8, 900))]
+    assert encoded(encoder, ["#"]) == [b"\x02\0\0\0"]  # a text may hold id 2
     everything = [(r[0], r[1]) for r in rows] + more
     frame = docs.select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id long, text string"))
-    want = sorted((-1 if i is None else i, len(x) // 4 + 1) for (i, _), x in zip(everything, encoder.encode([t or "" for _, t in everything])))
+    want = sorted((-1 if i is None else i, len(x) // 4 + 1) for (i, _), x in zip(everything, encoded(encoder, [t or "" for _, t in everything])))
     for parts, block in ((1, 5), (3, 64), (7, 1 << 16)):
         got = separators.token_counts(frame.repartition(parts), block_ids=block).collect()
         assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_tokens) for r in got) == want
