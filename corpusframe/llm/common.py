@@ -7,6 +7,7 @@ bytes are above 127, so words can be cut on bytes without decoding.
 from __future__ import annotations
 
 import hashlib
+import re
 import tempfile
 from collections.abc import Iterator
 
@@ -27,11 +28,15 @@ SLICE_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (``spark.checkpoint.dir``); a temporary one only where none is set, as in tests."""
+    """The cluster's shared folder (``spark.checkpoint.dir``). Where none is set, a temporary one in local mode only."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if path is None:
-        path = context.getCheckpointDir() or tempfile.mkdtemp(prefix="corpusframe-")
+        path = context.getCheckpointDir()
+        if path is None:
+            if not re.fullmatch(r"local(\[.*\])?", context.master):
+                raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+            path = tempfile.mkdtemp(prefix="corpusframe-")
         spark.conf.set("spark.checkpoint.dir", path)
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(path)
@@ -39,8 +44,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the shared folder, so that neither Python nor a shuffle runs again."""
+    """``df`` computed once and kept in the shared folder, so that neither Python nor a shuffle runs again.
+
+    A collection on the driver goes before: Spark's cleaner then removes shuffle files that earlier cuts have made needless.
+    """
     shared_dir(df.sparkSession)
+    df.sparkSession._jvm.System.gc()
     return df.checkpoint(eager=True)
 
 

@@ -12,7 +12,7 @@ groups is lost.
 
 "Rarest" goes by an order of all shingles: hashed buckets that are frequent in some task come last, then by hash. Any
 order gives the same result; this one keeps shared passages out of the posting lists. The table of frequent buckets has
-``HEAT_BUCKETS`` entries at most, whatever the corpus.
+``HEAT_BUCKETS`` bytes, whatever the corpus.
 
 Sets and shingles are told apart by 64-bit hashes.
 """
@@ -33,6 +33,7 @@ HEAT_BUCKETS = 1 << 22
 #: Ids that are broadcast to find their texts without a shuffle; with more, the join shuffles.
 BROADCAST_IDS = 1_000_000
 TILE_ROWS = 2_000  # sets of a block whose products one task takes
+HELD_ROWS = 100_000  # rows of a list that wait for its end
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> Iterator[np.ndarray]:
@@ -90,17 +91,21 @@ def _profile(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(run, f"doc_id {kind}, node long, n long, bucket long, heat long")
 
 
-def _postings(docs: DataFrame, heat: dict[int, int], k: int, percent: int) -> DataFrame:
+def _heat_levels(profile: DataFrame) -> np.ndarray:
+    """Level of each bucket, as powers of two of the heat: ``HEAT_BUCKETS`` bytes, however large the corpus."""
+    found = profile.filter("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("heat").alias("heat")).toArrow()
+    levels = np.zeros(HEAT_BUCKETS, np.int8)
+    if len(found):
+        levels[found["bucket"].to_numpy()] = np.floor(np.log2(found["heat"].to_numpy())).astype(np.int8)
+    return levels
+
+
+def _postings(docs: DataFrame, levels: np.ndarray, k: int, percent: int) -> DataFrame:
     """``gram, node, n``: the first shingles of each set in the order of heat and hash. A task gives a set once."""
-    at, level = np.array(sorted(heat), np.int64), np.zeros(0, np.int64)
-    if len(at):
-        level = np.array([heat[b] for b in at.tolist()], np.float64)
-        level = np.floor(np.log2(level)).astype(np.int64)
+    shipped = docs.sparkSession.sparkContext.broadcast(levels)
 
     def run(batches):
-        table = np.zeros(HEAT_BUCKETS, np.int8)
-        table[at] = level
-        seen = set()
+        table, seen = shipped.value, set()
         for batch in batches:
             for lo, _, data, offsets in slices(batch.column(1)):
                 grams, nodes, sizes = [], [], []
@@ -125,70 +130,135 @@ def _postings(docs: DataFrame, heat: dict[int, int], k: int, percent: int) -> Da
     return docs.mapInArrow(run, "gram long, node long, n int")
 
 
-def _groups(batches) -> Iterator[tuple[np.ndarray, ...]]:
-    """Columns of sorted batches, cut so that a gram's rows come together; the first column is the gram."""
-    held = None
-    for batch in batches:
-        cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-        if held is not None:
-            cols = [np.concatenate(x) for x in zip(held, cols)]
-        if not len(cols[0]):
-            continue
-        end = int(np.searchsorted(cols[0], cols[0][-1], "left"))
-        held = [c[end:] for c in cols]
-        if end:
-            yield tuple(c[:end] for c in cols)
-    if held is not None and len(held[0]):
-        yield tuple(held)
+def _columns(batch: pa.RecordBatch) -> list[np.ndarray]:
+    return [c.to_numpy(zero_copy_only=False) for c in batch.columns]
 
 
-def _shared(rows: DataFrame) -> DataFrame:
-    """Postings of the grams that several sets share: ``gram, node, n, size``, the last that of the list."""
+def _shared(rows: DataFrame, percent: int) -> DataFrame:
+    """Postings of the grams that several sets share: ``gram, level, node, n``, in this order within partitions.
 
-    def run(batches):
-        for gram, node, n in _groups(batches):
-            new = np.ones(len(gram), bool)
-            new[1:] = (gram[1:] != gram[:-1]) | (node[1:] != node[:-1])
-            gram, node, n = gram[new], node[new], n[new]
-            size = np.diff(np.flatnonzero(np.concatenate(([True], gram[1:] != gram[:-1], [True]))))
-            size = np.repeat(size, size)
-            keep = size > 1
-            if keep.any():
-                yield pa.RecordBatch.from_arrays([pa.array(gram[keep]), pa.array(node[keep]), pa.array(n[keep]), pa.array(size[keep].astype(np.int64))], ["gram", "node", "n", "size"])
+    Levels are classes of sizes; sets that reach the similarity differ by one level at most. A task goes through its
+    sorted lists and holds one batch, whatever a list's length.
+    """
 
-    sorted_rows = rows.repartition("gram").sortWithinPartitions("gram", "node")
-    return sorted_rows.mapInArrow(run, "gram long, node long, n int, size long")
+    def run(batches):
+        held, before = None, False  # last row, and whether the one before it is of the same list
+        for batch in batches:
+            cols = _columns(batch)
+            if not len(cols[0]):
+                continue
+            if held is not None:
+                cols = [np.concatenate(x) for x in zip(held, cols)]
+            new = np.ones(len(cols[0]), bool)
+            new[1:] = (cols[0][1:] != cols[0][:-1]) | (cols[2][1:] != cols[2][:-1])  # several tasks may give a set
+            cols = [c[new] for c in cols]
+            same = np.concatenate(([before], cols[0][1:] == cols[0][:-1]))
+            keep = np.flatnonzero(same[:-1] | same[1:])
+            held, before = [c[-1:] for c in cols], bool(same[-1])
+            if len(keep):
+                yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in cols], ["gram", "level", "node", "n"])
+        if before:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in held], ["gram", "level", "node", "n"])
+
+    level = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))).cast("int").alias("level")
+    sorted_rows = rows.select("gram", level, "node", "n").repartition("gram").sortWithinPartitions("gram", "level", "node")
+    return sorted_rows.mapInArrow(run, "gram long, level int, node long, n int")
 
 
 def _star(shared: DataFrame, percent: int) -> DataFrame:
-    """``a, b``: every set with the most popular one of its lists, of its own class of sizes and the two next to it.
+    """``a, b``: every set with the sets that stand first in most of its lists, of its own level and the one below.
 
-    Popular is a set whose shingles are in long lists: the text from which near copies were made, as a rule. Which pairs
-    are tried here is no matter of correctness.
+    Sets are in the same order in all lists, so near copies find the same first one nearly everywhere. Which pairs are
+    tried here is no matter of correctness.
     """
-    level = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))).cast("int")
-    known = shared.join(shared.groupBy("node").agg(F.sum("size").alias("popular")).hint("merge"), "node").withColumn("level", level)
-    pivots = known.groupBy("gram", "level").agg(F.max(F.struct("popular", "node", "n")).alias("p")).select("gram", "level", F.col("p.node").alias("pivot"), F.col("p.n").alias("pn"))
-    tries = known.select("gram", "node", "n", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1))).alias("step"), "level").withColumn("level", F.col("level") + F.col("step"))
-    fits = (F.col("node") != F.col("pivot")) & (100 * F.least("n", "pn") >= percent * F.greatest("n", "pn"))
-    met = tries.join(pivots.hint("merge"), ["gram", "level"]).filter(fits).groupBy("node", "n", "step", "pivot").agg(F.count(F.lit(1)).alias("times"))
+
+    def run(batches):
+        last = [np.empty(0, np.int64)] * 4  # gram, level, first set and its size of up to two sublists that came before
+        for batch in batches:
+            gram, level, node, n = _columns(batch)
+            if not len(gram):
+                continue
+            edge = np.ones(len(gram), bool)
+            edge[1:] = (gram[1:] != gram[:-1]) | (level[1:] != level[:-1])
+            if len(last[0]) and (gram[0], level[0]) == (last[0][-1], last[1][-1]):
+                edge[0] = False
+            at = np.flatnonzero(edge)
+            lists = [np.concatenate((x, y[at])) for x, y in zip(last, (gram, level, node, n))]
+            own = np.cumsum(edge) + len(last[0]) - 1
+            below = np.maximum(own - 1, 0)
+            is_below = (own > 0) & (lists[0][below] == gram) & (lists[1][below] == level - 1)
+            for mine, of in ((True, own), (False, below)):
+                pivot, size = lists[2][of], lists[3][of]
+                fits = (pivot != node) & (100 * np.minimum(n, size).astype(np.int64) >= percent * np.maximum(n, size).astype(np.int64))
+                pick = np.flatnonzero(fits if mine else fits & is_below)
+                if len(pick):
+                    yield pa.RecordBatch.from_arrays([pa.array(node[pick]), pa.array(n[pick]), pa.array(np.full(len(pick), mine)), pa.array(pivot[pick])], ["node", "n", "own", "pivot"])
+            last = [x[-2:] for x in lists]
+
+    met = shared.mapInArrow(run, "node long, n int, own boolean, pivot long").groupBy("node", "n", "own", "pivot").agg(F.count(F.lit(1)).alias("times"))
     met = met.filter(F.col("times") * 300 >= F.col("n") * (100 - percent))  # else hardly alike: left to the product
-    best = met.groupBy("node", "step").agg(F.max(F.struct("times", "pivot")).alias("m"))
+    best = met.groupBy("node", "own").agg(F.max(F.struct("times", "pivot")).alias("m"))
     return best.select(F.least("node", "m.pivot").alias("a"), F.greatest("node", "m.pivot").alias("b")).distinct()
 
 
+def _mixed(shared: DataFrame, groups: DataFrame) -> DataFrame:
+    """``gram, node, n, group, pivot``: postings of lists in which several groups meet; ``pivot`` is the list's first set.
+
+    A list of one group is known as such at its end. Up to ``HELD_ROWS`` of its rows wait for that; a longer one passes
+    as if it were mixed, which costs work and changes nothing else.
+    """
+    names = ["gram", "node", "n", "group", "pivot"]
+
+    def emit(cols, pivots):
+        return pa.RecordBatch.from_arrays([*(pa.array(c) for c in cols), pa.array(pivots)], names)
+
+    def run(batches):
+        held, size, gram, group, pivot, mixed = [], 0, None, None, None, False
+        for batch in batches:
+            cols = _columns(batch)
+            if not len(cols[0]):
+                continue
+            edge = np.flatnonzero(np.concatenate(([True], cols[0][1:] != cols[0][:-1])))
+            ends = np.concatenate((edge[1:], [len(cols[0])]))
+            if cols[0][0] != gram:  # the list held has ended
+                held, size, mixed, gram, group, pivot = [], 0, False, cols[0][0], cols[3][0], cols[1][0]
+            # the batch's first list, which may go on from the batch before
+            part = [c[: ends[0]] for c in cols]
+            held.append(part)
+            size += len(part[0])
+            mixed = mixed or part[3][-1] != group or size > HELD_ROWS
+            if mixed:
+                for h in held:
+                    yield emit(h, np.full(len(h[0]), pivot))
+                held = []
+            if len(edge) > 1:
+                first = np.repeat(edge[1:-1], (ends - edge)[1:-1])  # lists that begin and end here
+                body = slice(edge[1], edge[-1])
+                keep = np.repeat(cols[3][edge[1:-1]] != cols[3][ends[1:-1] - 1], (ends - edge)[1:-1])
+                if keep.any():
+                    yield emit([c[body][keep] for c in cols], cols[1][first][keep])
+                held, gram, group, pivot = [[c[edge[-1] :] for c in cols]], cols[0][edge[-1]], cols[3][edge[-1]], cols[1][edge[-1]]
+                size, mixed = len(held[0][0]), bool(held[0][3][-1] != group)
+                if mixed:
+                    yield emit(held[0], np.full(size, pivot))
+                    held = []
+
+    known = shared.join(groups.hint("merge"), "node", "left").select("gram", "node", "n", F.coalesce("component", "node").alias("group"))
+    dealt = known.repartition("gram").sortWithinPartitions("gram", "group", "node")
+    return dealt.mapInArrow(run, "gram long, node long, n int, group long, pivot long")
+
+
 def _block_pairs(shared: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
     """``a, b``: pairs of sets of different groups that may still link, from products over the postings.
 
-    Lists are dealt out by their most popular set, so that lists with the same members meet: a block is all sets of
-    such lists, each with its grams of all lists. In a block, the product of incidence matrices gives overlaps row by
-    row; pairs below the bound given by their sizes are discarded. Blocks of more than ``TILE_ROWS`` sets are split into
-    pairs of tiles.
+    Two sets of different groups meet only in lists of several groups; no other list is looked at. Lists are dealt out
+    by their first set, so that lists with the same members meet: a block is all sets of such lists, each with its grams
+    of all lists. In a block, the product of incidence matrices gives overlaps row by row; pairs below the bound given
+    by their sizes are discarded. Blocks of more than ``TILE_ROWS`` sets are split into pairs of tiles.
     """
-    known = shared.join(groups, "node", "left").withColumn("group", F.coalesce("component", "node")).drop("component")
-    nodes = known.groupBy("node").agg(F.sum("size").alias("popular"), F.first("n").alias("n"), F.first("group").alias("group"), F.array_sort(F.collect_list("gram")).alias("grams"))
-    pivots = known.join(nodes.select("node", "popular").hint("merge"), "node").groupBy("gram").agg(F.max(F.struct("popular", "node")).alias("p"), F.min("group").alias("g0"), F.max("group").alias("g1")).filter("g0 <> g1").select("gram", F.col("p.node").alias("pivot"))
-    members = cut(known.join(pivots.hint("merge"), "gram").select("pivot", "node").distinct())
+    mixed = cut(_mixed(shared, groups))
+    nodes = mixed.groupBy("node").agg(F.first("n").alias("n"), F.first("group").alias("group"), F.array_sort(F.collect_list("gram")).alias("grams"))
+    members = cut(mixed.select("pivot", "node").distinct())
     sizes = members.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / TILE_ROWS).cast("int").alias("tiles"))
     tile = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
     tiles = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda j: F.least(j, tile) * F.col("tiles") + F.greatest(j, tile))
@@ -249,8 +319,7 @@ def _texts(nodes: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def _linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
-    """Those of ``a, b`` whose whole sets reach the similarity."""
-    pairs = cut(pairs.select("a", "b").distinct())
+    """Those of ``a, b``, distinct pairs in a cut table, whose whole sets reach the similarity."""
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     texts = _texts(nodes, docs, classes)
 
@@ -285,13 +354,14 @@ def jaccard_groups(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     """
     docs = docs.select("doc_id", "text")
     profile = cut(_profile(docs, k))
-    heat = {r[0]: r[1] for r in profile.filter("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("heat")).collect()}
+    levels = _heat_levels(profile)
     rows = profile.filter("bucket IS NULL").select("doc_id", "node", "n")
     classes = cut(rows.filter("n > 0 AND doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id")))
-    shared = cut(_shared(_postings(docs, heat, k, percent)))
-    links = _linked(_star(shared, percent), docs, classes, k, percent)
-    groups = components(links)
-    rest = _linked(_block_pairs(shared, groups, percent), docs, classes, k, percent)
+    shared = cut(_shared(_postings(docs, levels, k, percent), percent))
+    links = _linked(cut(_star(shared, percent)), docs, classes, k, percent)
+    pairs = cut(_block_pairs(shared, components(links), percent).distinct())
+    del shared  # its files can go
+    rest = _linked(pairs, docs, classes, k, percent)
     # documents with one id and different texts are one node as well
     twice = rows.filter("n > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a <> b")
     several = rows.filter("n > 0").join(twice, "doc_id").select("a", F.col("node").alias("b"))
@@ -318,6 +388,7 @@ def one_of_each_group(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFra
 
 
 def op9_jaccard(spark, sf_dir: str) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` of every row of ``documents``; see ``jaccard_groups`` for odd rows."""
     return jaccard_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
