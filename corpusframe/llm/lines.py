@@ -1,17 +1,15 @@
-"""Line dedup by windows of two lines (the query), or by content-defined chunks of lines.
-
-``without_repeated_passages`` keys every window of two lines, so a repeated passage of any length from two lines on goes
-whole, wherever it stands: no boundary has to fall on its ends. A line goes if it lies in a window whose two lines occur
-earlier, one after the other. Windows are told apart by both lines' 64-bit hashes; the bytes behind each hash that decides
-anything are compared, and lines whose hash stands for different bytes stay.
-
-``without_repeated_lines`` removes chunks only. A rolling hash over the hashes of ``SPAN`` lines decides where a chunk ends, so boundaries move with the text: lines put
-in front of a passage don't change the chunks inside it. Chunks of two lines or more that occur again anywhere are
-removed, all but the first, after their bytes were compared with the first one's.
-
-Only hashes of chunks are counted; bytes move for chunks that occur again, and each meets the bytes of the first
-occurrence in an equi-join on the chunk's hash. A chunk that a third of all documents share is one key of a partial
-aggregate and one side of a join that Spark can split.
+"""Line dedup by content-defined chunks of lines.
+
+A rolling hash over the hashes of ``SPAN`` lines decides which lines end a chunk, so boundaries move with the text: lines
+put in front of a passage don't change the boundaries inside it. From every line a chunk runs to the next boundary, and to
+every line one runs from the boundary before. So a repeated passage that has one boundary behind its first line is covered
+whole, wherever it stands: chunks from its first line on, and chunks up to its last one. With ``DIVISOR`` 4, three of four
+lines are boundaries, so 3 of 4 passages of two lines are found, 15 of 16 of three lines, 63 of 64 of four lines.
+
+Chunks have two lines at least and ``MAX_LINES`` at most. Those that occur again anywhere are removed, all but the first,
+after their bytes were compared. Only hashes of chunks are counted, with partial sums; bytes move for chunks that occur
+again, and of equal ones a task sends one. A chunk that a third of all documents share is one key of such sums and one
+side of a join that Spark can split.
 """
 
 from __future__ import annotations
@@ -20,119 +18,24 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401 - pa.compute
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusframe.llm.common import gram_hashes, hash_spans, signed, slices, table
+from corpusframe.llm.common import cut, gram_hashes, hash_spans, mix, signed, slices, table
 
 SPAN = 2  # lines in the rolling hash
-DIVISOR = 4  # one line in so many ends a chunk
+DIVISOR = 4  # of so many lines all but one end a chunk
 MAX_LINES = 64  # longest chunk
-NO_ID = 2**63 - 1  # order of a null doc_id, after all others; no document may have this id
-
-
-def cut_lines(lines: list[bytes], span: int = SPAN, divisor: int = DIVISOR) -> list[tuple[int, int]]:
-    """``(first line, lines)`` of each chunk of one text."""
-    joined = np.frombuffer(b"".join(lines), np.uint8)
-    ends = np.cumsum([len(x) for x in lines])
-    hashes = hash_spans(joined, np.concatenate(([0], ends[:-1])), ends)
-    rolled = gram_hashes(hashes, span)
-    boundary = np.zeros(len(lines), bool)
-    boundary[span - 1 :] = rolled % np.uint64(divisor) == 0
-    out, first = [], 0
-    for end in np.flatnonzero(boundary).tolist() + [len(lines) - 1]:
-        while end + 1 - first > MAX_LINES:
-            out.append((first, MAX_LINES))
-            first += MAX_LINES
-        if end >= first:
-            out.append((first, end + 1 - first))
-            first = end + 1
-    return out
+BASE = np.uint64(0x9E3779B97F4A7C15)  # of the polynomial hash of a chunk's lines; odd
+UNBASE = np.uint64(pow(int(BASE), -1, 1 << 64))
+NO_ID = 2**63 - 1  # place of a null doc_id in the order of documents, after all others
 
 
 def _base(docs: DataFrame) -> DataFrame:
+    """``doc_id, order, text_key, text``; a text is found again by the last but one two."""
     order = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
-    return docs.select(order.alias("order"), F.xxhash64("text").alias("text_key"), "text")
-
-
-def _chunk_keys(text: bytes):
-    lines = text.split(b"\n")
-    for first, n in cut_lines(lines):
-        if n > 1:
-            body = b"\n".join(lines[first : first + n])
-            yield first, n, int.from_bytes(hashlib.blake2b(body, digest_size=8).digest(), "little", signed=True), body
-
-
-def _chunks(base: DataFrame) -> DataFrame:
-    """``chunk, order, first`` of all chunks of two lines or more."""
-
-    def run(batches):
-        for batch in batches:
-            out = [[], [], []]
-            for order, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                for first, _, key, _ in _chunk_keys((text.as_py() or "").encode()):
-                    for column, value in zip(out, (key, order, first)):
-                        column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32())], ["chunk", "order", "first"])
-
-    return base.select("order", "text").mapInArrow(run, "chunk long, order long, first int")
-
-
-def repeated_chunks(docs: DataFrame) -> DataFrame:
-    """``order, text_key, first, lines``: chunks whose bytes occur earlier, in a smaller doc_id or the same one."""
-    base = _base(docs)
-    chunks = _chunks(base)
-    again = chunks.groupBy("chunk").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("order", "first")).alias("head")).filter("n > 1").select("chunk", F.col("head.order").alias("head_order"), F.col("head.first").alias("head_first"))
-    places = chunks.join(again.hint("shuffle_hash"), "chunk").groupBy("order").agg(F.collect_list(F.struct("first", "chunk", "head_order", "head_first")).alias("places"))
-
-    def run(batches):
-        for batch in batches:
-            out = [[] for _ in range(7)]
-            for order, key, text, places in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
-                if not places.is_valid:
-                    continue
-                wanted = {(p["first"], p["chunk"]): p for p in places.as_py()}
-                for first, n, chunk, body in _chunk_keys((text.as_py() or "").encode()):
-                    p = wanted.get((first, chunk))
-                    if p is not None:
-                        head = (p["head_order"], p["head_first"]) == (order, first)
-                        for column, value in zip(out, (chunk, order, key, first, n, head, body)):
-                            column.append(value)
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["chunk", "order", "text_key", "first", "lines", "head", "body"])
-
-    bodies = base.join(places.hint("shuffle_hash"), "order", "left").select("order", "text_key", "text", "places").mapInArrow(run, "chunk long, order long, text_key long, first int, lines int, head boolean, body binary")
-    # the first occurrence's bytes; rows that share doc_id and place may differ: the least stands for them
-    heads = bodies.filter("head").groupBy("chunk").agg(F.min("body").alias("head_body"))
-    return bodies.filter("NOT head").join(heads, "chunk").filter(F.col("body") == F.col("head_body")).select("order", "text_key", "first", "lines")
-
-
-def without_repeated_lines(docs: DataFrame, keep_text: bool = False) -> DataFrame:
-    """``doc_id, n_lines, n_removed, kept_sha256`` (and ``kept_text``) for every row of ``doc_id, text``.
-
-    Lines are what line feeds part; null text is one empty line, like empty text. Single-line chunks stay. Rows that
-    share a doc_id are one document. Kept lines are joined by line feeds.
-    """
-    base = _base(docs)
-    gone = repeated_chunks(docs).groupBy("order").agg(F.collect_set(F.struct("text_key", "first", "lines")).alias("gone"))
-
-    def run(batches):
-        for batch in batches:
-            out = [[], [], [], []]
-            for key, text, gone in zip(batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
-                lines = (text.as_py() or "").encode().split(b"\n")
-                n = len(lines)
-                for g in sorted((g["first"], g["lines"]) for g in (gone.as_py() if gone.is_valid else ()) if g["text_key"] == key)[::-1]:
-                    del lines[g[0] : g[0] + g[1]]
-                left = b"\n".join(lines)
-                for column, value in zip(out, (n, n - len(lines), hashlib.sha256(left).hexdigest(), left.decode() if keep_text else None)):
-                    column.append(value)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string()), pa.array(out[3], pa.string())], ["doc_id", "n_lines", "n_removed", "kept_sha256", "kept_text"])
-
-    joined = base.join(gone.hint("shuffle_hash"), "order", "left").select(F.when(F.col("order") != NO_ID, F.col("order")).alias("doc_id"), "text_key", "text", "gone")
-    done = joined.mapInArrow(run, "doc_id long, n_lines long, n_removed long, kept_sha256 string, kept_text string")
-    return done if keep_text else done.drop("kept_text")
+    return docs.select("doc_id", order.alias("order"), F.xxhash64("text").alias("text_key"), "text")
 
 
 def line_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -149,76 +52,110 @@ def line_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, first
 
 
-def _windows(base: DataFrame) -> DataFrame:
-    """``a, b, order, text_key, first``: hashes and place of every two lines that follow each other."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("order", pa.int64()), ("text_key", pa.int64()), ("first", pa.int32())])
+def boundaries(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Whether each line ends a chunk; a text's first ``SPAN - 1`` lines never do."""
+    out = np.zeros(len(hashes), bool)
+    out[SPAN - 1 :] = gram_hashes(hashes, SPAN) % np.uint64(DIVISOR) != 0
+    for k in range(SPAN - 1):
+        out[np.minimum(first[:-1] + k, len(out) - 1)] = False
+    return out
+
+
+def chunks(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last line of every chunk; ``first`` as in ``line_spans``. A text's end counts as a boundary."""
+    n = len(hashes)
+    line, text = np.arange(n), np.repeat(np.arange(len(first) - 1), np.diff(first))
+    begin, end = first[text], first[text + 1] - 1
+    bounds = np.append(np.flatnonzero(boundaries(hashes, first)), n)
+    after = np.minimum(np.minimum(bounds[np.searchsorted(bounds, line, "right")], end), line + MAX_LINES - 1)
+    at = np.searchsorted(bounds, line, "left") - 1
+    before = np.maximum(np.maximum(np.where(at >= 0, bounds[at], 0), begin), line - MAX_LINES + 1)
+    on = np.flatnonzero(after > line)
+    up = np.flatnonzero((before < line) & (after[before] != line))  # else there already
+    return np.concatenate((line[on], before[up])), np.concatenate((after[on], line[up]))
+
+
+def chunk_keys(hashes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of lines ``a`` to ``b``, from running sums of the line hashes times powers of ``BASE``."""
+    power = np.cumprod(np.full(len(hashes) + 1, BASE), dtype=np.uint64)
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(hashes) * power[:-1], dtype=np.uint64)))
+    back = np.cumprod(np.full(len(hashes) + 1, UNBASE), dtype=np.uint64)
+    return mix((sums[b + 1] - sums[a]) * back[a])
+
+
+def _chunk_rows(base: DataFrame) -> DataFrame:
+    """``chunk, order, text_key, first, lines`` of all chunks."""
+    schema = pa.schema([("chunk", pa.int64()), ("order", pa.int64()), ("text_key", pa.int64()), ("first", pa.int32()), ("lines", pa.int32())])
 
     def run(batches):
         for batch in batches:
             order, key = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
             for lo, hi, data, offsets in slices(batch.column(2)):
                 starts, ends, first = line_spans(data, offsets)
-                hashes = signed(hash_spans(data, starts, ends))
-                row = np.repeat(np.arange(hi - lo), np.diff(first))
-                at = np.flatnonzero(row[1:] == row[:-1])
-                row = row[at]
-                yield table(schema, hashes[at], hashes[at + 1], order[lo + row], key[lo + row], (at - first[row]).astype(np.int32))
-
-    return base.mapInArrow(run, "a long, b long, order long, text_key long, first int")
+                hashes = hash_spans(data, starts, ends)
+                a, b = chunks(hashes, first)
+                row = np.searchsorted(first, a, "right") - 1
+                yield table(schema, signed(chunk_keys(hashes, a, b)), order[lo + row], key[lo + row], (a - first[row]).astype(np.int32), (b - a + 1).astype(np.int32))
 
+    return base.select("order", "text_key", "text").mapInArrow(run, "chunk long, order long, text_key long, first int, lines int")
 
-def _placed(batch: pa.RecordBatch, only_again: bool):
-    """``first row, data, offsets, line starts, line ends, first lines, places`` by slice of ``order, text_key, text, places``.
 
-    The last is the index of the first line of each window that ``places`` has for the row's text.
-    """
+def _spans(batch: pa.RecordBatch, fields: int):
+    """``first row, data, offsets, line starts, line ends, first lines, chunk lines from, to, rest``, by slices of ``doc_id,
+    text_key, text, places``: the lines of each chunk in ``places`` that is of the row's text, and its other fields."""
     found = batch.column(3)
-    parent, flat = np.asarray(pa.compute.list_parent_indices(found)), found.flatten()
-    wanted = flat.field("text_key").to_numpy(zero_copy_only=False) == batch.column(1).to_numpy(zero_copy_only=False)[parent]
-    if only_again:
-        wanted &= flat.field("again").to_numpy(zero_copy_only=False).astype(bool)
-    parent, place = parent[wanted], flat.field("first").to_numpy(zero_copy_only=False)[wanted]
+    parent, flat = pc.list_parent_indices(found).to_numpy(zero_copy_only=False), found.flatten()
+    field = lambda name: flat.field(name).to_numpy(zero_copy_only=False)
+    mine = field("text_key") == batch.column(1).to_numpy(zero_copy_only=False)[parent]
+    parent, at, n = parent[mine], field("first")[mine], field("lines")[mine]
+    rest = field("chunk")[mine] if fields > 3 else None
     for lo, hi, data, offsets in slices(batch.column(2)):
         starts, ends, first = line_spans(data, offsets)
         a, b = np.searchsorted(parent, (lo, hi))
-        yield lo, data, offsets, starts, ends, first, first[parent[a:b] - lo] + place[a:b]
+        begin = first[parent[a:b] - lo] + at[a:b]
+        yield lo, data, offsets, starts, ends, first, begin, begin + n[a:b] - 1, None if rest is None else rest[a:b]
 
 
-def without_repeated_passages(docs: DataFrame, keep_text: bool = False) -> DataFrame:
+def without_repeated_lines(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     """``doc_id, n_lines, n_removed, kept_sha256`` (and ``kept_text``) for every row of ``doc_id, text``.
 
-    A line goes if it and a neighbour occur, one after the other, at an earlier place: in a smaller doc_id, or further up.
+    A line goes if a chunk of lines holds it that also starts earlier, byte for byte: in a smaller doc_id, or further up.
     So of each line that goes, a copy stays further up. Lines are what line feeds part; null text is one empty line, like
-    empty text. Rows that share a doc_id are one document. Kept lines are joined by line feeds.
+    empty text. ``doc_id`` is an integer; null ids come last. Rows that share a doc_id are one document: they don't precede
+    each other at the same line. Chunks of different bytes with one hash stay. Kept lines are joined by line feeds. An
+    empty table gives no rows; further columns are not looked at.
     """
     base = _base(docs)
-    windows = _windows(base.select("order", "text_key", "text"))
-    again = windows.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("order", "first")).alias("head")).filter("n > 1").drop("n")
-    places = windows.join(again.hint("shuffle_hash"), ["a", "b"]).select("order", F.struct("text_key", "first", (F.struct("order", "first") != F.col("head")).alias("again")).alias("place"))
-    places = places.groupBy("order").agg(F.collect_list("place").alias("places"))
-    joined = base.join(places.hint("shuffle_hash"), "order", "left").select("order", "text_key", "text", "places")
+    rows = _chunk_rows(base)
+    again = rows.groupBy("chunk").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("order", "first")).alias("head")).filter("n > 1").drop("n")
+    places = cut(rows.join(again.hint("shuffle_hash"), "chunk").select("chunk", "order", "text_key", "first", "lines", (F.struct("order", "first") != F.col("head")).alias("again")))
+
+    def with_places(found, *names):
+        listed = found.groupBy("order").agg(F.collect_list(F.struct(*names)).alias("places"))
+        return base.join(listed.hint("shuffle_hash"), "order", "left").select("doc_id", "text_key", "text", "places")
 
     def bodies(batches):
-        schema = pa.schema([("line", pa.int64()), ("body", pa.binary())])
+        schema = pa.schema([("chunk", pa.int64()), ("body", pa.binary())])
         for batch in batches:
-            for _, data, _, starts, ends, _, at in _placed(batch, False):
-                covered = np.unique(np.concatenate((at, at + 1)))
-                starts, ends = starts[covered], ends[covered]
-                yield table(schema, signed(hash_spans(data, starts, ends)), [data[s:e].tobytes() for s, e in zip(starts.tolist(), ends.tolist())])
+            for _, data, _, starts, ends, _, a, b, key in _spans(batch, 4):
+                for lo in range(0, len(key), 10_000):
+                    part = slice(lo, lo + 10_000)
+                    yield table(schema, key[part], [data[s:e].tobytes() for s, e in zip(starts[a[part]].tolist(), ends[b[part]].tolist())])
 
-    # hashes that stand for different bytes: none, as good as always
-    clash = joined.mapInArrow(bodies, "line long, body binary").groupBy("line").agg(F.min("body").alias("least"), F.max("body").alias("most")).filter("least <> most").agg(F.collect_list("line").alias("clash"))
+    # chunks whose bytes aren't the same everywhere: none, as good as always
+    compared = with_places(places, "text_key", "first", "lines", "chunk").mapInArrow(bodies, "chunk long, body binary")
+    clash = compared.groupBy("chunk").agg(F.min("body").alias("least"), F.max("body").alias("most")).filter("least <> most").select("chunk")
+    gone = places.filter("again").join(cut(clash).hint("merge"), "chunk", "left_anti")
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        schema = pa.schema([("doc_id", pa.int64()), ("n_lines", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept_text", pa.string())])
+        schema = pa.schema([("n_lines", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept_text", pa.string())])
         for batch in batches:
-            clashing = np.array(batch.column(4)[0].as_py() if batch.num_rows else [], np.int64)
-            for lo, data, offsets, starts, ends, first, at in _placed(batch, True):
-                if len(clashing):
-                    bad = np.isin(signed(hash_spans(data, starts, ends)), clashing)
-                    at = at[~(bad[at] | bad[at + 1])]
-                gone = np.zeros(len(starts) + 1, bool)
-                gone[at] = gone[at + 1] = True
+            for lo, data, offsets, starts, _, first, a, b, _ in _spans(batch, 3):
+                edges = np.zeros(len(starts) + 1, np.int64)
+                np.add.at(edges, a, 1)
+                np.add.at(edges, b + 1, -1)
+                gone = np.cumsum(edges) > 0
                 before = np.concatenate(([0], np.cumsum(gone)))
                 removed = before[first[1:]] - before[first[:-1]]
                 raw, kept = data.tobytes(), []
@@ -227,12 +164,13 @@ def without_repeated_passages(docs: DataFrame, keep_text: bool = False) -> DataF
                     if n:
                         left = b"\n".join(x for x, g in zip(left.split(b"\n"), gone[first[k] : first[k + 1]].tolist()) if not g)
                     kept.append(left)
-                ids = batch.column(0).slice(lo, len(kept))
-                yield table(schema, pa.compute.if_else(pa.compute.equal(ids, NO_ID), pa.scalar(None, pa.int64()), ids), np.diff(first), removed, [hashlib.sha256(x).hexdigest() for x in kept], [x.decode() if keep_text else None for x in kept])
+                out = table(schema, np.diff(first), removed, [hashlib.sha256(x).hexdigest() for x in kept], [x.decode() if keep_text else None for x in kept])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(kept)), *out.columns], ["doc_id", *schema.names])
 
-    done = joined.crossJoin(F.broadcast(clash)).mapInArrow(run, "doc_id long, n_lines long, n_removed long, kept_sha256 string, kept_text string")
+    done = with_places(gone, "text_key", "first", "lines").mapInArrow(run, f"doc_id {kind}, n_lines long, n_removed long, kept_sha256 string, kept_text string")
     return done if keep_text else done.drop("kept_text")
 
 
 def op5_lines(spark, sf_dir: str) -> DataFrame:
-    return without_repeated_passages(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """``doc_id, n_lines, n_removed, kept_sha256`` of every row of ``documents``; see ``without_repeated_lines``."""
+    return without_repeated_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"))
