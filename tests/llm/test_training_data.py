@@ -100,10 +100,11 @@ def removed(rows, window):
     return out
 
 
-@pytest.mark.parametrize("group_rows", [1, 20_000])
+@pytest.mark.parametrize("group_rows,hot", [(1, 500), (20_000, 500), (20_000, 2)])
 @pytest.mark.parametrize("window", [5, 20])
-def test_substrings(docs, rows, empty, window, group_rows, monkeypatch):
+def test_substrings(docs, rows, empty, window, group_rows, hot, monkeypatch):
     monkeypatch.setattr(substrings, "GROUP_ROWS", group_rows)
+    monkeypatch.setattr(substrings, "HOT", hot)
     want = removed(rows, window)
     got = substrings.without_repeats(docs, window).collect()
     assert len(got) == len(rows)
