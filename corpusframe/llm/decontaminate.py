@@ -1,36 +1,42 @@
 """Benchmark decontamination: every passage of every document is a query against a BM25 index of the test items.
 
 The index holds, for each item and term, the term's share of the item's own BM25 score, so a score runs from 0 to 1
-whatever the item. All items at or above ``threshold`` are retrieved. Items stand in blocks of ``BLOCK_ITEMS`` with, for
-each term, the largest share in the block (block-max). A passage looks into a block only where the sum of these bounds
-reaches the threshold; terms of many items aren't summed one by one but bounded by their largest total in the block.
+whatever the item. All items at or above ``threshold`` are retrieved, by block-max WAND: items stand in blocks of
+``BLOCK_ITEMS``; a term's postings are its blocks in ascending order, each with the term's largest share in it (block-max),
+and a term has the largest of these as its bound. A passage has a cursor in the postings of each of its terms. Cursors are
+sorted by block, and the first block up to which the bounds of their terms reach the threshold is the pivot; cursors
+before it skip to it, and only where the block-max shares at the pivot reach the threshold too are the block's items scored.
+The steps of all passages of a slice are taken together in numpy.
 What is retrieved is verified: enough of the word triples of the item's question and of its answer are in the passage.
 
 Passages are two cells of as many tokens as the longest item has, and start at every cell, so each item that occurs lies
-whole in one. The index is built by Spark and brought to the tasks in shards of at most ``SHARD_ITEMS`` items of similar
-length; more items mean more shards, each of which all passages are held against.
+whole in one. The index is built by Spark in shards of at most about ``SHARD_ITEMS`` items and ``SHARD_POSTINGS`` postings,
+of items of similar length. Shards stand as rows of a table in the shared folder; one at a time is broadcast, and all
+passages are held against it.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
 import re
+import uuid
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusframe.llm.common import LOWER, gram_hashes, hash_spans, slices, word_spans
+from corpusframe.llm.common import LOWER, cut, gram_hashes, hash_spans, shared_dir, slices, word_spans
 
 K1, B = 1.2, 0.75
 THRESHOLD = 0.5  # of the item's own score
 QUESTION_SHARE = ANSWER_SHARE = 0.5  # of word triples
 BLOCK_ITEMS = 4
-SHARD_ITEMS = 20_000
-COMMON = 0.05  # terms of more than this share of all items are bounded together
-GRID = 4 << 20  # cells times blocks held at once
+SHARD_ITEMS, SHARD_POSTINGS = 20_000, 1 << 20
+SLACK = 1e-9  # of a bound, for sums that were rounded
 #: tokens: letters and digits, any byte of a non-ASCII character
 IS_TOKEN = np.zeros(256, bool)
 IS_TOKEN[list(range(48, 58)) + list(range(97, 123)) + list(range(128, 256))] = True
@@ -67,28 +73,31 @@ def triples(words: np.ndarray) -> np.ndarray:
 
 
 def index_rows(benchmark: DataFrame) -> DataFrame:
-    """``item_id, text, length, terms: [(term, share)]`` with BM25 statistics over all items that have a token."""
+    """``item, item_id, text, length, terms: [(term, weight)], total`` with BM25 statistics over all items that have a token.
+
+    Rows that repeat an id and text are one item; ``item`` is its hash, which stands for it while terms are counted.
+    """
 
     def run(batches):
         for batch in batches:
-            for ident, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            out = [[], [], [], []]
+            for ident, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
                 words = tokens_of(text or "")
                 if len(words):
                     term, tf = np.unique(words, return_counts=True)
-                    n = len(term)
-                    yield pa.RecordBatch.from_pydict({"item_id": pa.array([ident] * n, batch.column(0).type), "text": pa.array([text] * n, pa.string()), "length": pa.array([len(words)] * n, pa.int64()), "term": pa.array(term.view(np.int64)), "tf": pa.array(tf, pa.int64())})
-
-    kind = benchmark.schema["item_id"].dataType.simpleString()
-    rows = benchmark.select("item_id", "text").mapInArrow(run, f"item_id {kind}, text string, length long, term long, tf long")
-    items = rows.select("item_id", "text", "length").distinct()
-    stats = items.agg(F.count(F.lit(1)).alias("n_items"), F.avg("length").alias("mean_length"))
-    df = rows.select("item_id", "text", "term").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.log(1 + (F.col("n_items") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))
-    one = F.broadcast(stats)  # a single row
-    weighed = rows.distinct().join(df, "term").join(one).withColumn("weight", weight)
-    terms = F.array_sort(F.collect_list(F.struct("term", "weight", (F.col("df") > COMMON * F.col("n_items")).alias("common"))))
-    return weighed.groupBy("item_id", "text", "length").agg(terms.alias("terms"), F.sum("weight").alias("total"))
+                    for column, value in zip(out, (ident, len(words), term.view(np.int64), tf)):
+                        column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())))], ["item", "length", "term", "tf"])
+
+    items = benchmark.select(F.xxhash64("item_id", "text").alias("item"), "item_id", "text").dropDuplicates(["item"])
+    counted = cut(items.mapInArrow(run, "item long, length long, term array<long>, tf array<long>"))
+    n_items, mean = counted.agg(F.count(F.lit(1)), F.avg("length")).first()
+    terms = counted.select("item", "length", F.explode(F.arrays_zip("term", "tf")).alias("t")).select("item", "length", "t.term", "t.tf")
+    df = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    idf = F.log(1 + (F.lit(n_items) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.lit(mean or 1.0)))
+    weighed = terms.join(df, "term").withColumn("weight", weight).groupBy("item").agg(F.first("length").alias("length"), F.array_sort(F.collect_list(F.struct("term", "weight"))).alias("terms"), F.sum("weight").alias("total"))
+    return weighed.join(items, "item").select("item", "item_id", "text", "length", "terms", "total")
 
 
 @dataclass
@@ -98,16 +107,15 @@ class Shard:
     ids: list = field(default_factory=list)
     longest: int = 1
     vocabulary: np.ndarray = None  # sorted term hashes
-    block_terms: list = field(default_factory=list)  # term numbers of a block's items, one item after the other
-    block_shares: list = field(default_factory=list)
-    block_first: list = field(default_factory=list)  # where each item begins
     question: list = field(default_factory=list)  # triple hashes
     answer: list = field(default_factory=list)
-    post_first: np.ndarray = None  # block postings of each term: first, then blocks and bounds
-    post_block: np.ndarray = None
-    post_bound: np.ndarray = None
-    common_bound: np.ndarray = None  # of each block
+    item_terms: list = field(default_factory=list)  # term numbers of each item and their shares
+    item_shares: list = field(default_factory=list)
     blocks: int = 0
+    post_first: np.ndarray = None  # first posting of each term
+    post_key: np.ndarray = None  # term number times blocks plus block, ascending
+    post_share: np.ndarray = None  # block-max
+    bound: np.ndarray = None  # of each term, over all blocks
 
     @classmethod
     def build(cls, rows: list) -> Shard:
@@ -115,33 +123,59 @@ class Shard:
         self = cls(ids=[r["item_id"] for r in rows], longest=max(r["length"] for r in rows))
         self.vocabulary = np.unique(np.array([t["term"] for r in rows for t in r["terms"]], np.int64).view(np.uint64))
         self.blocks = -(-len(rows) // BLOCK_ITEMS)
-        self.common_bound = np.zeros(self.blocks)
-        bound: dict[tuple[int, int], float] = {}
-        item_terms, item_shares = [], []
+        keys = []
         for i, r in enumerate(rows):
             number = np.searchsorted(self.vocabulary, np.array([t["term"] for t in r["terms"]], np.int64).view(np.uint64))
-            share = np.array([t["weight"] for t in r["terms"]]) / r["total"]
-            common = np.array([t["common"] for t in r["terms"]])
-            item_terms.append(number)
-            item_shares.append(share)
+            self.item_terms.append(number)
+            self.item_shares.append(np.array([t["weight"] for t in r["terms"]]) / r["total"])
+            keys.append(number * self.blocks + i // BLOCK_ITEMS)
             for part, text in zip((self.question, self.answer), question_answer(r["text"])):
                 part.append(triples(tokens_of(text)))
-            block = i // BLOCK_ITEMS
-            self.common_bound[block] = max(self.common_bound[block], share[common].sum())
-            for n, s in zip(number[~common].tolist(), share[~common].tolist()):
-                bound[n, block] = max(bound.get((n, block), 0), s)
-        for lo in range(0, len(rows), BLOCK_ITEMS):
-            part = item_terms[lo : lo + BLOCK_ITEMS]
-            self.block_terms.append(np.concatenate(part))
-            self.block_shares.append(np.concatenate(item_shares[lo : lo + BLOCK_ITEMS]))
-            self.block_first.append(np.concatenate(([0], np.cumsum([len(x) for x in part])[:-1])))
-        keys = sorted(bound)
-        terms = np.array([k[0] for k in keys], np.int64)
-        self.post_first = np.searchsorted(terms, np.arange(len(self.vocabulary) + 1))
-        self.post_block = np.array([k[1] for k in keys], np.int64)
-        self.post_bound = np.array([bound[k] for k in keys])
+        self.post_key, number = np.unique(np.concatenate(keys), return_inverse=True)
+        self.post_share = np.zeros(len(self.post_key))
+        np.maximum.at(self.post_share, number, np.concatenate(self.item_shares))
+        self.post_first = np.searchsorted(self.post_key, np.arange(len(self.vocabulary) + 1) * self.blocks)
+        self.bound = np.maximum.reduceat(self.post_share, self.post_first[:-1])
         return self
 
+    def candidates(self, passage: np.ndarray, term: np.ndarray, threshold: float):
+        """``(passage, block)`` where the sum of block-max shares reaches the threshold, by WAND.
+
+        ``passage, term``: the distinct terms of each passage, in ascending order of passages. A cursor is an entry here.
+        """
+        threshold -= SLACK
+        cursor = self.post_first[term]
+        while len(passage):
+            block = self.post_key[cursor] - term * self.blocks
+            order = np.argsort(passage * self.blocks + block, kind="stable")  # cursors of each passage by their block
+            passage, term, cursor, block = passage[order], term[order], cursor[order], block[order]
+            edge = np.flatnonzero(np.concatenate(([True], passage[1:] != passage[:-1])))
+            number = np.repeat(np.arange(len(edge)), np.diff(np.concatenate((edge, [len(passage)]))))
+            reach = np.cumsum(self.bound[term])
+            reach -= np.concatenate(([0.0], reach))[edge][number]  # sum of bounds up to each cursor
+            far = np.flatnonzero(reach >= threshold)
+            first = np.full(len(edge), len(passage))
+            np.minimum.at(first, number[far], far)
+            alive = first < len(passage)  # a passage without a pivot is done
+            pivot = np.where(alive, block[np.minimum(first, len(passage) - 1)], 0)
+            keep = alive[number]
+            passage, term, cursor, block, number = passage[keep], term[keep], cursor[keep], block[keep], number[keep]
+            target = pivot[number]
+            behind = np.flatnonzero(block < target)  # these skip to the pivot or behind it
+            cursor[behind] = np.searchsorted(self.post_key, term[behind] * self.blocks + target[behind])
+            inside = cursor < self.post_first[term + 1]
+            passage, term, cursor, number, target = passage[inside], term[inside], cursor[inside], number[inside], target[inside]
+            at = self.post_key[cursor] - term * self.blocks == target
+            share = np.bincount(number[at], self.post_share[cursor[at]], len(edge))
+            found = share >= threshold
+            if found.any():
+                named = np.zeros(len(edge), np.int64)
+                named[number] = passage
+                yield from zip(named[found].tolist(), pivot[found].tolist())
+            cursor = cursor + at  # on from the pivot
+            inside = cursor < self.post_first[term + 1]
+            passage, term, cursor = passage[inside], term[inside], cursor[inside]
+
     def search(self, data: np.ndarray, offsets: np.ndarray, threshold: float):
         """``(text, first token of the passage, item, score, question share, answer share)`` of all verified matches."""
         words, first = tokens(data, offsets)
@@ -149,100 +183,111 @@ class Shard:
             return
         at = np.minimum(np.searchsorted(self.vocabulary, words), len(self.vocabulary) - 1)
         known = np.flatnonzero(self.vocabulary[at] == words)
-        count = np.diff(first)
-        cells = -(-count // self.longest)
-        cell_first = np.concatenate(([0], np.cumsum(cells)))
-        total = int(cell_first[-1])
-        text_of_cell = np.repeat(np.arange(len(count)), cells)
+        cells = -(-np.diff(first) // self.longest)
+        count = np.maximum(cells - 1, np.minimum(cells, 1))  # passages of each text
+        passage_first = np.concatenate(([0], np.cumsum(count)))
         text = np.searchsorted(first, known, "right") - 1
-        cell = cell_first[text] + (known - first[text]) // self.longest
-        pairs = np.unique(cell * len(self.vocabulary) + at[known])
-        cell, term = pairs // len(self.vocabulary), pairs % len(self.vocabulary)
-        step, present = max(2, GRID // self.blocks), np.zeros(len(self.vocabulary), bool)
-        for lo in range(0, total, step - 1):  # one cell is seen twice: passages span two
-            hi = min(lo + step, total)
-            inside = slice(*np.searchsorted(cell, (lo, hi)))
-            n = self.post_first[term[inside] + 1] - self.post_first[term[inside]]
-            post = np.repeat(self.post_first[term[inside]] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-            place = np.repeat(cell[inside] - lo, n) * self.blocks + self.post_block[post]
-            bound = np.bincount(place, self.post_bound[post], (hi - lo) * self.blocks).reshape(hi - lo, self.blocks)
-            same = np.zeros(hi - lo, bool)
-            same[:-1] = text_of_cell[lo : hi - 1] == text_of_cell[lo + 1 : hi]
-            bound[:-1] += np.where(same[:-1, None], bound[1:], 0)
-            alone = cells[text_of_cell[lo:hi]] == 1
-            bound[~(same | alone)] = -1  # a last cell was part of the passage before
-            for c, block in zip(*np.nonzero(bound + self.common_bound >= threshold)):
-                if c == hi - lo - 1 and hi < total and not alone[c]:
+        cell = (known - first[text]) // self.longest
+        inside = [cell < count[text], cell > 0]  # a token is in the passages of its cell and of the one before
+        size = len(self.vocabulary)
+        pairs = np.unique(np.concatenate([(passage_first[text[i]] + cell[i] - back) * size + at[known[i]] for back, i in enumerate(inside)]))
+        passage, term = pairs // size, pairs % size
+        most = np.bincount(passage, self.bound[term], int(passage_first[-1]))
+        some = most[passage] >= threshold - SLACK
+        present = np.zeros(size, bool)
+        for p, block in self.candidates(passage[some], term[some], threshold):
+            i = int(np.searchsorted(passage_first, p, "right")) - 1
+            a = int(first[i] + (p - passage_first[i]) * self.longest)
+            part = words[a : min(a + 2 * self.longest, int(first[i + 1]))]
+            numbers, grams = at[a : a + len(part)], None
+            numbers = numbers[self.vocabulary[numbers] == part]
+            present[numbers] = True
+            for item in range(block * BLOCK_ITEMS, min((block + 1) * BLOCK_ITEMS, len(self.ids))):
+                score = float(self.item_shares[item][present[self.item_terms[item]]].sum())
+                if score < threshold:
                     continue
-                c += lo
-                i = int(text_of_cell[c])
-                a = int(first[i] + (c - cell_first[i]) * self.longest)
-                passage = words[a : min(a + 2 * self.longest, int(first[i + 1]))]
-                numbers, grams = at[a : a + len(passage)], None
-                numbers = numbers[self.vocabulary[numbers] == passage]
-                present[numbers] = True
-                scores = np.add.reduceat(self.block_shares[block] * present[self.block_terms[block]], self.block_first[block])
-                present[numbers] = False
-                for item in block * BLOCK_ITEMS + np.flatnonzero(scores >= threshold):
-                    score = float(scores[item - block * BLOCK_ITEMS])
-                    if grams is None:
-                        grams = [gram_hashes(passage, k) for k in (1, 2, 3)]  # a part of under three words is one gram
-                    shares = [max(float(np.isin(part[item], g).mean()) for g in grams) for part in (self.question, self.answer)]
-                    if shares[0] >= QUESTION_SHARE and shares[1] >= ANSWER_SHARE:
-                        yield i, a - int(first[i]), item, score, *shares
-
-
-def shards(benchmark: DataFrame) -> list[Shard]:
-    """The index in parts of at most about ``SHARD_ITEMS`` items, whose lengths differ by a factor of 4 at most."""
-    rows = index_rows(benchmark).withColumn("class", F.floor(F.log(F.greatest(F.lit(1.0), (F.col("length") - 1) / 64.0)) / math.log(4))).persist()
-    sizes = rows.groupBy("class").count().orderBy("class").collect()  # a few rows: lengths by powers of 4
-    out = []
-    for s in sizes:
-        parts = -(-s["count"] // SHARD_ITEMS)
-        for p in range(parts):
-            mine = rows.filter((F.col("class") == s["class"]) & (F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == p))
-            got = mine.select("item_id", "text", "length", "terms", "total").collect()
-            if got:
-                out.append(Shard.build(got))
-    rows.unpersist()
-    return out
+                if grams is None:
+                    grams = [gram_hashes(part, k) for k in (1, 2, 3)]  # a part of under three words is one gram
+                shares = [max(float(np.isin(want[item], g).mean()) for g in grams) for want in (self.question, self.answer)]
+                if shares[0] >= QUESTION_SHARE and shares[1] >= ANSWER_SHARE:
+                    yield i, a - int(first[i]), item, score, *shares
+            present[numbers] = False
+
+
+def index(benchmark: DataFrame) -> DataFrame:
+    """``class, part, shard``: the index in parts, built in tasks.
+
+    Lengths in a class differ by a factor of 4 at most. To the driver come two numbers of each class.
+    """
+    level = F.floor(F.log(F.greatest(F.lit(1.0), (F.col("length") - 1) / 64.0)) / math.log(4)).cast("int")
+    rows = cut(index_rows(benchmark).withColumn("class", level))
+    sizes = rows.groupBy("class").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("terms")).alias("postings")).collect()
+    parts = [F.when(F.col("class") == s["class"], max(-(-s["n"] // SHARD_ITEMS), -(-s["postings"] // SHARD_POSTINGS))) for s in sizes]
+
+    def build(pdf: pd.DataFrame) -> pd.DataFrame:
+        shard = Shard.build(pdf[["item_id", "text", "length", "terms", "total"]].to_dict("records"))
+        return pd.DataFrame({"class": pdf["class"][:1], "part": pdf["part"][:1], "shard": [pickle.dumps(shard)]})
+
+    dealt = rows.withColumn("part", F.pmod(F.xxhash64("item"), F.coalesce(*parts, F.lit(1))).cast("int"))
+    return cut(dealt.groupBy("class", "part").applyInPandas(build, "class int, part int, shard binary"))
+
+
+def shards(benchmark: DataFrame):
+    """The parts of the index, each broadcast while it is in use, and whether it is the last."""
+    table = index(benchmark)
+    names = table.select("class", "part").orderBy("class", "part").collect()  # a row for each SHARD_ITEMS items
+    context = benchmark.sparkSession.sparkContext
+    for k, (level, part) in enumerate(names):
+        got = table.filter((F.col("class") == level) & (F.col("part") == part)).select("shard").first()
+        yield k + 1 == len(names), context.broadcast(bytes(got[0]))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``doc_id, item_id, score, question_share, answer_share, first_token``: the best passage for each leaked item.
 
     Whole texts are searched. Null and empty texts, and items without a letter or digit, match nothing. Repeated rows
-    give one row; a null doc_id is an id like others here.
+    give one row; a null doc_id is an id like others here, and so is a null item_id. Empty tables give no rows; further
+    columns are not looked at. What each part of the index finds is written to the shared folder before the next.
     """
     docs = docs.select("doc_id", "text")
+    spark = docs.sparkSession
     kinds = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id {benchmark.schema['item_id'].dataType.simpleString()}"
     names = ["doc_id", "item_id", "score", "question_share", "answer_share", "first_token"]
     schema = f"{kinds}, score double, question_share double, answer_share double, first_token long"
     item_type = pa.int64() if "item_id bigint" in kinds else pa.int32() if "item_id int" in kinds else pa.string()
-    out = None
-    for shard in shards(benchmark):
+    out, place = None, f"{shared_dir(spark)}/leaks-{uuid.uuid4().hex}"
+    for last, shipped in shards(benchmark):
 
-        def run(batches, shard=shard):
+        def run(batches, shipped=shipped):
+            shard = pickle.loads(shipped.value)
             for batch in batches:
                 for lo, _, data, offsets in slices(batch.column(1)):
                     found = list(shard.search(data, offsets, threshold))
                     if found:
                         text, token, item, score, q, a = zip(*found)
-                        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([lo + t for t in text])), pa.array([shard.ids[i] for i in item], item_type), *[pa.array(np.round(v, 4), pa.float64()) for v in (score, q, a)], pa.array(token, pa.int64())], names)
+                        ids = [None if shard.ids[i] is None or shard.ids[i] != shard.ids[i] else shard.ids[i] for i in item]
+                        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([lo + t for t in text])), pa.array(ids, item_type), *[pa.array(np.round(v, 4), pa.float64()) for v in (score, q, a)], pa.array(token, pa.int64())], names)
 
         part = docs.mapInArrow(run, schema)
-        out = part if out is None else out.unionByName(part)
+        if last:
+            out = part if out is None else spark.read.schema(schema).parquet(place).unionByName(part)
+        else:
+            part.write.mode("append").parquet(place)
+            shipped.unpersist()
+            out = docs
     if out is None:
-        return docs.sparkSession.createDataFrame([], schema)
+        return spark.createDataFrame([], schema)
     best = F.max(F.struct("score", "question_share", "answer_share", (-F.col("first_token")).alias("back"))).alias("m")
     return out.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "m.score", "m.question_share", "m.answer_share", (-F.col("m.back")).alias("first_token"))
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` in which no item leaks, all columns as they were. Nothing is shuffled."""
-    for shard in shards(benchmark):
+    """The rows of ``docs`` in which no item leaks, all columns as they were; see ``leaks`` for odd rows, all of which stay
+    here. Nothing is shuffled. With several parts of the index, what one has left is cut before the next."""
+    for last, shipped in shards(benchmark):
 
-        def run(batches, shard=shard):
+        def run(batches, shipped=shipped):
+            shard = pickle.loads(shipped.value)
             for batch in batches:
                 keep = np.ones(batch.num_rows, bool)
                 for lo, _, data, offsets in slices(batch.column("text")):
@@ -251,8 +296,12 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, threshold: float = TH
                 yield batch.filter(pa.array(keep))
 
         docs = docs.mapInArrow(run, docs.schema)
+        if not last:
+            docs = cut(docs)
+            shipped.unpersist()
     return docs
 
 
 def op1_decontaminate(spark, sf_dir: str) -> DataFrame:
+    """``leaks`` of all items of ``benchmark`` in all ``documents``."""
     return leaks(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

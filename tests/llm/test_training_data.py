@@ -404,7 +404,9 @@ def test_jaccard(spark, docs, rows, empty, tile_rows, monkeypatch):
     assert {30, 31, 20, 34} <= kept and not {22, 35} & kept
 
 
-def test_decontamination(spark, empty):
+@pytest.mark.parametrize("shard_items", [1, 20_000])
+def test_decontamination(spark, empty, shard_items, monkeypatch):
+    monkeypatch.setattr(decontaminate, "SHARD_ITEMS", shard_items)
     items = [(1, "What color is the tallest tower of glass? It is deep purple with silver lines."), (2, passage(50, 40) + ". " + passage(51, 12)), (3, None), (4, "!!"), (5, "short one")]
     benchmark = spark.createDataFrame(items, "item_id long, text string")
     rows = [(1, passage(60, 90) + " " + items[0][1].upper() + " " + passage(61, 90)), (2, passage(62, 300) + "\n" + items[1][1]), (3, items[1][1][:60]), (4, passage(63, 500)), (5, None), (6, ""), (7, items[0][1].split("?")[0] + "? " + passage(64, 60))]
@@ -426,7 +428,7 @@ def test_block_max_search_equals_scoring_all():
     for i, text in enumerate(items):
         term, tf = np.unique(decontaminate.tokens_of(text), return_counts=True)
         weights = rng.random(len(term)) * tf
-        rows.append({"item_id": i, "text": text, "length": len(text.split()), "terms": [{"term": int(t), "weight": float(w), "common": bool(rng.random() < 0.3)} for t, w in zip(term.view(np.int64), weights)], "total": float(weights.sum())})
+        rows.append({"item_id": i, "text": text, "length": len(text.split()), "terms": [{"term": int(t), "weight": float(w)} for t, w in zip(term.view(np.int64), weights)], "total": float(weights.sum())})
     shard = decontaminate.Shard.build(rows)
     texts = [f"{passage(i, 70)} {items[i % 30]} {passage(i + 1, 33 * (i % 4))}" for i in range(40)] + ["", items[3]]
     raw = [t.encode() for t in texts]
