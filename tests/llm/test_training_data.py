@@ -76,10 +76,42 @@ def test_media(docs, rows, empty):
 def test_lacing_round_trip(lacing, n):
     payload = bytes(np.random.default_rng(n).integers(0, 256, n, dtype=np.uint8))
     media = matroska.write_media(payload, lacing=lacing)
-    assert matroska.features(media)["payload"] == payload
     found, cues = matroska.read_media(media)
+    assert b"".join(media[p["byte_start"] : p["byte_start"] + p["byte_length"]] for p in found.to_pylist()) == payload
     assert cues[0][0] == 0 and media[cues[0][1] : cues[0][1] + 4] == matroska.CLUSTER.to_bytes(4, "big")
-    assert [p[1] for p in found] == [24 * k for k in range(len(found))]
+    assert found["timestamp_ns"].to_pylist() == [24_000_000 * k for k in range(len(found))]
+
+
+def test_times_come_from_the_file():
+    m = matroska
+    block = lambda track, at, kind, frames: m.vint(track) + at.to_bytes(2, "big") + bytes([0x80 | kind << 1]) + m.lace(frames, kind)
+    three = [b"a" * 300, b"bb", b"ccc"]
+
+    def media(scale, default):
+        tracks = m.element(m.TRACKS, b"".join(m.element(m.TRACK_ENTRY, m.number(m.TRACK_NUMBER, t) + (m.number(m.DEFAULT_DURATION, d) if d else b"")) for t, d in default.items()))
+        cluster = m.number(m.TIMESTAMP, 50) + m.element(m.SIMPLE_BLOCK, block(1, 7, 1, three)) + m.element(m.SIMPLE_BLOCK, block(2, 9, 3, three))
+        cluster += m.element(m.BLOCK_GROUP, m.element(m.BLOCK, block(1, 20, 3, three)) + m.number(m.BLOCK_DURATION, 6)) + m.element(m.BLOCK_GROUP, m.element(m.BLOCK, block(2, 21, 0, [b"x"])) + m.element(m.REFERENCE, b"\x01"))
+        info = m.element(m.INFO, m.number(m.SCALE, scale)) if scale else m.element(m.INFO, b"")
+        return m.element(m.EBML, b"") + m.element(m.SEGMENT, m.element(m.CLUSTER, cluster) + info + tracks)
+
+    table, cues = m.read_media(media(500_000, {1: 2_000_000, 2: 0}))
+    rows = table.to_pylist()
+    assert [r["track"] for r in rows] == [1, 1, 1, 2, 2, 2, 1, 1, 1, 2] and cues == []
+    assert [r["timestamp_ns"] for r in rows] == [28_500_000, 30_500_000, 32_500_000, 29_500_000, None, None, 35_000_000, 36_000_000, 37_000_000, 35_500_000]
+    assert [r["duration_ns"] for r in rows] == [2_000_000] * 3 + [None] * 3 + [1_000_000] * 3 + [None]
+    assert [r["keyframe"] for r in rows] == [True] * 9 + [False] and [r["byte_length"] for r in rows[:3]] == [300, 2, 3]
+    assert m.read_media(media(None, {}))[0]["timestamp_ns"][0].as_py() == 57_000_000
+    whole = m.write_media(b"z" * 2000)
+    for end in range(1, len(whole), 7):
+        with pytest.raises(ValueError):
+            m.read_media(whole[:end])
+
+
+def test_null_media(spark):
+    frame = spark.createDataFrame([(1, 4, None), (None, 3, bytearray(matroska.write_media(b"abc")))], "doc_id long, n_bytes long, media binary").withColumn("packets", F.lit(1))
+    got = sorted(matroska.media_digest(frame).collect(), key=lambda r: r.n_bytes)
+    assert got[0].payload_bytes == 3 and got[0].doc_id is None and got[1].payload_sha256 is None and got[1].doc_id == 1
+    assert [(r.doc_id, r.packet_no, r.byte_length) for r in matroska.packets(frame).collect()] == [(None, 0, 3)]
 
 
 def removed(rows, window):
