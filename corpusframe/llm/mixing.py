@@ -185,7 +185,7 @@ def taken_words():
 
 
 def mix_table(docs: DataFrame, block: int = BLOCK, seed: int = SEED) -> DataFrame:
-    """``doc_id, size, source_size, target, taken`` for every row of ``documents``."""
+    """``doc_id, size, source_size, target, taken`` for every row of ``documents``; see ``mix`` for odd rows."""
     # texts are read once; what is kept of them is a size and a hash
     sized = cut(with_size(docs.select("doc_id", "text", F.col("source").cast("string").alias("source"))).drop("text"))
     return mix(sized, block, seed).select("doc_id", "size", "source_size", "target", taken_words().alias("taken"))
@@ -194,7 +194,9 @@ def mix_table(docs: DataFrame, block: int = BLOCK, seed: int = SEED) -> DataFram
 def mixed_documents(docs: DataFrame, block: int = BLOCK, seed: int = SEED) -> DataFrame:
     """The mixture as documents: copy c of a document holds the pieces that at least c slots take.
 
-    A document that no slot takes goes; one whose pieces are all taken twice comes twice. Words are joined by one space.
+    A document that no slot takes goes; one whose pieces are all taken twice comes twice. Pieces are cut from the text as it
+    stands, each with the white space behind it (and in front of the first word), so lines and spacing stay. Null and
+    empty texts have no words and go. Null ids and sources are values like others; equal rows count as often as they come.
     """
     kept = ["doc_id", "text", "lang", "source", "n_chars"]
     sized = with_size(docs.select(*kept))
@@ -204,15 +206,16 @@ def mixed_documents(docs: DataFrame, block: int = BLOCK, seed: int = SEED) -> Da
     # texts move once, to the pieces of their document; rows that are equal in all columns share one text
     texts = sized.groupBy("doc_id", "order_hash").agg(F.any_value(F.struct("text", "lang", "source")).alias("d"))
     joined = texts.join(mixed.hint("merge"), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("order_hash") == F.col("hash")))
-    joined = joined.withColumn("all_words", F.regexp_extract_all("d.text", F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1)))
+    joined = joined.withColumn("all_words", F.regexp_extract_all("d.text", F.lit(r"((?:^[\x20\x09-\x0D]+)?[^\x20\x09-\x0D]+[\x20\x09-\x0D]*)"), F.lit(1)))
 
     def copy(number):
         chosen = F.transform(F.filter("pieces", lambda p: p["uses"] >= number), lambda p: F.slice("all_words", (p["first"] + 1).cast("int"), p["words"].cast("int")))
-        return F.array_join(F.flatten(chosen), " ")
+        return F.array_join(F.flatten(chosen), "")
 
     text = F.explode(F.transform(F.sequence(F.lit(1).cast("long"), F.col("most")), copy)).alias("text")
     return joined.select("doc_id", text, "d.lang", "d.source").withColumn("n_chars", F.length("text").cast("long")).select(*kept)
 
 
 def op7_mix(spark, sf_dir: str) -> DataFrame:
+    """``mix_table`` of all ``documents``."""
     return mix_table(spark.read.parquet(f"{sf_dir}/documents.parquet"))

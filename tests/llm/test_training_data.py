@@ -342,7 +342,14 @@ def test_mixing(docs, rows, empty):
         assert abs(taken[s] - want[s]) <= max(16, 0.1 * want[s])
     mixed = mixing.mixed_documents(docs, block=16)
     assert mixed.columns == ["doc_id", "text", "lang", "source", "n_chars"]
-    assert sum(len(words(r.text)) for r in mixed.collect()) == sum(r.taken for r in got)
+    copies = mixed.collect()
+    assert sum(len(words(r.text)) for r in copies) == sum(r.taken for r in got)
+    texts = {}
+    for doc_id, text, *_ in rows:
+        texts.setdefault(doc_id, set()).add(text)
+    whole = [r for r in copies if len(words(r.text)) == by_id[r.doc_id].size]
+    assert any("\n" in r.text for r in whole) and all(r.text in texts[r.doc_id] for r in whole)
+    assert all(all(any(line in t for t in texts[r.doc_id]) for line in r.text.split("\n")[:1]) for r in copies if len(words(r.text)) <= 16)
     assert mixing.mix_table(empty).count() == 0
 
 
