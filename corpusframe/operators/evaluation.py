@@ -197,7 +197,7 @@ def build_report(parts: dict[str, DataFrame]) -> DataFrame:
 
 
 def markdown(report: DataFrame) -> str:
-    """The report, a small table, as Markdown."""
+    """The report, a small table (its first 10,000 lines), as Markdown."""
     lines = ["| section | item | metric | value |", "|---|---|---|---|"]
     lines += [f"| {r['section']} | {r['item']} | {r['metric']} | {r['value']} |" for r in report.orderBy("section", "item", "metric").limit(10_000).collect()]
     return "\n".join(lines)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from corpusframe.functions.text import clean_text, text_of
 from corpusframe.operators.common import first_rows, if_small, ordered_join
+from corpusframe.operators.retrieval import union_recall
 
 # Mode -> critic rounds, sub-queries, breadth, answer tokens, detail.
 MODES = {"low": (0, 0, 1.0, 1600, "concise"), "medium": (1, 2, 1.25, 3200, "balanced"), "high": (2, 4, 1.5, 5500, "comprehensive")}
@@ -165,6 +166,14 @@ def weak_evidence(df: DataFrame, least: float = 0.45, factor: float = 1.5) -> Da
     return df.filter(~F.coalesce("sufficient", F.lit(True)) | (F.col("confidence") < least)).select("query_id", F.floor(F.col("k") * factor).cast("long").alias("k"))
 
 
+def broadened(flagged: DataFrame, queries: DataFrame, search) -> DataFrame:
+    """The recall of flagged questions anew: ``search(queries)`` gives ``query_id, sub_no, chunk_id, rank``, of which each
+    question gets its larger ``k``, every chunk once. Questions that aren't flagged are not searched."""
+    again = search(queries.join(flagged.select("query_id"), "query_id", "left_semi"))
+    kept = again.join(flagged, "query_id").filter("rank <= k").select(F.col("query_id").alias("question_id"), "sub_no", "rank", "chunk_id")
+    return union_recall(kept)
+
+
 def library_documents(chunks: DataFrame, max_docs: int = 60, max_chunks: int = 400, max_rows: int = 20_000) -> DataFrame:
     """``library_id, doc_id, n_chunks, text, truncated``: whole documents of a library in id order, chunks in order."""
     rows = first_rows(chunks, ["library_id"], [F.col("doc_id"), F.col("chunk_index")], max_rows, "row_no")

@@ -20,10 +20,15 @@ def bm25_index(chunks: DataFrame) -> DataFrame:
     sized = terms.withColumn("length", F.size("terms").cast("long"))
     stats = sized.groupBy("library_id").agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean_length"))
     postings = sized.select("library_id", "chunk_id", "length", F.explode("terms").alias("term")).groupBy("library_id", "term", "chunk_id").agg(F.count(F.lit(1)).alias("tf"), F.first("length").alias("length"))
+    return _weighed(postings, stats)
+
+
+def _weighed(postings: DataFrame, stats: DataFrame) -> DataFrame:
+    """Postings with BM25 weights. ``stats`` has a row for each library: Spark broadcasts it where its size allows."""
     df = postings.groupBy("library_id", "term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))
-    return postings.join(df, ["library_id", "term"]).join(if_small(stats), "library_id").select("library_id", "term", "chunk_id", weight.alias("weight"))
+    return postings.join(df, ["library_id", "term"]).join(stats, "library_id").select("library_id", "term", "chunk_id", weight.alias("weight"))
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -32,6 +37,18 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", *scope, F.explode(F.array_distinct(keywords(F.col("question")))).alias("term"))
 
 
+def bm25_search(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
+    """``bm25_topk`` without an index: of all chunks only lengths are kept, and postings of terms that a query has.
+
+    Chunks meet the distinct query terms before anything is shuffled, so common words that nobody asks for never move.
+    """
+    sized = chunks.select("library_id", "chunk_id", keywords(F.col("text"), 1_000_000).alias("terms")).withColumn("length", F.size("terms").cast("long"))
+    asked = if_small(query_terms(queries).select("term").distinct())
+    stats = sized.groupBy("library_id").agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean_length"))
+    postings = sized.select("library_id", "chunk_id", "length", F.explode("terms").alias("term")).join(asked, "term").groupBy("library_id", "term", "chunk_id").agg(F.count(F.lit(1)).alias("tf"), F.first("length").alias("length"))
+    return bm25_topk(queries, _weighed(postings, stats), k)
+
+
 def bm25_topk(queries: DataFrame, index: DataFrame, k: int) -> DataFrame:
     """``query_id, chunk_id, library_id, score, rank``: up to ``max(20, 4k)`` chunks of each query."""
     terms = query_terms(queries)
@@ -52,8 +69,8 @@ def ilike_search(queries: DataFrame, chunks: DataFrame, k: int, newest: str = "u
     return out.select("query_id", "chunk_id", "library_id", F.lit(0.2).alias("score"), "rank")
 
 
-def keyword_search(queries: DataFrame, index: DataFrame, chunks: DataFrame, k: int, newest: str = "updated_at") -> DataFrame:
-    """BM25 results; for queries that have none, the substring search."""
-    ranked = bm25_topk(queries, index, k)
-    missed = queries.join(ranked.select("query_id").distinct(), "query_id", "left_anti")
+def keyword_search(queries: DataFrame, chunks: DataFrame, k: int, newest: str = "updated_at", scoped: DataFrame | None = None) -> DataFrame:
+    """BM25 results; for queries that have none, the substring search in the libraries that ``scoped`` (or ``queries``) has."""
+    ranked = bm25_search(queries, chunks, k)
+    missed = (queries if scoped is None else scoped).join(ranked.select("query_id").distinct(), "query_id", "left_anti")
     return ranked.unionByName(ilike_search(missed, chunks, k, newest))

@@ -85,6 +85,12 @@ def progress(jobs: DataFrame, stages: dict[str, int] = STAGES) -> DataFrame:
     return each.groupBy("library_id").agg(F.round(F.least(F.lit(100.0), F.sum(F.col("share") * weights[F.col("stage")])), 2).alias("progress"))
 
 
+def plain_progress(jobs: DataFrame, stages: int) -> DataFrame:
+    """``library_id, progress``: jobs done of those that its batches need, one for each stage; from 0 to 100."""
+    done = F.count_if(F.col("status") == "done")
+    return jobs.groupBy("library_id").agg(F.round(100.0 * done / (F.count_distinct("batch_id") * stages), 2).alias("progress"))
+
+
 def ready_batches(jobs: DataFrame, needs=("text_extraction", "image_captioning")) -> DataFrame:
     """``library_id, batch_id`` of batches all of whose jobs in each of ``needs`` are done."""
     done = [F.coalesce(F.bool_and(F.when(F.col("stage") == s, F.col("status") == "done")), F.lit(False)) for s in needs]
@@ -130,6 +136,14 @@ def usage_meter(messages: DataFrame, since) -> DataFrame:
     return recent.groupBy("thread_id").agg(F.count_if(F.col("role") == "assistant").alias("requests"), F.sum(usage_tokens(F.col("content"))).alias("tokens"))
 
 
+def library_usage(docs: DataFrame, chunks: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``library_id, documents, storage_bytes, chunks, nodes, edges``: what each library with documents holds."""
+    out = docs.groupBy("library_id").agg(F.count(F.lit(1)).alias("documents"), F.sum("file_size_bytes").alias("storage_bytes"))
+    for name, rows in (("chunks", chunks), ("nodes", nodes), ("edges", edges)):
+        out = out.join(rows.groupBy("library_id").agg(F.count(F.lit(1)).alias(name)), "library_id", "left")
+    return out.fillna(0, ["chunks", "nodes", "edges"])
+
+
 def quota(members: DataFrame, organizations: DataFrame, usage: DataFrame) -> DataFrame:
     """``user_id, plan, used, query_limit, exceeded``: a user's own organisations share one pool, the highest plan counts.
 

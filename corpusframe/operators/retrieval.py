@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusframe.functions.text import keywords
 from corpusframe.operators.common import first_rows, if_small
-from corpusframe.operators.lexical import bm25_topk
+from corpusframe.operators.lexical import bm25_search
 from corpusframe.operators.vectors import vector_topk
 
 NEIGHBOUR_ID = r"^[0-9a-fA-F-]{32,}_c\d{4}$"
@@ -77,12 +77,12 @@ def union_recall(results: DataFrame) -> DataFrame:
     return results.withColumn("turn", F.row_number().over(first)).filter("turn = 1 OR chunk_id IS NULL").drop("turn")
 
 
-def hybrid(queries: DataFrame, chunks: DataFrame, index: DataFrame, k: int = 5, vectors: DataFrame | None = None, vector_queries: DataFrame | None = None, scorer=overlap_score) -> DataFrame:
+def hybrid(queries: DataFrame, chunks: DataFrame, k: int = 5, vectors: DataFrame | None = None, vector_queries: DataFrame | None = None, scorer=overlap_score) -> DataFrame:
     """Vector search (40, with neighbours) and keyword search (40), fused, reranked, the best ``k`` of each query.
 
-    Without vectors, keyword search alone is fused with its neighbours.
+    Without vectors, keyword search stands alone.
     """
-    lexical = bm25_topk(queries, index, 10).filter("rank <= 40")
+    lexical = bm25_search(queries, chunks, 10).filter("rank <= 40")
     lists = [lexical]
     if vectors is not None:
         near = vector_topk(vector_queries, vectors, 40)

@@ -43,12 +43,24 @@ def encode(df: DataFrame, text_col: str = "text", encoder: Callable[[], Callable
     return df.drop("embedding").filter(F.trim(F.col(text_col)) != "").mapInPandas(run, f"{kinds}, embedding array<float>")
 
 
+def api_k(k):
+    """``k`` as the public search allows it: from 1 to 20."""
+    return max(1, min(20, int(k)))
+
+
 def vector_topk(queries: DataFrame, chunks: DataFrame, k: int = 5) -> DataFrame:
-    """``query_id, chunk_id, library_id, score, rank``: the ``k`` nearest chunks of each query's libraries by cosine."""
-    wanted = if_small(queries.select("query_id", "library_id", F.col("embedding").alias("q"), l2norm(F.col("embedding")).alias("qn")))
-    stored = chunks.select("chunk_id", "library_id", "embedding", l2norm(F.col("embedding")).alias("n"))
+    """``query_id, chunk_id, library_id, score, rank``: the ``k`` nearest chunks of each query's libraries by cosine.
+
+    Where both sides have ``organization_id``, a query sees its own organisation's chunks only, unless it is ``cross_org``.
+    """
+    scope = ["organization_id"] if {"organization_id"} <= set(queries.columns) & set(chunks.columns) else []
+    across = [F.coalesce("cross_org", F.lit(False)).alias("across")] if scope and "cross_org" in queries.columns else [F.lit(False).alias("across")]
+    wanted = if_small(queries.select("query_id", "library_id", *[F.col(c).alias("own") for c in scope], *across, F.col("embedding").alias("q"), l2norm(F.col("embedding")).alias("qn")))
+    stored = chunks.select("chunk_id", "library_id", *scope, "embedding", l2norm(F.col("embedding")).alias("n"))
     score = F.round(dot(F.col("embedding"), F.col("q")) / (F.col("n") * F.col("qn") + 1e-9), 6)
-    scored = stored.join(wanted, "library_id").select("query_id", "chunk_id", "library_id", score.alias("score"))
+    met = stored.join(wanted, "library_id")
+    met = met.filter("across OR organization_id = own") if scope else met
+    scored = met.select("query_id", "chunk_id", "library_id", score.alias("score"))
     return first_rows(scored, ["query_id"], [F.desc("score"), F.col("chunk_id")], k)
 
 
@@ -63,14 +75,14 @@ def centroids(chunks: DataFrame) -> DataFrame:
 
 def cluster_stats(chunks: DataFrame) -> DataFrame:
     """Size of each cluster and mean and largest distance of its chunks to its centroid."""
-    known = chunks.join(if_small(centroids(chunks)), ["library_id", "cluster_id"])
+    known = chunks.join(centroids(chunks), ["library_id", "cluster_id"])  # few rows: Spark broadcasts them where it may
     gap = F.sqrt(F.aggregate(F.zip_with("embedding", "centroid", lambda x, c: (x - c) * (x - c)), F.lit(0.0), lambda s, x: s + x))
     return known.groupBy("library_id", "cluster_id").agg(F.first("size").alias("size"), F.round(F.avg(gap), 6).alias("mean_distance"), F.round(F.max(gap), 6).alias("max_distance"))
 
 
 def vector_topk_ivf(queries: DataFrame, chunks: DataFrame, centers: DataFrame, nprobe: int, k: int = 5) -> DataFrame:
     """Like ``vector_topk``, looking only into each query's ``nprobe`` nearest clusters."""
-    near = queries.join(if_small(centers), "library_id").select("query_id", "library_id", "cluster_id", F.col("embedding").alias("q"), cosine(F.col("embedding"), F.col("centroid")).alias("near"))
+    near = queries.join(centers, "library_id").select("query_id", "library_id", "cluster_id", F.col("embedding").alias("q"), cosine(F.col("embedding"), F.col("centroid")).alias("near"))
     probes = if_small(first_rows(near, ["query_id", "library_id"], [F.desc("near"), F.col("cluster_id")], nprobe, "probe").select("query_id", "library_id", "cluster_id", "q"))
     score = F.round(cosine(F.col("embedding"), F.col("q")), 6)
     scored = chunks.join(probes, ["library_id", "cluster_id"]).select("query_id", "chunk_id", "library_id", score.alias("score"))

@@ -90,21 +90,27 @@ def cited(v):
     return rows(v).groupBy("query_id").agg(F.collect_list(F.when((F.col("rank") <= 3) & (F.col("rank") % 2 == F.col("query_id") % 2), F.col("page_start"))).alias("cited")).withColumn("evidence", F.expr("CASE WHEN query_id % 5 = 4 THEN array() ELSE array(0L, 1 + query_id % 3) END").cast("array<bigint>"))
 
 
-@query("h10_citation_scores", f"WITH {CITE}, s AS (SELECT len(list_intersect(cited, ev)) AS i, len(list_distinct(cited)) AS c, len(ev) AS e FROM ct WHERE len(ev) > 0) SELECT round(avg(CASE WHEN c > 0 THEN i/c END),4) AS precision, round(avg(CASE WHEN c > 0 THEN i/e ELSE 0 END),4) AS recall, sum((c > 0)::INT)::BIGINT AS with_citations, count(*) AS n FROM s")
+H10 = f"WITH {CITE}, s AS (SELECT len(list_intersect(cited, ev)) AS i, len(list_distinct(cited)) AS c, len(ev) AS e FROM ct WHERE len(ev) > 0) SELECT round(avg(CASE WHEN c > 0 THEN i/c END),4) AS precision, round(avg(CASE WHEN c > 0 THEN i/e ELSE 0 END),4) AS recall, sum((c > 0)::INT)::BIGINT AS with_citations, count(*) AS n FROM s"
+
+
+@query("h10_citation_scores", H10)
 def _(v):
     return V.citation_scores(cited(v))
 
 
-@query("h11_honesty", "WITH r AS (SELECT score_a >= 5 AS hit, score_b <= 2 OR score_b/10.0 < 0.35 AS ref FROM v_judge), c AS (SELECT CASE WHEN hit THEN 'hit' ELSE 'miss' END||CASE WHEN ref THEN '_refuse' ELSE '_attempt' END AS quadrant, count(*) AS n FROM r GROUP BY 1) SELECT quadrant, n, round(n/(SELECT sum(n) FROM c),4) AS fraction, round((SELECT sum(n) FROM c WHERE quadrant='miss_attempt')/(SELECT sum(n) FROM c),4) AS overconfidence FROM c")
+H11 = "WITH r AS (SELECT score_a >= 5 AS hit, score_b <= 2 OR score_b/10.0 < 0.35 AS ref FROM v_judge), c AS (SELECT CASE WHEN hit THEN 'hit' ELSE 'miss' END||CASE WHEN ref THEN '_refuse' ELSE '_attempt' END AS quadrant, count(*) AS n FROM r GROUP BY 1) SELECT quadrant, n, round(n/(SELECT sum(n) FROM c),4) AS fraction, round((SELECT sum(n) FROM c WHERE quadrant='miss_attempt')/(SELECT sum(n) FROM c),4) AS overconfidence FROM c"
+
+
+@query("h11_honesty", H11)
 def _(v):
     return V.honesty(v.v_judge.select((F.col("score_a") >= 5).alias("hit"), (F.col("score_b") <= 2).alias("abstained"), (F.col("score_b") / 10.0).alias("confidence")), 0.35)
 
 
-@query(
-    "h12_latency",
-    """WITH o AS (SELECT stage AS endpoint, elapsed_ms AS ms, row_number() OVER (PARTITION BY stage ORDER BY elapsed_ms)-1 AS i, count(*) OVER (PARTITION BY stage) AS n FROM v_jobs)
-SELECT endpoint, max(n) AS n, round(avg(ms),1) AS mean_ms, max(ms) FILTER (i = round_even(0.5*(n-1),0)) AS p50_ms, max(ms) FILTER (i = round_even(0.9*(n-1),0)) AS p90_ms, max(ms) FILTER (i = round_even(0.99*(n-1),0)) AS p99_ms, round(60000.0/avg(ms),2) AS per_minute FROM o GROUP BY 1""",
-)
+H12 = """WITH o AS (SELECT stage AS endpoint, elapsed_ms AS ms, row_number() OVER (PARTITION BY stage ORDER BY elapsed_ms)-1 AS i, count(*) OVER (PARTITION BY stage) AS n FROM v_jobs)
+SELECT endpoint, max(n) AS n, round(avg(ms),1) AS mean_ms, max(ms) FILTER (i = round_even(0.5*(n-1),0)) AS p50_ms, max(ms) FILTER (i = round_even(0.9*(n-1),0)) AS p90_ms, max(ms) FILTER (i = round_even(0.99*(n-1),0)) AS p99_ms, round(60000.0/avg(ms),2) AS per_minute FROM o GROUP BY 1"""
+
+
+@query("h12_latency", H12)
 def _(v):
     return V.latency_summary(v.v_jobs.select(F.col("stage").alias("endpoint"), F.col("elapsed_ms").alias("ms")))
 
@@ -123,7 +129,10 @@ def judges(v):
     return v.v_judge.select("query_id", "hops", F.explode(F.array(F.struct(F.lit("a").alias("judge"), F.col("score_a").alias("score")), F.struct(F.lit("b").alias("judge"), F.col("score_b").alias("score")))).alias("j")).select("query_id", "hops", "j.*")
 
 
-@query("h14_answer_report", f"WITH {JUDGES} SELECT judge, hops, count(*) AS n, round(avg((verdict='correct')::INT),4) AS correct, round(avg((verdict='partial')::INT),4) AS partial, round(avg((verdict='incorrect')::INT),4) AS incorrect, round(avg(score),2) AS mean_score FROM jv GROUP BY GROUPING SETS ((judge),(judge,hops))")
+H14 = f"WITH {JUDGES} SELECT judge, hops, count(*) AS n, round(avg((verdict='correct')::INT),4) AS correct, round(avg((verdict='partial')::INT),4) AS partial, round(avg((verdict='incorrect')::INT),4) AS incorrect, round(avg(score),2) AS mean_score FROM jv GROUP BY GROUPING SETS ((judge),(judge,hops))"
+
+
+@query("h14_answer_report", H14)
 def _(v):
     return V.answer_report(judges(v))
 
@@ -170,6 +179,29 @@ def _(v):
     return V.ragas_records(joined).withColumn("contexts", F.array_join("contexts", "|"))
 
 
-@query("h20_report", f"WITH {REPORT}, {JUDGES}, ag AS (SELECT query_id, (count(DISTINCT verdict)=1)::INT AS same FROM jv GROUP BY 1) SELECT 'hits' AS section, dimension||'/'||value AS item, unnest(['k','hit_rate','n']) AS metric, unnest([k::DOUBLE, hit_rate, n::DOUBLE]) AS value FROM rep UNION ALL SELECT 'agreement', 'all', unnest(['n','agreement']), unnest([count(*)::DOUBLE, round(avg(same),4)]) FROM ag")
+def section(name: str, table: str, item: str, *metrics: str) -> str:
+    return f"SELECT '{name}' AS section, {item} AS item, unnest({list(metrics)}) AS metric, unnest([{', '.join(m + '::DOUBLE' for m in metrics)}]) AS value FROM {table}"
+
+
+SECTIONS = " UNION ALL ".join(
+    (
+        section("hits", "rep", "dimension||'/'||value", "k", "hit_rate", "n"),
+        section("citations", "cit", "'all'", "precision", "recall", "with_citations", "n"),
+        section("honesty", "hon", "quadrant", "n", "fraction", "overconfidence"),
+        section("latency", "lat", "endpoint", "n", "mean_ms", "p50_ms", "p90_ms", "p99_ms", "per_minute"),
+        section("answers", "ans", "concat_ws('/', judge, hops::VARCHAR)", "n", "correct", "partial", "incorrect", "mean_score"),
+        section("agreement", "agr", "'all'", "n", "agreement"),
+        section("accuracy", "acc", "'all'", "n", "strict", "lenient"),
+    )
+)
+AGREEMENT = f"WITH {JUDGES}, a AS (SELECT query_id, (count(DISTINCT verdict)=1)::INT AS same FROM jv GROUP BY 1) SELECT count(*) AS n, round(avg(same),4) AS agreement FROM a"
+ACCURACY = f"WITH x AS ({VERDICTS}) SELECT count(*) AS n, round(avg((verdict='correct')::INT),4) AS strict, round(avg(CASE verdict WHEN 'correct' THEN 1.0 WHEN 'partial' THEN 0.5 ELSE 0 END),4) AS lenient FROM x"
+
+
+@query("h20_report", f"WITH {REPORT}, cit AS ({H10}), hon AS ({H11}), lat AS ({H12}), ans AS ({H14}), agr AS ({AGREEMENT}), acc AS ({ACCURACY}) {SECTIONS}")
 def _(v):
-    return V.build_report({"hits": V.hit_report(hits(v)), "agreement": V.judge_agreement(judges(v))})
+    honest = V.honesty(v.v_judge.select((F.col("score_a") >= 5).alias("hit"), (F.col("score_b") <= 2).alias("abstained"), (F.col("score_b") / 10.0).alias("confidence")), 0.35)
+    latency = V.latency_summary(v.v_jobs.select(F.col("stage").alias("endpoint"), F.col("elapsed_ms").alias("ms")))
+    answers = V.answer_report(judges(v)).withColumn("hops", F.col("hops").cast("string"))
+    parts = {"hits": V.hit_report(hits(v)), "citations": V.citation_scores(cited(v)), "honesty": honest, "latency": latency, "answers": answers, "agreement": V.judge_agreement(judges(v)), "accuracy": V.accuracy(verdicts(v))}
+    return V.build_report(parts)

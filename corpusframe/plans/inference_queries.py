@@ -46,3 +46,10 @@ def _(v):
     complete, missing = I.normalize_critic(text)
     enough, confidence = I.normalize_grade(text)
     return v.v_judge.select("query_id", complete.alias("complete"), F.array_join(missing, "|").alias("missing"), enough.alias("sufficient"), confidence.alias("confidence"))
+
+
+@query("j5_faithfulness", "SELECT query_id, query_id%3=1 AS faithful, CASE query_id%3 WHEN 0 THEN 'x|y' ELSE '' END AS unsupported FROM v_judge WHERE query_id%3<>2 UNION ALL SELECT query_id, true, '' FROM v_judge WHERE query_id%3=2")
+def _(v):
+    text = F.expr("CASE query_id % 3 WHEN 0 THEN '{\"unsupported\": [\"x\", \"y\", \"x\"]}' WHEN 1 THEN '{\"faithful\": true, \"unsupported\": []}' ELSE 'nothing' END")
+    faithful, claims = I.normalize_faithfulness(text)
+    return v.v_judge.select("query_id", faithful.alias("faithful"), F.array_join(claims, "|").alias("unsupported"))

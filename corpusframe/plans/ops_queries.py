@@ -64,14 +64,19 @@ def _(v):
     return O.progress(v.v_jobs)
 
 
-@query("i6_ready_batches", "SELECT library_id, batch_id FROM v_jobs GROUP BY 1,2 HAVING coalesce(bool_and(status='done') FILTER (stage='text_extraction'),false) AND coalesce(bool_and(status='done') FILTER (stage='image_captioning'),false)")
+@query("i5_plain_progress", "SELECT library_id, round(100.0*sum((status='done')::INT)/(count(DISTINCT batch_id)*5),2) AS progress FROM v_bjobs GROUP BY 1")
 def _(v):
-    return O.ready_batches(v.v_jobs)
+    return O.plain_progress(v.v_bjobs, 5)
 
 
-@query("i7_missing_stages", "WITH e(stage,nx) AS (VALUES ('sync','text_extraction'),('text_extraction','chunking'),('image_captioning','chunking'),('chunking','embedding')) SELECT DISTINCT library_id, batch_id, nx AS stage FROM v_jobs j JOIN e USING (stage) WHERE status='done' AND NOT EXISTS (SELECT 1 FROM v_jobs k WHERE k.library_id=j.library_id AND k.batch_id=j.batch_id AND k.stage=nx)")
+@query("i6_ready_batches", "SELECT library_id, batch_id FROM v_bjobs GROUP BY 1,2 HAVING coalesce(bool_and(status='done') FILTER (stage='text_extraction'),false) AND coalesce(bool_and(status='done') FILTER (stage='image_captioning'),false)")
 def _(v):
-    return O.missing_stages(v.v_jobs)
+    return O.ready_batches(v.v_bjobs)
+
+
+@query("i7_missing_stages", "WITH e(stage,nx) AS (VALUES ('sync','text_extraction'),('text_extraction','chunking'),('image_captioning','chunking'),('chunking','embedding')) SELECT DISTINCT library_id, batch_id, nx AS stage FROM v_bjobs j JOIN e USING (stage) WHERE status='done' AND NOT EXISTS (SELECT 1 FROM v_bjobs k WHERE k.library_id=j.library_id AND k.batch_id=j.batch_id AND k.stage=nx)")
+def _(v):
+    return O.missing_stages(v.v_bjobs)
 
 
 @query("i8_library_state", "WITH s(stage,p) AS (VALUES ('sync',1),('text_extraction',3),('image_captioning',4),('chunking',5),('embedding',6)) SELECT library_id, CASE WHEN bool_or(status='failed') THEN 'failed' WHEN bool_and(status='done') THEN 'completed' ELSE 'processing' END AS state, arg_min(stage, p) FILTER (status<>'done') AS next_stage FROM v_jobs JOIN s USING (stage) GROUP BY 1")
@@ -94,6 +99,12 @@ def _(v):
     return O.usage_meter(v.v_messages, "2024-01-10 00:00:00")
 
 
+@query("i11_library_usage", "WITH d AS (SELECT library_id, count(*) AS documents, sum(file_size_bytes)::BIGINT AS storage_bytes FROM v_docs GROUP BY 1), c AS (SELECT library_id, count(*) AS chunks FROM v_chunks GROUP BY 1), n AS (SELECT substr(graph_id,2) AS library_id, count(DISTINCT name) AS nodes FROM v_mentions GROUP BY 1), e AS (SELECT substr(graph_id,2) AS library_id, count(*) AS edges FROM v_relations GROUP BY 1) SELECT library_id, documents, storage_bytes, coalesce(chunks,0) AS chunks, coalesce(nodes,0) AS nodes, coalesce(edges,0) AS edges FROM d LEFT JOIN c USING (library_id) LEFT JOIN n USING (library_id) LEFT JOIN e USING (library_id)")
+def _(v):
+    owner = F.substring("graph_id", 2, 1_000).alias("library_id")
+    return O.library_usage(v.v_docs, v.v_chunks, v.v_mentions.select(owner, "name").distinct(), v.v_relations.select(owner))
+
+
 MEMBERS = "me AS (SELECT 'u'||(c_custkey%200) AS user_id, 'o'||(c_custkey%90) AS organization_id, CASE WHEN c_custkey%3=0 THEN 'owner' ELSE 'member' END AS role FROM customer), mb AS (SELECT DISTINCT * FROM me)"
 
 

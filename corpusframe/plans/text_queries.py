@@ -18,7 +18,7 @@ def blocks(v):
 
 @query("a1_corpus_scan", "SELECT doc_id, source AS library_id, n_chars FROM documents WHERE source IN ('src0','src3')")
 def _(v):
-    return v.documents.withColumn("library_id", F.col("source")).filter(F.col("library_id").isin("src0", "src3")).select("doc_id", "library_id", "n_chars")
+    return S.read_corpus(v.spark, f"{v.sf_dir}/documents.parquet", ["src0", "src3"], "source").select("doc_id", F.col("source").alias("library_id"), "n_chars")
 
 
 @query(

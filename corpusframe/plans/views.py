@@ -29,16 +29,25 @@ VIEWS: dict[str, tuple[str | None, str]] = {
  string_agg(text, chr(10)||chr(10) ORDER BY block_no) AS text FROM v_blocks GROUP BY doc_id, library_id, page""",
     ),
     "v_vectors": (
-        "SELECT vec_id, concat('v', CAST(vec_id AS STRING)) AS chunk_id, concat('lib', CAST(vec_id % 5 AS STRING)) AS library_id, label AS cluster_id, embedding FROM {embeddings} WHERE vec_id >= 20",
-        "SELECT vec_id, concat('v', CAST(vec_id AS VARCHAR)) AS chunk_id, concat('lib', CAST(vec_id % 5 AS VARCHAR)) AS library_id, label AS cluster_id, embedding FROM embeddings WHERE vec_id >= 20",
+        "SELECT vec_id, concat('v', CAST(vec_id AS STRING)) AS chunk_id, concat('lib', CAST(vec_id % 5 AS STRING)) AS library_id, concat('org', CAST(vec_id % 3 AS STRING)) AS organization_id, label AS cluster_id, embedding FROM {embeddings}",
+        "SELECT vec_id, concat('v', CAST(vec_id AS VARCHAR)) AS chunk_id, concat('lib', CAST(vec_id % 5 AS VARCHAR)) AS library_id, concat('org', CAST(vec_id % 3 AS VARCHAR)) AS organization_id, label AS cluster_id, embedding FROM embeddings",
     ),
     "v_vqueries": (
-        "SELECT vec_id AS query_id, concat('lib', CAST(vec_id % 5 AS STRING)) AS library_id, embedding FROM {embeddings} WHERE vec_id < 20",
-        "SELECT vec_id AS query_id, concat('lib', CAST(vec_id % 5 AS VARCHAR)) AS library_id, embedding FROM embeddings WHERE vec_id < 20",
+        "SELECT vec_id AS query_id, concat('lib', CAST(vec_id div 50 % 5 AS STRING)) AS library_id, concat('org', CAST(vec_id div 50 % 3 AS STRING)) AS organization_id, vec_id div 50 % 4 = 0 AS cross_org, embedding FROM {embeddings} WHERE vec_id % 50 = 0",
+        "SELECT vec_id AS query_id, concat('lib', CAST(vec_id // 50 % 5 AS VARCHAR)) AS library_id, concat('org', CAST(vec_id // 50 % 3 AS VARCHAR)) AS organization_id, vec_id // 50 % 4 = 0 AS cross_org, embedding FROM embeddings WHERE vec_id % 50 = 0",
     ),
     "v_queries": (
-        r"SELECT item_id AS query_id, array_join(slice(split(replace(text, '\n', ' '), ' '),1,12), ' ') AS question, text AS gold FROM {benchmark}",
-        "SELECT item_id AS query_id, array_to_string(string_split(replace(text, chr(10), ' '), ' ')[1:12], ' ') AS question, text AS gold FROM benchmark",
+        r"SELECT item_id AS query_id, replace(text, '\n', ' ') AS question, text AS gold FROM {benchmark}",
+        "SELECT item_id AS query_id, replace(text, chr(10), ' ') AS question, text AS gold FROM benchmark",
+    ),
+    # a vector for each chunk and each question, by the number of its document or item
+    "v_cvectors": (
+        "SELECT c.chunk_id, c.library_id, e.embedding FROM {v_chunks} c JOIN {v_docs} d ON d.doc_id = c.doc_id JOIN {embeddings} e ON e.vec_id = (d.doc_no + 13 * c.chunk_index) % 500",
+        "SELECT c.chunk_id, c.library_id, e.embedding FROM v_chunks c JOIN v_docs d ON d.doc_id = c.doc_id JOIN embeddings e ON e.vec_id = (d.doc_no + 13 * c.chunk_index) % 500",
+    ),
+    "v_cqueries": (
+        "SELECT q.query_id, l.library_id, e.embedding FROM {v_queries} q JOIN {embeddings} e ON e.vec_id = (q.query_id * 7) % 500 JOIN (SELECT DISTINCT library_id FROM {v_docs}) l ON CAST(substr(l.library_id, 4) AS INT) % 4 = q.query_id % 4",
+        "SELECT q.query_id, l.library_id, e.embedding FROM v_queries q JOIN embeddings e ON e.vec_id = (q.query_id * 7) % 500 JOIN (SELECT DISTINCT library_id FROM v_docs) l ON CAST(substr(l.library_id, 4) AS INT) % 4 = q.query_id % 4",
     ),
     "v_messages": (
         """SELECT conv_id AS thread_id, turn, concat(CAST(conv_id AS STRING),'-',CAST(turn AS STRING)) AS message_id, role, text AS content,
@@ -56,6 +65,15 @@ VIEWS: dict[str, tuple[str | None, str]] = {
  CASE WHEN event_id % 23 = 0 THEN 'failed' WHEN event_id % 7 = 0 THEN 'running' WHEN event_id % 11 = 0 THEN 'queued' ELSE 'done' END AS status,
  event_id % 4 AS attempts, ts AS started_at, CAST(round(value*10) AS BIGINT) AS elapsed_ms FROM events""",
     ),
+    "v_jobs_at": (
+        "SELECT event_id AS job_id, concat('src', CAST(event_id div 5 % 20 AS STRING)) AS library_id, CASE event_id % 5 WHEN 0 THEN 'sync' WHEN 1 THEN 'text_extraction' WHEN 2 THEN 'image_captioning' WHEN 3 THEN 'chunking' ELSE 'embedding' END AS stage FROM {events} WHERE event_type <> 'error'",
+        "SELECT event_id AS job_id, concat('src', CAST(event_id // 5 % 20 AS VARCHAR)) AS library_id, CASE event_id % 5 WHEN 0 THEN 'sync' WHEN 1 THEN 'text_extraction' WHEN 2 THEN 'image_captioning' WHEN 3 THEN 'chunking' ELSE 'embedding' END AS stage FROM events WHERE event_type <> 'error'",
+    ),
+    # jobs of batches that pass through all stages
+    "v_bjobs": (
+        "SELECT job_id, library_id, job_id div 5 AS batch_id, stage, CASE WHEN job_id % 23 = 0 THEN 'failed' WHEN job_id % 7 = 0 THEN 'running' ELSE 'done' END AS status FROM {v_jobs_at}",
+        "SELECT job_id, library_id, job_id // 5 AS batch_id, stage, CASE WHEN job_id % 23 = 0 THEN 'failed' WHEN job_id % 7 = 0 THEN 'running' ELSE 'done' END AS status FROM v_jobs_at",
+    ),
     "v_layout": (
         """SELECT l_orderkey AS page_key, l_linenumber AS block_no, CASE WHEN l_returnflag='R' THEN CASE WHEN l_linenumber % 2 = 0 THEN 'Table' ELSE 'Figure' END ELSE 'plain text' END AS type,
  CAST(l_partkey % 500 AS DOUBLE) AS x1, CAST((l_suppkey % 80)*10 AS DOUBLE) AS y1, CAST(l_partkey % 500 AS DOUBLE) + l_quantity*4 AS x2, CAST((l_suppkey % 80)*10 + 40 AS DOUBLE) AS y2,

@@ -31,10 +31,10 @@ def _(v):
     return v.v_layout.select("page_key", "block_no", U.norm_visual_kind(label).alias("kind"))
 
 
-@query("b3_bbox_to_pdf", "SELECT page_key, block_no, array_to_string([x1/2.0, y1/2.0]::DOUBLE[]::INT[], ',') AS box FROM v_layout WHERE (x1/2.0) = floor(x1/2.0)")
+@query("b3_bbox_to_pdf", "SELECT page_key, block_no, x1/2.0 AS x1, y1/2.0 AS y1, round(x2/2.0,6) AS x2, y2/2.0 AS y2 FROM v_layout")
 def _(v):
-    box = U.bbox_to_pdf(F.array("x1", "y1"), F.lit(2.0))
-    return v.v_layout.filter("x1 / 2 = floor(x1 / 2)").select("page_key", "block_no", F.array_join(F.transform(box, lambda x: x.cast("int").cast("string")), ",").alias("box"))
+    box = U.bbox_to_pdf(F.array("x1", "y1", "x2", "y2"), F.lit(2.0))
+    return v.v_layout.select("page_key", "block_no", box.alias("box")).select("page_key", "block_no", *[F.round(F.col("box")[k], 6).alias(n) for k, n in enumerate(("x1", "y1", "x2", "y2"))])
 
 
 @query("b4_text_density", "SELECT doc_id, block_no, length(trim(text)) AS char_count, length(trim(text)) < 20 AS needs_ocr, sum(length(trim(text))) OVER (PARTITION BY doc_id, page) < 20 AS page_needs_ocr FROM v_blocks")

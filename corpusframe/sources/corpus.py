@@ -12,10 +12,11 @@ from corpusframe.functions.text import text_of
 DEFINITION = r"^\s*(export\s+)?(default\s+)?(async\s+)?(def|class|function|func|fn|interface|type|struct|enum|impl|module|public|private|protected|static|const\s+\w+\s*=\s*(async\s*)?\()\b"
 
 
-def read_corpus(spark: SparkSession, path: str, library_ids: list[str] | None = None) -> DataFrame:
-    """Documents of the chosen libraries; written partitioned by ``library_id``, other libraries aren't read."""
+def read_corpus(spark: SparkSession, path: str, library_ids: list[str] | None = None, key: str = "library_id") -> DataFrame:
+    """Documents of the chosen libraries; where files are partitioned by ``key``, other libraries aren't read, else the
+    filter is pushed into the scan."""
     df = spark.read.parquet(path)
-    return df if library_ids is None else df.filter(F.col("library_id").isin(library_ids))
+    return df if library_ids is None else df.filter(F.col(key).isin(library_ids))
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:

@@ -38,7 +38,9 @@ def test_equals_sql(spark, duck, name):
     result = duck.execute(registry.ORACLE_SQL[name])
     at = [d[0] for d in result.description]
     assert sorted(at) == names
-    want = sorted(repr([plain(r[at.index(n)]) for n in names]) for r in result.fetchall())
+    want = result.fetchall()
+    assert want, "the comparison is empty"
+    want = sorted(repr([plain(r[at.index(n)]) for n in names]) for r in want)
     got = sorted(repr([plain(r[n]) for n in names]) for r in frame.collect())
     assert got == want
 
@@ -54,5 +56,18 @@ def test_no_nested_loops(spark, name):
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
+def test_recall_of_probed_clusters(spark):
+    """Share of the exact five nearest that the search of the probed clusters finds, over all queries."""
+    from corpusframe.operators import vectors
+    from corpusframe.plans.retrieval_queries import NPROBE
+    from corpusframe.plans.views import Views
+
+    v = Views(spark, SF)
+    queries, chunks = v.v_vqueries.drop("organization_id", "cross_org"), v.v_vectors
+    exact = {(r.query_id, r.chunk_id) for r in vectors.vector_topk(queries, chunks, 5).collect()}
+    found = {(r.query_id, r.chunk_id) for r in vectors.vector_topk_ivf(queries, chunks, vectors.centroids(chunks), NPROBE, 5).collect()}
+    assert len(exact & found) / len(exact) >= 0.9, len(exact & found) / len(exact)
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
