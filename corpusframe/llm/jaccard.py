@@ -165,11 +165,47 @@ def _shared(rows: DataFrame, percent: int) -> DataFrame:
     return sorted_rows.mapInArrow(run, "gram long, level int, node long, n int")
 
 
+def _popular(shared: DataFrame) -> DataFrame:
+    """``node, popular``: the sizes of a set's lists added up. A size of over ``HELD_ROWS`` counts as that."""
+
+    def emit(nodes, sizes):
+        node, at = np.unique(nodes, return_inverse=True)
+        return pa.RecordBatch.from_arrays([pa.array(node), pa.array(np.bincount(at, sizes).astype(np.int64))], ["node", "size"])
+
+    def run(batches):
+        held, size, last = [], 0, None
+        for batch in batches:
+            gram, node = (batch.column(k).to_numpy() for k in (0, 2))
+            if not len(gram):
+                continue
+            edge = np.flatnonzero(np.concatenate(([True], gram[1:] != gram[:-1])))
+            ends = np.append(edge[1:], len(gram))
+            if gram[0] != last:
+                if held:
+                    yield emit(np.concatenate(held), np.full(sum(map(len, held)), min(size, HELD_ROWS)))
+                held, size, last = [], 0, gram[0]
+            held.append(node[: ends[0]])
+            size += int(ends[0])
+            if len(edge) > 1:
+                yield emit(np.concatenate(held), np.full(sum(map(len, held)), min(size, HELD_ROWS)))
+                each = (ends - edge)[1:-1]
+                if len(each):
+                    yield emit(node[edge[1] : edge[-1]], np.repeat(np.minimum(each, HELD_ROWS), each))
+                held, size, last = [node[edge[-1] :]], len(gram) - int(edge[-1]), gram[-1]
+            if size > HELD_ROWS and held:
+                yield emit(np.concatenate(held), np.full(sum(map(len, held)), HELD_ROWS))
+                held = []
+        if held:
+            yield emit(np.concatenate(held), np.full(sum(map(len, held)), min(size, HELD_ROWS)))
+
+    return shared.mapInArrow(run, "node long, size long").groupBy("node").agg(F.sum("size").alias("popular"))
+
+
 def _star(shared: DataFrame, percent: int) -> DataFrame:
     """``a, b``: every set with the sets that stand first in most of its lists, of its own level and the one below.
 
-    Sets are in the same order in all lists, so near copies find the same first one nearly everywhere. Which pairs are
-    tried here is no matter of correctness.
+    Popular sets stand first, those in long lists: the text from which near copies were made, as a rule, which they all
+    find nearly everywhere. Which pairs are tried here is no matter of correctness.
     """
 
     def run(batches):
@@ -195,7 +231,9 @@ def _star(shared: DataFrame, percent: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(node[pick]), pa.array(n[pick]), pa.array(np.full(len(pick), mine)), pa.array(pivot[pick])], ["node", "n", "own", "pivot"])
             last = [x[-2:] for x in lists]
 
-    met = shared.mapInArrow(run, "node long, n int, own boolean, pivot long").groupBy("node", "n", "own", "pivot").agg(F.count(F.lit(1)).alias("times"))
+    known = shared.join(_popular(shared).hint("merge"), "node").select("gram", "level", "node", "n", "popular")
+    dealt = known.repartition("gram").sortWithinPartitions("gram", "level", F.desc("popular"), "node").drop("popular")
+    met = dealt.mapInArrow(run, "node long, n int, own boolean, pivot long").groupBy("node", "n", "own", "pivot").agg(F.count(F.lit(1)).alias("times"))
     met = met.filter(F.col("times") * 300 >= F.col("n") * (100 - percent))  # else hardly alike: left to the product
     best = met.groupBy("node", "own").agg(F.max(F.struct("times", "pivot")).alias("m"))
     return best.select(F.least("node", "m.pivot").alias("a"), F.greatest("node", "m.pivot").alias("b")).distinct()
