@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from corpusframe.functions.text import clean_text
 from corpusframe.functions.vectors import dot
+from corpusframe.operators.common import first_rows
 
 TARGET, MOST, LEAST, OVERLAP = 400, 650, 120, 1  # tokens, tokens, tokens, blocks
 
@@ -132,8 +133,9 @@ def chunk_visuals(chunks: DataFrame, attached: DataFrame) -> DataFrame:
 
 def doc_anchor(blocks: DataFrame, n_blocks: int = 40, n_chars: int = 3_500) -> DataFrame:
     """``doc_id, anchor``: title and the beginning of the text, for a model to place a chunk by."""
-    texts = F.transform(F.slice(F.array_sort(F.collect_list(F.struct("pos", "text"))), 1, n_blocks), lambda b: b["text"])
-    lead = blocks.groupBy("doc_id", "title").agg(F.substring(F.array_join(texts, " "), 1, n_chars).alias("lead"))
+    first = first_rows(blocks.select("doc_id", "title", "pos", "text"), ["doc_id", "title"], [F.col("pos"), F.col("text")], n_blocks)
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda b: b["text"])
+    lead = first.groupBy("doc_id", "title").agg(F.substring(F.array_join(texts, " "), 1, n_chars).alias("lead"))
     title = clean_text(F.col("title"))
     return lead.select("doc_id", F.concat(F.when(title != "", F.concat(title, F.lit("\n"))).otherwise(""), "lead").alias("anchor"))
 

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in ``spark.checkpoint.dir``; a temporary folder only where that is unset."""
+    """``df`` computed once and kept in ``spark.checkpoint.dir``. Where that is unset, a temporary folder in local mode only."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corpusframe-"))
+        place = spark.conf.get("spark.checkpoint.dir", None)
+        if place is None and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(place or tempfile.mkdtemp(prefix="corpusframe-"))
     return df.checkpoint(eager=True)

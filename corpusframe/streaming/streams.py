@@ -9,7 +9,6 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from corpusframe.operators.chunking import chunk_documents, link_chunks
-from corpusframe.operators.ops import upsert
 from corpusframe.sources.corpus import text_to_blocks
 
 DOCUMENT = T.StructType([T.StructField("doc_id", T.StringType()), T.StructField("library_id", T.StringType()), T.StructField("text", T.StringType()), T.StructField("version", T.LongType())])
@@ -22,61 +21,54 @@ def chunks_of(docs: DataFrame) -> DataFrame:
     return link_chunks(chunk_documents(known)).join(docs.select("doc_id", "version"), "doc_id")
 
 
-class SnapshotTable:
-    """A table of snapshots: each write is a new folder, and a small file names the last complete one.
-
-    A reader sees the old or the new snapshot; a batch that is delivered again writes its folder anew.
-    """
+class BatchLog:
+    """An append-only table of micro-batches, a folder ``batch=N`` for each. A batch that is delivered again writes its own
+    folder anew and reads nothing that was written before, so each batch costs its own size, however large the table."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
 
-    def last(self) -> DataFrame | None:
-        try:
-            row = self.spark.read.json(f"{self.path}/_last").first()
-        except Exception as e:  # nothing written yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            return None
-        return self.spark.read.parquet(f"{self.path}/{row['name']}")
+    def write(self, df: DataFrame, batch_id: int) -> None:
+        df.write.mode("overwrite").parquet(f"{self.path}/batch={batch_id}")
 
-    def write(self, df: DataFrame, name: str) -> None:
-        df.write.mode("overwrite").parquet(f"{self.path}/{name}")
-        self.spark.createDataFrame([(name,)], "name string").coalesce(1).write.mode("overwrite").json(f"{self.path}/_last")
+    def rows(self) -> DataFrame:
+        """All rows with their ``batch``."""
+        return self.spark.read.option("basePath", self.path).parquet(self.path).withColumn("batch", F.col("batch").cast("long"))
 
 
 def ingest_stream(spark: SparkSession, source: str, target: str, checkpoint: str) -> StreamingQuery:
-    """New files of ``source`` (JSON lines of ``DOCUMENT``) become chunks in the snapshot table ``target``.
+    """New files of ``source`` (JSON lines of ``DOCUMENT``) become chunks in the log ``target``; see ``current_chunks``.
 
-    A document that comes again, or a batch that is replayed, replaces its own chunks.
+    The batch's documents are written behind its chunks: only then do they count.
     """
-    table = SnapshotTable(spark, target)
+    chunks, documents = BatchLog(spark, f"{target}/chunks"), BatchLog(spark, f"{target}/documents")
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         newest = batch.groupBy("doc_id").agg(F.max_by(F.struct("library_id", "text", "version"), "version").alias("d")).select("doc_id", "d.*")
-        old = table.last()
-        if old is not None:
-            ahead = old.groupBy("doc_id").agg(F.max("version").alias("have"))
-            newest = newest.join(ahead, "doc_id", "left").filter("have IS NULL OR have <= version").drop("have")
-        chunks = chunks_of(newest)
-        if old is not None:
-            chunks = old.join(newest.select("doc_id"), "doc_id", "left_anti").unionByName(chunks)
-        table.write(chunks, f"batch-{batch_id}")
+        chunks.write(chunks_of(newest), batch_id)
+        documents.write(newest.select("doc_id", "library_id", "version"), batch_id)
 
     stream = spark.readStream.schema(DOCUMENT).json(source)
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def current_chunks(spark: SparkSession, target: str) -> DataFrame:
+    """Chunks of each document's newest version; of equal versions the later batch counts. One without text has none."""
+    heads = BatchLog(spark, f"{target}/documents").rows().groupBy("doc_id").agg(F.max_by("batch", F.struct("version", "batch")).alias("batch"))
+    return BatchLog(spark, f"{target}/chunks").rows().join(heads, ["doc_id", "batch"]).drop("batch")
+
+
 def merge_messages_stream(messages: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
-    """A live table of messages, ``message_id, thread_id, content, updated_at``: the newest state of each id wins."""
-    table = SnapshotTable(messages.sparkSession, target)
+    """A log of messages, ``message_id, thread_id, content, updated_at``; see ``current_messages``."""
+    log = BatchLog(messages.sparkSession, target)
+    return messages.writeStream.foreachBatch(log.write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        old = table.last()
-        start = batch.limit(0) if old is None else old
-        table.write(upsert(start, batch, ["message_id"], "updated_at"), f"batch-{batch_id}")
 
-    return messages.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def current_messages(spark: SparkSession, target: str) -> DataFrame:
+    """The newest state of each message; of equal times the later batch's."""
+    rows = BatchLog(spark, target).rows()
+    rest = [c for c in rows.columns if c not in ("message_id", "batch")]
+    return rows.groupBy("message_id").agg(F.max_by(F.struct(*rest), F.struct("updated_at", "batch")).alias("r")).select("message_id", "r.*")
 
 
 def usage_stream(events: DataFrame, time: str = "ts", key: str = "library_id") -> DataFrame:
@@ -86,6 +78,14 @@ def usage_stream(events: DataFrame, time: str = "ts", key: str = "library_id") -
     return counts.select(key, F.to_date("window.start").alias("day"), "n")
 
 
+def usage_reconcile(events: DataFrame, streamed: DataFrame, time: str = "ts", key: str = "library_id") -> DataFrame:
+    """``key, day, n, streamed, late``: the batch report beside what ``usage_stream`` has given out, and the rows that came
+    too late for it (or whose day is still open)."""
+    n = events.groupBy(key, F.to_date(time).alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    seen = streamed.groupBy(key, "day").agg(F.sum("n").alias("streamed"))
+    return n.join(seen, [key, "day"], "left").fillna(0, ["streamed"]).withColumn("late", F.col("n") - F.col("streamed"))
+
+
 def stall_stream(jobs: DataFrame, minutes: int = 5) -> DataFrame:
     """``library_id, last_update, stalled_at`` once a library with work under way has been silent for ``minutes``.
 
@@ -102,7 +102,7 @@ def stall_stream(jobs: DataFrame, minutes: int = 5) -> DataFrame:
             self.handle = handle
             self.last = handle.getValueState("last", "ms long, active boolean")
 
-        def handleInputRows(self, key, rows, timers):
+        def handleInputRows(self, key, rows, timerValues):
             have = self.last.get() if self.last.exists() else None
             newest, active = (have[0], have[1]) if have else (-1, False)
             for pdf in rows:
@@ -114,12 +114,12 @@ def stall_stream(jobs: DataFrame, minutes: int = 5) -> DataFrame:
             self.last.update((newest, active))
             if active:
                 self.handle.registerTimer(newest + gap)
-            yield pd.DataFrame({"library_id": [], "last_update": [], "stalled_at": []})
+            yield from ()  # alarms come from timers only
 
-        def handleExpiredTimer(self, key, timers, expired):
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
             newest, active = self.last.get()
             if active:
-                yield pd.DataFrame({"library_id": [key[0]], "last_update": [pd.Timestamp(newest, unit="ms")], "stalled_at": [pd.Timestamp(expired.getExpiryTimeInMs(), unit="ms")]})
+                yield pd.DataFrame({"library_id": [key[0]], "last_update": [pd.Timestamp(newest, unit="ms")], "stalled_at": [pd.Timestamp(expiredTimerInfo.getExpiryTimeInMs(), unit="ms")]})
 
         def close(self) -> None:
             pass

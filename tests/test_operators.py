@@ -154,7 +154,10 @@ def test_ingest_stream(spark, tmp_path):
     streams.ingest_stream(spark, source, target, state).awaitTermination()
     spark.createDataFrame([("d1", "l", "changed it all", 2), ("d2", "l", "old", 0)], streams.DOCUMENT).coalesce(1).write.mode("append").json(source)
     streams.ingest_stream(spark, source, target, state).awaitTermination()
-    got = {(r.doc_id, r.text) for r in streams.SnapshotTable(spark, target).last().collect()}
+    got = {(r.doc_id, r.text) for r in streams.current_chunks(spark, target).collect()}
+    (tmp_path / "replay").mkdir()
+    streams.ingest_stream(spark, source, target, str(tmp_path / "replay" / "ckpt")).awaitTermination()  # all files again
+    assert got == {(r.doc_id, r.text) for r in streams.current_chunks(spark, target).collect()}
     final = spark.createDataFrame([("d1", "l", "changed it all", 2), ("d2", "l", "three", 1)], streams.DOCUMENT)
     assert got == {(r.doc_id, r.text) for r in streams.chunks_of(final).collect()}
 
@@ -165,10 +168,27 @@ def test_message_and_usage_streams(spark, tmp_path):
     frame.write.json(str(tmp_path / "in"))
     stream = lambda: spark.readStream.schema(frame.schema).json(str(tmp_path / "in"))
     streams.merge_messages_stream(stream(), str(tmp_path / "out"), str(tmp_path / "c1")).awaitTermination()
-    assert {(r.message_id, r.content) for r in streams.SnapshotTable(spark, str(tmp_path / "out")).last().collect()} == {("m1", "c"), ("m2", "b")}
+    assert {(r.message_id, r.content) for r in streams.current_messages(spark, str(tmp_path / "out")).collect()} == {("m1", "c"), ("m2", "b")}
     daily = streams.usage_stream(stream(), "updated_at", "thread_id")
     daily.writeStream.format("memory").queryName("daily").option("checkpointLocation", str(tmp_path / "c2")).outputMode("append").trigger(availableNow=True).start().awaitTermination()
-    assert {(r.day.day, r.n) for r in spark.table("daily").collect()} <= {(1, 1), (2, 1), (5, 1)}
+    streamed = spark.table("daily")
+    assert {(r.day.day, r.n) for r in streamed.collect()} <= {(1, 1), (2, 1), (5, 1)}
+    report = streams.usage_reconcile(frame, streamed, "updated_at", "thread_id").collect()
+    assert {(r.day.day, r.n) for r in report} == {(1, 1), (2, 1), (5, 1)} and all(r.late == r.n - r.streamed for r in report)
+
+
+def test_stall_stream(spark, tmp_path):
+    rows = [("a", "running", dt.datetime(2024, 1, 1, 0, 0)), ("b", "done", dt.datetime(2024, 1, 1, 0, 0)), ("c", "queued", dt.datetime(2024, 1, 1, 0, 29))]
+    schema = "library_id string, status string, ts timestamp"
+    spark.createDataFrame(rows, schema).coalesce(1).write.json(str(tmp_path / "in"))
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    jobs = lambda: spark.readStream.schema(schema).json(str(tmp_path / "in")).withWatermark("ts", "1 minute")
+    run = lambda: streams.stall_stream(jobs(), 5).writeStream.format("json").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).outputMode("append").trigger(availableNow=True).start().awaitTermination(120)
+    run()
+    spark.createDataFrame([("d", "done", dt.datetime(2024, 1, 1, 0, 31))], schema).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+    run()
+    got = spark.read.schema("library_id string, last_update timestamp, stalled_at timestamp").json(str(tmp_path / "out")).collect()
+    assert {(r.library_id, r.last_update, r.stalled_at) for r in got} == {("a", dt.datetime(2024, 1, 1, 0, 0), dt.datetime(2024, 1, 1, 0, 5))}
 
 
 def test_stalled_now(spark):
