@@ -30,7 +30,7 @@ THRESHOLD = 0.7
 
 
 def layout(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Texts with ``WIDTH`` zero bytes after each, aligned to the stride; the first cell and the cells of each text."""
+    """Texts in whole cells, filled up with zero bytes; the first cell and the cells of each text."""
     sizes = np.diff(offsets)
     places = -(-sizes // STRIDE)
     places = np.maximum(places, 1)
@@ -53,14 +53,16 @@ class Network:
             "out_bias": np.zeros(1, np.float32),
         }
 
-    def pooled(self, padded: np.ndarray, cells: int, argmax: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
-        """Largest answer of each filter in each cell, not below zero, and where it stands.
+    def pooled(self, padded: np.ndarray, first: np.ndarray, counts: np.ndarray, argmax: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
+        """Largest answer of each filter in each cell, not below zero, and where it stands. What a filter reaches behind a
+        text's last cell counts as zero bytes: the next text is none of its.
 
         Answers take some 200 bytes for each byte of text, so they are made for ``PIECE_CELLS`` cells at a time.
         """
         table = self.p["embed"][:256].copy()
         table[0] = 0
         conv = self.p["conv"].transpose(1, 0, 2).reshape(STRIDE * DIM, TAPS * FILTERS)
+        cells, last = int(counts.sum()), first + counts - 1
         most = np.empty((cells, FILTERS), conv.dtype)
         where = np.empty((cells, FILTERS), np.uint8) if argmax else None
         for lo in range(0, cells, PIECE_CELLS):
@@ -69,8 +71,12 @@ class Network:
             part = padded[lo * CELL * STRIDE : (hi * CELL + TAPS) * STRIDE]
             y = table[part].reshape(-1, STRIDE * DIM) @ conv
             z = y[:n, :FILTERS] + self.p["bias"]
+            stop = (last[slice(*np.searchsorted(last, (lo, hi)))] - lo + 1) * CELL
             for j in range(1, TAPS):
+                out = (stop[:, None] - np.arange(1, j + 1)).ravel()
+                without = z[out]
                 z += y[j : j + n, j * FILTERS : (j + 1) * FILTERS]
+                z[out] = without
             z = z.reshape(hi - lo, CELL, FILTERS)
             most[lo:hi] = np.maximum(z.max(1), 0)
             if argmax:
@@ -91,15 +97,14 @@ class Network:
 
     def score(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         padded, first, counts = layout(data, offsets)
-        cell, _ = self.pooled(padded, int(counts.sum()))
+        cell, _ = self.pooled(padded, first, counts)
         features, _, _ = self.combine(cell, first, counts)
         logit = features @ self.p["out"] + self.p["out_bias"]
         return 1 / (1 + np.exp(-np.clip(logit.astype(np.float64), -30, 30)))
 
     def gradient(self, data: np.ndarray, offsets: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> dict:
         padded, first, counts = layout(data, offsets)
-        cells = int(counts.sum())
-        cell, where = self.pooled(padded, cells, True)
+        cell, where = self.pooled(padded, first, counts, True)
         features, use, chunk = self.combine(cell, first, counts)
         p = 1 / (1 + np.exp(-np.clip(features @ self.p["out"] + self.p["out_bias"], -30, 30)))
         d = ((p - labels) * weights / len(labels)).astype(np.float32)
@@ -116,7 +121,7 @@ class Network:
         at, f = np.nonzero(dcell)
         v = dcell[at, f]
         byte = (at * CELL + where[at, f])[:, None] * STRIDE + np.arange(WIDTH)
-        codes = padded[byte]
+        codes = np.where(byte < ((first + counts)[doc[at]] * CELL * STRIDE)[:, None], padded[byte], 0)
         vectors = self.p["embed"][codes] * (codes > 0)[:, :, None]
         conv = self.p["conv"].transpose(2, 0, 1).reshape(FILTERS, WIDTH, DIM)
         gconv = np.zeros_like(conv)

@@ -6,8 +6,7 @@ decides and used on those that none does.
 
 Word counts and word weights are tables of any size. Each distinct piece of a URL is split once: its substrings meet the
 counts in a join, and Viterbi runs on those found. Weights meet the URLs' words in a join on the word. Only sums and the
-set of word lengths go through the driver. ``Segmenter``, ``unigrams``, ``fit`` and ``filter_urls`` do the same in memory,
-for models that are known to be small.
+set of word lengths go through the driver.
 """
 
 from __future__ import annotations
@@ -15,20 +14,14 @@ from __future__ import annotations
 import math
 import re
 import uuid
-import zlib
 from collections import Counter
-from functools import lru_cache
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusframe.llm.common import shared_dir
 
-VOCABULARY = 50_000
-BUCKETS = 1 << 18
-LONGEST_WORD = 20
 LETTER = 2.3  # what each letter of an unknown word adds to its cost
 NANO = 10**9  # weights are added as whole billionths, so that the order of rows doesn't matter
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -76,12 +69,6 @@ def word_counts(pages: DataFrame) -> DataFrame:
     return words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
-def unigrams(pages: DataFrame, size: int = VOCABULARY) -> dict[str, int]:
-    """The most frequent ones of ``word_counts`` with at most ``LONGEST_WORD`` letters; a model of ``size`` words at most."""
-    top = word_counts(pages).filter(F.length("word") <= LONGEST_WORD).orderBy(F.desc("n"), "word").limit(size).collect()
-    return {r["word"]: r["n"] for r in top}
-
-
 def likeliest_split(name: str, cost: dict[str, float], lengths: list[int], unknown: float) -> list[str]:
     """``name`` in words of the least cost; of equal ones the longest last word. ``lengths``: those of ``cost``'s words."""
     best, back, open_ = [0.0], [0], (math.inf, 0)
@@ -103,82 +90,6 @@ def likeliest_split(name: str, cost: dict[str, float], lengths: list[int], unkno
     return out[::-1]
 
 
-class Segmenter:
-    """Likeliest split into words: a word costs -log of its share, an unknown one more with each letter."""
-
-    def __init__(self, counts: dict[str, int]):
-        total = sum(counts.values()) + 1
-        self.cost = {w: math.log(total / n) for w, n in counts.items()}
-        self.unknown = math.log(total)
-        self.lengths = sorted(set(map(len, counts)))
-        self.split = lru_cache(100_000)(self._split)
-
-    def _split(self, name: str) -> tuple[str, ...]:
-        return tuple(likeliest_split(name, self.cost, self.lengths, self.unknown))
-
-    def words(self, host: str, path: str) -> list[str]:
-        """Words of host and path, told apart by a mark; a number counts by its length only."""
-        out = []
-        for mark, text in (("h:", host), ("p:", path.lower())):
-            for piece in PIECE.findall(text):
-                out += [f"{mark}{len(piece)} digits"] if piece[0].isdigit() else [mark + w for w in self.split(piece)]
-        return out
-
-
-def bucket(word: str) -> int:
-    return zlib.crc32(word.encode()) & (BUCKETS - 1)
-
-
-def fit(labelled: DataFrame, counts: dict[str, int]) -> dict:
-    """Naive Bayes on ``host, path, rule_verdict``: word counts by hashed word and verdict, at most ``BUCKETS`` rows."""
-
-    def run(batches):
-        segment = Segmenter(counts)
-        for batch in batches:
-            n = {}
-            for host, path, verdict in zip(*(c.to_pylist() for c in batch.columns)):
-                k = int(verdict == "block")
-                n.setdefault(-1, [0, 0])[k] += 1
-                for word in segment.words(host, path):
-                    n.setdefault(bucket(word), [0, 0])[k] += 1
-            if n:
-                yield pa.RecordBatch.from_pydict({"bucket": pa.array(n.keys(), pa.int32()), "allow": pa.array([v[0] for v in n.values()], pa.int64()), "block": pa.array([v[1] for v in n.values()], pa.int64())})
-
-    words = labelled.select("host", "path", "rule_verdict").mapInArrow(run, "bucket int, allow long, block long")
-    rows = words.groupBy("bucket").agg(F.sum("allow"), F.sum("block")).collect()
-    table = {r[0]: (r[1], r[2]) for r in rows}
-    allow, block = table.pop(-1, (0, 0))
-    if not allow or not block:
-        return {"prior": -1.0 if not block else 1.0, "unseen": 0.0, "weights": {}}
-    total = [sum(v[k] for v in table.values()) + len(table) + 1 for k in (0, 1)]
-    weight = lambda a, b: math.log((b + 1) / total[1]) - math.log((a + 1) / total[0])
-    return {"prior": math.log(block / allow), "unseen": weight(0, 0), "weights": {k: weight(*v) for k, v in table.items()}}
-
-
-def filter_urls(pages: DataFrame, model: dict, counts: dict[str, int], rules=RULES) -> DataFrame:
-    """``page_id, host, path, rule, verdict, block_score`` for every page; the score is null where a rule decides.
-
-    A positive score blocks. Null and unparsable URLs have no words and get the prior's verdict.
-    """
-    kind = pages.schema["page_id"].dataType.simpleString()
-
-    def run(batches):
-        segment = Segmenter(counts)
-        weights, unseen, prior = model["weights"], model["unseen"], model["prior"]
-        for batch in batches:
-            verdicts, scores = [], []
-            for host, path, said in zip(*(batch.column(k).to_pylist() for k in (1, 2, 4))):
-                score = None
-                if said is None:
-                    score = prior + sum(weights.get(bucket(w), unseen) for w in segment.words(host, path))
-                    said = "block" if score > 0 else "allow"
-                verdicts.append(said)
-                scores.append(None if score is None else float(np.round(score, 6)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(verdicts, pa.string()), pa.array(scores, pa.float64())], ["page_id", "host", "path", "rule", "verdict", "block_score"])
-
-    return judged(pages, rules).mapInArrow(run, f"page_id {kind}, host string, path string, rule string, verdict string, block_score double")
-
-
 def url_pieces(urls: DataFrame) -> DataFrame:
     """``host, path, rule_verdict, pages, mark, piece, times``; a number's piece is its length and ``digits``."""
 
@@ -249,7 +160,8 @@ def judge_urls(pages: DataFrame, rules=RULES) -> DataFrame:
     """``page_id, host, path, rule, verdict, block_score`` for every row of ``page_id, url, html``.
 
     The score is null where a rule decides; a positive one blocks. Null and unparsable URLs have no words and get the
-    prior's verdict.
+    prior's verdict; so do all undecided ones where rules gave one verdict only. Null html has no words. Rows that repeat
+    have rows of their own, an empty table has none; further columns are not looked at.
     """
     words, found = url_words(pages, rules), judged(pages, rules)
     times = lambda verdict: F.sum(F.when(F.col("rule_verdict") == verdict, F.col("times") * F.col("pages")).otherwise(0))
@@ -271,4 +183,5 @@ def judge_urls(pages: DataFrame, rules=RULES) -> DataFrame:
 
 
 def op10_urls(spark, sf_dir: str) -> DataFrame:
+    """``judge_urls`` of all ``pages``."""
     return judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"))

@@ -1,6 +1,7 @@
 """Small cases held against brute force: nulls, empty and long texts, ties, repeated rows, empty tables, extra columns."""
 
 import hashlib
+import math
 import re
 import zlib
 
@@ -487,37 +488,124 @@ def test_block_max_search_equals_scoring_all():
     assert got == want and len(want) > 30
 
 
-def test_urls(spark):
+class PlainUrls:
+    """Segmentation by trying every split, and naive Bayes in dictionaries."""
+
+    def __init__(self, counts, rows):
+        """``rows``: host, path, verdict of a rule or None."""
+        self.counts, self.total = counts, sum(counts.values()) + 1
+        n = {"allow": {}, "block": {}}
+        seen = {"allow": 0, "block": 0}
+        for host, path, verdict in rows:
+            if verdict:
+                seen[verdict] += 1
+                for w in self.words(host, path):
+                    n[verdict][w] = n[verdict].get(w, 0) + 1
+        known = set(n["allow"]) | set(n["block"])
+        size = {k: sum(n[k].values()) + len(known) + 1 for k in n}
+        self.two = min(seen.values()) > 0
+        self.prior = math.log(seen["block"] / seen["allow"]) if self.two else 1.0 if seen["block"] else -1.0
+        self.weight = lambda w: round((math.log((n["block"].get(w, 0) + 1) / size["block"]) - math.log((n["allow"].get(w, 0) + 1) / size["allow"])) * 1e9)
+
+    def cost(self, word):
+        n = self.counts.get(word)
+        return math.log(self.total) + urls.LETTER * len(word) if n is None else math.log(self.total / n)
+
+    def split(self, name):
+        best = {0: (0.0, ())}
+        for end in range(1, len(name) + 1):
+            best[end] = min(((best[k][0] + self.cost(name[k:end]), best[k][1] + (name[k:end],)) for k in range(end)), key=lambda x: (round(x[0], 9), [-len(w) for w in x[1][::-1]]))
+        return best[len(name)][1]
+
+    def words(self, host, path):
+        out = []
+        for mark, text in (("h:", host), ("p:", path.lower())):
+            for piece in re.findall(r"[a-z]+|[0-9]+|[^\x00-\x7f]+", text):
+                out += [f"{mark}{len(piece)} digits"] if piece[0].isdigit() else [mark + w for w in self.split(piece)]
+        return out
+
+    def score(self, host, path):
+        return self.prior + (sum(map(self.weight, self.words(host, path))) / 1e9 if self.two else 0)
+
+
+def test_url_rules(spark):
     names = ["https://WWW.Example.com:80/en/7?q", "http://a.example.net/de/8x", "https://b.net/de/1", "ftp://x.org/es/", "no scheme", None, "https://notcom/en/", "http://spam-cheap.example.org/en/1", "https://com/en/#top", "://", "https://h?x/y"]
     pages = spark.createDataFrame([(i, u, "<p>cheap spam words here</p><script>var cheap</script>", "x") for i, u in enumerate(names)], "page_id long, url string, html string, host string")
-    counts = urls.unigrams(pages)
-    assert counts["cheap"] == len(names) and "var" not in counts and urls.Segmenter(counts).split("cheapspam") == ("cheap", "spam")
-    model = urls.fit(urls.judged(pages).filter("rule IS NOT NULL"), counts)
-    got = {r.page_id: r for r in urls.filter_urls(pages.select("page_id", "url"), model, counts).collect()}
+    counts = {r.word: r.n for r in urls.word_counts(pages).collect()}
+    assert counts["cheap"] == len(names) and "var" not in counts
+    got = {r.page_id: r for r in urls.judge_urls(pages).collect()}
     assert (got[0].host, got[0].path) == ("www.example.com:80", "/en/7")
     assert [got[i].rule for i in range(len(names))] == [None, "example.net/de/8", "net/de/", "org/es/", None, None, None, None, "com/en/", None, None]
     assert (got[4].host, got[4].path, got[5].host, got[10].host, got[10].path) == ("", "", "", "h", "")
     assert all((r.rule is None) == (r.block_score is not None) and r.verdict in ("allow", "block") for r in got.values())
 
 
-def test_urls_with_every_word(spark, tmp_path):
+def test_urls_against_plain_form(spark, tmp_path):
     long = "incomprehensibilitiesandmore"
     fillers = ["f" + "".join(chr(97 + k // 26**j % 26) for j in range(4)) for k in range(50_000)]
     html = [" ".join(fillers) + " spam cheap", " ".join(fillers) + f" zzrare zzwordy {long} spam", "<b>spam</b> é日本 cheap", None]
-    names = ["https://zzrarezzwordy.com/en/1", f"https://{long}spam.example.com/en/7", "https://cheapspam.net/de/1", "http://zzwordy.xx/zzrare", f"http://spam{long}.xx/{'q' * 300}spam12", None, "none", "http://zzwordy.xx/zzrare", "http://é日本cheap.xx/É"]
+    names = ["https://zzrarezzwordy.com/en/1", f"https://{long}spam.example.com/en/7", "https://cheapspam.net/de/1", "http://zzwordy.xx/zzrare", f"http://spam{long}.xx/{'q' * 300}spam12", None, "none", "http://zzwordy.xx/zzrare", "http://é日本cheap.xx/É", "http://www.example.com/en/7"]
     pages = spark.createDataFrame([(i, u, html[i % 4]) for i, u in enumerate(names)], "page_id long, url string, html string")
     pages.write.parquet(f"{tmp_path}/pages.parquet")
     counts = {r.word: r.n for r in urls.word_counts(pages).collect()}
-    segment = urls.Segmenter(counts)
-    assert len(counts) > urls.VOCABULARY and segment.words("zzrarezzwordy", long + "spam") == ["h:zzrare", "h:zzwordy", f"p:{long}", "p:spam"]
-    split = {r.piece: tuple(r.words) for r in urls.segmented(spark.createDataFrame([("zzrarezzwordy",), (long + "spam",), ("q" * 300 + "spam",), ("3 digits",), ("é日本",)], "piece string"), urls.word_counts(pages)).collect()}
-    assert split == {p: segment.split(p) if p[0] != "3" else (p,) for p in split} and len(split) == 5
-    model = urls.fit(urls.judged(pages).filter("rule IS NOT NULL"), counts)
-    want = {r.page_id: r for r in urls.filter_urls(pages.select("page_id", "url"), model, counts).collect()}
+    known = {r.page_id: r for r in urls.judged(pages).collect()}
+    plain = PlainUrls(counts, [(r.host, r.path, r.rule_verdict) for r in known.values()])
+    assert len(counts) > 50_000 and plain.words("zzrarezzwordy", long + "spam") == ["h:zzrare", "h:zzwordy", f"p:{long}", "p:spam"]
+    names_of = ["zzrarezzwordy", long + "spam", "q" * 300 + "spam", "é日本"]
+    split = {r.piece: tuple(r.words) for r in urls.segmented(spark.createDataFrame([(p,) for p in [*names_of, "3 digits"]], "piece string"), urls.word_counts(pages)).collect()}
+    assert split == {p: plain.split(p) for p in names_of} | {"3 digits": ("3 digits",)}
     got = {r.page_id: r for r in urls.op10_urls(spark, str(tmp_path)).collect()}
-    assert len(got) == len(names)
+    assert len(got) == len(names) and plain.two
     for i, r in got.items():
-        assert r[:5] == want[i][:5] and (r.block_score is None) == (want[i].block_score is None) and abs((r.block_score or 0) - (want[i].block_score or 0)) < 2e-6
+        score = plain.score(r.host, r.path)
+        assert r.verdict == (known[i].rule_verdict or ("block" if score > 0 else "allow")) and r.rule == known[i].rule
+        assert r.block_score is None if known[i].rule_verdict else abs(r.block_score - score) < 2e-6
     assert got[3].block_score != got[5].block_score
-    lone = urls.judge_urls(pages.filter("page_id > 2")).collect()
+    lone = urls.judge_urls(pages.filter("page_id between 3 and 8")).collect()
     assert {(r.verdict, r.block_score) for r in lone} == {("allow", -1.0)}
+    assert urls.judge_urls(pages.limit(0)).count() == 0
+
+
+def plain_score(net, raw):
+    """The network's formula by loops over places, cells and chunks."""
+    q = quality
+    data = raw + b"\0" * (q.WIDTH + 2 * q.CELL * q.STRIDE)
+    places = max(1, -(-len(raw) // q.STRIDE))
+    cells = []
+    for c in range(-(-places // q.CELL)):
+        most = np.zeros(q.FILTERS)
+        for at in range(c * q.CELL, (c + 1) * q.CELL):
+            z = net.p["bias"].astype(np.float64)
+            for j, byte in enumerate(data[at * q.STRIDE : at * q.STRIDE + q.WIDTH]):
+                if byte:
+                    lo = j % q.STRIDE * q.DIM
+                    z = z + net.p["embed"][byte].astype(np.float64) @ net.p["conv"][j // q.STRIDE][lo : lo + q.DIM]
+            most = np.maximum(most, z)
+        cells.append(most)
+    chunks = [np.maximum(a, b) for a, b in zip(cells, [*cells[1:], cells[-1]])]
+    logit = np.concatenate((np.max(chunks, 0), np.mean(chunks, 0))) @ net.p["out"] + net.p["out_bias"][0]
+    return 1 / (1 + np.exp(-logit))
+
+
+def test_score_against_plain_form(monkeypatch):
+    rng = np.random.default_rng(7)
+    net = quality.Network()
+    net.p = {k: rng.normal(0, 0.4, v.shape).astype(np.float32) for k, v in net.p.items()}
+    texts = [b"", b"a", "é and more".encode() * 9, bytes(rng.integers(1, 256, 1500, dtype=np.uint8)), b"x\0y" * 100]
+    offsets = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+    want = [plain_score(net, t) for t in texts]
+    for cells in (1, 3, 256):
+        monkeypatch.setattr(quality, "PIECE_CELLS", cells)
+        assert net.score(np.frombuffer(b"".join(texts), np.uint8), offsets) == pytest.approx(want, abs=1e-4)
+
+
+def test_score_of_a_long_text_in_bounded_memory():
+    import tracemalloc
+
+    size = 16 << 20
+    data = np.random.default_rng(0).integers(32, 120, size, dtype=np.uint8)
+    tracemalloc.start()
+    quality.Network().score(data, np.array([0, size]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4.5 * size
