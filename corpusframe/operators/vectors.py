@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from corpusframe.functions.vectors import cosine, dot, l2norm
 from corpusframe.operators.common import first_rows, if_small
+from corpusframe.sources.checkpoints import cut
 
 DIMENSIONS = 256
 
@@ -94,52 +95,81 @@ def choose_k(n):
     return F.least(F.greatest(F.least(F.bround(F.sqrt(n)), F.lit(50)), F.lit(8)), n).cast("long")
 
 
-def lloyd(x: np.ndarray, k: int, seed: int = 42, rounds: int = 200) -> tuple[np.ndarray, np.ndarray]:
-    """Labels and centres of k-means from a seeded start."""
-    rng = np.random.default_rng(seed)
-    centers = x[rng.choice(len(x), k, replace=False)].copy()
-    labels = np.full(len(x), -1)
-    for _ in range(rounds):
-        new = ((x * x).sum(1)[:, None] - 2 * x @ centers.T + (centers * centers).sum(1)).argmin(1)
-        if (new == labels).all():
-            break
-        labels = new
-        for c in range(k):
-            if (labels == c).any():
-                centers[c] = x[labels == c].mean(0)
-    return labels, centers
+CENTER_BYTES = 64 << 20  # centres that are on the driver and in a broadcast at once
 
 
-GROUP_ROWS = 20_000
+def nearest(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
+    return ((centers * centers).sum(1) - 2 * x @ centers.T).argmin(1)
 
 
-def cluster_library(chunks: DataFrame, seed: int = 42) -> DataFrame:
-    """``library_id, chunk_id, cluster_id`` by k-means within each library.
+def _assigned(points: DataFrame, centers) -> DataFrame:
+    """``library_id, chunk_id, cluster_id``: the nearest centre of the chunk's library."""
+    kind = points.schema["chunk_id"].dataType.simpleString()
 
-    Libraries up to ``GROUP_ROWS`` chunks are clustered whole, one task each; larger ones one after the other by the
-    distributed k-means of ``pyspark.ml``.
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for library, mine in part.groupby("library_id"):
+                labels = nearest(np.stack(mine["embedding"].to_numpy()).astype(np.float64), centers.value[library])
+                yield mine[["library_id", "chunk_id"]].assign(cluster_id=labels.astype(np.int32))
+
+    return points.mapInPandas(run, f"library_id string, chunk_id {kind}, cluster_id int")
+
+
+def _sums(points: DataFrame, centers) -> DataFrame:
+    """``library_id, cluster_id, n, total``: how many chunks are nearest to each centre, and their sum. Tasks add up first."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n, total = {}, {}
+        for part in parts:
+            for library, mine in part.groupby("library_id"):
+                x, c = np.stack(mine["embedding"].to_numpy()).astype(np.float64), centers.value[library]
+                labels = nearest(x, c)
+                n[library] = n.get(library, 0) + np.bincount(labels, minlength=len(c))
+                total.setdefault(library, np.zeros(c.shape))
+                np.add.at(total[library], labels, x)
+        for library, size in n.items():
+            full = np.flatnonzero(size)
+            yield pd.DataFrame({"library_id": library, "cluster_id": full.astype(np.int32), "n": size[full], "total": list(total[library][full])})
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pdf[:1].assign(n=pdf["n"].sum(), total=[np.sum(np.stack(pdf["total"].to_numpy()), 0)])
+
+    schema = "library_id string, cluster_id int, n long, total array<double>"
+    return points.mapInPandas(run, schema).groupBy("library_id", "cluster_id").applyInPandas(merge, schema)  # a row a task
+
+
+def cluster_library(chunks: DataFrame, seed: int = 42, rounds: int = 200) -> DataFrame:
+    """``library_id, chunk_id, cluster_id`` by k-means within each library, whatever its size.
+
+    Lloyd's rounds go over all libraries at once: chunks stay where they are, the centres (50 a library at most) are
+    broadcast, and tasks send sums. Libraries are taken in as many turns as keep the centres under ``CENTER_BYTES``. The
+    first centres are chunks in the order of a seeded hash; a centre that loses all chunks stays. Rounds end when no centre
+    moves (by a billionth), at the latest after ``rounds``.
     """
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    sizes = chunks.groupBy("library_id").agg(F.count(F.lit(1)).alias("n"))
-    large = sizes.filter(F.col("n") > GROUP_ROWS).withColumn("k", choose_k(F.col("n"))).collect()  # few: each is a job
-    kind = chunks.schema["chunk_id"].dataType.simpleString()
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("chunk_id")
-        x = np.stack(pdf["embedding"].to_numpy()).astype(np.float64)
-        k = int(min(max(min(round(len(x) ** 0.5), 50), 8), len(x)))
-        return pdf.assign(cluster_id=lloyd(x, k, seed)[0].astype(np.int32))[["library_id", "chunk_id", "cluster_id"]]
-
-    small = chunks.select("library_id", "chunk_id", "embedding")
-    if large:
-        small = small.join(F.broadcast(sizes.filter(F.col("n") <= GROUP_ROWS).select("library_id")), "library_id")
-    out = small.groupBy("library_id").applyInPandas(run, f"library_id string, chunk_id {kind}, cluster_id int")
-    for r in large:
-        mine = chunks.filter(F.col("library_id") == r["library_id"]).select("library_id", "chunk_id", array_to_vector("embedding").alias("features"))
-        model = KMeans(k=r["k"], seed=seed, maxIter=200).fit(mine)
-        out = out.unionByName(model.transform(mine).select("library_id", "chunk_id", F.col("prediction").cast("int").alias("cluster_id")))
+    points = cut(chunks.select("library_id", "chunk_id", "embedding"))
+    sizes = points.groupBy("library_id").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("width")).withColumn("k", choose_k(F.col("n")))
+    turns = -(-(sizes.agg(F.sum(F.col("k") * F.col("width") * 8)).first()[0] or 0) // CENTER_BYTES) or 1
+    order = [F.xxhash64(F.lit(seed), F.col("chunk_id")), F.col("chunk_id")]
+    first = first_rows(points, ["library_id"], order, 50).join(sizes, "library_id").filter(F.col("rank") <= F.col("k"))
+    context, out = points.sparkSession.sparkContext, None
+    for turn in range(turns):
+        now = F.pmod(F.xxhash64("library_id"), F.lit(turns)) == turn
+        mine, centers = points.filter(now), {}
+        for r in first.filter(now).select("library_id", "embedding").orderBy("library_id", "rank").collect():
+            centers.setdefault(r["library_id"], []).append(r["embedding"])
+        centers = {k: np.array(v, np.float64) for k, v in centers.items()}
+        for _ in range(rounds):
+            shipped, moved = context.broadcast(centers), 0.0
+            centers = {k: v.copy() for k, v in centers.items()}
+            for r in _sums(mine, shipped).toLocalIterator():
+                new = np.array(r["total"]) / r["n"]
+                moved = max(moved, float(np.abs(new - centers[r["library_id"]][r["cluster_id"]]).max()))
+                centers[r["library_id"]][r["cluster_id"]] = new
+            shipped.unpersist()
+            if moved <= 1e-9:
+                break
+        part = _assigned(mine, context.broadcast(centers))
+        out = part if out is None else out.unionByName(part)
     return out
 
 

@@ -88,6 +88,28 @@ def test_ivf_recall_grows_to_exact(spark):
     assert recall == sorted(recall) and recall[1] > 0.5 and recall[2] == 1
 
 
+def test_clusters_are_at_rest(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    rows = [(f"c{i}", f"l{i % 3}", [float(a) for a in rng.normal(size=6)]) for i in range(400)] + [("alone", "l9", [1.0] * 6)]
+    chunks = spark.createDataFrame(rows, "chunk_id string, library_id string, embedding array<double>")
+    found = {}
+    for parts, limit in ((1, 1 << 30), (5, 1 << 30), (5, 600)):  # the last: libraries in turns
+        monkeypatch.setattr(vectors, "CENTER_BYTES", limit)
+        got = {r.chunk_id: (r.library_id, r.cluster_id) for r in vectors.cluster_library(chunks.repartition(parts)).collect()}
+        assert got == (found or got)
+        found = got
+    assert len(found) == len(rows)
+    for library, n in (("l0", 134), ("l9", 1)):
+        x = {c: np.array(v) for c, lib, v in rows if lib == library}
+        labels = {c: found[c][1] for c in x}
+        centers = {k: np.mean([x[c] for c in x if labels[c] == k], 0) for k in set(labels.values())}
+        assert len(centers) == min(n, max(8, round(n**0.5)))
+        assert all(labels[c] == min(centers, key=lambda k: np.linalg.norm(x[c] - centers[k])) for c in x)
+    assert vectors.cluster_library(chunks.limit(0)).count() == 0
+
+
 def test_fusion_ignores_list_order(spark):
     a = spark.createDataFrame([(1, "x", 1), (1, "y", 2), (1, "", 3)], "query_id int, chunk_id string, rank int")
     b = spark.createDataFrame([(1, "y", 1), (1, "z", 2)], "query_id int, chunk_id string, rank int")
