@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusframe.sources.checkpoints import cut
+
 #: Rows up to which a side of a join is broadcast, after counting them.
 SMALL_ROWS = 100_000
 
@@ -19,6 +21,20 @@ def first_rows(df: DataFrame, keys: list[str], order: list[Column], n: int, name
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col(name) <= n)
 
 
+def numbered(df: DataFrame, keys: list[str], order: list[Column], name: str) -> DataFrame:
+    """Numbers each key's rows from 1, however many one key has.
+
+    The table is dealt out by ranges; a range's rows are numbered by themselves, and the counts of the ranges before, a
+    few rows, are added. So no task sorts the whole of a key.
+    """
+    ranged = cut(df.repartitionByRange(*[F.col(k) for k in keys], *order).withColumn("_part", F.spark_partition_id()))
+    counts = ranged.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = counts.select(*keys, "_part", F.coalesce(before, F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(*order))
+    return ranged.withColumn("_rn", inside).join(offsets, [*keys, "_part"]).withColumn(name, F.col("_rn") + F.col("_before")).drop("_rn", "_part", "_before")
+
+
 def ordered_join(df: DataFrame, keys: list[str], order: str, text: str, separator: str) -> DataFrame:
     """``text`` of each key's rows in the order of ``order``, joined."""
     rows = F.array_sort(F.collect_list(F.struct(order, text)))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusframe.functions.text import text_of, usage_tokens
-from corpusframe.operators.common import first_rows, if_small
+from corpusframe.operators.common import first_rows, if_small, numbered
 from corpusframe.sources.checkpoints import cut
 
 # Stages in order and their weights in the progress bar.
@@ -61,14 +61,14 @@ def assign_batches(docs: DataFrame, workers: int, most: int = 64, start: DataFra
 
     ``start`` has the highest index so far of libraries that go on: ``library_id, batch_index``.
     """
-    order = Window.partitionBy("library_id").orderBy(F.col("gdrive_file_id").asc_nulls_last(), "title", "doc_id")
-    numbered = docs.withColumn("_rn", F.row_number().over(order)).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("library_id")))
+    order = [F.col("gdrive_file_id").asc_nulls_last(), F.col("title"), F.col("doc_id")]
+    rows = numbered(docs, ["library_id"], order, "_at").join(docs.groupBy("library_id").agg(F.count(F.lit(1)).alias("_n")), "library_id")
     size = F.ceil(F.col("_n") / F.least(F.lit(min(workers, most)), F.col("_n")))
-    index = F.floor((F.col("_rn") - 1) / size).cast("long")
+    index = F.floor((F.col("_at") - 1) / size).cast("long")
     if start is not None:
-        numbered = numbered.join(if_small(start.select("library_id", F.col("batch_index").alias("_last"))), "library_id", "left")
+        rows = rows.join(if_small(start.select("library_id", F.col("batch_index").alias("_last"))), "library_id", "left")
         index = index + F.coalesce(F.col("_last") + 1, F.lit(0))
-    return numbered.withColumn("batch_index", index).drop("_rn", "_n", "_last")
+    return rows.withColumn("batch_index", index).drop("_at", "_n", "_last")
 
 
 def stage_breakdown(jobs: DataFrame) -> DataFrame:
