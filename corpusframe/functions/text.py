@@ -67,8 +67,7 @@ def is_caption_stop(c: Column) -> Column:
 def keywords(c: Column, n: int = 12) -> Column:
     """The first ``n`` tokens of three characters or more that are no stop words; repeats stay."""
     tokens = F.regexp_extract_all(F.lower(text_of(c)), F.lit(r"([a-z0-9][a-z0-9_-]{2,})"), F.lit(1))
-    stop = F.array(*map(F.lit, STOP_WORDS))
-    return F.slice(F.filter(tokens, lambda t: ~F.array_contains(stop, t)), 1, n)
+    return F.slice(F.filter(tokens, lambda t: ~t.isin(*STOP_WORDS)), 1, n)
 
 
 def safe_name(c: Column) -> Column:

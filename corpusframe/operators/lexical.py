@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusframe.functions.text import keywords
 from corpusframe.operators.common import first_rows, if_small
+from corpusframe.sources.checkpoints import cut
 
 K1, B = 1.2, 0.75
 
@@ -40,13 +41,16 @@ def query_terms(queries: DataFrame) -> DataFrame:
 def bm25_search(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     """``bm25_topk`` without an index: of all chunks only lengths are kept, and postings of terms that a query has.
 
-    Chunks meet the distinct query terms before anything is shuffled, so common words that nobody asks for never move.
+    Texts are read once. Chunks meet the distinct query terms before anything is shuffled, so common words that nobody
+    asks for never move; an empty term stands for the chunk itself and its length.
     """
     sized = chunks.select("library_id", "chunk_id", keywords(F.col("text"), 1_000_000).alias("terms")).withColumn("length", F.size("terms").cast("long"))
-    asked = if_small(query_terms(queries).select("term").distinct())
-    stats = sized.groupBy("library_id").agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean_length"))
-    postings = sized.select("library_id", "chunk_id", "length", F.explode("terms").alias("term")).join(asked, "term").groupBy("library_id", "term", "chunk_id").agg(F.count(F.lit(1)).alias("tf"), F.first("length").alias("length"))
-    return bm25_topk(queries, _weighed(postings, stats), k)
+    asked = query_terms(queries).select("term").distinct()
+    asked = if_small(asked.union(asked.sparkSession.range(1).select(F.lit("").alias("term"))))
+    every = sized.select("library_id", "chunk_id", "length", F.explode(F.concat(F.array(F.lit("")), "terms")).alias("term"))
+    counted = cut(every.join(asked, "term").groupBy("library_id", "term", "chunk_id").agg(F.count(F.lit(1)).alias("tf"), F.first("length").alias("length")))
+    stats = counted.filter("term = ''").groupBy("library_id").agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean_length"))
+    return bm25_topk(queries, _weighed(counted.filter("term <> ''"), stats), k)
 
 
 def bm25_topk(queries: DataFrame, index: DataFrame, k: int) -> DataFrame:

@@ -10,6 +10,7 @@ from corpusframe.functions.vectors import cosine, dot, l2norm, parse_vector
 from corpusframe.operators import lexical, retrieval, vectors
 from corpusframe.plans.registry import query
 from corpusframe.plans.views import Views
+from corpusframe.sources.checkpoints import cut
 
 STOPS = ",".join(f"'{w}'" for w in STOP_WORDS)
 
@@ -172,8 +173,9 @@ HYBRID = RERANK.replace("al AS (SELECT query_id, chunk_id, rank, 0 AS l FROM fts
 @query("f3_hybrid", f"WITH {HYBRID} SELECT re.query_id, re.chunk_id, re.rank, re.rerank_score, b.text[-220:] AS before, c.text, a.text[1:220] AS after FROM re JOIN v_chunks c USING (chunk_id) LEFT JOIN v_chunks b ON b.doc_id=c.doc_id AND b.chunk_index=c.chunk_index-1 LEFT JOIN v_chunks a ON a.doc_id=c.doc_id AND a.chunk_index=c.chunk_index+1 WHERE re.rank <= 5")
 def flagship(v: Views) -> DataFrame:
     """Each question's five best chunks with the text around them."""
-    found = retrieval.hybrid(v.v_queries, v.v_chunks, 5, v.v_cvectors, v.v_cqueries)
-    context = retrieval.snippets(found, v.v_chunks)
+    chunks = cut(v.v_chunks)  # a stored table elsewhere; a view over documents here
+    found = retrieval.hybrid(v.v_queries, chunks, 5, v.v_cvectors, v.v_cqueries)
+    context = retrieval.snippets(found, chunks)
     return found.join(context, "chunk_id").select("query_id", "chunk_id", "rank", "rerank_score", "before", "text", "after")
 
 
