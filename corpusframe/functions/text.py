@@ -26,6 +26,7 @@ EXTENSIONS = {
     "image/bmp": ".bmp",
     "image/tiff": ".tiff",
 }
+# Fixed value: how a caption begins.
 CAPTION = r"(?i)^(fig(ure)?|table)\s*[.:]?\s*\d+"
 
 
@@ -87,6 +88,7 @@ def slugify(c: Column) -> Column:
 
 
 def pretty_title(c: Column) -> Column:
+    """A title from a file's name. Folders, extension, leading numbers and hashes go."""
     t = F.trim(text_of(c))
     t = F.regexp_extract(t, r"([^/]*)$", 1)
     t = F.regexp_replace(t, r"(?i)\.[a-z0-9]{2,4}$", "")
@@ -102,6 +104,7 @@ def drive_id(*candidates: Column) -> Column:
     found = []
     for c in candidates:
         t = F.trim(text_of(c))
+        # Where an id stands.
         for pattern in (r"(?i)drive\.google\.com/file/d/([a-zA-Z0-9_-]{10,})", r"(?i)[?&]id=([a-zA-Z0-9_-]{10,})", r"^([a-zA-Z0-9_-]{10,})$"):
             found.append(F.nullif(F.regexp_extract(t, pattern, 1), F.lit("")))
     return F.coalesce(*found)
@@ -110,6 +113,7 @@ def drive_id(*candidates: Column) -> Column:
 def route_format(title: Column, mime: Column) -> Column:
     """Name of the parser for a file, the first that fits; null where none does."""
     name, kind = F.lower(text_of(title)), F.lower(text_of(mime))
+    # Extensions and types that choose the parser.
     code = r"\.(py|js|jsx|ts|tsx|java|go|rs|c|h|cpp|hpp|cc|cs|rb|php|swift|kt|scala|sh|sql|r|m|lua|pl)$"
     return (
         F.when(name.endswith(".csv") | kind.contains("csv"), "csv")

@@ -231,6 +231,7 @@ def summarize_visual() -> Column:
     return F.struct(short.alias("short_caption"), F.slice(bullets, 1, 6).alias("bullets"), confidence.alias("confidence"), F.when(source == "none", F.array().cast("array<string>")).otherwise(F.array(source)).alias("sources_used"), source.alias("summary_source"))
 
 
+# What counts as a number and as a unit.
 NUMBER = r"(?i)(?<![\w])(\$?\d+(?:[.,]\d+)*(?:%|x|k|m|b)?)(?![\w])"
 UNIT = r"(?i)\b(usd|eur|gbp|pkr|rs|inr|million|billion|bn|mm|%|percent)\b"
 

@@ -10,6 +10,7 @@ from corpusframe.functions.text import text_of
 from corpusframe.operators.common import first_rows
 
 
+# Fixed value: how a definition begins.
 DEFINITION = r"^\s*(export\s+)?(default\s+)?(async\s+)?(def|class|function|func|fn|interface|type|struct|enum|impl|module|public|private|protected|static|const\s+\w+\s*=\s*(async\s*)?\()\b"
 
 
