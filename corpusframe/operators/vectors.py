@@ -11,10 +11,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusframe.functions.vectors import cosine, dot, l2norm
+from corpusframe.operators import common
 from corpusframe.operators.common import first_rows, if_small
 from corpusframe.sources.checkpoints import cut
 
 DIMENSIONS = 256
+SALTS = 32  # parts of a library that a large set of queries meets
 
 
 def hashed_bag_of_words(texts: list[str], dimensions: int = DIMENSIONS) -> np.ndarray:
@@ -53,13 +55,18 @@ def vector_topk(queries: DataFrame, chunks: DataFrame, k: int = 5) -> DataFrame:
     """``query_id, chunk_id, library_id, score, rank``: the ``k`` nearest chunks of each query's libraries by cosine.
 
     Where both sides have ``organization_id``, a query sees its own organisation's chunks only, unless it is ``cross_org``.
+    Up to ``SMALL_ROWS`` queries are broadcast; more meet the chunks in ``SALTS`` parts of each library.
     """
     scope = ["organization_id"] if {"organization_id"} <= set(queries.columns) & set(chunks.columns) else []
     across = [F.coalesce("cross_org", F.lit(False)).alias("across")] if scope and "cross_org" in queries.columns else [F.lit(False).alias("across")]
-    wanted = if_small(queries.select("query_id", "library_id", *[F.col(c).alias("own") for c in scope], *across, F.col("embedding").alias("q"), l2norm(F.col("embedding")).alias("qn")))
+    wanted = queries.select("query_id", "library_id", *[F.col(c).alias("own") for c in scope], *across, F.col("embedding").alias("q"), l2norm(F.col("embedding")).alias("qn"))
     stored = chunks.select("chunk_id", "library_id", *scope, "embedding", l2norm(F.col("embedding")).alias("n"))
     score = F.round(dot(F.col("embedding"), F.col("q")) / (F.col("n") * F.col("qn") + 1e-9), 6)
-    met = stored.join(wanted, "library_id")
+    if queries.limit(common.SMALL_ROWS + 1).count() <= common.SMALL_ROWS:
+        met = stored.join(F.broadcast(wanted), "library_id")
+    else:  # a library may hold a third of all chunks
+        salt = F.pmod(F.xxhash64("chunk_id"), F.lit(SALTS)).cast("int").alias("_salt")
+        met = stored.select("*", salt).join(wanted.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["library_id", "_salt"])
     met = met.filter("across OR organization_id = own") if scope else met
     scored = met.select("query_id", "chunk_id", "library_id", score.alias("score"))
     return first_rows(scored, ["query_id"], [F.desc("score"), F.col("chunk_id")], k)

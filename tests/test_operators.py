@@ -71,7 +71,7 @@ def test_functions(spark):
         assert chunking.looks_like_heading(text) is want
 
 
-def test_ivf_recall_grows_to_exact(spark):
+def test_ivf_recall_grows_to_exact(spark, monkeypatch):
     import numpy as np
 
     rng = np.random.default_rng(0)
@@ -85,6 +85,8 @@ def test_ivf_recall_grows_to_exact(spark):
     for nprobe in (1, 5, 1000):
         got = {(r.query_id, r.chunk_id) for r in vectors.vector_topk_ivf(queries, chunks, centers, nprobe, 5).collect()}
         recall.append(len(exact & got) / len(exact))
+    monkeypatch.setattr(vectors.common, "SMALL_ROWS", 3)  # many queries: libraries in parts
+    assert {(r.query_id, r.chunk_id) for r in vectors.vector_topk(queries, chunks, 5).collect()} == exact
     assert recall == sorted(recall) and recall[1] > 0.5 and recall[2] == 1
 
 
