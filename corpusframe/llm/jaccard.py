@@ -33,6 +33,7 @@ HEAT_BUCKETS = 1 << 22
 #: Ids that are broadcast to find their texts without a shuffle; with more, the join shuffles.
 BROADCAST_IDS = 1_000_000
 TILE_ROWS = 2_000  # sets of a block whose products one task takes
+PIECE_BYTES = 1 << 20  # of text whose shingles a task makes at once, some 20 times that in memory; pairs have two of them
 HELD_ROWS = 100_000  # rows of a list that wait for its end
 
 
@@ -69,7 +70,7 @@ def _profile(docs: DataFrame, k: int) -> DataFrame:
         counts, total, seen, id_type = np.zeros(HEAT_BUCKETS, np.int32), 0, set(), pa.int64()
         for batch in batches:
             id_type = batch.column(0).type
-            for lo, hi, data, offsets in slices(batch.column(1)):
+            for lo, hi, data, offsets in slices(batch.column(1), PIECE_BYTES):
                 nodes, sizes = [], []
                 for shingles in shingle_sets(data, offsets, k):
                     node = set_hash(shingles)
@@ -107,7 +108,7 @@ def _postings(docs: DataFrame, levels: np.ndarray, k: int, percent: int) -> Data
     def run(batches):
         table, seen = shipped.value, set()
         for batch in batches:
-            for lo, _, data, offsets in slices(batch.column(1)):
+            for lo, _, data, offsets in slices(batch.column(1), PIECE_BYTES):
                 grams, nodes, sizes = [], [], []
                 for i, shingles in enumerate(shingle_sets(data, offsets, k)):
                     n = len(shingles)
@@ -379,8 +380,8 @@ def _linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, perce
 
 def _pair_sets(batch: pa.RecordBatch, k: int):
     """Shingle sets of both texts of each row, in pieces of rows."""
-    for lo, hi, data, offsets in slices(batch.column(2)):
-        right = (s for _, _, r_data, r_offsets in slices(batch.column(3).slice(lo, hi - lo)) for s in shingle_sets(r_data, r_offsets, k))
+    for lo, hi, data, offsets in slices(batch.column(2), PIECE_BYTES):
+        right = (s for _, _, r_data, r_offsets in slices(batch.column(3).slice(lo, hi - lo), PIECE_BYTES) for s in shingle_sets(r_data, r_offsets, k))
         yield lo, hi, zip(shingle_sets(data, offsets, k), right)
 
 
