@@ -15,6 +15,7 @@ side of a join that Spark can split.
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusframe.llm.common import cut, gram_hashes, hash_spans, mix, signed, slices, table
+from corpusframe.llm.common import cut, gram_hashes, hash_spans, mix, shared_dir, signed, slices, table
 
 SPAN = 2  # lines in the rolling hash
 DIVISOR = 4  # of so many lines all but one end a chunk
@@ -128,7 +129,10 @@ def without_repeated_lines(docs: DataFrame, keep_text: bool = False) -> DataFram
     base = _base(docs)
     rows = _chunk_rows(base)
     again = rows.groupBy("chunk").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("order", "first")).alias("head")).filter("n > 1").drop("n")
-    places = cut(rows.join(again.hint("shuffle_hash"), "chunk").select("chunk", "order", "text_key", "first", "lines", (F.struct("order", "first") != F.col("head")).alias("again")))
+    placed = rows.join(again.hint("shuffle_hash"), "chunk").select("chunk", "order", "text_key", "first", "lines", (F.struct("order", "first") != F.col("head")).alias("again"))
+    place = f"{shared_dir(docs.sparkSession)}/places-{uuid.uuid4().hex}"
+    placed.write.parquet(place)  # read three times; smaller than a checkpoint
+    places = docs.sparkSession.read.parquet(place)
 
     def with_places(found, *names):
         listed = found.groupBy("order").agg(F.collect_list(F.struct(*names)).alias("places"))
