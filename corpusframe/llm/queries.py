@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusframe.llm import decontaminate, jaccard, lines, matroska, mixing, quality, repair, separators, substrings, urls
+from corpusframe.llm import collocations, decontaminate, importance, jaccard, language, lines, matroska, mixing, quality, repair, separators, substrings, urls
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -15,5 +15,8 @@ QUERIES = {
     "op8_quality": quality.op8_quality,
     "op9_jaccard": jaccard.op9_jaccard,
     "op10_urls": urls.op10_urls,
+    "op11_importance": importance.op11_importance,
+    "op12_collocations": collocations.op12_collocations,
+    "op13_language": language.op13_language,
 }
-ORACLE_SQL = {"op2_substrings": substrings.ORACLE_SQL, "op9_jaccard": jaccard.ORACLE_SQL}
+ORACLE_SQL = {"op2_substrings": substrings.ORACLE_SQL, "op9_jaccard": jaccard.ORACLE_SQL, "op11_importance": importance.ORACLE_SQL, "op12_collocations": collocations.ORACLE_SQL}
