@@ -76,8 +76,7 @@ def grams(chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         total = total[:m] * np.uint64(0x9E3779B97F4A7C15) + chars[n - 1 :] + np.uint64(n << 24)
         if n > 2:
             fits = fits[:m] & letters[n - 2 : len(chars) - 1]
-        some = letters[:m] | letters[n - 1 :]  # two gaps in a row are one text's end and the next one's start
-        at = np.flatnonzero(fits[:m] & some)
+        at = np.flatnonzero(fits[:m] & (letters[:m] | letters[n - 1 :] if n < 3 else True))  # two gaps: texts meet there
         h = total[at] * np.uint64(0xD6E8FEB86659FD93)
         buckets.append(((h >> np.uint64(32)) % np.uint64(BUCKETS)).astype(np.int32))
         places.append(at)
