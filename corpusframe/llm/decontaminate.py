@@ -11,8 +11,8 @@ What is retrieved is verified: enough of the word triples of the item's question
 
 Passages are two cells of as many tokens as the longest item has, and start at every cell, so each item that occurs lies
 whole in one. The index is built by Spark in shards of at most about ``SHARD_ITEMS`` items and ``SHARD_POSTINGS`` postings,
-of items of similar length. Shards stand as rows of a table in the shared folder; one at a time is broadcast, and all
-passages are held against it.
+of items of similar length. Shards stand as rows of a table in the shared folder; as many as ``PASS_BYTES`` hold are
+broadcast at a time, and all passages are held against them.
 """
 
 from __future__ import annotations
@@ -24,10 +24,10 @@ import uuid
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from corpusframe.llm.common import LOWER, cut, gram_hashes, hash_spans, shared_dir, slices, word_spans
 
@@ -36,6 +36,7 @@ THRESHOLD = 0.5  # of the item's own score
 QUESTION_SHARE = ANSWER_SHARE = 0.5  # of word triples
 BLOCK_ITEMS = 4
 SHARD_ITEMS, SHARD_POSTINGS = 20_000, 1 << 20
+PASS_BYTES = 128 << 20  # of pickled parts of the index that one pass over the texts takes
 SLACK = 1e-9  # of a bound, for sums that were rounded
 #: tokens: letters and digits, any byte of a non-ASCII character
 IS_TOKEN = np.zeros(256, bool)
@@ -176,9 +177,9 @@ class Shard:
             inside = cursor < self.post_first[term + 1]
             passage, term, cursor = passage[inside], term[inside], cursor[inside]
 
-    def search(self, data: np.ndarray, offsets: np.ndarray, threshold: float):
-        """``(text, first token of the passage, item, score, question share, answer share)`` of all verified matches."""
-        words, first = tokens(data, offsets)
+    def search(self, words: np.ndarray, first: np.ndarray, threshold: float):
+        """``(text, first token of the passage, item, score, question share, answer share)`` of all verified matches in
+        ``tokens`` of some texts."""
         if not len(words):
             return
         at = np.minimum(np.searchsorted(self.vocabulary, words), len(self.vocabulary) - 1)
@@ -224,29 +225,38 @@ def index(benchmark: DataFrame) -> DataFrame:
     sizes = rows.groupBy("class").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("terms")).alias("postings")).collect()
     parts = [F.when(F.col("class") == s["class"], max(-(-s["n"] // SHARD_ITEMS), -(-s["postings"] // SHARD_POSTINGS))) for s in sizes]
 
-    def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        shard = Shard.build(pdf[["item_id", "text", "length", "terms", "total"]].to_dict("records"))
-        return pd.DataFrame({"class": pdf["class"][:1], "part": pdf["part"][:1], "shard": [pickle.dumps(shard)]})
+    def build(rows: pa.Table) -> pa.Table:
+        shard = Shard.build(rows.select(["item_id", "text", "length", "terms", "total"]).to_pylist())
+        return pa.table({"class": rows["class"][:1], "part": rows["part"][:1], "shard": pa.array([pickle.dumps(shard)], pa.binary())})
 
     dealt = rows.withColumn("part", F.pmod(F.xxhash64("item"), F.coalesce(*parts, F.lit(1))).cast("int"))
-    return cut(dealt.groupBy("class", "part").applyInPandas(build, "class int, part int, shard binary"))
+    return cut(dealt.groupBy("class", "part").applyInArrow(build, "class int, part int, shard binary"))
 
 
 def shards(benchmark: DataFrame):
-    """The parts of the index, each broadcast while it is in use, and whether it is the last."""
+    """The parts of the index that one pass over the texts takes, broadcast while they are in use, and whether they are the
+    last. A pass takes as many parts as have ``PASS_BYTES`` together, and one at least."""
     table = index(benchmark)
-    names = table.select("class", "part").orderBy("class", "part").collect()  # a row for each SHARD_ITEMS items
+    names = table.select("class", "part", F.length("shard").alias("size")).orderBy("class", "part").collect()  # a row for each SHARD_ITEMS items
+    passes, room = [], 0
+    for n in names:
+        if n["size"] > room:
+            passes.append([])
+            room = PASS_BYTES
+        passes[-1].append((n["class"], n["part"]))
+        room -= n["size"]
     context = benchmark.sparkSession.sparkContext
-    for k, (level, part) in enumerate(names):
-        got = table.filter((F.col("class") == level) & (F.col("part") == part)).select("shard").first()
-        yield k + 1 == len(names), context.broadcast(bytes(got[0]))
+    for k, some in enumerate(passes):
+        wanted = F.struct("class", "part").isin([F.struct(F.lit(a).alias("class"), F.lit(b).alias("part")) for a, b in some])
+        got = table.filter(wanted).orderBy("class", "part").select("shard").collect()
+        yield k + 1 == len(passes), context.broadcast([bytes(r[0]) for r in got])
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``doc_id, item_id, score, question_share, answer_share, first_token``: the best passage for each leaked item.
 
     Whole texts are searched. Null and empty texts, and items without a letter or digit, match nothing. Repeated rows
-    give one row; a null doc_id is an id like others here, and so is a null item_id. Empty tables give no rows; further
+    give one row; a null doc_id is an id like others here, and so is a null item_id; ids of any type stay exact. Empty tables give no rows; further
     columns are not looked at. What each part of the index finds is written to the shared folder before the next.
     """
     docs = docs.select("doc_id", "text")
@@ -254,18 +264,18 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -
     kinds = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id {benchmark.schema['item_id'].dataType.simpleString()}"
     names = ["doc_id", "item_id", "score", "question_share", "answer_share", "first_token"]
     schema = f"{kinds}, score double, question_share double, answer_share double, first_token long"
-    item_type = pa.int64() if "item_id bigint" in kinds else pa.int32() if "item_id int" in kinds else pa.string()
+    item_type = to_arrow_type(benchmark.schema["item_id"].dataType)
     out, place = None, f"{shared_dir(spark)}/leaks-{uuid.uuid4().hex}"
     for last, shipped in shards(benchmark):
 
         def run(batches, shipped=shipped):
-            shard = pickle.loads(shipped.value)
+            parts = [pickle.loads(raw) for raw in shipped.value]
             for batch in batches:
                 for lo, _, data, offsets in slices(batch.column(1)):
-                    found = list(shard.search(data, offsets, threshold))
+                    words = tokens(data, offsets)
+                    found = [(text, token, shard.ids[item], *rest) for shard in parts for text, token, item, *rest in shard.search(*words, threshold)]
                     if found:
-                        text, token, item, score, q, a = zip(*found)
-                        ids = [None if shard.ids[i] is None or shard.ids[i] != shard.ids[i] else shard.ids[i] for i in item]
+                        text, token, ids, score, q, a = zip(*found)
                         yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([lo + t for t in text])), pa.array(ids, item_type), *[pa.array(np.round(v, 4), pa.float64()) for v in (score, q, a)], pa.array(token, pa.int64())], names)
 
         part = docs.mapInArrow(run, schema)
@@ -287,12 +297,14 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, threshold: float = TH
     for last, shipped in shards(benchmark):
 
         def run(batches, shipped=shipped):
-            shard = pickle.loads(shipped.value)
+            parts = [pickle.loads(raw) for raw in shipped.value]
             for batch in batches:
                 keep = np.ones(batch.num_rows, bool)
                 for lo, _, data, offsets in slices(batch.column("text")):
-                    for hit in shard.search(data, offsets, threshold):
-                        keep[lo + hit[0]] = False
+                    words = tokens(data, offsets)
+                    for shard in parts:
+                        for hit in shard.search(*words, threshold):
+                            keep[lo + hit[0]] = False
                 yield batch.filter(pa.array(keep))
 
         docs = docs.mapInArrow(run, docs.schema)

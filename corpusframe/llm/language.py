@@ -112,6 +112,9 @@ def counts(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some)), pa.array(some - 1, pa.int32()), pa.array(n[some])], ["lang", "bucket", "n"])
             known.clear()
 
+        def of(lang):
+            return known.setdefault(lang, np.zeros(BUCKETS + 1, np.int64))
+
         for batch in batches:
             langs = batch.column(1).dictionary_encode()
             names, code = langs.dictionary.to_pylist(), langs.indices.to_numpy(zero_copy_only=False)
@@ -119,14 +122,13 @@ def counts(docs: DataFrame) -> DataFrame:
                 chars, first, _ = characters(data, offsets)
                 own = code[lo:hi]
                 for c in np.unique(own).tolist():
-                    if names[c] not in known and len(known) >= MAX_LANGS:
-                        yield from rows()
-                    n = known.setdefault(names[c], np.zeros(BUCKETS + 1, np.int64))
-                    n[0] += np.count_nonzero(own == c)
+                    of(names[c])[0] += np.count_nonzero(own == c)
                 for bucket, place in pieces(chars):
                     lang = own[np.searchsorted(first, place, "right") - 1]
                     for c in np.unique(lang).tolist():
-                        known[names[c]][1:] += np.bincount(bucket[lang == c], minlength=BUCKETS)
+                        of(names[c])[1:] += np.bincount(bucket[lang == c], minlength=BUCKETS)
+                if len(known) > MAX_LANGS:  # few texts of a slice have another language each; sums go on below
+                    yield from rows()
         yield from rows()
 
     some = docs.filter("text IS NOT NULL AND lang IS NOT NULL").select("text", "lang")

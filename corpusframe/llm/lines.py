@@ -3,8 +3,8 @@
 A rolling hash over the hashes of ``SPAN`` lines decides which lines end a chunk, so boundaries move with the text: lines
 put in front of a passage don't change the boundaries inside it. From every line a chunk runs to the next boundary, and to
 every line one runs from the boundary before. So a repeated passage that has one boundary behind its first line is covered
-whole, wherever it stands: chunks from its first line on, and chunks up to its last one. With ``DIVISOR`` 4, three of four
-lines are boundaries, so 3 of 4 passages of two lines are found, 15 of 16 of three lines, 63 of 64 of four lines.
+whole, wherever it stands: chunks from its first line on, and chunks up to its last one. With ``DIVISOR`` 16, 15 of 16
+lines are boundaries, so 15 of 16 passages of two lines are found, 255 of 256 of three lines, nearly all longer ones.
 
 Chunks have two lines at least and ``MAX_LINES`` at most. Those that occur again anywhere are removed, all but the first,
 after their bytes were compared. Only hashes of chunks are counted, with partial sums; bytes move for chunks that occur
@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from corpusframe.llm.common import cut, gram_hashes, hash_spans, mix, shared_dir, signed, slices, table
 
 SPAN = 2  # lines in the rolling hash
-DIVISOR = 4  # of so many lines all but one end a chunk
-MAX_LINES = 64  # longest chunk
+DIVISOR = 16  # of so many lines all but one end a chunk
+MAX_LINES = 8  # longest chunk; longer runs without a boundary are equal lines, one in 16 of such
 BASE = np.uint64(0x9E3779B97F4A7C15)  # of the polynomial hash of a chunk's lines; odd
 UNBASE = np.uint64(pow(int(BASE), -1, 1 << 64))
 NO_ID = 2**63 - 1  # place of a null doc_id in the order of documents, after all others

@@ -4,6 +4,7 @@ import hashlib
 import math
 import re
 import zlib
+from decimal import Decimal
 
 import numpy as np
 import pytest
@@ -201,7 +202,7 @@ def test_lines(spark, empty, tmp_path):
         n = 2 + i // 72
         caught[n] = caught.get(n, 0) + (i % 3 > 0 and by_id[i] == n)
         assert i == 0 or by_id[i] <= n  # id 0 is given to several rows
-    assert all(caught[n] / planted[n] >= share for n, share in ((2, 0.5), (3, 0.8), (4, 0.9), (5, 0.9), (6, 0.95), (7, 0.95))), (caught, planted)
+    assert all(caught[n] / planted[n] >= share for n, share in ((2, 0.9), (3, 0.95), (4, 0.95), (5, 0.95), (6, 0.95), (7, 0.95))), (caught, planted)
     assert lines.op5_lines(spark, str(tmp_path)).count() == len(rows)
     assert lines.without_repeated_lines(empty).count() == 0
 
@@ -215,7 +216,7 @@ def test_boundaries_move_with_the_text():
         _, _, data, offsets = next(slices(pa.array([front + text])))
         starts, ends, first = lines.line_spans(data, offsets)
         cuts.append(lines.boundaries(hash_spans(data, starts, ends), first)[-199:].tolist())
-    assert cuts[0] == cuts[1] == cuts[2] and 120 < sum(cuts[0]) < 180
+    assert cuts[0] == cuts[1] == cuts[2] and 175 < sum(cuts[0]) < 199
 
 
 def test_lines_whose_hashes_clash_stay(spark, monkeypatch):
@@ -444,9 +445,20 @@ def test_jaccard(spark, docs, rows, empty, tile_rows, monkeypatch):
     assert {30, 31, 20, 34} <= kept and not {22, 35} & kept
 
 
-@pytest.mark.parametrize("shard_items", [1, 20_000])
-def test_decontamination(spark, empty, shard_items, monkeypatch):
+@pytest.mark.parametrize("kind,ids", [("bigint", [2**60 + 1, None, 2**63 - 1]), ("smallint", [3, None, -2]), ("decimal(20,2)", [Decimal("12345678901234567.25"), Decimal("2"), None]), ("string", ["a", None, ""]), ("int", [1, 2, 3])])
+def test_item_ids_stay_exact(spark, kind, ids):
+    texts = [f"{passage(900 + k, 30)} {k}" for k in range(3)]
+    benchmark = spark.createDataFrame(list(zip(ids, texts)), f"item_id {kind}, text string")
+    frame = spark.createDataFrame([(2**60 + 1 + k, t) for k, t in enumerate(texts)] + [(None, texts[0])], "doc_id long, text string")
+    got = decontaminate.leaks(frame, benchmark)
+    assert got.schema["item_id"].dataType == benchmark.schema["item_id"].dataType
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == {(2**60 + 1 + k, i) for k, i in enumerate(ids)} | {(None, ids[0])}
+
+
+@pytest.mark.parametrize("shard_items,pass_bytes", [(1, 1), (1, 128 << 20), (20_000, 1)])
+def test_decontamination(spark, empty, shard_items, pass_bytes, monkeypatch):
     monkeypatch.setattr(decontaminate, "SHARD_ITEMS", shard_items)
+    monkeypatch.setattr(decontaminate, "PASS_BYTES", pass_bytes)
     items = [(1, "What color is the tallest tower of glass? It is deep purple with silver lines."), (2, passage(50, 40) + ". " + passage(51, 12)), (3, None), (4, "!!"), (5, "short one")]
     benchmark = spark.createDataFrame(items, "item_id long, text string")
     rows = [(1, passage(60, 90) + " " + items[0][1].upper() + " " + passage(61, 90)), (2, passage(62, 300) + "\n" + items[1][1]), (3, items[1][1][:60]), (4, passage(63, 500)), (5, None), (6, ""), (7, items[0][1].split("?")[0] + "? " + passage(64, 60))]
@@ -474,7 +486,7 @@ def test_block_max_search_equals_scoring_all():
     raw = [t.encode() for t in texts]
     offsets = np.concatenate(([0], np.cumsum([len(t) for t in raw])))
     order = sorted(range(30), key=lambda i: (rows[i]["length"], str(i), rows[i]["text"]))
-    got = {(t, order[i]) for t, _, i, *_ in shard.search(np.frombuffer(b"".join(raw), np.uint8), offsets, 0.6)}
+    got = {(t, order[i]) for t, _, i, *_ in shard.search(*decontaminate.tokens(np.frombuffer(b"".join(raw), np.uint8), offsets), 0.6)}
     want = set()
     for t, text in enumerate(texts):
         w = decontaminate.tokens_of(text)
