@@ -35,6 +35,31 @@ def numbered(df: DataFrame, keys: list[str], order: list[Column], name: str) ->
     return ranged.withColumn("_rn", inside).join(offsets, [*keys, "_part"]).withColumn(name, F.col("_rn") + F.col("_before")).drop("_rn", "_part", "_before")
 
 
+def percentiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """``keys`` and, by name, exact percentiles of ``value``, interpolated; nulls don't count.
+
+    Equal values are counted first, then dealt out by ranges of (key, value); running counts inside a range, and the counts
+    of the ranges before it, give each value its ranks. So no task holds a key, however many rows it has.
+    """
+    counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    ranged = cut(counted.repartitionByRange(*[F.col(k) for k in keys], F.col(value)).withColumn("_part", F.spark_partition_id()))
+    sums = ranged.groupBy(*keys, "_part").agg(F.sum("_n").alias("_sum"))
+    before = F.sum("_sum").over(Window.partitionBy(*keys).orderBy("_part")) - F.col("_sum")
+    total = F.sum("_sum").over(Window.partitionBy(*keys))
+    offsets = sums.select(*keys, "_part", before.alias("_before"), total.alias("_total"))  # a row a key and range
+    inside = F.sum("_n").over(Window.partitionBy(*keys, "_part").orderBy(value))
+    ranked = ranged.withColumn("_inside", inside).join(offsets, [*keys, "_part"]).withColumn("_end", F.col("_before") + F.col("_inside"))
+    holds = lambda rank: (rank >= F.col("_end") - F.col("_n")) & (rank < F.col("_end"))
+    ends, out = [], []
+    for name, share in shares.items():
+        place = (F.col("_total") - 1) * F.lit(float(share))
+        ends += [F.max(F.when(holds(F.floor(place)), F.col(value))).alias(f"_low_{name}"), F.max(F.when(holds(F.ceil(place)), F.col(value))).alias(f"_high_{name}")]
+        part = (F.col("_total") - 1) * F.lit(float(share))
+        part = part - F.floor(part)
+        out.append(((1 - part) * F.col(f"_low_{name}") + part * F.col(f"_high_{name}")).alias(name))
+    return ranked.groupBy(*keys).agg(F.first("_total").alias("_total"), *ends).select(*keys, *out)
+
+
 def ordered_join(df: DataFrame, keys: list[str], order: str, text: str, separator: str) -> DataFrame:
     """``text`` of each key's rows in the order of ``order``, joined."""
     rows = F.array_sort(F.collect_list(F.struct(order, text)))

@@ -196,8 +196,20 @@ def build_report(parts: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-def markdown(report: DataFrame) -> str:
-    """The report, a small table (its first 10,000 lines), as Markdown."""
-    lines = ["| section | item | metric | value |", "|---|---|---|---|"]
-    lines += [f"| {r['section']} | {r['item']} | {r['metric']} | {r['value']} |" for r in report.orderBy("section", "item", "metric").limit(10_000).collect()]
-    return "\n".join(lines)
+def markdown(report: DataFrame, most: int = 10_000) -> str:
+    """The report as one Markdown text; with more than ``most`` lines an error, see ``write_markdown``."""
+    rows = report.orderBy("section", "item", "metric").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"the report has more than {most} lines; write_markdown writes it whole")
+    return "\n".join([*HEAD, *(f"| {r['section']} | {r['item']} | {r['metric']} | {r['value']} |" for r in rows)])
+
+
+HEAD = ("| section | item | metric | value |", "|---|---|---|---|")
+
+
+def write_markdown(report: DataFrame, path: str) -> None:
+    """Lines of the report, of any length, as text files in the order of their names; ``HEAD`` goes in front of the first."""
+    cell = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("None"))
+    line = F.concat(F.lit("| "), F.concat_ws(" | ", *[cell(c) for c in ("section", "item", "metric", "value")]), F.lit(" |"))
+    ordered = report.repartitionByRange("section", "item", "metric").sortWithinPartitions("section", "item", "metric")
+    ordered.select(line.alias("value")).write.mode("overwrite").option("lineSep", "\n").text(path)

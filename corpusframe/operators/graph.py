@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from corpusframe.functions.text import name_key, text_of
 from corpusframe.operators.common import first_rows, if_small
+from corpusframe.sources.checkpoints import cut
 
+# Types that say nothing.
 VAGUE_TYPES = ("", "thing", "other")
+IDS = 1_000  # chunk ids that a node or an edge lists; ``node_chunks`` and ``edge_chunks`` have all
 
 
 def valid_mentions(mentions: DataFrame, chunks: DataFrame, least: int = 30) -> DataFrame:
@@ -17,34 +20,71 @@ def valid_mentions(mentions: DataFrame, chunks: DataFrame, least: int = 30) -> D
     return mentions.filter(F.trim(text_of(F.col("name"))) != "").join(long_enough, "chunk_id", "left_semi")
 
 
-def resolve_nodes(mentions: DataFrame) -> DataFrame:
-    """One node for each graph and name key: first name and type, longest description, mentions and chunks.
+def _keyed(mentions: DataFrame) -> DataFrame:
+    return mentions.withColumn("key", name_key(F.col("name"))).filter(F.length("key") >= 2)
+
+
+def _node_id():
+    return F.sha1(F.concat_ws("|", "graph_id", "key").cast("binary"))
+
+
+def _with_ids(rows: DataFrame, chunks: DataFrame, keys: list[str], n: int) -> DataFrame:
+    """``rows`` with ``source_chunk_ids``: the ``n`` least of their distinct ``chunks``.
+
+    Tasks cut to ``n`` of a key before anything of it meets, so a name of a third of all mentions is no large row.
+    """
+    least = first_rows(chunks, keys, [F.col("chunk_id")], n, "_place")
+    lists = least.groupBy(*keys).agg(F.array_sort(F.collect_list("chunk_id")).alias("source_chunk_ids"))
+    return rows.join(lists, keys)
+
+
+def node_chunks(mentions: DataFrame) -> DataFrame:
+    """``graph_id, key, node_id, chunk_id, n``: every chunk of every node, and its mentions there."""
+    return _keyed(mentions).groupBy("graph_id", "key", "chunk_id").agg(F.count(F.lit(1)).alias("n")).select("graph_id", "key", _node_id().alias("node_id"), "chunk_id", "n")
+
+
+def resolve_nodes(mentions: DataFrame, ids: int = IDS) -> DataFrame:
+    """One node for each graph and name key: first name and type, longest description, mentions and first ``ids`` chunks.
 
     "First" is by chunk and position. The id depends on graph and key only.
     """
     order = F.struct("chunk_id", "pos")
     kind = F.substring(F.lower(F.trim(text_of(F.col("type")))), 1, 40)
     kind = F.when(F.trim(kind) == "", "concept").otherwise(kind)
-    rows = mentions.withColumn("key", name_key(F.col("name"))).filter(F.length("key") >= 2).withColumn("kind", kind).withColumn("d", F.nullif(F.trim(text_of(F.col("description"))), F.lit("")))
+    rows = _keyed(mentions).withColumn("kind", kind).withColumn("d", F.nullif(F.trim(text_of(F.col("description"))), F.lit("")))
     nodes = rows.groupBy("graph_id", "key").agg(
         F.min_by(F.substring(F.trim("name"), 1, 160), order).alias("name"),
         F.min_by("kind", order).alias("type"),
         F.min_by("d", F.when(F.col("d").isNotNull(), F.struct(-F.length("d"), "chunk_id", "pos"))).alias("description"),
         F.count(F.lit(1)).alias("mention_count"),
-        F.array_sort(F.collect_set("chunk_id")).alias("source_chunk_ids"),
     )
-    node_id = F.sha1(F.concat_ws("|", "graph_id", "key").cast("binary"))
-    return nodes.select("graph_id", "key", node_id.alias("node_id"), "name", F.when(F.col("type").isin(*VAGUE_TYPES), "concept").otherwise(F.col("type")).alias("type"), F.substring("description", 1, 500).alias("description"), "mention_count", "source_chunk_ids")
+    nodes = _with_ids(nodes, node_chunks(mentions).select("graph_id", "key", "chunk_id"), ["graph_id", "key"], ids)
+    return nodes.select("graph_id", "key", _node_id().alias("node_id"), "name", F.when(F.col("type").isin(*VAGUE_TYPES), "concept").otherwise(F.col("type")).alias("type"), F.substring("description", 1, 500).alias("description"), "mention_count", "source_chunk_ids")
 
 
-def resolve_edges(relations: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Edges between known, different nodes: label of the first relation, number of relations, chunks."""
+def _known_relations(relations: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Relations between known, different nodes. Keys and ids alone are joined; equal relations of a chunk are one row."""
     label = F.substring(F.trim(text_of(F.col("relation"))), 1, 60)
     label = F.when(label == "", "related to").otherwise(label)
     rows = relations.select("graph_id", "chunk_id", "pos", name_key(F.col("source")).alias("s"), name_key(F.col("target")).alias("t"), label.alias("label"))
+    rows = rows.groupBy("graph_id", "chunk_id", "s", "t", F.lower("label").alias("relation_key")).agg(F.min_by("label", "pos").alias("label"), F.min("pos").alias("pos"), F.count(F.lit(1)).alias("n"))
     ids = nodes.select("graph_id", "key", "node_id")
-    known = rows.join(ids.withColumnsRenamed({"key": "s", "node_id": "source"}), ["graph_id", "s"]).join(ids.withColumnsRenamed({"key": "t", "node_id": "target"}), ["graph_id", "t"]).filter("source <> target")
-    edges = known.groupBy("graph_id", "source", "target", F.lower("label").alias("relation_key")).agg(F.min_by("label", F.struct("chunk_id", "pos")).alias("relation"), F.count(F.lit(1)).alias("weight"), F.array_sort(F.collect_set("chunk_id")).alias("source_chunk_ids"))
+    return rows.join(ids.withColumnsRenamed({"key": "s", "node_id": "source"}), ["graph_id", "s"]).join(ids.withColumnsRenamed({"key": "t", "node_id": "target"}), ["graph_id", "t"]).filter("source <> target")
+
+
+EDGE = ["graph_id", "source", "target", "relation_key"]
+
+
+def edge_chunks(relations: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``graph_id, source, target, relation_key, chunk_id, n``: every chunk of every edge, and its relations there."""
+    return _known_relations(relations, nodes).groupBy(*EDGE, "chunk_id").agg(F.sum("n").alias("n"))
+
+
+def resolve_edges(relations: DataFrame, nodes: DataFrame, ids: int = IDS) -> DataFrame:
+    """Edges between known, different nodes: label of the first relation, number of relations, first ``ids`` chunks."""
+    known = cut(_known_relations(relations, nodes))
+    edges = known.groupBy(*EDGE).agg(F.min_by("label", F.struct("chunk_id", "pos")).alias("relation"), F.sum("n").alias("weight"))
+    edges = _with_ids(edges, known.select(*EDGE, "chunk_id").distinct(), EDGE, ids)
     return edges.withColumn("edge_id", F.sha1(F.concat_ws("|", "graph_id", "source", "relation_key", "target").cast("binary")))
 
 

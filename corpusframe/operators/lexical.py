@@ -1,8 +1,14 @@
-"""Keyword search: a BM25 index per library, a substring fallback, and the choice between them."""
+"""Keyword search: a BM25 index per library, a substring fallback, and the choice between them.
+
+An index can be saved: a table bucketed by term (and by a salt, so that a common term's postings are several tasks'). A
+search then shuffles its own terms only and never the postings.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import hashlib
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusframe.functions.text import keywords
@@ -10,6 +16,8 @@ from corpusframe.operators.common import first_rows, if_small
 from corpusframe.sources.checkpoints import cut
 
 K1, B = 1.2, 0.75
+SALTS = 8  # parts of a term's postings in a saved index
+BUCKET_POSTINGS = 4_000_000
 
 
 def bm25_index(chunks: DataFrame) -> DataFrame:
@@ -38,29 +46,84 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", *scope, F.explode(F.array_distinct(keywords(F.col("question")))).alias("term"))
 
 
-def bm25_search(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
-    """``bm25_topk`` without an index: of all chunks only lengths are kept, and postings of terms that a query has.
-
-    Texts are read once. Chunks meet the distinct query terms before anything is shuffled, so common words that nobody
-    asks for never move; an empty term stands for the chunk itself and its length.
-    """
+def postings_of(chunks: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """``library_id, term, chunk_id, tf, length``; an empty term stands for the chunk itself. With ``asked`` (``term``) only
+    those terms: chunks meet them before anything is shuffled, so common words that nobody asks for never move."""
     sized = chunks.select("library_id", "chunk_id", keywords(F.col("text"), 1_000_000).alias("terms")).withColumn("length", F.size("terms").cast("long"))
-    asked = query_terms(queries).select("term").distinct()
-    asked = if_small(asked.union(asked.sparkSession.range(1).select(F.lit("").alias("term"))))
     every = sized.select("library_id", "chunk_id", "length", F.explode(F.concat(F.array(F.lit("")), "terms")).alias("term"))
-    counted = cut(every.join(asked, "term").groupBy("library_id", "term", "chunk_id").agg(F.count(F.lit(1)).alias("tf"), F.first("length").alias("length")))
+    met = every if asked is None else every.join(asked, "term")
+    return met.groupBy("library_id", "term", "chunk_id").agg(F.count(F.lit(1)).alias("tf"), F.first("length").alias("length"))
+
+
+def _asked(queries: DataFrame) -> DataFrame:
+    terms = query_terms(queries).select("term").distinct()
+    return if_small(terms.union(terms.sparkSession.range(1).select(F.lit("").alias("term"))))
+
+
+def search_postings(queries: DataFrame, postings: DataFrame, k: int) -> DataFrame:
+    """``bm25_topk`` over ``postings_of``, of which only asked terms are looked at; statistics are those of the postings
+    as they are now, so rows may come and go between searches."""
+    return _search(queries, postings.join(_asked(queries), "term", "left_semi"), k)
+
+
+def _search(queries: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    counted = cut(asked)
     stats = counted.filter("term = ''").groupBy("library_id").agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean_length"))
     return bm25_topk(queries, _weighed(counted.filter("term <> ''"), stats), k)
 
 
+def bm25_search(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
+    """``bm25_topk`` without an index: texts are read once, and of all chunks only lengths are kept, and postings of terms
+    that a query has."""
+    return _search(queries, postings_of(chunks, _asked(queries)), k)
+
+
 def bm25_topk(queries: DataFrame, index: DataFrame, k: int) -> DataFrame:
-    """``query_id, chunk_id, library_id, score, rank``: up to ``max(20, 4k)`` chunks of each query."""
+    """``query_id, chunk_id, library_id, score, rank``: up to ``max(20, 4k)`` chunks of each query.
+
+    ``index``: ``bm25_index`` or a saved one, which is met in its buckets.
+    """
     terms = query_terms(queries)
-    hits = index.join(if_small(terms), [c for c in terms.columns if c != "query_id"])
+    on = ["term"]
+    if "salt" in index.columns:
+        terms, on = terms.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["term", "salt"]
+    if "library_id" in terms.columns:  # not a key of the join: buckets have only the term
+        hits = index.join(terms.withColumnRenamed("library_id", "asked"), on).filter("library_id = asked")
+    else:
+        hits = index.join(terms, on)
     scored = hits.groupBy("query_id", "chunk_id", "library_id").agg(F.round(F.sum("weight"), 6).alias("score"))
     return first_rows(scored, ["query_id"], [F.desc("score"), F.col("chunk_id")], max(20, 4 * k))
 
 
+def _table_of(path: str) -> str:
+    return f"keyword_index_{hashlib.md5(path.encode()).hexdigest()[:16]}"
+
+
+def save_index(chunks: DataFrame, path: str, buckets: int | None = None) -> DataFrame:
+    """``bm25_index`` of ``chunks`` as a bucketed table under ``path``, which it replaces; see ``open_index``.
+
+    A bucket has about ``BUCKET_POSTINGS`` postings where ``buckets`` doesn't say otherwise.
+    """
+    spark = chunks.sparkSession
+    rows = cut(bm25_index(chunks).withColumn("salt", F.pmod(F.xxhash64("chunk_id"), F.lit(SALTS)).cast("int")))
+    buckets = buckets or min(10_000, max(4, -(-rows.count() // BUCKET_POSTINGS)))
+    writer = rows.repartition(buckets, "term", "salt").write.mode("overwrite").bucketBy(buckets, "term", "salt").sortBy("term", "salt")
+    writer.option("path", f"{path}/postings").saveAsTable(_table_of(path))
+    spark.range(1).select(F.lit(buckets).alias("buckets")).write.mode("overwrite").parquet(f"{path}/about")
+    return spark.table(_table_of(path))
+
+
+def open_index(spark: SparkSession, path: str) -> DataFrame:
+    """The index that ``save_index`` wrote under ``path``, in this or another session."""
+    name = _table_of(path)
+    if not spark.catalog.tableExists(name):
+        columns = spark.read.parquet(f"{path}/postings").schema
+        buckets = spark.read.parquet(f"{path}/about").first()[0]
+        kinds = ", ".join(f"`{c.name}` {c.dataType.simpleString()}" for c in columns)
+        spark.sql(f"CREATE TABLE {name} ({kinds}) USING parquet CLUSTERED BY (term, salt) SORTED BY (term, salt) INTO {buckets} BUCKETS LOCATION '{path}/postings'")
+    return spark.table(name)
+
+
 def ilike_search(queries: DataFrame, chunks: DataFrame, k: int, newest: str = "updated_at") -> DataFrame:
     """Chunks that contain one of the first four keywords: per library the newest ``max(40, 8k)``, of the first eight
     libraries, score 0.2, then ``k`` of them. ``queries``: ``query_id, library_id, question``."""
@@ -73,8 +136,9 @@ def ilike_search(queries: DataFrame, chunks: DataFrame, k: int, newest: str = "u
     return out.select("query_id", "chunk_id", "library_id", F.lit(0.2).alias("score"), "rank")
 
 
-def keyword_search(queries: DataFrame, chunks: DataFrame, k: int, newest: str = "updated_at", scoped: DataFrame | None = None) -> DataFrame:
-    """BM25 results; for queries that have none, the substring search in the libraries that ``scoped`` (or ``queries``) has."""
-    ranked = bm25_search(queries, chunks, k)
+def keyword_search(queries: DataFrame, chunks: DataFrame, k: int, newest: str = "updated_at", scoped: DataFrame | None = None, index: DataFrame | None = None) -> DataFrame:
+    """BM25 results; for queries that have none, the substring search in the libraries that ``scoped`` (or ``queries``) has.
+    With a saved ``index``, texts are read for the latter only."""
+    ranked = bm25_search(queries, chunks, k) if index is None else cut(bm25_topk(queries, index, k))
     missed = (queries if scoped is None else scoped).join(ranked.select("query_id").distinct(), "query_id", "left_anti")
     return ranked.unionByName(ilike_search(missed, chunks, k, newest))

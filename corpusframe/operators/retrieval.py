@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from corpusframe.functions.text import keywords
 from corpusframe.operators.common import first_rows, if_small
-from corpusframe.operators.lexical import bm25_search
+from corpusframe.operators.lexical import bm25_search, bm25_topk
 from corpusframe.operators.vectors import vector_topk
+from corpusframe.sources.checkpoints import cut
 
 NEIGHBOUR_ID = r"^[0-9a-fA-F-]{32,}_c\d{4}$"
 
@@ -77,15 +78,15 @@ def union_recall(results: DataFrame) -> DataFrame:
     return results.withColumn("turn", F.row_number().over(first)).filter("turn = 1 OR chunk_id IS NULL").drop("turn")
 
 
-def hybrid(queries: DataFrame, chunks: DataFrame, k: int = 5, vectors: DataFrame | None = None, vector_queries: DataFrame | None = None, scorer=overlap_score) -> DataFrame:
+def hybrid(queries: DataFrame, chunks: DataFrame, k: int = 5, vectors: DataFrame | None = None, vector_queries: DataFrame | None = None, scorer=overlap_score, index: DataFrame | None = None) -> DataFrame:
     """Vector search (40, with neighbours) and keyword search (40), fused, reranked, the best ``k`` of each query.
 
-    Without vectors, keyword search stands alone.
+    Without vectors, keyword search stands alone; without a saved ``index`` it reads the texts.
     """
-    lexical = bm25_search(queries, chunks, 10).filter("rank <= 40")
+    lexical = (bm25_search(queries, chunks, 10) if index is None else bm25_topk(queries, index, 10)).filter("rank <= 40")
     lists = [lexical]
     if vectors is not None:
-        near = vector_topk(vector_queries, vectors, 40)
+        near = cut(vector_topk(vector_queries, vectors, 40))  # used twice
         more = expand_neighbors(near, chunks).select("query_id", "chunk_id", (F.col("add_no") + 40).alias("rank"))
         lists.insert(0, near.select("query_id", "chunk_id", "rank").unionByName(more))
     return rerank(rrf(*lists), queries, chunks, k, scorer)

@@ -7,16 +7,15 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusframe.functions.vectors import cosine, dot, l2norm
-from corpusframe.operators import common
-from corpusframe.operators.common import first_rows, if_small
+from corpusframe.functions.vectors import cosine
+from corpusframe.operators.common import first_rows
 from corpusframe.sources.checkpoints import cut
 
 DIMENSIONS = 256
-SALTS = 32  # parts of a library that a large set of queries meets
 
 
 def hashed_bag_of_words(texts: list[str], dimensions: int = DIMENSIONS) -> np.ndarray:
@@ -51,25 +50,150 @@ def api_k(k):
     return max(1, min(20, int(k)))
 
 
+#: Queries that are sent to every task, where they are no more than that; others meet the chunks in tiles.
+FEW_QUERIES, FEW_BYTES = 20_000, 64 << 20
+TILE_CHUNKS = TILE_QUERIES = 20_000  # sides of a tile
+CELLS = 1 << 22  # scores that are held at once
+
+
+def _rows_of(column: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By width: row numbers and vectors, in double, of an array column. Rows without a vector are left out."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    valid = np.flatnonzero(column.is_valid().to_numpy(zero_copy_only=False))
+    lists = column.take(pa.array(valid))
+    width = np.diff(lists.offsets.to_numpy())
+    values = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    first = np.concatenate(([0], np.cumsum(width)))[:-1]
+    out = {}
+    for w in np.unique(width[width > 0]).tolist():
+        rows = np.flatnonzero(width == w)
+        out[w] = (valid[rows], values[first[rows][:, None] + np.arange(w)])
+    return out
+
+
+class Nearest:
+    """The ``k`` best chunks of each of some queries, as blocks of chunks come by: a bounded heap for each query.
+
+    ``queries``: ``query_id, library_id, key, own, across, embedding``; chunks that have the same key are looked at.
+    """
+
+    def __init__(self, queries: pa.Table, k: int):
+        self.k, self.queries = k, queries.select(["query_id", "library_id"])
+        self.least = np.full(len(queries), -np.inf)  # the k-th score so far
+        self.held, self.size = [], 0
+        self.groups = {}  # (key, width): row numbers, vectors, norms
+        keys = np.array(queries.column("key").to_pylist(), object)
+        self.own = np.array(queries.column("own").to_pylist(), object)
+        self.across = queries.column("across").to_numpy()
+        for width, (rows, vectors) in _rows_of(queries.column("embedding")).items():
+            order = np.argsort(keys[rows].astype(str), kind="stable")
+            rows, vectors = rows[order], vectors[order]
+            cuts = np.flatnonzero(np.concatenate(([True], keys[rows][1:] != keys[rows][:-1])))
+            for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(rows)]):
+                self.groups[keys[rows[a]], width] = rows[a:b], vectors[a:b], np.sqrt((vectors[a:b] ** 2).sum(1))
+
+    def look(self, ids: pa.Array, keys: pa.Array, owners: pa.Array, embeddings: pa.Array) -> None:
+        coded = keys.dictionary_encode()
+        coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
+        names, code = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
+        owners = np.array(owners.to_pylist(), object)
+        for width, (rows, vectors) in _rows_of(embeddings).items():
+            norms = np.sqrt((vectors**2).sum(1))
+            for c in np.unique(code[rows]).tolist():
+                if (names[c], width) in self.groups:
+                    mine = np.flatnonzero(code[rows] == c)
+                    self._block(*self.groups[names[c], width], ids, owners, rows[mine], vectors[mine], norms[mine])
+
+    def _block(self, asked, vectors, norms, ids, owners, rows, stored, lengths) -> None:
+        step = max(1, CELLS // len(rows))
+        for a in range(0, len(asked), step):
+            own = asked[a : a + step]
+            score = np.round(vectors[a : a + step] @ stored.T / (norms[a : a + step, None] * lengths + 1e-9), 6)
+            hidden = ~(self.across[own, None] | (self.own[own, None] == owners[rows]))
+            score[hidden | np.isnan(score)] = -np.inf
+            floor = self.least[own]
+            if len(rows) > self.k:
+                floor = np.maximum(floor, np.partition(score, len(rows) - self.k, axis=1)[:, len(rows) - self.k])
+            query, chunk = np.nonzero((score >= floor[:, None]) & (score > -np.inf))
+            self.held.append(pa.table({"q": own[query], "score": score[query, chunk], "chunk_id": ids.take(pa.array(rows[chunk]))}))
+            self.size += len(query)
+            if self.size > 4 * self.k * len(self.least) + CELLS // 8:
+                self.held = [self.best()]
+                self.size = len(self.held[0])
+
+    def best(self) -> pa.Table:
+        """``q, score, chunk_id``: no more than ``k`` rows a query; of equal scores the smaller id first."""
+        if not self.held:
+            return pa.table({"q": pa.array([], pa.int64()), "score": pa.array([], pa.float64()), "chunk_id": pa.array([], pa.string())})
+        rows = pa.concat_tables(self.held).sort_by([("q", "ascending"), ("score", "descending"), ("chunk_id", "ascending")])
+        q = rows.column("q").to_numpy()
+        first = np.flatnonzero(np.diff(q, prepend=-1))
+        place = np.arange(len(q)) - np.repeat(first, np.diff(np.append(first, len(q))))
+        full = np.flatnonzero(place == self.k - 1)
+        self.least[q[full]] = rows.column("score").to_numpy()[full]
+        return rows.take(pa.array(np.flatnonzero(place < self.k)))
+
+    def rows(self) -> pa.Table:
+        """``query_id, chunk_id, library_id, score``."""
+        best = self.best()
+        asked = self.queries.take(best.column("q"))
+        return pa.table({"query_id": asked.column("query_id"), "chunk_id": best.column("chunk_id"), "library_id": asked.column("library_id"), "score": best.column("score")})
+
+
+def _in_tiles(df: DataFrame, other: DataFrame, rows: int, other_rows: int, number: str, other_number: str, by: str) -> DataFrame:
+    """``df`` with its tile by a hash of ``by``, once for each tile of the other side under the same key."""
+    count = lambda d, name, n: d.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / n).cast("int").alias(name))
+    sized = df.join(count(df, "_mine", rows), "key").join(count(other, "_theirs", other_rows), "key")
+    return sized.withColumn(number, F.pmod(F.xxhash64(by), F.col("_mine")).cast("int")).withColumn(other_number, F.explode(F.sequence(F.lit(0), F.col("_theirs") - 1))).drop("_mine", "_theirs")
+
+
+def _nearest(wanted: DataFrame, stored: DataFrame, k: int) -> DataFrame:
+    """``query_id, chunk_id, library_id, score``: for each row of ``wanted`` up to ``k`` chunks from each task or tile.
+
+    Pairs never become rows. Few queries go to all tasks and ``stored`` isn't shuffled. Others are dealt into tiles of
+    (key, part of the chunks, part of the queries), so neither a large library nor a large set of queries meets in one
+    task; a side moves as often as the other has parts.
+    """
+    wanted, stored = wanted.select("query_id", "library_id", "key", "own", "across", "embedding"), stored.select("chunk_id", "key", "owner", "embedding")
+    kinds = [f"query_id {wanted.schema['query_id'].dataType.simpleString()}", f"chunk_id {stored.schema['chunk_id'].dataType.simpleString()}", f"library_id {wanted.schema['library_id'].dataType.simpleString()}", "score double"]
+    few = wanted.limit(FEW_QUERIES + 1).toArrow()
+    if len(few) <= FEW_QUERIES and few.nbytes <= FEW_BYTES:
+        shipped = wanted.sparkSession.sparkContext.broadcast(few)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            found = Nearest(shipped.value, k)
+            for batch in batches:
+                found.look(*[batch.column(c) for c in ("chunk_id", "key", "owner", "embedding")])
+            yield from found.rows().to_batches()
+
+        return stored.mapInArrow(run, ", ".join(kinds))
+
+    def meet(asked: pa.Table, chunks: pa.Table) -> pa.Table:
+        found = Nearest(asked, k)
+        if len(asked) and len(chunks):
+            for part in chunks.combine_chunks().to_batches(max_chunksize=4096):
+                found.look(*[part.column(c) for c in ("chunk_id", "key", "owner", "embedding")])
+        return found.rows()
+
+    tile = ["key", "_chunks", "_queries"]
+    asked = _in_tiles(wanted, stored, TILE_QUERIES, TILE_CHUNKS, "_queries", "_chunks", "query_id").groupBy(*tile)
+    return asked.cogroup(_in_tiles(stored, wanted, TILE_CHUNKS, TILE_QUERIES, "_chunks", "_queries", "chunk_id").groupBy(*tile)).applyInArrow(meet, ", ".join(kinds))
+
+
 def vector_topk(queries: DataFrame, chunks: DataFrame, k: int = 5) -> DataFrame:
     """``query_id, chunk_id, library_id, score, rank``: the ``k`` nearest chunks of each query's libraries by cosine.
 
     Where both sides have ``organization_id``, a query sees its own organisation's chunks only, unless it is ``cross_org``.
-    Up to ``SMALL_ROWS`` queries are broadcast; more meet the chunks in ``SALTS`` parts of each library.
+    Exact, as products of blocks of vectors in tasks. Rows without a vector, and vectors of another width than the query's,
+    aren't found; of equal scores (to six places) the smaller chunk_id is first.
     """
-    scope = ["organization_id"] if {"organization_id"} <= set(queries.columns) & set(chunks.columns) else []
-    across = [F.coalesce("cross_org", F.lit(False)).alias("across")] if scope and "cross_org" in queries.columns else [F.lit(False).alias("across")]
-    wanted = queries.select("query_id", "library_id", *[F.col(c).alias("own") for c in scope], *across, F.col("embedding").alias("q"), l2norm(F.col("embedding")).alias("qn"))
-    stored = chunks.select("chunk_id", "library_id", *scope, "embedding", l2norm(F.col("embedding")).alias("n"))
-    score = F.round(dot(F.col("embedding"), F.col("q")) / (F.col("n") * F.col("qn") + 1e-9), 6)
-    if queries.limit(common.SMALL_ROWS + 1).count() <= common.SMALL_ROWS:
-        met = stored.join(F.broadcast(wanted), "library_id")
-    else:  # a library may hold a third of all chunks
-        salt = F.pmod(F.xxhash64("chunk_id"), F.lit(SALTS)).cast("int").alias("_salt")
-        met = stored.select("*", salt).join(wanted.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["library_id", "_salt"])
-    met = met.filter("across OR organization_id = own") if scope else met
-    scored = met.select("query_id", "chunk_id", "library_id", score.alias("score"))
-    return first_rows(scored, ["query_id"], [F.desc("score"), F.col("chunk_id")], k)
+    scope = {"organization_id"} <= set(queries.columns) & set(chunks.columns)
+    own = [F.col("organization_id").cast("string").alias("own" if side else "owner") if scope else F.lit("").alias("own" if side else "owner") for side in (True, False)]
+    across = F.coalesce("cross_org", F.lit(False)) if scope and "cross_org" in queries.columns else F.lit(False)
+    key = F.col("library_id").cast("string").alias("key")
+    wanted = queries.filter("library_id IS NOT NULL").select("query_id", "library_id", key, own[0], across.alias("across"), "embedding")
+    stored = chunks.filter("library_id IS NOT NULL").select("chunk_id", key, own[1], "embedding")
+    return first_rows(_nearest(wanted, stored, k), ["query_id"], [F.desc("score"), F.col("chunk_id")], k)
 
 
 def centroids(chunks: DataFrame) -> DataFrame:
@@ -88,13 +212,51 @@ def cluster_stats(chunks: DataFrame) -> DataFrame:
     return known.groupBy("library_id", "cluster_id").agg(F.first("size").alias("size"), F.round(F.avg(gap), 6).alias("mean_distance"), F.round(F.max(gap), 6).alias("max_distance"))
 
 
-def vector_topk_ivf(queries: DataFrame, chunks: DataFrame, centers: DataFrame, nprobe: int, k: int = 5) -> DataFrame:
-    """Like ``vector_topk``, looking only into each query's ``nprobe`` nearest clusters."""
-    near = queries.join(centers, "library_id").select("query_id", "library_id", "cluster_id", F.col("embedding").alias("q"), cosine(F.col("embedding"), F.col("centroid")).alias("near"))
-    probes = if_small(first_rows(near, ["query_id", "library_id"], [F.desc("near"), F.col("cluster_id")], nprobe, "probe").select("query_id", "library_id", "cluster_id", "q"))
-    score = F.round(cosine(F.col("embedding"), F.col("q")), 6)
-    scored = chunks.join(probes, ["library_id", "cluster_id"]).select("query_id", "chunk_id", "library_id", score.alias("score"))
-    return first_rows(scored, ["query_id"], [F.desc("score"), F.col("chunk_id")], k)
+def nearest_center(points: DataFrame, centers: DataFrame) -> DataFrame:
+    """``points`` with the ``cluster_id`` of the nearest centre of their library (50 at most), null where it has none."""
+    listed = centers.groupBy("library_id").agg(F.collect_list(F.struct("cluster_id", "centroid")).alias("_centers"))
+    gap = lambda c: F.aggregate(F.zip_with("embedding", c["centroid"], lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
+    best = F.array_min(F.transform("_centers", lambda c: F.struct(gap(c).alias("gap"), c["cluster_id"].alias("cluster_id"))))
+    return points.join(listed, "library_id", "left").withColumn("cluster_id", best["cluster_id"]).drop("_centers")
+
+
+def _probes(queries: DataFrame, centers: DataFrame, nprobe: int | float) -> DataFrame:
+    """``query_id, library_id, cluster_id, embedding, probe``: each query's nearest centres of its library."""
+    near = queries.join(centers, "library_id").select("query_id", "library_id", "cluster_id", "embedding", cosine(F.col("embedding"), F.col("centroid")).alias("near"))
+    if isinstance(nprobe, int):
+        return first_rows(near, ["query_id", "library_id"], [F.desc("near"), F.col("cluster_id")], nprobe, "probe").drop("near")
+    own = Window.partitionBy("query_id", "library_id")
+    placed = near.withColumn("probe", F.row_number().over(own.orderBy(F.desc("near"), "cluster_id"))).withColumn("of", F.count(F.lit(1)).over(own))
+    return placed.filter(F.col("probe") <= F.ceil(F.col("of") * nprobe)).drop("near", "of")
+
+
+def vector_topk_ivf(queries: DataFrame, chunks: DataFrame, centers: DataFrame, nprobe: int | float, k: int = 5) -> DataFrame:
+    """Like ``vector_topk``, looking only into each query's ``nprobe`` nearest clusters (a float: that share of a library's
+    clusters). ``chunks`` have a ``cluster_id``.
+
+    If ``chunks`` are a table that ``save_ivf`` wrote, only the folders of probed clusters are read. Organisations aren't
+    looked at.
+    """
+    probes = cut(_probes(queries, centers, nprobe))
+    key = lambda: F.concat_ws("\u0000", "library_id", "cluster_id").alias("key")
+    wanted = probes.select("query_id", "library_id", key(), F.lit("").alias("own"), F.lit(True).alias("across"), "embedding")
+    read = chunks.join(probes.filter("probe > 0").select("library_id", "cluster_id").distinct(), ["library_id", "cluster_id"], "left_semi")
+    found = _nearest(wanted, read.select("chunk_id", key(), F.lit("").alias("owner"), "embedding"), k)
+    return first_rows(found, ["query_id"], [F.desc("score"), F.col("chunk_id")], k)
+
+
+def save_ivf(chunks: DataFrame, clusters: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
+    """Writes the vectors as ``{path}/vectors``, a folder for each library and cluster, and the mean vector of each cluster
+    as ``{path}/centers``; both as they are read again. ``clusters``: ``library_id, chunk_id, cluster_id``.
+
+    A large cluster is written by several tasks, by a salt of the chunk.
+    """
+    spark = chunks.sparkSession
+    known = chunks.select("library_id", "chunk_id", "embedding").join(clusters.select("library_id", "chunk_id", "cluster_id"), ["library_id", "chunk_id"])
+    known.repartition("library_id", "cluster_id", F.pmod(F.xxhash64("chunk_id"), F.lit(4))).write.mode("overwrite").partitionBy("library_id", "cluster_id").parquet(f"{path}/vectors")
+    stored = spark.read.schema(known.schema).parquet(f"{path}/vectors")
+    centroids(stored).write.mode("overwrite").parquet(f"{path}/centers")
+    return stored, spark.read.parquet(f"{path}/centers")
 
 
 def choose_k(n):
@@ -168,10 +330,14 @@ def cluster_library(chunks: DataFrame, seed: int = 42, rounds: int = 200) -> Dat
         for _ in range(rounds):
             shipped, moved = context.broadcast(centers), 0.0
             centers = {k: v.copy() for k, v in centers.items()}
-            for r in _sums(mine, shipped).toLocalIterator():
-                new = np.array(r["total"]) / r["n"]
-                moved = max(moved, float(np.abs(new - centers[r["library_id"]][r["cluster_id"]]).max()))
-                centers[r["library_id"]][r["cluster_id"]] = new
+            sums = _sums(mine, shipped).toArrow()  # as large as the centres, at most
+            totals = _rows_of(sums.column("total"))
+            for rows, vectors in totals.values():
+                for row, total in zip(rows.tolist(), vectors):
+                    library, cluster = sums.column("library_id")[row].as_py(), sums.column("cluster_id")[row].as_py()
+                    new = total / sums.column("n")[row].as_py()
+                    moved = max(moved, float(np.abs(new - centers[library][cluster]).max()))
+                    centers[library][cluster] = new
             shipped.unpersist()
             if moved <= 1e-9:
                 break

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusframe.functions.text import CAPTION, clean_text, is_caption_stop, text_of
-from corpusframe.operators.common import first_rows
+from corpusframe.operators.common import first_rows, percentiles
 
 # Labels of text regions and of regions to leave out.
 TEXT_LABELS = ("text", "plain text", "title", "section header", "header", "footer", "caption", "footnote", "list", "reference", "references")
@@ -256,9 +256,16 @@ def attach_visuals(visuals: DataFrame, n: int = 3) -> DataFrame:
     return rows.groupBy("doc_id", "block_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("visual_no", "visual_id"))), lambda r: r["visual_id"]).alias("visual_ids"))
 
 
-def layout_stats(layout: DataFrame) -> DataFrame:
-    """``kind, n, mean_width, mean_height, mean_area, p10, p50, p90`` of boxes larger than a pixel, percentiles of areas."""
+def layout_stats(layout: DataFrame, exact: bool = True) -> DataFrame:
+    """``kind, n, mean_width, mean_height, mean_area, p10, p50, p90`` of boxes larger than a pixel, percentiles of areas.
+
+    Exact ones are interpolated, see ``percentiles``; else a sketch that tasks merge gives neighbouring areas.
+    """
     w, h = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
     rows = layout.withColumn("kind", norm_text_kind(F.col("type"))).filter((w > 1) & (h > 1)).withColumn("area", w * h)
-    p = lambda q: F.round(F.percentile("area", q), 4)
-    return rows.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(w), 4).alias("mean_width"), F.round(F.avg(h), 4).alias("mean_height"), F.round(F.avg("area"), 4).alias("mean_area"), p(0.1).alias("p10"), p(0.5).alias("p50"), p(0.9).alias("p90"))
+    shares = {"p10": 0.1, "p50": 0.5, "p90": 0.9}
+    means = [F.count(F.lit(1)).alias("n"), F.round(F.avg(w), 4).alias("mean_width"), F.round(F.avg(h), 4).alias("mean_height"), F.round(F.avg("area"), 4).alias("mean_area")]
+    if not exact:
+        return rows.groupBy("kind").agg(*means, *[F.percentile_approx("area", q, 10_000).cast("double").alias(name) for name, q in shares.items()])
+    places = percentiles(rows, ["kind"], "area", shares)
+    return rows.groupBy("kind").agg(*means).join(places.select("kind", *[F.round(p, 4).alias(p) for p in shares]), "kind")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from corpusframe.functions.text import prompt_hash
 from corpusframe.operators import evidence as E
-from corpusframe.operators.lexical import bm25_search
+from corpusframe.operators.lexical import bm25_topk
 from corpusframe.plans.registry import query
 from corpusframe.plans.retrieval_queries import BM25, ranked
 
@@ -138,7 +138,7 @@ def _(v):
 @query("f18_broadened", f"WITH {BM25}, w AS (SELECT query_id, floor((5+query_id%10)*1.5)::BIGINT AS k FROM v_queries WHERE query_id % 7 = 0 OR (query_id % 10)/10.0 < 0.45) SELECT query_id AS question_id, 0 AS sub_no, rank, chunk_id FROM fts JOIN w USING (query_id) WHERE rank <= k")
 def _(v):
     q = v.v_queries.selectExpr("query_id", "5 + query_id % 10 AS k", "query_id % 7 <> 0 AS sufficient", "CAST((query_id % 10) AS DOUBLE) / 10 AS confidence")
-    return E.broadened(E.weak_evidence(q), v.v_queries, lambda asked: bm25_search(asked, v.v_chunks, 10).withColumn("sub_no", F.lit(0)))
+    return E.broadened(E.weak_evidence(q), v.v_queries, lambda asked: bm25_topk(asked, v.keyword_index, 10).withColumn("sub_no", F.lit(0)))
 
 
 @query(

@@ -16,9 +16,9 @@ def key(c: str) -> str:
 
 NODES = f"""nk AS (SELECT *, {key("name")} AS key FROM v_mentions),
 no AS (SELECT graph_id, key, sha1(graph_id||'|'||key) AS node_id, arg_min(substr(trim(name),1,160), (chunk_id,pos)) AS name, 'concept' AS type, arg_min(trim(description), (-length(trim(description)),chunk_id,pos)) AS description,
- count(*) AS mention_count, list_sort(list(DISTINCT chunk_id)) AS ids FROM nk WHERE length(key) >= 2 GROUP BY 1,2)"""
+ count(*) AS mention_count, list_sort(list(DISTINCT chunk_id))[1:1000] AS ids FROM nk WHERE length(key) >= 2 GROUP BY 1,2)"""
 EDGES = f"""{NODES}, rk AS (SELECT r.graph_id, r.chunk_id, r.pos, a.node_id AS source, b.node_id AS target FROM (SELECT *, {key("source")} AS s, {key("target")} AS t FROM v_relations) r JOIN no a ON a.graph_id=r.graph_id AND a.key=r.s JOIN no b ON b.graph_id=r.graph_id AND b.key=r.t WHERE a.node_id <> b.node_id),
-ed AS (SELECT graph_id, source, target, 'follows' AS relation, count(*) AS weight, list_sort(list(DISTINCT chunk_id)) AS ids, sha1(graph_id||'|'||source||'|follows|'||target) AS edge_id FROM rk GROUP BY 1,2,3)"""
+ed AS (SELECT graph_id, source, target, 'follows' AS relation, count(*) AS weight, list_sort(list(DISTINCT chunk_id))[1:1000] AS ids, sha1(graph_id||'|'||source||'|follows|'||target) AS edge_id FROM rk GROUP BY 1,2,3)"""
 VIEW = f"""{EDGES}, sn AS (SELECT * FROM no QUALIFY row_number() OVER (PARTITION BY graph_id ORDER BY mention_count DESC, node_id) <= 50),
 se AS (SELECT * FROM ed WHERE weight >= 1 AND source IN (SELECT node_id FROM sn) AND target IN (SELECT node_id FROM sn) QUALIFY row_number() OVER (PARTITION BY graph_id ORDER BY weight DESC, edge_id) <= 5000)"""
 
@@ -46,6 +46,16 @@ def _(v):
     return nodes(v).withColumn("chunks", F.array_join("source_chunk_ids", ",")).drop("source_chunk_ids")
 
 
+@query("g3_node_chunks", f"WITH nk AS (SELECT *, {key('name')} AS key FROM v_mentions) SELECT graph_id, key, sha1(graph_id||'|'||key) AS node_id, chunk_id, count(*) AS n FROM nk WHERE length(key) >= 2 GROUP BY ALL")
+def _(v):
+    return G.node_chunks(v.v_mentions)
+
+
+@query("g4_edge_chunks", f"WITH {EDGES} SELECT graph_id, source, target, 'follows' AS relation_key, chunk_id, count(*) AS n FROM rk GROUP BY ALL")
+def _(v):
+    return G.edge_chunks(v.v_relations, nodes(v))
+
+
 @query("g4_edges", f"WITH {EDGES} SELECT graph_id, source, target, relation, weight, array_to_string(ids, ',') AS chunks FROM ed")
 def _(v):
     return edges(v).select("graph_id", "source", "target", "relation", "weight", F.array_join("source_chunk_ids", ",").alias("chunks"))

@@ -186,10 +186,16 @@ def _(v):
     return O.rows_to_series(rows.select(F.concat(F.lit("t"), F.col("c_nationkey").cast("string")).alias("table_id"), F.array(*map(F.lit, ("name", "id", "none"))).alias("columns"), "rows"))
 
 
-@query("i21_validate_fields", "SELECT p_partkey AS spec_id, CASE p_partkey % 3 WHEN 0 THEN '' WHEN 1 THEN 'x' ELSE 'x,y' END AS missing FROM part")
+@query(
+    "i21_validate_fields",
+    """WITH c AS (SELECT p_brand, list(DISTINCT w) AS cols FROM (SELECT p_brand, unnest(string_split(p_name, ' ')) AS w FROM part WHERE p_size % 4 = 0) GROUP BY 1)
+SELECT p_partkey AS spec_id, array_to_string(list_sort(list_distinct(list_filter(string_split(p_name, ' '), lambda x: NOT list_contains(coalesce(cols, []), x)))), ',') AS missing FROM part LEFT JOIN c USING (p_brand)""",
+)
 def _(v):
-    fields = F.expr("CASE p_partkey % 3 WHEN 0 THEN array('a') WHEN 1 THEN array('x', 'a') ELSE array('y', 'x', 'b') END")
-    return O.validate_fields(v.part.select(F.col("p_partkey").alias("spec_id"), fields.alias("fields"), F.array(F.lit("a"), F.lit("b")).alias("columns"))).withColumn("missing", F.array_join("missing", ","))
+    """The words of a part's name as fields, those of its brand's parts of some sizes as the table's columns."""
+    words = v.part.filter("p_size % 4 = 0").select("p_brand", F.explode(F.split("p_name", " ")).alias("w")).groupBy("p_brand").agg(F.collect_set("w").alias("columns"))
+    specs = v.part.select(F.col("p_partkey").alias("spec_id"), "p_brand", F.split("p_name", " ").alias("fields")).join(words, "p_brand", "left")
+    return O.validate_fields(specs.withColumn("columns", F.coalesce("columns", F.array().cast("array<string>")))).withColumn("missing", F.array_join("missing", ","))
 
 
 @query("i22_stage_backlog", "SELECT stage, count(*) AS waiting, count(DISTINCT library_id) AS libraries FROM v_jobs WHERE status IN ('queued','running') GROUP BY 1")

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusframe.functions.text import STOP_WORDS, keywords
-from corpusframe.functions.vectors import cosine, dot, l2norm, parse_vector
+from corpusframe.functions.vectors import cosine, dot, l2norm, parse_vector, parsed_vectors
 from corpusframe.operators import lexical, retrieval, vectors
 from corpusframe.plans.registry import query
 from corpusframe.plans.views import Views
-from corpusframe.sources.checkpoints import cut
+from corpusframe.sources.checkpoints import cut, shared_dir
 
 STOPS = ",".join(f"'{w}'" for w in STOP_WORDS)
 
@@ -34,7 +36,7 @@ tk AS (SELECT query_id, chunk_id, library_id, score, row_number() OVER (PARTITIO
 
 
 def ranked(v: Views, k: int = 40) -> DataFrame:
-    return lexical.bm25_search(v.v_queries, v.v_chunks, 10).filter(f"rank <= {k}")
+    return lexical.bm25_topk(v.v_queries, v.keyword_index, 10).filter(f"rank <= {k}")
 
 
 @query("d2_parse_vector", "SELECT vec_id, len(embedding) AS n, round(list_sum(embedding::DOUBLE[]),4) AS total FROM embeddings")
@@ -43,6 +45,16 @@ def _(v):
     return v.embeddings.select("vec_id", parse_vector(text).alias("p")).select("vec_id", F.size("p").cast("long").alias("n"), F.round(F.aggregate("p", F.lit(0.0), lambda s, x: s + x), 4).alias("total"))
 
 
+@query("d2_keyed_vectors", "SELECT vec_id, len(embedding) AS n, round(list_sum(embedding::DOUBLE[]),4) AS total FROM embeddings")
+def _(v):
+    """Vectors as other forms of text: dictionaries with lists and texts, brackets with spaces."""
+    numbers = F.transform("embedding", lambda x: x.cast("double").cast("string"))
+    commas, spaces = F.array_join(numbers, ","), F.array_join(numbers, " ")
+    form = F.element_at(F.array(F.concat(F.lit('{"data": ['), commas, F.lit("]}")), F.concat(F.lit('{"value": "('), spaces, F.lit(')", "n": 1}')), F.concat(F.lit('{"vector": {"values": ['), commas, F.lit("]}}")), F.concat(F.lit("{"), spaces, F.lit("}"))), (F.col("vec_id") % 4 + 1).cast("int"))
+    rows = parsed_vectors(v.v_vectors.select("vec_id", "library_id", form.alias("text")), "text")
+    return rows.select("vec_id", F.size("embedding").cast("long").alias("n"), F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x), 4).alias("total"))
+
+
 @query("d3_dot_norm_cosine", f"SELECT q.query_id, v.chunk_id, round(list_dot_product(v.embedding::DOUBLE[], q.embedding::DOUBLE[]),6) AS dot, round(sqrt(list_dot_product(v.embedding::DOUBLE[], v.embedding::DOUBLE[])),6) AS norm, round({COS},6) AS cosine FROM v_vqueries q JOIN v_vectors v USING (library_id)")
 def _(v):
     q = v.v_vqueries.select("query_id", "library_id", F.col("embedding").alias("q"))
@@ -69,6 +81,17 @@ def _(v):
     return vectors.vector_topk_ivf(v.v_vqueries, v.v_vectors, vectors.centroids(v.v_vectors), NPROBE, 5)
 
 
+STORED_PROBES = 0.4  # of a library's clusters
+
+
+@query("d5_stored_ivf")
+def _(v):
+    """Search in a stored table of the clusters that ``cluster_library`` finds, a folder for each."""
+    clusters = cut(vectors.cluster_library(v.v_vectors))
+    stored, centers = vectors.save_ivf(v.v_vectors, clusters, f"{shared_dir(v.spark)}/ivf-{uuid.uuid4().hex}")
+    return vectors.vector_topk_ivf(v.v_vqueries, stored, centers, STORED_PROBES, 5)
+
+
 @query("d6_choose_k", "SELECT library_id, count(*) AS n, least(greatest(least(round_even(sqrt(count(*)),0),50),8),count(*))::BIGINT AS k FROM v_vectors GROUP BY 1")
 def _(v):
     return v.v_vectors.groupBy("library_id").agg(F.count(F.lit(1)).alias("n")).withColumn("k", vectors.choose_k(F.col("n")))
@@ -117,9 +140,9 @@ il AS (SELECT query_id, chunk_id, library_id, 0.2::DOUBLE AS score, row_number()
 
 
 def scoped(v: Views) -> DataFrame:
-    # every query searches every library: a stated query set against the few distinct libraries
-    libraries = v.v_docs.agg(F.collect_set("library_id").alias("ls"))
-    return v.v_queries.join(F.broadcast(libraries)).select("query_id", "question", F.explode("ls").alias("library_id"))
+    # every query searches the first eight libraries, which are all that the substring search looks at
+    libraries = v.v_docs.filter("library_id IS NOT NULL").select("library_id").distinct().orderBy("library_id").limit(8)
+    return v.v_queries.select("query_id", "question").join(F.broadcast(libraries))
 
 
 @query("e3_substring_search", f"WITH {ILIKE} SELECT * FROM il")
@@ -129,7 +152,7 @@ def _(v):
 
 @query("e4_keyword_search", f"WITH {BM25}, {ILIKE} SELECT query_id, chunk_id, library_id, score, rank FROM fts UNION ALL SELECT * FROM il WHERE query_id NOT IN (SELECT query_id FROM fts)")
 def _(v):
-    return lexical.keyword_search(v.v_queries, v.v_chunks, 10, "chunk_index", scoped(v))
+    return lexical.keyword_search(v.v_queries, v.v_chunks, 10, "chunk_index", scoped(v), v.keyword_index)
 
 
 RRF = f"""{BM25}, second AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY chunk_id) AS rank FROM fts),
@@ -174,7 +197,7 @@ HYBRID = RERANK.replace("al AS (SELECT query_id, chunk_id, rank, 0 AS l FROM fts
 def flagship(v: Views) -> DataFrame:
     """Each question's five best chunks with the text around them."""
     chunks = cut(v.v_chunks)  # a stored table elsewhere; a view over documents here
-    found = retrieval.hybrid(v.v_queries, chunks, 5, v.v_cvectors, v.v_cqueries)
+    found = retrieval.hybrid(v.v_queries, chunks, 5, v.v_cvectors, v.v_cqueries, index=v.keyword_index)
     context = retrieval.snippets(found, chunks)
     return found.join(context, "chunk_id").select("query_id", "chunk_id", "rank", "rerank_score", "before", "text", "after")
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from corpusframe.functions import text as X
 from corpusframe.operators import chunking as C
 from corpusframe.plans.registry import query
 from corpusframe.sources import corpus as S
+from corpusframe.sources.checkpoints import shared_dir
 
 CLEAN = "trim(regexp_replace(text, '\\s+', ' ', 'g'))"
 
@@ -48,21 +51,76 @@ def _(v):
     return S.code_to_blocks(v.v_docs.select("doc_id", F.col("doc_id").alias("title"), marked.alias("text"))).select("doc_id", "locator", "text")
 
 
+def written(v, name: str) -> str:
+    """A new folder for files that a query writes and reads again."""
+    return f"{shared_dir(v.spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query(
+    "a2_csv_files",
+    """WITH r AS (SELECT 'nation'||c_nationkey AS doc_id, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS rn, c_custkey||' | '||c_name||', "'||c_mktsegment||'" | '||c_phone AS line FROM customer),
+g AS (SELECT doc_id, (rn-1)//30 AS g, count(*) AS n, string_agg(line, chr(10) ORDER BY rn) AS b FROM r GROUP BY 1,2)
+SELECT doc_id, (g+1)::BIGINT AS block_no, doc_id||'!rows '||(g*30+2)||'-'||(g*30+1+n) AS locator, 'c_custkey | label | c_phone'||chr(10)||b AS text, true AS force_chunk FROM g
+UNION ALL SELECT doc_id, 0, doc_id, 'CSV '||doc_id||': columns c_custkey, label, c_phone; '||count(*)||' rows.', false FROM r GROUP BY doc_id""",
+)
+def _(v):
+    """Customers as CSV files, one for each nation, with commas and quotes in a field; read again in splits."""
+    path = written(v, "csv-files")
+    rows = v.customer.select("c_nationkey", "c_custkey", F.concat("c_name", F.lit(', "'), "c_mktsegment", F.lit('"')).alias("label"), "c_phone")
+    rows.repartition("c_nationkey").sortWithinPartitions("c_nationkey", "c_custkey").write.partitionBy("c_nationkey").option("header", True).option("escape", '"').csv(path)
+    return S.csv_files(v.spark, path, F.concat(F.lit("nation"), F.regexp_extract("path", r"c_nationkey=(\d+)", 1)))
+
+
+@query("a3_text_files", """WITH p AS (SELECT item_id AS doc_id, list_filter(list_transform(regexp_split_to_array(replace(text, '. ', '.'||chr(10)||chr(10)), '\\n\\s*\\n'), lambda x: regexp_replace(x,'^\\s+|\\s+$','','g')), lambda x: x <> '') AS ps FROM benchmark)
+SELECT doc_id, unnest(range(len(ps)))::INT AS block_no, unnest(ps) AS text FROM p""")
+def _(v):
+    """Benchmark items as text files, one each."""
+    path = written(v, "text-files")
+    v.benchmark.select("item_id", F.replace("text", F.lit(". "), F.lit(".\n\n")).alias("value")).repartition("item_id").write.partitionBy("item_id").text(path)
+    return S.text_files(v.spark, path, F.regexp_extract("path", r"item_id=(\d+)", 1).cast("long")).select("doc_id", "block_no", "text")
+
+
+@query(
+    "a4_code_files",
+    r"""WITH l AS (SELECT p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS ln, CASE WHEN p_size % 5 = 3 THEN 'def p'||p_partkey||'():' ELSE '    '||p_name END AS x, (p_size % 5 = 3)::INT AS s FROM part),
+f AS (SELECT *, sum(s) OVER (PARTITION BY p_brand) AS d, sum(s) OVER (PARTITION BY p_brand ORDER BY ln) AS u FROM l),
+g AS (SELECT *, CASE WHEN d >= 2 THEN u ELSE ln // 60 END AS seg FROM f)
+SELECT p_brand AS doc_id, p_brand||':'||(min(ln)+1)||'-'||(max(ln)+1) AS locator, regexp_replace(string_agg(x, chr(10) ORDER BY ln), '^\s+|\s+$', '', 'g') AS text FROM g GROUP BY p_brand, seg""",
+)
+def _(v):
+    """Parts as source files, one for each brand."""
+    path = written(v, "code-files")
+    line = F.when(F.col("p_size") % 5 == 3, F.concat(F.lit("def p"), F.col("p_partkey").cast("string"), F.lit("():"))).otherwise(F.concat(F.lit("    "), "p_name"))
+    lines = v.part.select("p_brand", "p_partkey", line.alias("value")).repartition("p_brand").sortWithinPartitions("p_brand", "p_partkey")
+    lines.drop("p_partkey").write.partitionBy("p_brand").text(path)
+    brand = F.replace(F.regexp_extract("path", r"p_brand=([^/]+)", 1), F.lit("%23"), F.lit("#"))
+    return S.code_files(v.spark, path, brand).select("doc_id", "locator", "text")
+
+
 @query("a5_infer_schema", "SELECT 't' AS table_id, unnest(['amount','day','name']) AS \"column\", unnest(['number','date','string']) AS dtype, least(50000, max(o_orderkey))::BIGINT AS n_rows, max(o_orderkey) > 50000 AS truncated FROM orders")
 def _(v):
     cells = v.orders.select(F.lit("t").alias("table_id"), (F.col("o_orderkey") - 1).alias("row_no"), F.explode(F.array(F.struct(F.lit("amount").alias("column"), F.concat(F.lit("$"), F.format_number("o_totalprice", 2)).alias("value")), F.struct(F.lit("day").alias("column"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("value")), F.struct(F.lit("name").alias("column"), F.col("o_orderstatus").alias("value")))).alias("c")).select("table_id", "row_no", "c.*")
     return S.infer_table_schema(cells)
 
 
-@query("a6_route_format", "SELECT doc_no, CASE doc_no % 7 WHEN 0 THEN 'csv' WHEN 1 THEN 'xlsx' WHEN 2 THEN 'docx' WHEN 3 THEN 'code' WHEN 4 THEN 'markdown' WHEN 5 THEN 'text' END AS parser FROM v_docs")
+@query(
+    "a6_route_format",
+    r"""WITH n AS (SELECT doc_no, lower(split_part(title,' ',1)||'.'||substr(split_part(title,' ',2),1,1)) AS name, CASE language WHEN 'en' THEN 'x/y' WHEN 'fr' THEN 'text/plain' WHEN 'de' THEN 'application/vnd.ms-excel' ELSE 'text/csv' END AS mime FROM v_docs)
+SELECT doc_no, CASE WHEN contains(mime,'csv') THEN 'csv' WHEN contains(mime,'ms-excel') THEN 'xlsx' WHEN regexp_matches(name, '\.(c|h|r|m)$') THEN 'code' WHEN starts_with(mime,'text/plain') THEN 'text' END AS parser FROM n""",
+)
 def _(v):
-    names = F.array(*map(F.lit, ("A.CSV", "b.xlsm", "c", "d.py", "e.markdown", "f.log", "g.bin")))
-    mimes = F.array(*map(F.lit, ("", "x", "application/wordprocessingml", "", "", "", "image/png")))
-    at = (F.col("doc_no") % 7).cast("int")
-    return v.v_docs.select("doc_no", X.route_format(F.get(names, at), F.get(mimes, at)).alias("parser"))
+    """Names from the first words of the documents, types from their languages."""
+    words = F.split("title", " ")
+    name = F.concat(F.get(words, F.lit(0)), F.lit("."), F.substring(F.coalesce(F.get(words, F.lit(1)), F.lit("")), 1, 1))
+    mime = F.when(F.col("language") == "en", "x/y").when(F.col("language") == "fr", "Text/Plain").when(F.col("language") == "de", "application/vnd.ms-excel").otherwise("text/CSV")
+    return v.v_docs.select("doc_no", X.route_format(name, mime).alias("parser"))
 
 
-@query("a7_ocr_pages")
+@query(
+    "a7_ocr_pages",
+    """SELECT doc_id, page::INT AS page, (row_number() OVER (PARTITION BY doc_id, page ORDER BY block_no % 3, block_id) - 1)::INT AS block_no,
+ CASE block_no % 3 WHEN 0 THEN 'text' WHEN 1 THEN 'table_text' ELSE 'figure_text' END AS kind, trim(text) AS text FROM v_blocks WHERE trim(text) <> ''""",
+)
 def _(v):
     kind = F.expr("CASE block_no % 3 WHEN 0 THEN 'text' WHEN 1 THEN 'table_text' ELSE 'figure_text' END")
     return S.assemble_ocr_pages(v.v_blocks.select(F.concat(F.lit("ocr/"), "doc_id", F.lit("/"), kind, F.lit("/"), "page", F.lit("_"), "block_id", F.lit(".txt")).alias("path"), "text"))
@@ -74,9 +132,18 @@ def _(v):
     return v.v_docs.select("doc_no", X.safe_name(F.col("title")).alias("safe"), X.ensure_extension(F.col("title"), mime).alias("named"), X.slugify(F.col("title")).alias("slug"))
 
 
-@query("a13_titles", "SELECT doc_no, library_id||' — part '||doc_no AS title, CASE WHEN doc_no % 2 = 0 THEN 'abcdefghij'||doc_no ELSE library_id||'_0123456789' END AS drive_id FROM v_docs")
+@query(
+    "a13_titles",
+    r"""WITH r AS (SELECT doc_no, library_id, trim('in/'||CASE WHEN doc_no % 2 = 0 THEN doc_no||'_00abcdef_' ELSE doc_no||'-' END||replace(title, ' ', CASE WHEN doc_no % 3 = 0 THEN '__' ELSE '_' END)||'.txt') AS t FROM v_docs),
+a AS (SELECT *, regexp_replace(regexp_extract(t, '([^/]*)$', 1), '(?i)\.[a-z0-9]{2,4}$', '') AS b FROM r),
+c AS (SELECT *, regexp_replace(regexp_replace(b, '(?i)^\d+[_-][0-9a-f]{6,}[_-]', ''), '^\d+[_-]', '') AS d FROM a),
+e AS (SELECT *, trim(regexp_replace(replace(regexp_replace(d, '__+', ' — ', 'g'), '_', ' '), '\s+', ' ', 'g')) AS f FROM c)
+SELECT doc_no, CASE WHEN f = '' THEN 'Document' ELSE f END AS title, CASE WHEN doc_no % 2 = 0 THEN 'abcdefghij'||doc_no ELSE library_id||'_0123456789' END AS drive_id FROM e""",
+)
 def _(v):
-    raw = F.concat(F.lit("a/00099_852efb70fc6e_"), "library_id", F.lit("__part_"), F.col("doc_no").cast("string"), F.lit(".pdf"))
+    """File names made of the documents' first words."""
+    front = F.when(F.col("doc_no") % 2 == 0, F.concat(F.col("doc_no").cast("string"), F.lit("_00abcdef_"))).otherwise(F.concat(F.col("doc_no").cast("string"), F.lit("-")))
+    raw = F.concat(F.lit("in/"), front, F.replace("title", F.lit(" "), F.when(F.col("doc_no") % 3 == 0, "__").otherwise("_")), F.lit(".txt"))
     url = F.when(F.col("doc_no") % 2 == 0, F.concat(F.lit("https://drive.google.com/file/d/abcdefghij"), F.col("doc_no").cast("string"), F.lit("/view"))).otherwise(F.concat(F.lit("x?id="), "library_id", F.lit("_0123456789")))
     return v.v_docs.select("doc_no", X.pretty_title(raw).alias("title"), X.drive_id(F.lit(""), url).alias("drive_id"))
 

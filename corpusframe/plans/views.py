@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corpusframe.operators.lexical import open_index, save_index
+from corpusframe.sources.checkpoints import shared_dir
 
 #: name -> (Spark SQL, or None where it is the same; DuckDB SQL). Each may use base tables and the views before it.
 VIEWS: dict[str, tuple[str | None, str]] = {
@@ -42,12 +47,12 @@ VIEWS: dict[str, tuple[str | None, str]] = {
     ),
     # a vector for each chunk and each question, by the number of its document or item
     "v_cvectors": (
-        "SELECT c.chunk_id, c.library_id, e.embedding FROM {v_chunks} c JOIN {v_docs} d ON d.doc_id = c.doc_id JOIN {embeddings} e ON e.vec_id = (d.doc_no + 13 * c.chunk_index) % 500",
-        "SELECT c.chunk_id, c.library_id, e.embedding FROM v_chunks c JOIN v_docs d ON d.doc_id = c.doc_id JOIN embeddings e ON e.vec_id = (d.doc_no + 13 * c.chunk_index) % 500",
+        "SELECT c.chunk_id, c.library_id, e.embedding FROM (SELECT c.chunk_id, c.library_id, (d.doc_no + 13 * c.chunk_index) % (SELECT count(*) FROM {embeddings}) AS vec FROM {v_chunks} c JOIN {v_docs} d ON d.doc_id = c.doc_id) c JOIN {embeddings} e ON e.vec_id = c.vec",
+        "SELECT c.chunk_id, c.library_id, e.embedding FROM (SELECT c.chunk_id, c.library_id, (d.doc_no + 13 * c.chunk_index) % (SELECT count(*) FROM embeddings) AS vec FROM v_chunks c JOIN v_docs d ON d.doc_id = c.doc_id) c JOIN embeddings e ON e.vec_id = c.vec",
     ),
     "v_cqueries": (
-        "SELECT q.query_id, l.library_id, e.embedding FROM {v_queries} q JOIN {embeddings} e ON e.vec_id = (q.query_id * 7) % 500 JOIN (SELECT DISTINCT library_id FROM {v_docs}) l ON CAST(substr(l.library_id, 4) AS INT) % 4 = q.query_id % 4",
-        "SELECT q.query_id, l.library_id, e.embedding FROM v_queries q JOIN embeddings e ON e.vec_id = (q.query_id * 7) % 500 JOIN (SELECT DISTINCT library_id FROM v_docs) l ON CAST(substr(l.library_id, 4) AS INT) % 4 = q.query_id % 4",
+        "SELECT q.query_id, l.library_id, e.embedding FROM (SELECT query_id, (query_id * 7) % (SELECT count(*) FROM {embeddings}) AS vec FROM {v_queries}) q JOIN {embeddings} e ON e.vec_id = q.vec JOIN (SELECT DISTINCT library_id FROM {v_docs}) l ON CAST(substr(l.library_id, 4) AS INT) % 4 = q.query_id % 4",
+        "SELECT q.query_id, l.library_id, e.embedding FROM (SELECT query_id, (query_id * 7) % (SELECT count(*) FROM embeddings) AS vec FROM v_queries) q JOIN embeddings e ON e.vec_id = q.vec JOIN (SELECT DISTINCT library_id FROM v_docs) l ON CAST(substr(l.library_id, 4) AS INT) % 4 = q.query_id % 4",
     ),
     "v_messages": (
         """SELECT conv_id AS thread_id, turn, concat(CAST(conv_id AS STRING),'-',CAST(turn AS STRING)) AS message_id, role, text AS content,
@@ -105,6 +110,8 @@ VIEWS: dict[str, tuple[str | None, str]] = {
 }
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
+_INDEXES: dict[tuple, str] = {}  # application and state of ``documents`` -> path of their index
+
 
 class Views:
     """DataFrames of base tables and views of one data directory, by attribute: ``v.documents``, ``v.v_docs``."""
@@ -124,6 +131,19 @@ class Views:
                 self._made[name] = self.spark.sql(text, **used)
         return self._made[name]
 
+    @cached_property
+    def keyword_index(self) -> DataFrame:
+        """The saved keyword index of ``v_chunks``: made by the first query that asks, as long as ``documents`` stay as
+        they are, and opened by all others."""
+        files = self.spark.read.format("binaryFile").load(f"{self.sf_dir}/documents.parquet")  # names and times; nothing is read
+        stamp = files.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("path", "modificationTime", "length"))).first()
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, *stamp)
+        if key not in _INDEXES:
+            path = f"{shared_dir(self.spark)}/keyword-index-{uuid.uuid4().hex}"
+            save_index(self.v_chunks, path)
+            _INDEXES[key] = path
+        return open_index(self.spark, _INDEXES[key])
+
     @cached_property
     def empty(self) -> DataFrame:
         return self.spark.createDataFrame([], "x int")

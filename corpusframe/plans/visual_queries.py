@@ -136,11 +136,19 @@ def _(v):
     return rows.withColumn("s", U.summarize_visual()).select("page_key", "block_no", "s.short_caption", "s.confidence", F.array_join("s.bullets", "|").alias("bullets"))
 
 
-@query("b17_check_facts", "SELECT doc_id, block_no, CASE WHEN block_no % 3 = 0 THEN 0 WHEN block_no % 3 = 1 THEN 1 ELSE 2 END AS violations, CASE WHEN block_no % 3 = 0 THEN 0.8 ELSE 0.52 END::DOUBLE AS confidence FROM v_blocks")
+@query(
+    "b17_check_facts",
+    """WITH r AS (SELECT l_orderkey, l_linenumber, [CAST(l_quantity AS BIGINT)::VARCHAR, l_linenumber||'%', '$'||l_suppkey] AS said, [CAST(l_partkey % 50 AS BIGINT)::VARCHAR, CAST(round(l_discount*100) AS BIGINT)||'%', '$'||l_partkey % 10] AS known, l_returnflag FROM lineitem),
+n AS (SELECT *, len(list_filter(said, lambda x: NOT list_contains(known, x))) + CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS violations FROM r)
+SELECT l_orderkey, l_linenumber, violations::INT AS violations, CASE WHEN violations > 0 THEN 0.52 ELSE 0.8 END::DOUBLE AS confidence FROM n""",
+)
 def _(v):
-    n = F.col("block_no") % 3
-    rows = v.v_blocks.select("doc_id", "block_no", F.when(n == 0, "12% of 1,000 USD").when(n == 1, "13% of 1,000 usd").otherwise("9k million").alias("output"), F.lit("It was 12% of $5 or 1,000 usd").alias("evidence"), F.lit(0.8).alias("confidence"))
-    return U.check_facts(rows).select("doc_id", "block_no", "violations", F.round("confidence", 6).alias("confidence"))
+    """Numbers of each line of an order, held against other numbers of it."""
+    whole = lambda c: c.cast("long").cast("string")
+    output = F.concat(F.lit("We sold "), whole(F.col("l_quantity")), F.lit(" at "), F.col("l_linenumber").cast("string"), F.lit("% for $"), F.col("l_suppkey").cast("string"), F.lit(" USD"))
+    evidence = F.concat(F.lit("It was "), whole(F.col("l_partkey") % 50), F.lit(" with "), whole(F.round(F.col("l_discount") * 100)), F.lit("% and $"), (F.col("l_partkey") % 10).cast("string"), F.when(F.col("l_returnflag") == "R", " eur").otherwise(" usd"), F.lit(" percent %"))
+    rows = v.lineitem.select("l_orderkey", "l_linenumber", output.alias("output"), evidence.alias("evidence"), F.lit(0.8).alias("confidence"))
+    return U.check_facts(rows).select("l_orderkey", "l_linenumber", "violations", F.round("confidence", 6).alias("confidence"))
 
 
 @query("b18_snippet", "SELECT doc_id, block_no, '[VISUAL] '||trim(left(text,10))||chr(10)||'- a'||chr(10)||'- b'||chr(10)||'OCR: '||left(trim(text),400) AS snippet FROM v_blocks WHERE trim(text) <> ''")

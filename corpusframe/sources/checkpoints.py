@@ -1,19 +1,29 @@
-"""Cutting lineage through the shared checkpoint folder."""
+"""The shared checkpoint folder: cutting lineage, and tables that outlive a query."""
 
 from __future__ import annotations
 
 import re
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in ``spark.checkpoint.dir``. Where that is unset, a temporary folder in local mode only."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        place = spark.conf.get("spark.checkpoint.dir", None)
-        if place is None and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+def shared_dir(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``. Where that is unset, a temporary folder in local mode only."""
+    place = spark.conf.get("spark.checkpoint.dir", None)
+    if place is None:
+        place = spark.sparkContext.getCheckpointDir()
+    if place is None:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
-        spark.sparkContext.setCheckpointDir(place or tempfile.mkdtemp(prefix="corpusframe-"))
+        place = tempfile.mkdtemp(prefix="corpusframe-")
+        spark.conf.set("spark.checkpoint.dir", place)
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(place)
+    return place
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` computed once and kept in the shared folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)

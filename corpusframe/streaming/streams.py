@@ -9,6 +9,9 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from corpusframe.operators.chunking import chunk_documents, link_chunks
+from corpusframe.operators.lexical import postings_of, search_postings
+from corpusframe.operators.vectors import encode, nearest_center, vector_topk, vector_topk_ivf
+from corpusframe.sources.checkpoints import cut
 from corpusframe.sources.corpus import text_to_blocks
 
 DOCUMENT = T.StructType([T.StructField("doc_id", T.StringType()), T.StructField("library_id", T.StringType()), T.StructField("text", T.StringType()), T.StructField("version", T.LongType())])
@@ -23,7 +26,10 @@ def chunks_of(docs: DataFrame) -> DataFrame:
 
 class BatchLog:
     """An append-only table of micro-batches, a folder ``batch=N`` for each. A batch that is delivered again writes its own
-    folder anew and reads nothing that was written before, so each batch costs its own size, however large the table."""
+    folder anew and reads nothing that was written before, so each batch costs its own size, however large the table.
+
+    Readers would go through ever more folders; ``compact`` in ``Ingestion`` starts a new generation of the log.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
@@ -36,32 +42,105 @@ class BatchLog:
         return self.spark.read.option("basePath", self.path).parquet(self.path).withColumn("batch", F.col("batch").cast("long"))
 
 
-def ingest_stream(spark: SparkSession, source: str, target: str, checkpoint: str) -> StreamingQuery:
-    """New files of ``source`` (JSON lines of ``DOCUMENT``) become chunks in the log ``target``; see ``current_chunks``.
+class Ingestion:
+    """Documents as chunks, vectors and postings, batch by batch.
 
-    The batch's documents are written behind its chunks: only then do they count.
+    Each kind of row is a log. What a document's newest version has is current, of equal versions the later batch's; a
+    document that comes again thereby takes its old chunks, vectors, cluster assignments and postings out of every search.
+    ``encoder`` as in ``vectors.encode``; with ``centers`` (``library_id, cluster_id, centroid``) vectors get a cluster.
     """
-    chunks, documents = BatchLog(spark, f"{target}/chunks"), BatchLog(spark, f"{target}/documents")
 
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        newest = batch.groupBy("doc_id").agg(F.max_by(F.struct("library_id", "text", "version"), "version").alias("d")).select("doc_id", "d.*")
-        chunks.write(chunks_of(newest), batch_id)
-        documents.write(newest.select("doc_id", "library_id", "version"), batch_id)
+    KINDS = ("chunks", "vectors", "postings", "documents")  # documents are written last: only then does a batch count
+    COMPACTED = -1  # the batch that compacted rows are in; no stream writes it
+
+    def __init__(self, spark: SparkSession, target: str, encoder=None, centers: DataFrame | None = None):
+        self.spark, self.target, self.encoder, self.centers = spark, target, encoder, centers
+        self._generations(0).mode("ignore").parquet(f"{target}/generations")
+
+    def _generations(self, number: int):
+        return self.spark.range(1).select(F.lit(number).alias("generation")).write
+
+    def generation(self) -> int:
+        """0 until the first compaction; rows of ``generations`` are committed as a whole."""
+        return self.spark.read.parquet(f"{self.target}/generations").agg(F.max("generation")).first()[0]
+
+    def log(self, kind: str, generation: int) -> BatchLog:
+        return BatchLog(self.spark, f"{self.target}/generation-{generation}/{kind}")
+
+    def rows_of(self, docs: DataFrame) -> dict[str, DataFrame]:
+        """All kinds of rows of documents (``DOCUMENT``), as the batch job makes them too. ``chunks`` is computed once."""
+        chunks = cut(chunks_of(docs))
+        vectors = encode(chunks.select("doc_id", "library_id", "chunk_id", "text"), "text", self.encoder).drop("text")
+        if self.centers is not None:
+            vectors = nearest_center(vectors, self.centers)
+        postings = postings_of(chunks).join(chunks.select("chunk_id", "doc_id"), "chunk_id")
+        return {"chunks": chunks, "vectors": vectors, "postings": postings, "documents": docs.select("doc_id", "library_id", "version")}
+
+    def write(self, batch: DataFrame, batch_id: int) -> None:
+        newest = cut(batch.groupBy("doc_id").agg(F.max_by(F.struct("library_id", "text", "version"), "version").alias("d")).select("doc_id", "d.*"))
+        rows, now = self.rows_of(newest), self.generation()
+        for kind in self.KINDS:
+            self.log(kind, now).write(rows[kind], batch_id)
+
+    def stream(self, source: str, checkpoint: str) -> StreamingQuery:
+        """New files of ``source``, JSON lines of ``DOCUMENT``."""
+        documents = self.spark.readStream.schema(DOCUMENT).json(source)
+        return documents.writeStream.foreachBatch(self.write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+    def current(self, kind: str) -> DataFrame:
+        """Rows of each document's newest version. A document without text has none but in ``documents``."""
+        now = self.generation()
+        heads = self.log("documents", now).rows().groupBy("doc_id").agg(F.max_by("batch", F.struct("version", "batch")).alias("batch"))
+        return self.log(kind, now).rows().join(heads, ["doc_id", "batch"]).drop("batch")
+
+    def search(self, queries: DataFrame, k: int) -> DataFrame:
+        """``bm25_topk`` over the current postings."""
+        return search_postings(queries, self.current("postings").drop("doc_id"), k)
+
+    def nearest(self, queries: DataFrame, k: int, nprobe: int | float | None = None) -> DataFrame:
+        """``vector_topk`` over the current vectors, or ``vector_topk_ivf`` over their clusters."""
+        if nprobe is None:
+            return vector_topk(queries, self.current("vectors"), k)
+        return vector_topk_ivf(queries, self.current("vectors"), self.centers, nprobe, k)
+
+    def compact(self) -> int:
+        """Current rows alone in a new generation, which readers and the next stream then use; no stream may run meanwhile.
+
+        It counts from the row in ``generations`` on, so a compaction that breaks off has no effect. The folder of the old
+        generation is the caller's to delete. A batch that is delivered again afterwards still replaces its documents.
+        """
+        old = self.generation()
+        for kind in self.KINDS:
+            self.log(kind, old + 1).write(self.current(kind), self.COMPACTED)
+        self._generations(old + 1).mode("append").parquet(f"{self.target}/generations")
+        return old + 1
 
-    stream = spark.readStream.schema(DOCUMENT).json(source)
-    return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+def ingest_stream(spark: SparkSession, source: str, target: str, checkpoint: str) -> StreamingQuery:
+    """New files of ``source`` become chunks, vectors and postings; see ``Ingestion``."""
+    return Ingestion(spark, target).stream(source, checkpoint)
 
 
 def current_chunks(spark: SparkSession, target: str) -> DataFrame:
     """Chunks of each document's newest version; of equal versions the later batch counts. One without text has none."""
-    heads = BatchLog(spark, f"{target}/documents").rows().groupBy("doc_id").agg(F.max_by("batch", F.struct("version", "batch")).alias("batch"))
-    return BatchLog(spark, f"{target}/chunks").rows().join(heads, ["doc_id", "batch"]).drop("batch")
+    return Ingestion(spark, target).current("chunks")
+
+
+def distinct_deliveries(messages: DataFrame, delivered: str = "delivered_at", delay: str = "1 hour") -> DataFrame:
+    """Messages without those that were delivered before, in the same state, within ``delay``.
+
+    Time is that of delivery (now, where there is no such column), so an old message that comes for the first time isn't
+    late. State goes as the watermark passes; what is delivered again after that comes through and overwrites itself.
+    """
+    known = messages if delivered in messages.columns else messages.withColumn(delivered, F.current_timestamp())
+    return known.withWatermark(delivered, delay).dropDuplicatesWithinWatermark(["message_id", "updated_at"])
 
 
-def merge_messages_stream(messages: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
-    """A log of messages, ``message_id, thread_id, content, updated_at``; see ``current_messages``."""
+def merge_messages_stream(messages: DataFrame, target: str, checkpoint: str, delivered: str = "delivered_at", delay: str = "1 hour") -> StreamingQuery:
+    """A log of messages, ``message_id, thread_id, content, updated_at``; see ``distinct_deliveries``, ``current_messages``."""
     log = BatchLog(messages.sparkSession, target)
-    return messages.writeStream.foreachBatch(log.write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    distinct = distinct_deliveries(messages, delivered, delay)
+    return distinct.writeStream.foreachBatch(log.write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def current_messages(spark: SparkSession, target: str) -> DataFrame:

@@ -85,7 +85,8 @@ def test_ivf_recall_grows_to_exact(spark, monkeypatch):
     for nprobe in (1, 5, 1000):
         got = {(r.query_id, r.chunk_id) for r in vectors.vector_topk_ivf(queries, chunks, centers, nprobe, 5).collect()}
         recall.append(len(exact & got) / len(exact))
-    monkeypatch.setattr(vectors.common, "SMALL_ROWS", 3)  # many queries: libraries in parts
+    for name, value in {"FEW_QUERIES": 3, "TILE_CHUNKS": 70, "TILE_QUERIES": 4, "CELLS": 100}.items():  # many queries: tiles
+        monkeypatch.setattr(vectors, name, value)
     assert {(r.query_id, r.chunk_id) for r in vectors.vector_topk(queries, chunks, 5).collect()} == exact
     assert recall == sorted(recall) and recall[1] > 0.5 and recall[2] == 1
 
