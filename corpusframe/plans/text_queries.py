@@ -58,15 +58,15 @@ def written(v, name: str) -> str:
 
 @query(
     "a2_csv_files",
-    """WITH r AS (SELECT 'nation'||c_nationkey AS doc_id, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS rn, c_custkey||' | '||c_name||', "'||c_mktsegment||'" | '||c_phone AS line FROM customer),
+    """WITH r AS (SELECT 'nation'||c_nationkey AS doc_id, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS rn, c_custkey||' | '||c_name||', "'||c_mktsegment||'" | '||c_mktsegment AS line FROM customer),
 g AS (SELECT doc_id, (rn-1)//30 AS g, count(*) AS n, string_agg(line, chr(10) ORDER BY rn) AS b FROM r GROUP BY 1,2)
-SELECT doc_id, (g+1)::BIGINT AS block_no, doc_id||'!rows '||(g*30+2)||'-'||(g*30+1+n) AS locator, 'c_custkey | label | c_phone'||chr(10)||b AS text, true AS force_chunk FROM g
-UNION ALL SELECT doc_id, 0, doc_id, 'CSV '||doc_id||': columns c_custkey, label, c_phone; '||count(*)||' rows.', false FROM r GROUP BY doc_id""",
+SELECT doc_id, (g+1)::BIGINT AS block_no, doc_id||'!rows '||(g*30+2)||'-'||(g*30+1+n) AS locator, 'c_custkey | label | c_mktsegment'||chr(10)||b AS text, true AS force_chunk FROM g
+UNION ALL SELECT doc_id, 0, doc_id, 'CSV '||doc_id||': columns c_custkey, label, c_mktsegment; '||count(*)||' rows.', false FROM r GROUP BY doc_id""",
 )
 def _(v):
     """Customers as CSV files, one for each nation, with commas and quotes in a field; read again in splits."""
     path = written(v, "csv-files")
-    rows = v.customer.select("c_nationkey", "c_custkey", F.concat("c_name", F.lit(', "'), "c_mktsegment", F.lit('"')).alias("label"), "c_phone")
+    rows = v.customer.select("c_nationkey", "c_custkey", F.concat("c_name", F.lit(', "'), "c_mktsegment", F.lit('"')).alias("label"), "c_mktsegment")
     rows.repartition("c_nationkey").sortWithinPartitions("c_nationkey", "c_custkey").write.partitionBy("c_nationkey").option("header", True).option("escape", '"').csv(path)
     return S.csv_files(v.spark, path, F.concat(F.lit("nation"), F.regexp_extract("path", r"c_nationkey=(\d+)", 1)))
 

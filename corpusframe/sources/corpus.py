@@ -66,13 +66,18 @@ def delete_documents(spark: SparkSession, paths: dict[str, str], doc_ids: DataFr
     return written
 
 
+def _path() -> Column:
+    """The path of a row's file, as the file system has it."""
+    return F.url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B")))
+
+
 def file_lines(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """``path, block, seq, line`` of all files under ``path``: lines of one split (``block``: where it starts) ascend by ``seq``.
 
     Large files are split, so that no task reads a whole one; see ``numbered_lines``.
     """
     lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path)
-    return lines.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("seq"), F.col("value").alias("line"))
+    return lines.select(_path().alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("seq"), F.col("value").alias("line"))
 
 
 def numbered_lines(lines: DataFrame, name: str = "rn") -> DataFrame:
@@ -103,7 +108,7 @@ def csv_files(spark: SparkSession, path: str, name: Column | None = None, multi_
     if multi_line:
         whole = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").text(path, wholetext=True)
         records = F.regexp_extract_all(F.concat("value", F.lit("\n")), F.lit(RECORD), F.lit(1))
-        lines = whole.select(F.col("_metadata.file_path").alias("path"), F.lit(0).alias("block"), F.posexplode(records).alias("seq", "line"))
+        lines = whole.select(_path().alias("path"), F.lit(0).alias("block"), F.posexplode(records).alias("seq", "line"))
     else:
         lines = file_lines(spark, path, "*.csv")
     cells = lines.withColumn("cells", csv_cells(F.col("line"))).filter(F.exists("cells", lambda c: F.trim(c) != ""))
@@ -118,7 +123,7 @@ def csv_files(spark: SparkSession, path: str, name: Column | None = None, multi_
 def whole_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """``path, title, text``: every file under ``path`` as one row, bytes that aren't UTF-8 replaced."""
     files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path, wholetext=True)
-    return files.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("title"), F.col("value").alias("text"))
+    return files.select(_path().alias("path"), F.col("_metadata.file_name").alias("title"), F.col("value").alias("text"))
 
 
 def text_files(spark: SparkSession, path: str, name: Column | None = None, glob: str = "*") -> DataFrame:
