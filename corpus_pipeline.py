@@ -53,7 +53,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on ``documents``; each stage's rows are written to the shared folder and read again."""
+    """All stages on ``documents``; each stage's rows are written to the shared folder and read again.
+
+    Null and empty texts have a quality score like others, are linked with nothing, leak nothing, and weigh nothing in the
+    mixture, which therefore leaves them out. Rows that repeat an id are documents of their own, of which the near-copy
+    stage keeps one as it does of equal texts; those with a null id all stay there. Null sources are a source. Empty tables give no rows, and
+    columns besides ``COLUMNS`` are dropped by the first stage.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     place = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):

@@ -394,6 +394,12 @@ def read_shards(spark, path: str) -> DataFrame:
 
 
 def token_files(docs: DataFrame, tokenizer: str | None = None, path: str | None = None) -> DataFrame:
+    """``doc_id, start, n_tokens, ids_crc32`` of every row, read back from the shards that ``write_shards`` makes of it.
+
+    Null and empty texts have the end id alone. Rows that repeat, an id or a whole row, are documents of their own, one
+    behind the other (ties by text); null ids come last. An empty table gives no rows; further columns aren't looked at.
+    ``path`` stays for readers and is the caller's to delete; without one it is a new folder of the shared one.
+    """
     spark = docs.sparkSession
     path = path or f"{shared_dir(spark)}/token-shards-{uuid.uuid4().hex}"
     write_shards(docs, path, tokenizer)
@@ -401,4 +407,5 @@ def token_files(docs: DataFrame, tokenizer: str | None = None, path: str | None
 
 
 def op4_repair(spark, sf_dir: str) -> DataFrame:
+    """``token_files`` of all ``documents``."""
     return token_files(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from corpusframe.llm.common import shared_dir
 
 LETTER = 2.3  # what each letter of an unknown word adds to its cost
+EVIDENCE = 2.0  # occurrences that a word is given beforehand, shared out as all words' are: an unknown word weighs nothing
 NANO = 10**9  # weights are added as whole billionths, so that the order of rows doesn't matter
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: (verdict, host, path); a rule fits its host and all subdomains where the path starts with its path
@@ -156,26 +157,29 @@ def url_words(pages: DataFrame, rules=RULES) -> DataFrame:
     return kept(words.withColumn("word", F.concat("mark", "word")).drop("mark"), "words")
 
 
-def judge_urls(pages: DataFrame, rules=RULES) -> DataFrame:
+def judge_urls(pages: DataFrame, rules=RULES, prior: float | None = 0.0) -> DataFrame:
     """``page_id, host, path, rule, verdict, block_score`` for every row of ``page_id, url, html``.
 
-    The score is null where a rule decides; a positive one blocks. Null and unparsable URLs have no words and get the
-    prior's verdict; so do all undecided ones where rules gave one verdict only. Null html has no words. Rows that repeat
-    have rows of their own, an empty table has none; further columns are not looked at.
+    The score, the logarithm of the odds of block, is null where a rule decides; a positive one blocks. ``prior`` is the
+    score of a URL without words: even odds unless told, None for the shares of the rules' own verdicts. With even odds the
+    words alone decide: how many URLs rules block says nothing about those they don't reach. Null and unparsable URLs have
+    no words and get the prior's verdict; where rules gave one verdict only, all undecided ones get that. Null html has no
+    words. Rows that repeat have rows of their own, an empty table has none; further columns are not looked at.
     """
     words, found = url_words(pages, rules), judged(pages, rules)
     times = lambda verdict: F.sum(F.when(F.col("rule_verdict") == verdict, F.col("times") * F.col("pages")).otherwise(0))
     table = words.filter("rule_verdict IS NOT NULL").groupBy("word").agg(times("allow").alias("allow"), times("block").alias("block"))
     seen = found.agg(F.count_if(F.col("rule_verdict") == "allow").alias("allow"), F.count_if(F.col("rule_verdict") == "block").alias("block")).first()
-    sums = table.agg(F.count(F.lit(1)).alias("n"), F.sum("allow").alias("allow"), F.sum("block").alias("block")).first()
-    if not seen["allow"] or not seen["block"]:
+    sums = table.agg(F.sum("allow").alias("allow"), F.sum("block").alias("block")).first()
+    allow, block = (float(sums[k] or 0) for k in ("allow", "block"))
+    if not allow or not block:
         prior, scores = 1.0 if seen["block"] else -1.0, words.select("host", "path", F.lit(0).cast("long").alias("nano")).limit(0)
     else:
-        prior, (allow, block) = math.log(seen["block"] / seen["allow"]), ((sums[k] or 0) + sums["n"] + 1 for k in ("allow", "block"))
-        nano = lambda a, b: F.round((F.log((b + 1) / block) - F.log((a + 1) / allow)) * NANO).cast("long")
-        weights = table.select("word", nano(F.col("allow"), F.col("block")).alias("weight"))
-        open_ = words.filter("rule_verdict IS NULL").join(weights.hint("shuffle_hash"), "word", "left")
-        scores = open_.groupBy("host", "path").agg(F.sum(F.col("times") * F.coalesce("weight", nano(F.lit(0), F.lit(0)))).alias("nano"))
+        prior = math.log(seen["block"] / seen["allow"]) if prior is None else prior
+        rate = lambda n, of: (n + EVIDENCE * of / (allow + block)) / of
+        nano = F.round((F.log(rate(F.col("block"), block)) - F.log(rate(F.col("allow"), allow))) * NANO).cast("long")
+        open_ = words.filter("rule_verdict IS NULL").join(table.select("word", nano.alias("weight")).hint("shuffle_hash"), "word", "left")
+        scores = open_.groupBy("host", "path").agg(F.sum(F.col("times") * F.coalesce("weight", F.lit(0))).alias("nano"))
     total = F.coalesce("nano", F.lit(0)) + F.lit(round(prior * NANO))
     undecided = F.col("rule_verdict").isNull()
     joined = found.join(scores.hint("shuffle_hash"), ["host", "path"], "left")

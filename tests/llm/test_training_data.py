@@ -503,7 +503,7 @@ def test_block_max_search_equals_scoring_all():
 class PlainUrls:
     """Segmentation by trying every split, and naive Bayes in dictionaries."""
 
-    def __init__(self, counts, rows):
+    def __init__(self, counts, rows, prior=0.0):
         """``rows``: host, path, verdict of a rule or None."""
         self.counts, self.total = counts, sum(counts.values()) + 1
         n = {"allow": {}, "block": {}}
@@ -513,11 +513,11 @@ class PlainUrls:
                 seen[verdict] += 1
                 for w in self.words(host, path):
                     n[verdict][w] = n[verdict].get(w, 0) + 1
-        known = set(n["allow"]) | set(n["block"])
-        size = {k: sum(n[k].values()) + len(known) + 1 for k in n}
-        self.two = min(seen.values()) > 0
-        self.prior = math.log(seen["block"] / seen["allow"]) if self.two else 1.0 if seen["block"] else -1.0
-        self.weight = lambda w: round((math.log((n["block"].get(w, 0) + 1) / size["block"]) - math.log((n["allow"].get(w, 0) + 1) / size["allow"])) * 1e9)
+        size = {k: sum(n[k].values()) for k in n}
+        self.two = min(size.values()) > 0
+        self.prior = (math.log(seen["block"] / seen["allow"]) if prior is None else prior) if self.two else 1.0 if seen["block"] else -1.0
+        rate = lambda w, k: (n[k].get(w, 0) + urls.EVIDENCE * size[k] / sum(size.values())) / size[k]
+        self.weight = lambda w: round((math.log(rate(w, "block")) - math.log(rate(w, "allow"))) * 1e9)
 
     def cost(self, word):
         n = self.counts.get(word)
@@ -572,7 +572,10 @@ def test_urls_against_plain_form(spark, tmp_path):
         score = plain.score(r.host, r.path)
         assert r.verdict == (known[i].rule_verdict or ("block" if score > 0 else "allow")) and r.rule == known[i].rule
         assert r.block_score is None if known[i].rule_verdict else abs(r.block_score - score) < 2e-6
-    assert got[3].block_score != got[5].block_score
+    assert got[3].block_score != got[5].block_score and got[5].block_score == 0.0
+    told = PlainUrls(counts, [(r.host, r.path, r.rule_verdict) for r in known.values()], None)
+    for r in urls.judge_urls(pages, prior=None).filter("rule IS NULL").collect():
+        assert abs(r.block_score - told.score(r.host, r.path)) < 2e-6 and told.prior != 0
     lone = urls.judge_urls(pages.filter("page_id between 3 and 8")).collect()
     assert {(r.verdict, r.block_score) for r in lone} == {("allow", -1.0)}
     assert urls.judge_urls(pages.limit(0)).count() == 0
