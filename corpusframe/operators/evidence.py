@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +11,7 @@ from corpusframe.operators.retrieval import union_recall
 
 # Mode -> critic rounds, sub-queries, breadth, answer tokens, detail.
 MODES = {"low": (0, 0, 1.0, 1600, "concise"), "medium": (1, 2, 1.25, 3200, "balanced"), "high": (2, 4, 1.5, 5500, "comprehensive")}
+# Classes of questions that look wider.
 COMPLEX = ("MULTI_HOP", "COMPARISON", "AGGREGATION", "MULTI_ENTITY")
 
 
@@ -57,45 +57,40 @@ def evidence_brief(rows: DataFrame, max_chars: int = 14_000, cut: int = 1_200) -
     return kept.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_rows"), joined.alias("brief"))
 
 
-def render_context(notes: list[dict], max_chars: int) -> str:
-    """One question's notes under their sub-questions. A note that doesn't fit ends its group, a heading ends all."""
-    groups: dict[str, list] = {}
-    for n in notes:
-        groups.setdefault((n["sub_query"] or "").strip() or "Main question", []).append(n)
-    title = "CONTEXT DOCUMENT (distilled, source-anchored evidence):"
-    lines, left = [title], max_chars - len(title)
-    for name, members in groups.items():
-        heading = f"\n## {name}"
-        if len(heading) > left:
-            break
-        lines.append(heading)
-        left -= len(heading)
-        for n in members:
-            text = (n["text"] or "").strip()
-            if not text:
-                continue
-            visuals = f", {len(n['visual_ids'])} figure/table" if n["visual_ids"] is not None and len(n["visual_ids"]) else ""
-            line = f"- {text}\n  (source: {(n['doc_title'] or '').strip() or 'Untitled PDF'}, p.{n['page_start']}-{n['page_end']}{visuals})"
-            if len(line) + 1 > left:
-                break
-            lines.append(line)
-            left -= len(line) + 1
-    return "\n".join(lines)
+TITLE = "CONTEXT DOCUMENT (distilled, source-anchored evidence):"  # fixed value
 
 
 def context_document(notes: DataFrame, max_chars: int = 14_000) -> DataFrame:
     """``query_id, context`` of ``query_id, note_no, sub_query, text, doc_title, page_start, page_end, visual_ids``.
 
-    What fits depends on what was left out before, so the notes of a question, as many as retrieval gives, meet in one
-    row of a pandas UDF.
+    A question's notes stand under their sub-questions, first seen first. A note that doesn't fit ends its group, a heading
+    that doesn't fit ends all. What fits depends on what was left out before: a fold over the groups of a question and over
+    the notes of a group, as SQL expressions.
     """
-    fields = ["note_no", "sub_query", "text", "doc_title", "page_start", "page_end", "visual_ids"]
-
-    @F.pandas_udf("string")
-    def render(column: pd.Series) -> pd.Series:
-        return column.map(lambda notes: render_context([n if isinstance(n, dict) else n.asDict() for n in notes], max_chars))
-
-    return notes.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("notes")).select("query_id", render("notes").alias("context"))
+    bare = lambda c: F.regexp_replace(text_of(F.col(c)), r"(?U)^\s+|\s+$", "")
+    named = lambda c, other: F.when(bare(c) == "", other).otherwise(bare(c))
+    pages = F.concat(F.lit(", p."), F.coalesce(F.col("page_start").cast("string"), F.lit("None")), F.lit("-"), F.coalesce(F.col("page_end").cast("string"), F.lit("None")))
+    visuals = F.when(F.size("visual_ids") > 0, F.concat(F.lit(", "), F.size("visual_ids").cast("string"), F.lit(" figure/table"))).otherwise("")
+    line = F.when(bare("text") != "", F.concat(F.lit("- "), bare("text"), F.lit("\n  (source: "), named("doc_title", "Untitled PDF"), pages, visuals, F.lit(")")))
+    lines = notes.select("query_id", "note_no", named("sub_query", "Main question").alias("name"), line.alias("line"))
+    groups = lines.groupBy("query_id", "name").agg(F.min("note_no").alias("first"), F.array_sort(F.collect_list(F.struct("note_no", "line"))).alias("notes"))
+    listed = groups.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("first", "name", "notes"))).alias("groups"))
+    state = "struct<left:int,on:boolean,text:string>"  # characters left, whether more may come, what there is
+
+    def note(s, n):
+        fits = s["on"] & n["line"].isNotNull() & (F.length(n["line"]) + 1 <= s["left"])
+        on = s["on"] & (n["line"].isNull() | fits)
+        return F.struct(F.when(fits, s["left"] - F.length(n["line"]) - 1).otherwise(s["left"]).alias("left"), on.alias("on"), F.when(fits, F.concat(s["text"], F.lit("\n"), n["line"])).otherwise(s["text"]).alias("text")).cast(state)
+
+    def group(s, g):
+        heading = F.concat(F.lit("\n## "), g["name"])
+        fits = s["on"] & (F.length(heading) <= s["left"])
+        opened = F.struct((s["left"] - F.length(heading)).alias("left"), F.lit(True).alias("on"), F.concat(s["text"], F.lit("\n"), heading).alias("text")).cast(state)
+        filled = F.aggregate(g["notes"], opened, note, lambda x: x.withField("on", F.lit(True)))
+        return F.when(fits, filled).otherwise(s.withField("on", F.lit(False))).cast(state)
+
+    start = F.struct(F.lit(max_chars - len(TITLE)).alias("left"), F.lit(True).alias("on"), F.lit(TITLE).alias("text")).cast(state)
+    return listed.select("query_id", F.aggregate("groups", start, group, lambda s: s["text"]).alias("context"))
 
 
 def merge_notes(notes: DataFrame) -> DataFrame:

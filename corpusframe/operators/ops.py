@@ -11,6 +11,7 @@ from corpusframe.sources.checkpoints import cut
 
 # Stages in order and their weights in the progress bar.
 STAGES = {"sync": 15, "layout_parser": 15, "text_extraction": 20, "image_captioning": 15, "chunking": 13, "embedding": 14, "clustering": 8}
+# States of a job, and the order in which one hides another.
 STATUSES = ("queued", "running", "done", "failed")
 STATUS_ORDER = ("failed", "running", "queued", "done", "canceled")
 # Stage -> the stages whose work must be done before it.

@@ -5,10 +5,6 @@ Blocks are rows of ``doc_id, page, block_no, kind, x1, y1, x2, y2, text``; visua
 
 from __future__ import annotations
 
-import csv
-import io
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +14,8 @@ from corpusframe.operators.common import first_rows, percentiles
 # Labels of text regions and of regions to leave out.
 TEXT_LABELS = ("text", "plain text", "title", "section header", "header", "footer", "caption", "footnote", "list", "reference", "references")
 IGNORED_LABELS = ("abandon", "ignore", "background")
+# Words in a visual's label that tell its kind.
+TABLE_WORDS, FORMULA_WORDS, FIGURE_WORDS = ("table",), ("equation", "formula"), ("figure", "image", "graph", "chart", "picture")
 PAGE = ["doc_id", "page"]
 
 
@@ -29,7 +27,7 @@ def norm_text_kind(c: Column) -> Column:
 def norm_visual_kind(c: Column) -> Column:
     t = F.lower(F.trim(text_of(c)))
     any_of = lambda *words: t.rlike("|".join(words))
-    return F.when(t.isin(*IGNORED_LABELS) | (t.contains("caption") & any_of("figure", "table")), "ignore").when(t.contains("table"), "table").when(any_of("equation", "formula") | (t == "math"), "formula").when(any_of("figure", "image", "graph", "chart", "picture"), "figure").otherwise("other")
+    return F.when(t.isin(*IGNORED_LABELS) | (t.contains("caption") & any_of("figure", "table")), "ignore").when(any_of(*TABLE_WORDS), "table").when(any_of(*FORMULA_WORDS) | (t == "math"), "formula").when(any_of(*FIGURE_WORDS), "figure").otherwise("other")
 
 
 def bbox_to_pdf(bbox: Column, scale: Column) -> Column:
@@ -166,42 +164,35 @@ def rank_visuals(visuals: DataFrame, width: Column, height: Column, profile: Col
 def spans_to_table(spans: DataFrame, y_tol: float = 3.5, x_gap: float = 10.0) -> DataFrame:
     """``doc_id, page, table_no, n_rows, csv``: rows of spans near the running mean of their centres, cells by gaps.
 
-    The mean depends on the order, so the spans of one table, a bounded group, meet in one row of a pandas UDF.
+    The mean depends on the order: a fold over the spans of a table, a bounded group, gives each the number of its row. Rows
+    and cells are then sorts and gaps. All of it is SQL expressions.
     """
-
-    @F.pandas_udf("struct<n_rows:long,csv:string>")
-    def tables(column: pd.Series) -> pd.DataFrame:
-        done = [_table(list(spans), y_tol, x_gap) for spans in column]
-        return pd.DataFrame(done, columns=["n_rows", "csv"])
-
     clean = spans.withColumn("text", clean_text(F.col("text"))).filter("text <> ''")
-    whole = clean.groupBy("doc_id", "page", "table_no").agg(F.collect_list(F.struct("text", "x0", "x1", "y0", "y1")).alias("spans"))
-    return whole.select("doc_id", "page", "table_no", tables("spans").alias("t")).select("doc_id", "page", "table_no", "t.*")
-
-
-def _table(spans: list[dict], y_tol: float, x_gap: float) -> tuple[int, str]:
-    centre = lambda s: (s["y0"] + s["y1"]) / 2
-    rows, total = [], 0.0
-    for s in sorted(spans, key=lambda s: (centre(s), s["x0"], s["text"])):
-        if rows and abs(centre(s) - total / len(rows[-1])) <= y_tol:
-            rows[-1].append(s)
-            total += centre(s)
-        else:
-            rows.append([s])
-            total = centre(s)
-    out = io.StringIO()
-    writer = csv.writer(out)
-    for row in rows:
-        row.sort(key=lambda s: s["x0"])
-        cells, last = [row[0]["text"]], row[0]["x1"]
-        for s in row[1:]:
-            if s["x0"] - last >= x_gap:
-                cells.append(s["text"])
-            else:
-                cells[-1] = f"{cells[-1]} {s['text']}".strip()
-            last = s["x1"]
-        writer.writerow(cells)
-    return len(rows), out.getvalue()
+    kinds = [F.col(c).cast("double").alias(c) for c in ("x0", "x1")]
+    centre = ((F.col("y0") + F.col("y1")) / 2).cast("double").alias("centre")
+    whole = clean.groupBy("doc_id", "page", "table_no").agg(F.array_sort(F.collect_list(F.struct(centre, kinds[0], "text", kinds[1]))).alias("spans"))
+    state = "struct<row:int,n:int,total:double,rows:array<int>>"
+
+    def place(s, x):
+        same = (s["n"] > 0) & (F.abs(x["centre"] - s["total"] / F.greatest(s["n"], F.lit(1))) <= y_tol)
+        row = F.when(same, s["row"]).otherwise(s["row"] + 1)
+        return F.struct(row.alias("row"), F.when(same, s["n"] + 1).otherwise(1).alias("n"), F.when(same, s["total"] + x["centre"]).otherwise(x["centre"]).alias("total"), F.concat(s["rows"], F.array(row)).alias("rows")).cast(state)
+
+    start = F.struct(F.lit(0).alias("row"), F.lit(0).alias("n"), F.lit(0.0).alias("total"), F.array().cast("array<int>").alias("rows")).cast(state)
+    numbered = whole.withColumn("rows", F.aggregate("spans", start, place, lambda s: s["rows"]))
+    # row, left edge, place in the order before, text, right edge
+    sorted_spans = F.array_sort(F.transform("spans", lambda x, i: F.struct(F.get("rows", i).alias("row"), x["x0"].alias("x0"), i.alias("i"), x["text"].alias("text"), x["x1"].alias("x1"))))
+    numbered = numbered.withColumn("n_rows", F.array_max("rows").cast("long")).withColumn("spans", sorted_spans)
+
+    def joint(x, i):
+        """What stands in front of a span: nothing, the end of a row, of a cell, or a space inside a cell."""
+        last = F.get("spans", i - 1)
+        return F.when(i == 0, "").when(last["row"] != x["row"], "\x02").when(x["x0"] - last["x1"] >= x_gap, "\x01").otherwise(" ")
+
+    text = F.array_join(F.transform("spans", lambda x, i: F.concat(joint(x, i), F.translate(x["text"], "\x01\x02", ""))), "")
+    quoted = lambda c: F.when(c.rlike(r'[,"\r\n]'), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c)
+    lines = F.transform(F.split(text, "\x02"), lambda row: F.concat(F.array_join(F.transform(F.split(row, "\x01"), lambda c: quoted(F.trim(c))), ","), F.lit("\r\n")))
+    return numbered.select("doc_id", "page", "table_no", "n_rows", F.array_join(lines, "").alias("csv"))
 
 
 def _len(name: str) -> Column:

@@ -62,7 +62,20 @@ def _(v):
     return E.evidence_brief(E.with_titles(rows(v), v.v_docs))
 
 
-@query("f12_context_document")
+@query(
+    "f12_context_document",
+    f"""WITH RECURSIVE {ROWS}, n AS (SELECT rw.query_id, rw.rank AS note_no, 'part '||(rw.rank % 3) AS name, regexp_replace(substr(rw.text,1,600), '^\\s+|\\s+$', '', 'g') AS body, regexp_replace(d.title, '^\\s+|\\s+$', '', 'g') AS title, rw.page_start, rw.page_end FROM rw JOIN v_docs d ON d.doc_id = rw.doc_id),
+g AS (SELECT *, min(note_no) OVER (PARTITION BY query_id, name) AS first, '- '||body||chr(10)||'  (source: '||CASE WHEN title = '' THEN 'Untitled PDF' ELSE title END||', p.'||page_start||'-'||page_end||')' AS line FROM n),
+x AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY first, note_no) AS i, first = note_no AS begins, chr(10)||'## '||name AS head FROM g),
+m(query_id, i, budget, open, ended, doc) AS (
+ SELECT DISTINCT query_id, 0::BIGINT, (14000 - 55)::BIGINT, false, false, 'CONTEXT DOCUMENT (distilled, source-anchored evidence):' FROM x
+ UNION ALL
+ SELECT query_id, i, CASE WHEN fits THEN rest - length(line) - 1 ELSE rest END, CASE WHEN body = '' THEN on_ ELSE fits END, ended_, CASE WHEN fits THEN said||chr(10)||line ELSE said END
+ FROM (SELECT *, on_ AND body <> '' AND length(line) + 1 <= rest AS fits
+  FROM (SELECT *, CASE WHEN begins THEN headed ELSE open END AS on_, ended OR (begins AND NOT headed) AS ended_, CASE WHEN begins AND headed THEN budget - length(head) ELSE budget END AS rest, CASE WHEN begins AND headed THEN doc||chr(10)||head ELSE doc END AS said
+   FROM (SELECT m.query_id, x.i, m.budget, m.open, m.ended, m.doc, x.begins, x.head, x.line, x.body, x.begins AND NOT m.ended AND length(x.head) <= m.budget AS headed FROM m JOIN x ON x.query_id = m.query_id AND x.i = m.i + 1))))
+SELECT query_id, arg_max(doc, i) AS context FROM m GROUP BY 1""",
+)
 def _(v):
     notes = E.with_titles(rows(v), v.v_docs).select("query_id", F.col("rank").alias("note_no"), F.concat(F.lit("part "), (F.col("rank") % 3).cast("string")).alias("sub_query"), F.substring("text", 1, 600).alias("text"), "doc_title", "page_start", "page_end", F.array().cast("array<string>").alias("visual_ids"))
     return E.context_document(notes)

@@ -178,9 +178,27 @@ def _(v):
     return C.reading_order(rows).select("doc_id", "block_no", "pos")
 
 
-@query("c6_chunk_documents")
+@query(
+    "c6_chunk_documents",
+    f"""WITH RECURSIVE b AS (SELECT library_id, doc_id, block_no, page, block_id, replace(text,'ß','s') AS text FROM v_blocks),
+c AS (SELECT library_id, doc_id, block_no, page, block_id, {CLEAN} AS text, {HEADING} AS head FROM b WHERE {CLEAN} <> ''),
+x AS (SELECT *, row_number() OVER w AS i, coalesce(lead(head) OVER w OR lead(page) OVER w <> page, false) AS turns, sum(CASE WHEN head THEN 0 ELSE 1 END) OVER w - 1 AS ord, length(text) AS len, count(*) OVER (PARTITION BY doc_id) AS n_blocks FROM c WINDOW w AS (PARTITION BY doc_id ORDER BY block_no)),
+m(doc_id, i, f, l, n, chars, tail, heading, ef, el, eh) AS (
+ SELECT DISTINCT doc_id, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, NULL::VARCHAR, NULL::BIGINT, NULL::BIGINT, NULL::VARCHAR FROM x
+ UNION ALL
+ SELECT doc_id, i, CASE WHEN head THEN CASE WHEN shut THEN l ELSE f END WHEN behind THEN ord ELSE nf END, CASE WHEN head THEN l ELSE ord END, CASE WHEN head THEN CASE WHEN shut THEN 1 ELSE n END WHEN behind THEN 1 ELSE n + 1 END,
+  CASE WHEN head THEN CASE WHEN shut THEN tail ELSE chars END WHEN behind THEN len ELSE nc END, CASE WHEN head THEN tail ELSE len END, CASE WHEN head THEN text ELSE heading END,
+  CASE WHEN head THEN CASE WHEN shut THEN f END WHEN behind THEN nf END, CASE WHEN head THEN l ELSE ord END, heading
+ FROM (SELECT *, n > 0 AND greatest(1, chars // 4) >= 120 AS shut, greatest(1, nc // 4) >= 650 OR (greatest(1, nc // 4) >= 400 AND turns) AS behind
+  FROM (SELECT m.doc_id, x.i, m.f, m.l, m.n, m.chars, m.tail, m.heading, x.head, x.text, x.ord, x.len, x.turns, CASE WHEN m.n > 0 THEN m.f ELSE x.ord END AS nf, CASE WHEN m.n > 0 THEN m.chars + 2 ELSE 0 END + x.len AS nc FROM m JOIN x ON x.doc_id = m.doc_id AND x.i = m.i + 1))),
+e AS (SELECT doc_id, i, 0 AS last, ef AS f, el AS l, eh AS heading FROM m WHERE ef IS NOT NULL UNION ALL SELECT m.doc_id, m.i, 1, m.f, m.l, m.heading FROM m JOIN (SELECT doc_id, max(i) AS i FROM m GROUP BY 1) USING (doc_id, i) WHERE n > 0),
+k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i, last) - 1 AS chunk_index FROM e),
+t AS (SELECT library_id, k.doc_id, chunk_index, arg_min(page, ord) AS page_start, arg_max(page, ord) AS page_end, any_value(heading) AS section_heading, string_agg(block_id, ',' ORDER BY ord) AS block_ids, string_agg(text, chr(10)||chr(10) ORDER BY ord) AS text FROM k JOIN x ON x.doc_id = k.doc_id AND NOT x.head AND x.ord BETWEEN k.f AND k.l GROUP BY ALL)
+SELECT library_id, doc_id, chunk_index::INT AS chunk_index, page_start, page_end, section_heading, block_ids, text, doc_id||'_c'||lpad(chunk_index::VARCHAR,4,'0') AS chunk_id, lag(doc_id||'_c'||lpad(chunk_index::VARCHAR,4,'0')) OVER (PARTITION BY doc_id ORDER BY chunk_index) AS prev_chunk_id, lead(doc_id||'_c'||lpad(chunk_index::VARCHAR,4,'0')) OVER (PARTITION BY doc_id ORDER BY chunk_index) AS next_chunk_id FROM t""",
+)
 def _(v):
-    return C.link_chunks(C.chunk_documents(blocks(v)))
+    plain = blocks(v).withColumn("text", F.replace("text", F.lit("ß"), F.lit("s")))
+    return C.link_chunks(C.chunk_documents(plain)).withColumn("block_ids", F.array_join("block_ids", ",")).drop("locator")
 
 
 @query("c8_semantic_boundaries", "WITH b AS (SELECT vec_id, label AS doc_id, embedding::DOUBLE[] AS e, lag(embedding::DOUBLE[]) OVER (PARTITION BY label ORDER BY vec_id) AS p FROM embeddings) SELECT vec_id, coalesce(list_dot_product(e, p) < 0.25, false) AS boundary FROM b")

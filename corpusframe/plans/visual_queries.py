@@ -105,9 +105,21 @@ def _(v):
     return U.rank_visuals(layout(v).filter("kind <> 'text'"), F.lit(800.0), F.lit(1000.0), profile).select("doc_id", "block_no", "importance", "rank")
 
 
-@query("b14_spans_to_table")
+@query(
+    "b14_spans_to_table",
+    """WITH RECURSIVE s AS (SELECT l_orderkey AS doc_id, l_linestatus||l_returnflag AS text, l_linenumber*40.0::DOUBLE AS x0, l_linenumber*40.0::DOUBLE + l_quantity AS x1, (l_suppkey % 9)*2.0::DOUBLE + 4 AS centre FROM lineitem),
+o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY centre, x0, text, x1) AS i FROM s),
+m(doc_id, i, n, total, row) AS (
+ SELECT DISTINCT doc_id, 0::BIGINT, 0::BIGINT, 0::DOUBLE, 0::BIGINT FROM o
+ UNION ALL
+ SELECT doc_id, i, CASE WHEN same THEN n + 1 ELSE 1 END, CASE WHEN same THEN total ELSE 0 END + centre, CASE WHEN same THEN row ELSE row + 1 END
+ FROM (SELECT m.doc_id, o.i, m.n, m.total, m.row, o.centre, m.n > 0 AND abs(o.centre - m.total / greatest(m.n, 1)) <= 3.5 AS same FROM m JOIN o ON o.doc_id = m.doc_id AND o.i = m.i + 1)),
+j AS (SELECT o.doc_id, m.row, o.x0, o.i, CASE WHEN lag(o.x1) OVER w IS NULL THEN '' WHEN o.x0 - lag(o.x1) OVER w >= 10 THEN ',' ELSE ' ' END||o.text AS t FROM o JOIN m USING (doc_id, i) WINDOW w AS (PARTITION BY o.doc_id, m.row ORDER BY o.x0, o.i)),
+l AS (SELECT doc_id, row, string_agg(t, '' ORDER BY x0, i)||chr(13)||chr(10) AS line FROM j GROUP BY 1, 2)
+SELECT doc_id, 0 AS page, 0 AS table_no, max(row) AS n_rows, string_agg(line, '' ORDER BY row) AS csv FROM l GROUP BY 1""",
+)
 def _(v):
-    spans = v.lineitem.select(F.col("l_orderkey").alias("doc_id"), F.lit(0).alias("page"), F.lit(0).alias("table_no"), F.col("l_linestatus").alias("text"), (F.col("l_linenumber") * 40.0).alias("x0"), (F.col("l_linenumber") * 40.0 + F.col("l_quantity")).alias("x1"), (F.col("l_suppkey") % 9 * 2.0).alias("y0"), (F.col("l_suppkey") % 9 * 2.0 + 8).alias("y1"))
+    spans = v.lineitem.select(F.col("l_orderkey").alias("doc_id"), F.lit(0).alias("page"), F.lit(0).alias("table_no"), F.concat("l_linestatus", "l_returnflag").alias("text"), (F.col("l_linenumber") * 40.0).alias("x0"), (F.col("l_linenumber") * 40.0 + F.col("l_quantity")).alias("x1"), (F.col("l_suppkey") % 9 * 2.0).alias("y0"), (F.col("l_suppkey") % 9 * 2.0 + 8).alias("y1"))
     return U.spans_to_table(spans)
 
 

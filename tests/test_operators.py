@@ -10,6 +10,7 @@ from corpusframe.functions.vectors import parse_vector
 from corpusframe.operators import chunking, evidence, inference, ops, retrieval, vectors, visuals
 from corpusframe.sources import corpus
 from corpusframe.streaming import streams
+from plain_forms import chunk_blocks, looks_like_heading, render_context, table_of
 
 
 def one(spark, column):
@@ -26,35 +27,69 @@ def words(n_tokens, mark="w"):
 
 def test_chunker_headings_and_overlap():
     blocks = [block(0, "INTRODUCTION"), block(1, words(150)), block(2, words(20)), block(3, "Methods:"), block(4, words(30))]
-    got = chunking.chunk_blocks(blocks)
+    got = chunk_blocks(blocks)
     assert [c["block_ids"] for c in got] == [["b1", "b2"], ["b2", "b4"]]
     assert [c["section_heading"] for c in got] == ["INTRODUCTION", "Methods:"]
 
 
 def test_chunker_limits():
-    hard = chunking.chunk_blocks([block(0, words(700)), block(1, words(10))])
+    hard = chunk_blocks([block(0, words(700)), block(1, words(10))])
     assert [c["block_ids"] for c in hard] == [["b0"], ["b0", "b1"], ["b1"]]  # the overlap counts, and stays at the end
-    soft = chunking.chunk_blocks([block(0, words(410)), block(1, words(10), page=1)])
+    soft = chunk_blocks([block(0, words(410)), block(1, words(10), page=1)])
     assert [(c["page_start"], c["page_end"]) for c in soft] == [(0, 0), (0, 1)]
     tail = [block(0, words(700))]
-    assert len(chunking.chunk_blocks(tail)) == 2 and len(chunking.chunk_blocks(tail, drop_overlap_tail=True)) == 1
+    assert len(chunk_blocks(tail)) == 2 and len(chunk_blocks(tail, drop_overlap_tail=True)) == 1
 
 
 def test_chunker_forced_and_boundary():
     rows = [block(0, words(50)), block(1, "a | b\n1 | 2", force_chunk=True, section_heading="Sheet", locator="f!rows 2-3"), block(2, words(40)), block(3, words(30), boundary=True), block(4, " \x00 ")]
-    got = chunking.chunk_blocks(rows)
+    got = chunk_blocks(rows)
     assert [c["block_ids"] for c in got] == [["b0"], ["b1"], ["b2"], ["b2", "b3"]]
     assert got[1]["locator"] == "f!rows 2-3" and got[1]["section_heading"] == "Sheet"
-    assert [c["block_ids"] for c in chunking.chunk_blocks(rows, compat=True)][0] == ["b0", "b1", "b2"]
+    assert [c["block_ids"] for c in chunk_blocks(rows, compat=True)][0] == ["b0", "b1", "b2"]
 
 
 def test_context_document_budget():
     note = lambda q, t, **m: {"sub_query": q, "text": t, "doc_title": "T", "page_start": 1, "page_end": 2, "visual_ids": None} | m
-    text = evidence.render_context([note("a", "one"), note("", "two", visual_ids=["v"]), note("a", "x" * 500), note("a", "y"), note("b", "three", doc_title=" ")], 250)
+    text = render_context([note("a", "one"), note("", "two", visual_ids=["v"]), note("a", "x" * 500), note("a", "y"), note("b", "three", doc_title=" ")], 250)
     assert text.splitlines()[0].startswith("CONTEXT DOCUMENT")
     assert "## a\n- one" in text and "xxx" not in text and "- y" not in text  # what doesn't fit ends its group
     assert "## Main question\n- two\n  (source: T, p.1-2, 1 figure/table)" in text and "(source: Untitled PDF, p.1-2)" in text
-    assert evidence.render_context([note("a", "z")], 58).count("\n") == 0
+    assert render_context([note("a", "z")], 58).count("\n") == 0
+
+
+def test_folds_equal_plain_forms(spark):
+    """Documents, notes and tables by chance, each held against its rule in plain Python."""
+    import numpy as np
+
+    rng = np.random.default_rng(11)
+    texts = lambda: rng.choice(["HEAD", "Short title:", " ", "Few words here", words(5), words(int(rng.integers(30, 200))), words(500), words(700)], p=[0.1, 0.05, 0.05, 0.1, 0.2, 0.3, 0.15, 0.05])
+    kinds = "library_id string, doc_id string, pos int, page int, block_id string, text string, force_chunk boolean, locator string, section_heading string, boundary boolean"
+    docs = {f"d{d}": [("l", f"d{d}", i, i // 4, f"b{i}", str(texts()), bool(rng.random() < 0.1), [None, f"at {i}"][int(rng.integers(2))], [None, "", f"sheet {i}"][int(rng.integers(3))], bool(rng.random() < 0.1)) for i in range(int(rng.integers(1, 40)))] for d in range(60)}
+    blocks = spark.createDataFrame([r for rows in docs.values() for r in rows], kinds).repartition(3)
+    names = [k.split()[0] for k in kinds.split(", ")]
+    for drop, compat in ((False, False), (True, False), (False, True)):
+        got = {}
+        for r in chunking.chunk_documents(blocks, drop, compat).orderBy("doc_id", "chunk_index").collect():
+            got.setdefault(r.doc_id, []).append(r.asDict(recursive=True))
+        for doc, rows in docs.items():
+            want = chunk_blocks([dict(zip(names, r)) for r in rows], drop, compat)
+            assert [{k: c[k] for k in want[0]} for c in got.get(doc, [])] == want, doc
+            assert [c["chunk_index"] for c in got.get(doc, [])] == list(range(len(want)))
+
+    fields = ["note_no", "sub_query", "text", "doc_title", "page_start", "page_end", "visual_ids"]
+    asked = {q: [(q, i, [None, " ", "a", "b ", "c"][int(rng.integers(5))], [None, " \t", "x" * int(rng.integers(1, 200))][min(2, int(rng.integers(8)))], ["", None, "T"][int(rng.integers(3))], 1, [2, None][int(rng.integers(2))], [None, [], ["v"]][int(rng.integers(3))]) for i in range(12)] for q in range(40)}
+    notes = spark.createDataFrame([r for rows in asked.values() for r in rows], "query_id int, note_no int, sub_query string, text string, doc_title string, page_start int, page_end int, visual_ids array<string>")
+    for limit in (100, 300, 600, 14_000):
+        got = {r.query_id: r.context for r in evidence.context_document(notes, limit).collect()}
+        assert got == {q: render_context([dict(zip(fields, r[1:])) for r in rows], limit) for q, rows in asked.items()}
+
+    tables = {d: [(d, 0, 0, str(rng.choice(["a", "b,c", 'q"', " x  y ", " "])), float(rng.integers(0, 60)), float(rng.integers(60, 90)), float(y), float(y + rng.integers(1, 9))) for y in rng.integers(0, 30, int(rng.integers(1, 20)))] for d in range(60)}
+    spans = spark.createDataFrame([r for rows in tables.values() for r in rows], "doc_id int, page int, table_no int, text string, x0 double, x1 double, y0 double, y1 double")
+    got = {r.doc_id: (r.n_rows, r.csv) for r in visuals.spans_to_table(spans, 3.5, 5.0).collect()}
+    keys = ("text", "x0", "x1", "y0", "y1")
+    clean = {d: [dict(zip(keys, (" ".join(r[3].split()), *r[4:]))) for r in rows if r[3].strip()] for d, rows in tables.items()}
+    assert got == {d: table_of(rows, 3.5, 5.0) for d, rows in clean.items() if rows}
 
 
 def test_functions(spark):
@@ -68,7 +103,7 @@ def test_functions(spark):
         assert one(spark, parse_vector(F.lit(text))) == want
     for text, want in (("CHAPTER ONE", True), ("A few words here", True), ("Table 3 of it", False), ("x" * 91, False), ("This is a sentence that ends.", False), ("", False)):
         assert one(spark, X.is_heading(F.lit(text))) is want
-        assert chunking.looks_like_heading(text) is want
+        assert looks_like_heading(text) is want
 
 
 def test_ivf_recall_grows_to_exact(spark, monkeypatch):
