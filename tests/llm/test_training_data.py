@@ -575,7 +575,9 @@ def test_urls_against_plain_form(spark, tmp_path):
     assert got[3].block_score != got[5].block_score and got[5].block_score == 0.0
     told = PlainUrls(counts, [(r.host, r.path, r.rule_verdict) for r in known.values()], None)
     for r in urls.judge_urls(pages, prior=None).filter("rule IS NULL").collect():
-        assert abs(r.block_score - told.score(r.host, r.path)) < 2e-6 and told.prior != 0
+        assert abs(r.block_score - told.score(r.host, r.path)) < 2e-6
+    for r in urls.judge_urls(pages, prior=3.0).filter("rule IS NULL").collect():
+        assert abs(r.block_score - 3.0 - plain.score(r.host, r.path)) < 2e-6 and r.verdict == ("block" if r.block_score > 0 else "allow")
     lone = urls.judge_urls(pages.filter("page_id between 3 and 8")).collect()
     assert {(r.verdict, r.block_score) for r in lone} == {("allow", -1.0)}
     assert urls.judge_urls(pages.limit(0)).count() == 0
