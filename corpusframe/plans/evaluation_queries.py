@@ -147,11 +147,15 @@ def _(v):
     return v.v_queries.select("query_id", quick_match(F.col("question"), F.col("gold")).alias("matched"))
 
 
-VERDICTS = "SELECT query_id, CASE query_id%5 WHEN 0 THEN 'incorrect' WHEN 1 THEN 'partial' WHEN 2 THEN 'correct' ELSE 'incorrect' END AS verdict FROM v_judge"
+VERDICTS = """SELECT query_id, CASE WHEN contains(r,'INCORRECT') THEN 'incorrect' WHEN contains(r,'PARTIAL') THEN 'partial' WHEN contains(r,'CORRECT') THEN 'correct' ELSE 'incorrect' END AS verdict FROM (
+ SELECT l.doc_id AS query_id, upper(substr(d.text,1,20)||CASE WHEN l.toxic = 1 THEN ' partial ' WHEN l.quality = 1 THEN ' Correct, ' ELSE ' in' END||CASE WHEN length(d.text) % 4 = 0 THEN 'correct' ELSE substr(d.text,21,10) END) AS r FROM labels l JOIN documents d USING (doc_id))"""
 
 
 def verdicts(v):
-    return v.v_judge.select("query_id", V.parse_verdict(F.expr("CASE query_id % 5 WHEN 0 THEN ' Incorrect.' WHEN 1 THEN 'partial' WHEN 2 THEN 'CORRECT' WHEN 3 THEN 'no idea' END")).alias("verdict"))
+    """Of words of judges within the texts of the labelled documents."""
+    word = F.when(F.col("toxic") == 1, " partial ").when(F.col("quality") == 1, " Correct, ").otherwise(" in")
+    answer = F.concat(F.substring("text", 1, 20), word, F.when(F.length("text") % 4 == 0, "correct").otherwise(F.substring("text", 21, 10)))
+    return v.labels.join(v.documents.select("doc_id", "text"), "doc_id").select(F.col("doc_id").alias("query_id"), V.parse_verdict(answer).alias("verdict"))
 
 
 @query("h16_accuracy", f"WITH x AS ({VERDICTS}) SELECT count(*) AS n, round(avg((verdict='correct')::INT),4) AS strict, round(avg(CASE verdict WHEN 'correct' THEN 1.0 WHEN 'partial' THEN 0.5 ELSE 0 END),4) AS lenient FROM x")

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from corpusframe.operators import ops as O  # noqa: E741
 from corpusframe.plans.registry import query
+from corpusframe.sources import corpus as S
+from corpusframe.sources.checkpoints import shared_dir
 
 
 def listing(v):
@@ -30,6 +34,36 @@ def _(v):
     return O.delete_documents({"chunks": v.v_chunks.select("doc_id", "chunk_id")}, v.v_docs.filter("doc_no % 4 = 1"))["chunks"].select("chunk_id")
 
 
+@query("a9_upsert_in_place", "SELECT library_id, doc_id, CASE WHEN doc_no % 3 = 0 AND length(library_id) = 4 THEN 'new' ELSE title END AS title, CASE WHEN doc_no % 3 = 0 AND length(library_id) = 4 THEN 2 ELSE 1 END AS version FROM v_docs")
+def _(v):
+    """Documents as a stored table; a third of those of some libraries are updated in it, twice."""
+    path = f"{shared_dir(v.spark)}/upsert-{uuid.uuid4().hex}"
+    rows = v.v_docs.select("library_id", "doc_id", "title", F.lit(1).alias("version"), "doc_no")
+    rows.drop("doc_no").repartition("library_id").write.partitionBy("library_id").parquet(path)
+    updates = rows.filter("doc_no % 3 = 0 AND length(library_id) = 4").drop("doc_no").withColumns({"title": F.lit("new"), "version": F.lit(2)})
+    for _ in range(2):
+        S.write_upsert(v.spark, path, updates, ["library_id", "doc_id"], "version")
+    return v.spark.read.parquet(path).select("library_id", "doc_id", "title", "version")
+
+
+@query(
+    "a10_delete_in_place",
+    """WITH gone AS (SELECT doc_id FROM v_docs WHERE doc_no % 4 = 1 OR library_id = 'src7')
+SELECT 'chunks' AS name, library_id, count(*) AS n, min(chunk_id) AS first FROM v_chunks WHERE doc_id NOT IN (SELECT doc_id FROM gone) GROUP BY library_id
+UNION ALL SELECT 'blocks', library_id, count(*), min(doc_id||block_id) FROM v_blocks WHERE doc_id NOT IN (SELECT doc_id FROM gone) GROUP BY library_id""",
+)
+def _(v):
+    """Chunks and blocks as stored tables, from which documents and a whole library go."""
+    place = f"{shared_dir(v.spark)}/delete-{uuid.uuid4().hex}"
+    tables = {"chunks": v.v_chunks.select("library_id", "doc_id", F.col("chunk_id").alias("key")), "blocks": v.v_blocks.select("library_id", "doc_id", F.concat("doc_id", "block_id").alias("key"))}
+    paths = {name: f"{place}/{name}" for name in tables}
+    for name, df in tables.items():
+        df.repartition("library_id").write.partitionBy("library_id").parquet(paths[name])
+    S.delete_documents(v.spark, paths, v.v_docs.filter("doc_no % 4 = 1 OR library_id = 'src7'"))
+    left = [v.spark.read.parquet(path).groupBy("library_id").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("first")).select(F.lit(name).alias("name"), "*") for name, path in paths.items()]
+    return left[0].unionByName(left[1])
+
+
 @query("a11_pending", "SELECT doc_id FROM v_docs WHERE doc_id NOT IN (SELECT doc_id FROM v_chunks WHERE chunk_index > 0)")
 def _(v):
     return O.pending(v.v_docs.select("doc_id"), v.v_chunks.filter("chunk_index > 0"))

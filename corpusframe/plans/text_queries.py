@@ -11,6 +11,7 @@ from corpusframe.operators import chunking as C
 from corpusframe.plans.registry import query
 from corpusframe.sources import corpus as S
 from corpusframe.sources.checkpoints import shared_dir
+from corpusframe.streaming import streams
 
 CLEAN = "trim(regexp_replace(text, '\\s+', ' ', 'g'))"
 
@@ -178,10 +179,8 @@ def _(v):
     return C.reading_order(rows).select("doc_id", "block_no", "pos")
 
 
-@query(
-    "c6_chunk_documents",
-    f"""WITH RECURSIVE b AS (SELECT library_id, doc_id, block_no, page, block_id, replace(text,'ß','s') AS text FROM v_blocks),
-c AS (SELECT library_id, doc_id, block_no, page, block_id, {CLEAN} AS text, {HEADING} AS head FROM b WHERE {CLEAN} <> ''),
+#: The chunker as a recursion over the blocks of a document, ``b``: library_id, doc_id, block_no, page, block_id, text.
+CHUNKER = f"""c AS (SELECT library_id, doc_id, block_no, page, block_id, {CLEAN} AS text, {HEADING} AS head FROM b WHERE {CLEAN} <> ''),
 x AS (SELECT *, row_number() OVER w AS i, coalesce(lead(head) OVER w OR lead(page) OVER w <> page, false) AS turns, sum(CASE WHEN head THEN 0 ELSE 1 END) OVER w - 1 AS ord, length(text) AS len, count(*) OVER (PARTITION BY doc_id) AS n_blocks FROM c WINDOW w AS (PARTITION BY doc_id ORDER BY block_no)),
 m(doc_id, i, f, l, n, chars, tail, heading, ef, el, eh) AS (
  SELECT DISTINCT doc_id, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, NULL::VARCHAR, NULL::BIGINT, NULL::BIGINT, NULL::VARCHAR FROM x
@@ -194,13 +193,36 @@ m(doc_id, i, f, l, n, chars, tail, heading, ef, el, eh) AS (
 e AS (SELECT doc_id, i, 0 AS last, ef AS f, el AS l, eh AS heading FROM m WHERE ef IS NOT NULL UNION ALL SELECT m.doc_id, m.i, 1, m.f, m.l, m.heading FROM m JOIN (SELECT doc_id, max(i) AS i FROM m GROUP BY 1) USING (doc_id, i) WHERE n > 0),
 k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i, last) - 1 AS chunk_index FROM e),
 t AS (SELECT library_id, k.doc_id, chunk_index, arg_min(page, ord) AS page_start, arg_max(page, ord) AS page_end, any_value(heading) AS section_heading, string_agg(block_id, ',' ORDER BY ord) AS block_ids, string_agg(text, chr(10)||chr(10) ORDER BY ord) AS text FROM k JOIN x ON x.doc_id = k.doc_id AND NOT x.head AND x.ord BETWEEN k.f AND k.l GROUP BY ALL)
-SELECT library_id, doc_id, chunk_index::INT AS chunk_index, page_start, page_end, section_heading, block_ids, text, doc_id||'_c'||lpad(chunk_index::VARCHAR,4,'0') AS chunk_id, lag(doc_id||'_c'||lpad(chunk_index::VARCHAR,4,'0')) OVER (PARTITION BY doc_id ORDER BY chunk_index) AS prev_chunk_id, lead(doc_id||'_c'||lpad(chunk_index::VARCHAR,4,'0')) OVER (PARTITION BY doc_id ORDER BY chunk_index) AS next_chunk_id FROM t""",
-)
+SELECT library_id, doc_id, chunk_index::INT AS chunk_index, page_start, page_end, section_heading, block_ids, text, doc_id||'_c'||lpad(chunk_index::VARCHAR,4,'0') AS chunk_id, lag(doc_id||'_c'||lpad(chunk_index::VARCHAR,4,'0')) OVER (PARTITION BY doc_id ORDER BY chunk_index) AS prev_chunk_id, lead(doc_id||'_c'||lpad(chunk_index::VARCHAR,4,'0')) OVER (PARTITION BY doc_id ORDER BY chunk_index) AS next_chunk_id FROM t"""
+
+
+@query("c6_chunk_documents", f"WITH RECURSIVE b AS (SELECT library_id, doc_id, block_no, page, block_id, replace(text,'ß','s') AS text FROM v_blocks),\n{CHUNKER}")
 def _(v):
     plain = blocks(v).withColumn("text", F.replace("text", F.lit("ß"), F.lit("s")))
     return C.link_chunks(C.chunk_documents(plain)).withColumn("block_ids", F.array_join("block_ids", ",")).drop("locator")
 
 
+@query(
+    "k1_ingest",
+    f"""WITH RECURSIVE d AS (SELECT library_id, doc_id, regexp_split_to_array(replace(replace(CASE WHEN doc_no % 5 = 0 THEN substr(text, 1, 700) ELSE text END, 'ß', 's'), '. ', '.'||chr(10)||chr(10)), '\\n\\s*\\n') AS raw FROM v_docs),
+q AS (SELECT library_id, doc_id, list_filter(list_transform(raw, lambda x: regexp_replace(x,'^\\s+|\\s+$','','g')), lambda x: x <> '') AS ps FROM d),
+b AS (SELECT library_id, doc_id, unnest(range(len(ps))) AS block_no, 0::BIGINT AS page, 'b'||lpad(unnest(range(len(ps)))::VARCHAR,4,'0') AS block_id, unnest(ps) AS text FROM q),
+{CHUNKER.replace("SELECT library_id, doc_id, chunk_index::INT", "SELECT CASE WHEN doc_id IN (SELECT doc_id FROM v_docs WHERE doc_no % 5 = 0) THEN 2 ELSE 1 END::BIGINT AS version, library_id, doc_id, chunk_index::INT")}""",
+)
+def _(v):
+    """Documents that come as files of JSON lines, a fifth of them a second time with another text, taken in by a stream."""
+    place = f"{shared_dir(v.spark)}/ingest-{uuid.uuid4().hex}"
+    text = F.replace(F.replace("text", F.lit("ß"), F.lit("s")), F.lit(". "), F.lit(".\n\n"))
+    docs = lambda text, version: v.v_docs.select("doc_id", "library_id", text.alias("text"), F.lit(version).cast("long").alias("version"), "doc_no")
+    stream = lambda: streams.ingest_stream(v.spark, f"{place}/in", f"{place}/out", f"{place}/state").awaitTermination()
+    docs(text, 1).drop("doc_no").write.json(f"{place}/in")
+    stream()
+    again = docs(F.replace(F.replace(F.substring("text", 1, 700), F.lit("ß"), F.lit("s")), F.lit(". "), F.lit(".\n\n")), 2).filter("doc_no % 5 = 0").drop("doc_no")
+    again.write.mode("append").json(f"{place}/in")
+    stream()
+    return streams.current_chunks(v.spark, f"{place}/out").withColumn("block_ids", F.array_join("block_ids", ",")).drop("locator")
+
+
 @query("c8_semantic_boundaries", "WITH b AS (SELECT vec_id, label AS doc_id, embedding::DOUBLE[] AS e, lag(embedding::DOUBLE[]) OVER (PARTITION BY label ORDER BY vec_id) AS p FROM embeddings) SELECT vec_id, coalesce(list_dot_product(e, p) < 0.25, false) AS boundary FROM b")
 def _(v):
     return C.semantic_boundaries(v.embeddings.select("vec_id", F.col("label").alias("doc_id"), F.col("vec_id").alias("pos"), "embedding")).select("vec_id", "boundary")

@@ -267,3 +267,16 @@ def test_vectors_in_other_forms(spark):
     with pytest.raises(Exception, match="none could be parsed"):
         parsed_vectors(broken, "text").collect()
     assert len(parsed_vectors(broken, "text").filter("library_id <> 'z'").collect()) == 4
+
+
+def test_reports_are_whole(spark, tmp_path):
+    from corpusframe.operators import evaluation
+
+    report = spark.range(300).select(F.lit("s").alias("section"), F.format_string("i%03d", "id").alias("item"), F.lit("m").alias("metric"), F.when(F.col("id") % 2 == 0, F.col("id") / 4).alias("value"))
+    text = evaluation.markdown(report).split("\n")
+    assert len(text) == 302 and text[2:4] == ["| s | i000 | m | 0.0 |", "| s | i001 | m | None |"]
+    with pytest.raises(ValueError):
+        evaluation.markdown(report, most=299)
+    evaluation.write_markdown(report, str(tmp_path / "r"))
+    lines = [line for f in sorted((tmp_path / "r").glob("part-*")) for line in f.read_text().splitlines()]
+    assert [*evaluation.HEAD, *lines] == text
