@@ -40,7 +40,7 @@ LISTED = 1 << 20
 BURST = 1 << 14
 ENTRIES = 1 << 20  # of a task's trie
 STEP = 1 << 19  # words added to it at once
-GROUP = 1 << 21  # suffixes of a prefix partition, about
+GROUP = 1 << 20  # suffixes of a prefix partition, about
 HOT = 1024
 LONG_RUN = 256  # entries from which a run is compressed
 ENTRY = LONGEST * 3 + 4  # bytes of one: ids of three bytes, a count of four
@@ -119,7 +119,7 @@ class Container:
 
     def add(self, high: np.ndarray, low: np.ndarray, n: np.ndarray) -> None:
         if 2 * (self.used + len(high)) > len(self.n):
-            grown = Container(1 << (4 * (self.used + len(high))).bit_length())
+            grown = Container(1 << (2 * (self.used + len(high))).bit_length())
             grown.add(*self.items())
             self.__dict__.update(grown.__dict__)
         mask = np.uint64(len(self.n) - 1)
