@@ -69,5 +69,15 @@ def test_recall_of_probed_clusters(spark):
     assert len(exact & found) / len(exact) >= 0.9, len(exact & found) / len(exact)
 
 
+def test_recall_of_stored_clusters(spark):
+    from corpusframe.operators import vectors
+    from corpusframe.plans.views import Views
+
+    v = Views(spark, SF)
+    exact = {(r.query_id, r.chunk_id) for r in vectors.vector_topk(v.v_vqueries.drop("organization_id"), v.v_vectors, 5).collect()}
+    found = {(r.query_id, r.chunk_id) for r in registry.QUERIES["d5_stored_ivf"](spark, SF).collect()}
+    assert len(exact & found) / len(exact) >= 0.9
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
