@@ -68,8 +68,12 @@ def search_postings(queries: DataFrame, postings: DataFrame, k: int) -> DataFram
 
 def _search(queries: DataFrame, asked: DataFrame, k: int) -> DataFrame:
     counted = cut(asked)
-    stats = counted.filter("term = ''").groupBy("library_id").agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean_length"))
-    return bm25_topk(queries, _weighed(counted.filter("term <> ''"), stats), k)
+    return bm25_topk(queries, _weighed(counted.filter("term <> ''"), _stats(counted)), k)
+
+
+def _stats(postings: DataFrame) -> DataFrame:
+    """Number and mean length of each library's chunks, from the rows of the chunks themselves."""
+    return postings.filter("term = ''").groupBy("library_id").agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean_length"))
 
 
 def bm25_search(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
@@ -105,8 +109,9 @@ def save_index(chunks: DataFrame, path: str, buckets: int | None = None) -> Data
     A bucket has about ``BUCKET_POSTINGS`` postings where ``buckets`` doesn't say otherwise.
     """
     spark = chunks.sparkSession
-    rows = cut(bm25_index(chunks).withColumn("salt", F.pmod(F.xxhash64("chunk_id"), F.lit(SALTS)).cast("int")))
-    buckets = buckets or min(10_000, max(4, -(-rows.count() // BUCKET_POSTINGS)))
+    counted = cut(postings_of(chunks))  # texts are read once
+    rows = _weighed(counted.filter("term <> ''"), _stats(counted)).withColumn("salt", F.pmod(F.xxhash64("chunk_id"), F.lit(SALTS)).cast("int"))
+    buckets = buckets or min(10_000, max(4, -(-counted.count() // BUCKET_POSTINGS)))
     writer = rows.repartition(buckets, "term", "salt").write.mode("overwrite").bucketBy(buckets, "term", "salt").sortBy("term", "salt")
     writer.option("path", f"{path}/postings").saveAsTable(_table_of(path))
     spark.range(1).select(F.lit(buckets).alias("buckets")).write.mode("overwrite").parquet(f"{path}/about")
