@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from functools import cached_property
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -131,6 +132,13 @@ class Views:
                 self._made[name] = self.spark.sql(text, **used)
         return self._made[name]
 
+    def _stored(self, path: str) -> bool:
+        """Whether the table is still there: the shared folder may be cleared between queries."""
+        try:
+            return self.spark.read.parquet(path).count() > 0
+        except AnalysisException:
+            return False
+
     @cached_property
     def keyword_index(self) -> DataFrame:
         """The saved keyword index of ``v_chunks``: made by the first query that asks, as long as ``documents`` stay as
@@ -138,7 +146,7 @@ class Views:
         files = self.spark.read.format("binaryFile").load(f"{self.sf_dir}/documents.parquet")  # names and times; nothing is read
         stamp = files.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("path", "modificationTime", "length"))).first()
         key = (self.spark.sparkContext.applicationId, self.sf_dir, *stamp)
-        if key not in _INDEXES:
+        if key not in _INDEXES or not self._stored(f"{_INDEXES[key]}/about"):
             path = f"{shared_dir(self.spark)}/keyword-index-{uuid.uuid4().hex}"
             save_index(self.v_chunks, path)
             _INDEXES[key] = path

@@ -1,6 +1,7 @@
 """Every registered query that has SQL gives the SQL's rows (DuckDB), on the smallest tables."""
 
 import os
+import shutil
 
 import duckdb
 import pytest
@@ -69,6 +70,17 @@ def test_recall_of_probed_clusters(spark):
     assert len(exact & found) / len(exact) >= 0.9, len(exact & found) / len(exact)
 
 
+def test_keyword_index_is_shared_and_made_anew(spark):
+    from corpusframe.plans import views
+
+    index = lambda: views.Views(spark, SF).keyword_index
+    first = index()
+    path = next(p for k, p in views._INDEXES.items() if k[1] == SF)
+    assert index().inputFiles() == first.inputFiles()
+    shutil.rmtree(path)
+    assert index().count() > 0 and next(p for k, p in views._INDEXES.items() if k[1] == SF) != path
+
+
 def test_recall_of_stored_clusters(spark):
     from corpusframe.operators import vectors
     from corpusframe.plans.views import Views
