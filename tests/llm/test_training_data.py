@@ -552,6 +552,27 @@ def test_url_rules(spark):
     assert all((r.rule is None) == (r.block_score is not None) and r.verdict in ("allow", "block") for r in got.values())
 
 
+def test_url_rules_verdicts(spark, tmp_path):
+    """Each rule of the contract by its own word, on its host and on subdomains, and the longer one where two fit."""
+    want = {
+        "http://com/en/": ("com/en/", "block"),
+        "http://www.other.com/en/712": ("com/en/", "block"),
+        "http://example.com/en/6": ("com/en/", "block"),
+        "http://example.com/en/7": ("example.com/en/7", "allow"),
+        "http://www.example.com/en/712?q": ("example.com/en/7", "allow"),
+        "http://net/de/": ("net/de/", "allow"),
+        "http://a.b.net/de/8": ("net/de/", "allow"),
+        "http://example.net/de/7": ("net/de/", "allow"),
+        "http://example.net/de/8": ("example.net/de/8", "block"),
+        "http://www.example.net/de/89#x": ("example.net/de/8", "block"),
+        "http://ORG/es/": ("org/es/", "block"),
+        "http://example.org/es/7": ("org/es/", "block"),
+    }
+    spark.createDataFrame([(i, u, "<p>some words</p>") for i, u in enumerate(want)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: (r.rule, r.verdict) for r in urls.op10_urls(spark, str(tmp_path)).collect()}
+    assert [got[i] for i in range(len(want))] == list(want.values())
+
+
 def test_urls_against_plain_form(spark, tmp_path):
     long = "incomprehensibilitiesandmore"
     fillers = ["f" + "".join(chr(97 + k // 26**j % 26) for j in range(4)) for k in range(50_000)]
