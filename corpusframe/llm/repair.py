@@ -34,9 +34,11 @@ MAGIC = b"RPG1"
 JOINED = 1000  # distinct pieces encoded as one text
 KNOWN = 300_000  # pieces that a task remembers (some 50 MB)
 #: bytes at which a byte-level tokenizer starts a new word, and bytes that are white space in no character that they belong to
-SEPARATOR, PLAIN = np.zeros(256, bool), np.zeros(256, bool)
-SEPARATOR[[10, 32]] = True
+SEPARATORS, PLAIN = b"\n ", np.zeros(256, bool)
 PLAIN[33:127] = PLAIN[128:] = True
+#: marks before which it starts a new word behind an ASCII letter or digit
+MARKS, SOLID = b".,;:!?", np.zeros(256, bool)
+SOLID[48:58] = SOLID[65:91] = SOLID[97:123] = True
 
 
 def visible(lead: np.ndarray, second: np.ndarray, last: np.ndarray, two: np.ndarray) -> np.ndarray:
@@ -68,13 +70,14 @@ def default_tokenizer() -> str:
 
 
 class Encoder:
-    """Ids of whole texts; every distinct piece of them is encoded once, and remembered while there are ``KNOWN`` at most.
-
-    A byte-level tokenizer starts a new word at a single space or line feed between two other characters, and merges
-    nothing across words. Texts are cut there into pieces (a separator and what follows), a slice's pieces are dictionary
-    encoded by Arrow, and ids are gathered by a vectorised take. This holds only for tokenizers without normalizer, put-in
-    prefix space, dropout, and added tokens that touch white space: ``by_pieces`` says whether the file is of this kind;
-    with any other, texts are encoded whole.
+    """Ids of whole texts; a slice's distinct pieces are encoded once, and remembered. Beyond ``KNOWN``, only those that came
+    again stay.
+
+    A byte-level tokenizer starts a new word at a single space or line feed between two other characters and at a mark
+    behind an ASCII letter or digit, and merges nothing across words. Texts are cut there into pieces (a separator or mark
+    and what follows), a slice's pieces are dictionary encoded by Arrow, and ids are gathered by a vectorised take. This
+    holds only for tokenizers without normalizer, put-in prefix space, dropout, and added tokens that touch white space or
+    hold such a place: ``by_pieces`` says whether the file is of this kind; with any other, texts are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -94,7 +97,7 @@ class Encoder:
             and split.get("use_regex") is True
             and model["type"] == "BPE"
             and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix"))
-            and not any(t["lstrip"] or t["rstrip"] or t["normalized"] or t["single_word"] or not t["content"] or re.search(r"\s|[^\x00-\x7f]", t["content"]) for t in added)
+            and not any(t["lstrip"] or t["rstrip"] or t["normalized"] or t["single_word"] or not t["content"] or re.search(r"\s|[^\x00-\x7f]|[0-9A-Za-z][.,;:!?]", t["content"]) for t in added)
         )
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         # a token of a byte-level vocabulary is spelt with one character for each byte
@@ -104,16 +107,24 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        """``known``: pieces whose ids are ``count`` ones from ``begin`` on among ``ids``."""
+        """``known``: pieces whose ids are ``count`` ones from ``begin`` on among ``ids``; ``again``: later slices they came in."""
         self.known = pa.array([], pa.large_binary())
-        self.ids, self.begin, self.count = (np.empty(0, k) for k in (np.uint32, np.int64, np.int64))
+        self.ids, self.begin, self.count, self.again = (np.empty(0, k) for k in (np.uint32, np.int64, np.int64, np.int64))
+
+    def _keep(self, most: int) -> None:
+        """Forgets all but the ``most`` pieces that came again the most often, and counts anew."""
+        stay = np.sort(np.argsort(-self.again, kind="stable")[: min(most, np.count_nonzero(self.again))])
+        self.known = self.known.take(pa.array(stay))
+        self.ids, self.count = _gather(self.ids, self.begin[stay], self.count[stay]), self.count[stay]
+        self.begin, self.again = np.cumsum(self.count) - self.count, np.zeros(len(stay), np.int64)
 
     def _places(self, pieces: pa.Array) -> np.ndarray:
         """Places of distinct pieces in ``known``; new ones are learnt."""
         if len(self.known) > KNOWN:
-            self._forget()
+            self._keep(KNOWN // 2)
         found = pc.index_in(pieces, value_set=self.known)
         new = np.flatnonzero(found.is_null().to_numpy(zero_copy_only=False))
+        self.again[found.drop_null().to_numpy(zero_copy_only=False)] += 1
         places = found.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
         if len(new):
             learnt = pieces.take(pa.array(new))
@@ -122,6 +133,7 @@ class Encoder:
             self.known = pa.concat_arrays([self.known, learnt])
             self.begin = np.concatenate((self.begin, len(self.ids) + np.cumsum(sizes) - sizes))
             self.count = np.concatenate((self.count, sizes))
+            self.again = np.concatenate((self.again, np.zeros(len(new), np.int64)))
             self.ids = np.concatenate((self.ids, ids))
         return places
 
@@ -137,7 +149,7 @@ class Encoder:
         if not len(ends):
             return np.empty(0, np.uint32), np.empty(0, np.int64)
         begins = at[:-1]
-        joins = SEPARATOR[data[begins]] & (at[1:] - begins >= 2)
+        joins = _any(data[begins], SEPARATORS) & (at[1:] - begins >= 2)
         joins &= visible_at(data, begins + 1) & visible_before(data, at[1:])
         order = np.concatenate((np.flatnonzero(joins), np.flatnonzero(~joins)))
         sizes, parts = np.zeros(len(ends), np.int64), []
@@ -169,6 +181,7 @@ class Encoder:
             pieces = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(data)])
             coded = pieces.dictionary_encode()
             at = self._places(coded.dictionary)[coded.indices.to_numpy(zero_copy_only=False)]
+            del bounds, pieces, coded
             sizes = self.count[at]
             ids = _gather(self.ids, self.begin[at], sizes)
             yield lo, hi, ids, np.concatenate(([0], np.cumsum(sizes)))[first]
@@ -181,23 +194,37 @@ def _bytes(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8) if data is not None and data.size else np.empty(0, np.uint8), at
 
 
+def _any(data: np.ndarray, values: bytes) -> np.ndarray:
+    """Whether each byte is one of a few."""
+    out = data == values[0]
+    for v in values[1:]:
+        out |= data == v
+    return out
+
+
 def _gather(values: np.ndarray, begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """``values[begin[k] : begin[k] + sizes[k]]`` of all k, one after the other."""
     ends = np.cumsum(sizes)
     total = int(ends[-1]) if len(ends) else 0
-    return values[np.repeat(begin - ends + sizes, sizes) + np.arange(total)]
+    at = np.repeat(begin - ends + sizes, sizes)
+    at += np.arange(total)
+    return values[at]
 
 
 def piece_starts(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where pieces begin, and each text's first piece (one more at the end); empty texts have none.
 
-    A piece begins with a text, and at a space or line feed between two bytes that are surely no white space.
+    A piece begins with a text, at a space or line feed between two bytes that are surely no white space, and at a mark
+    behind an ASCII letter or digit.
     """
     inner = np.zeros(len(data) + 1, bool)
-    at = np.flatnonzero(SEPARATOR[data[1:-1]] & PLAIN[data[:-2]] & PLAIN[data[2:]]) + 1 if len(data) > 2 else np.empty(0, np.int64)
+    at = np.flatnonzero(_any(data[1:-1], SEPARATORS)) + 1
+    at = at[PLAIN[data[at - 1]] & PLAIN[data[at + 1]]]
     inner[at[visible_before(data, at) & visible_at(data, at + 1)]] = True
     edge = offsets[1:-1]
     inner[edge[edge > 0] - 1] = False  # a text's last byte has no text behind it; its next one is another text's
+    at = np.flatnonzero(_any(data[1:], MARKS)) + 1
+    inner[at[SOLID[data[at - 1]]]] = True
     inner[offsets[:-1]] = True
     inner[len(data)] = False
     starts = np.flatnonzero(inner)
@@ -216,13 +243,18 @@ def compress(ids: np.ndarray, vocabulary: int) -> tuple[np.ndarray, np.ndarray]:
     No rule spans the end id, so documents begin and end between symbols.
     """
     seq, rules, size = ids.astype(np.int64), [], vocabulary
-    while len(seq) > 1:
-        key = seq[:-1] << 32 | seq[1:]
-        bucket = (key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(44)).astype(np.int64)
-        inner = (seq[:-1] != END_ID) & (seq[1:] != END_ID)
-        counts = np.bincount(bucket, inner, 1 << 20)
-        likely = np.flatnonzero((counts >= LEAST)[bucket] & inner)  # a pair can't be more frequent than its bucket
-        ordered = np.sort(key[likely])
+    # places of pairs that may be frequent; a pair of earlier symbols that is rare stays so, as its places only get fewer
+    likely = np.flatnonzero((seq[:-1] != END_ID) & (seq[1:] != END_ID))
+    while len(likely):
+        key = seq[likely]
+        key <<= 32
+        key |= seq[likely + 1]
+        bucket = (key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(44)).view(np.int64)
+        some = (np.bincount(bucket, minlength=1 << 20) >= LEAST)[bucket]  # a pair can't be more frequent than its bucket
+        likely = likely[some]  # one by one: they are as large as the sequence
+        key = key[some]
+        bucket = bucket[some]
+        ordered = np.sort(key)
         edge = np.flatnonzero(np.concatenate((np.ones(min(1, len(ordered)), bool), ordered[1:] != ordered[:-1])))
         pairs, n = ordered[edge], np.diff(np.concatenate((edge, [len(ordered)])))
         chosen = np.flatnonzero(n >= LEAST)
@@ -234,17 +266,21 @@ def compress(ids: np.ndarray, vocabulary: int) -> tuple[np.ndarray, np.ndarray]:
         slot = (pairs.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(44)).astype(np.int64)
         holds, number = np.full(1 << 20, -1, np.int64), np.zeros(1 << 20, np.int64)
         holds[slot], number[slot] = pairs, size + np.arange(len(pairs))
-        at = likely[holds[bucket[likely]] == key[likely]]
-        symbol = number[bucket[at]]
+        hit = holds[bucket] == key
+        at, symbol = likely[hit], number[bucket[hit]]
         # of places that overlap, every second one is replaced
         edge = np.concatenate(([True], np.diff(at) > 1))
         begin = at[np.maximum.accumulate(np.where(edge, np.arange(len(at)), 0))]
         even = (at - begin) % 2 == 0
         at, symbol = at[even], symbol[even]
         seq[at] = symbol
-        keep = np.ones(len(seq), bool)
+        keep, near = np.ones(len(seq), bool), np.zeros(len(seq), bool)
         keep[at + 1] = False
-        seq = seq[keep]
+        near[likely] = near[at] = near[at[at > 0] - 1] = True  # beside new symbols all pairs are new
+        seq, near = seq[keep], near[keep]
+        del key, bucket
+        likely = np.flatnonzero(near[:-1])
+        likely = likely[(seq[likely] != END_ID) & (seq[likely + 1] != END_ID)]
         rules.append(np.stack((pairs >> 32, pairs & 0xFFFFFFFF), 1))
         size += len(pairs)
     return seq, np.concatenate(rules) if rules else np.empty((0, 2), np.int64)

@@ -269,6 +269,38 @@ def test_encoder_and_grammar(tmp_path, monkeypatch):
         assert (shard.document(k) == ids[ends[k] - sizes[k] : ends[k]]).all()
 
 
+def test_encoder_cuts_at_marks_and_keeps_what_comes_again(tmp_path, monkeypatch):
+    """A word is encoded once with whatever mark behind it, and pieces that come again outlive a full memory; ids are the library's."""
+    import json
+
+    from tokenizers import Tokenizer
+
+    encoder, whole = repair.Encoder(repair.default_tokenizer()), Tokenizer.from_file(repair.default_tokenizer())
+    rng = np.random.default_rng(11)
+    parts = ["a", "Zz", "don't", "'s", "'", "9", "12.5", ".", ",", ";:", "!", "?!", "...", "é", "ß", "…", "日本", "²", "x.y", " ", "  ", "\n", "\t", "\u00a0", "(", ")", "<|endoftext|>", "<|", "#", "\u0301"]
+    texts = ["".join(rng.choice(parts, 12)) for _ in range(3000)]
+    for limit in (1 << 12, 1 << 20):
+        for text, ids in zip(texts, encoded(encoder, texts, limit)):
+            assert np.frombuffer(ids, "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, repr(text)
+
+    learnt, plain = [], encoder._pieces
+    monkeypatch.setattr(encoder, "_pieces", lambda pieces: learnt.extend(pieces.to_pylist()) or plain(pieces))
+    monkeypatch.setattr(repair, "KNOWN", 20)
+    encoder._forget()
+    slices_ = [" common words, again: " + " ".join(f"rare{k}x{j}" for j in range(8)) + " common. words! again?" for k in range(9)]
+    got = encoded(encoder, slices_, 1)  # a slice a text
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [e.ids for e in whole.encode_batch(slices_, add_special_tokens=False)]
+    assert [learnt.count(w) for w in (b" common", b" words", b" again")] == [1, 1, 1] and learnt.count(b" rare3x1") == 1
+    assert len(encoder.known) <= 20 + 8
+
+    made = json.loads(whole.to_str())
+    made["added_tokens"].append(made["added_tokens"][0] | {"id": len(whole.get_vocab()), "content": "end.of"})
+    (tmp_path / "marked.json").write_text(json.dumps(made))
+    marked = repair.Encoder(str(tmp_path / "marked.json"))
+    assert not marked.by_pieces
+    assert [np.frombuffer(x, "<u4").tolist() for x in encoded(marked, ["the end.of it"])] == [marked.tokenizer.encode("the end.of it", add_special_tokens=False).ids]
+
+
 def test_grammar_leaves_no_frequent_pair():
     rng = np.random.default_rng(4)
     block = rng.integers(3, 50_000, 300)
