@@ -102,7 +102,7 @@ def choose_caption(candidates: DataFrame, mentioned: DataFrame) -> DataFrame:
 def merge_caption(blocks: DataFrame, starts: DataFrame, most: int = 4) -> DataFrame:
     """Captions that go on: up to three following blocks, each close below the one before, overlapping it by a quarter,
     and neither a new caption nor a heading. ``starts``: ``doc_id, page, block_no`` of first blocks."""
-    order = Window.partitionBy(*PAGE).orderBy("y1", "x1", "block_no")
+    order = Window.partitionBy(*PAGE).orderBy("y1", "x1", "block_no", "x2", "y2", "c")  # blocks of one number and place: the same in each run
     rows = blocks.filter("kind = 'text'").withColumn("c", clean_text(F.col("text"))).filter("c <> ''")
     box = F.struct("c", "x1", "y1", "x2", "y2")
     for j in range(1, most):
