@@ -215,10 +215,10 @@ def _(v):
     text = F.replace(F.replace("text", F.lit("ß"), F.lit("s")), F.lit(". "), F.lit(".\n\n"))
     docs = lambda text, version: v.v_docs.select("doc_id", "library_id", text.alias("text"), F.lit(version).cast("long").alias("version"), "doc_no")
     stream = lambda: streams.ingest_stream(v.spark, f"{place}/in", f"{place}/out", f"{place}/state").awaitTermination()
-    docs(text, 1).drop("doc_no").write.json(f"{place}/in")
+    docs(text, 1).drop("doc_no").write.option("compression", "gzip").json(f"{place}/in")
     stream()
     again = docs(F.replace(F.replace(F.substring("text", 1, 700), F.lit("ß"), F.lit("s")), F.lit(". "), F.lit(".\n\n")), 2).filter("doc_no % 5 = 0").drop("doc_no")
-    again.write.mode("append").json(f"{place}/in")
+    again.write.mode("append").option("compression", "gzip").json(f"{place}/in")
     stream()
     return streams.current_chunks(v.spark, f"{place}/out").withColumn("block_ids", F.array_join("block_ids", ",")).drop("locator")
 

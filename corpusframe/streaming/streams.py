@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from corpusframe.operators.chunking import chunk_documents, link_chunks
-from corpusframe.operators.lexical import postings_of, search_postings
+from corpusframe.operators.lexical import postings_in_place, search_postings
 from corpusframe.operators.vectors import encode, nearest_center, vector_topk, vector_topk_ivf
 from corpusframe.sources.checkpoints import cut
 from corpusframe.sources.corpus import text_to_blocks
@@ -37,6 +37,10 @@ class BatchLog:
     def write(self, df: DataFrame, batch_id: int) -> None:
         df.write.mode("overwrite").parquet(f"{self.path}/batch={batch_id}")
 
+    def read(self, batch_id: int) -> DataFrame:
+        """One batch, without its number."""
+        return self.spark.read.parquet(f"{self.path}/batch={batch_id}")
+
     def rows(self) -> DataFrame:
         """All rows with their ``batch``."""
         return self.spark.read.option("basePath", self.path).parquet(self.path).withColumn("batch", F.col("batch").cast("long"))
@@ -67,19 +71,22 @@ class Ingestion:
     def log(self, kind: str, generation: int) -> BatchLog:
         return BatchLog(self.spark, f"{self.target}/generation-{generation}/{kind}")
 
-    def rows_of(self, docs: DataFrame) -> dict[str, DataFrame]:
-        """All kinds of rows of documents (``DOCUMENT``), as the batch job makes them too. ``chunks`` is computed once."""
-        chunks = cut(chunks_of(docs))
+    def rows_of(self, docs: DataFrame, chunks: DataFrame | None = None) -> dict[str, DataFrame]:
+        """All kinds of rows of documents (``DOCUMENT``), as the batch job makes them too. ``chunks`` is computed once, unless
+        it is given as stored."""
+        chunks = cut(chunks_of(docs)) if chunks is None else chunks
         vectors = encode(chunks.select("doc_id", "library_id", "chunk_id", "text"), "text", self.encoder).drop("text")
         if self.centers is not None:
             vectors = nearest_center(vectors, self.centers)
-        postings = postings_of(chunks).join(chunks.select("chunk_id", "doc_id"), "chunk_id")
+        postings = postings_in_place(chunks)
         return {"chunks": chunks, "vectors": vectors, "postings": postings, "documents": docs.select("doc_id", "library_id", "version")}
 
     def write(self, batch: DataFrame, batch_id: int) -> None:
         newest = cut(batch.groupBy("doc_id").agg(F.max_by(F.struct("library_id", "text", "version"), "version").alias("d")).select("doc_id", "d.*"))
-        rows, now = self.rows_of(newest), self.generation()
-        for kind in self.KINDS:
+        now = self.generation()
+        self.log("chunks", now).write(chunks_of(newest), batch_id)
+        rows = self.rows_of(newest, self.log("chunks", now).read(batch_id))  # of what is written now
+        for kind in self.KINDS[1:]:
             self.log(kind, now).write(rows[kind], batch_id)
 
     def stream(self, source: str, checkpoint: str) -> StreamingQuery:
